@@ -37,14 +37,14 @@ def rows(columns: list[str], data) -> list[tuple]:
     return sorted((tuple(cell(r[i]) for i in order) for r in data), key=lambda t: tuple((x is None, x or "") for x in t))
 
 
-def difference(spark_df, con, sql: str) -> str | None:
+def difference(columns: list[str], data, con, sql: str) -> str | None:
     """None when both agree, else what differs."""
     cur = con.execute(sql)
     sql_cols = [d[0] for d in cur.description]
     want = rows(sql_cols, cur.fetchall())
-    got = rows(spark_df.columns, spark_df.collect())
-    if sorted(sql_cols) != sorted(spark_df.columns):
-        return f"columns {sorted(spark_df.columns)} != {sorted(sql_cols)}"
+    got = rows(columns, data)
+    if sorted(sql_cols) != sorted(columns):
+        return f"columns {sorted(columns)} != {sorted(sql_cols)}"
     if len(got) != len(want):
         a, b = set(got), set(want)
         return f"rows {len(got)} != {len(want)}; only spark {list(a - b)[:2]}; only sql {list(b - a)[:2]}"

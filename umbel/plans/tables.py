@@ -169,7 +169,7 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SENTENCES_SQL = f"""
-phr AS (SELECT DISTINCT item_id, {norm_sql('s')} AS term
+phr AS MATERIALIZED (SELECT DISTINCT item_id, {norm_sql('s')} AS term
         FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[.\\n]')) AS s FROM benchmark)
         WHERE length({norm_sql('s')}) >= 4)
 """
@@ -186,7 +186,7 @@ def strategies(spark: SparkSession, sf: str) -> DataFrame:
     return wide.select("item_id", "s.strategy", F.explode("s.terms").alias("term"))
 
 
-STRATEGIES_SQL = "strat AS (" + " UNION ALL ".join(
+STRATEGIES_SQL = "strat AS MATERIALIZED (" + " UNION ALL ".join(
     f"""SELECT DISTINCT item_id, '{s}' AS strategy, {m} AS least, {norm_sql('s')} AS term
         FROM (SELECT item_id, unnest(regexp_split_to_array(text, '{rx}')) AS s FROM benchmark)
         WHERE length({norm_sql('s')}) >= 4"""
@@ -207,11 +207,11 @@ def studies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 STUDIES_SQL = f"""
-studies AS (SELECT doc_id AS doc, {norm_sql('text')} AS title, string_split(text, chr(10)) AS raw_lines,
+studies AS MATERIALIZED (SELECT doc_id AS doc, {norm_sql('text')} AS title, string_split(text, chr(10)) AS raw_lines,
   CASE lang WHEN 'en' THEN 'INTERVENTIONAL' WHEN 'fr' THEN 'OBSERVATIONAL' ELSE 'EXPANDED_ACCESS' END AS study_type,
   CASE WHEN source IN ('src0','src1','src2','src3') THEN 'RECRUITING' ELSE 'COMPLETED' END AS status, source
   FROM documents),
-cond AS (SELECT doc, {norm_sql('l')} AS line FROM (SELECT doc, unnest(raw_lines) AS l FROM studies)),
+cond AS MATERIALIZED (SELECT doc, {norm_sql('l')} AS line FROM (SELECT doc, unnest(raw_lines) AS l FROM studies)),
 hits AS (SELECT item_id AS entity, strategy, doc, bool_or(via_c) AS via_condition, bool_or(NOT via_c) AS via_title FROM (
     SELECT item_id, strategy, doc, true AS via_c FROM strat JOIN cond ON contains(' ' || line || ' ', ' ' || term || ' ')
     UNION ALL
