@@ -205,7 +205,7 @@ def derive(df: DataFrame, code: str = "code") -> DataFrame:
     return confidence_final(confidence_rules(confidence_base(query_health(df), code)))
 
 
-def contaminated(df: DataFrame, terms: str = "recall_terms") -> Column:
+def contaminated(terms: str = "recall_terms") -> Column:
     """Trusted rows with studies whose recall terms are more than gene symbols."""
     listed = F.coalesce(F.col(terms), F.array().cast("array<string>"))
     suspicious = F.exists(
