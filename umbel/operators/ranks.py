@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 BUCKETS = 256
 
 
@@ -76,12 +78,15 @@ def row_index(
 def value_ranks(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """One row per distinct value: ``ties``, ``before`` (rows below), ``total``.
 
-    Counting per value first means the ranked table has distinct values only.
+    Counting per value first means the ranked table has distinct values only. It
+    is written once: the bounds, the bucket totals and the window all read it, and
+    the rows themselves are read a single time.
     """
     groups = list(groups)
     counted = (
         df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("ties"))
     )
+    counted = materialize(counted, "values")
     return running_before(counted, [value], "ties", numeric_bucket(counted, value), groups)
 
 

@@ -1,6 +1,6 @@
 """Queries on the driver tables and the SQL that states the same answer."""
 
-from . import derive_queries, join_queries, match_queries, text_queries  # noqa: F401
+from . import derive_queries, join_queries, match_queries, review_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

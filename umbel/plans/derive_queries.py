@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import aggregates as agg
 from ..operators import confidence as conf
 from ..operators import quality, ranks, readiness, selection
-from ..runtime import side_by_side
+from ..runtime import materialize, side_by_side
 from . import sqltext as S
 from .registry import query
 from .tables import ENTITIES_SQL, entities, load
@@ -54,6 +54,11 @@ def derived(spark, sf):
     return conf.derive(entities(spark, sf))
 
 
+def derived_table(spark, sf):
+    """Derived entities written once, for queries that read them several times."""
+    return materialize(derived(spark, sf), "derived")
+
+
 @query("query_health", f"WITH {DERIVED_SQL} SELECT code, health, n_tried FROM derived")
 def _(spark, sf):
     d = conf.query_health(entities(spark, sf))
@@ -126,7 +131,7 @@ def _(spark, sf):
 SELECT count(*) FILTER (WHERE ok_p AND recent >= m AND recent > 0) AS substantial_literature,
   count(*) FILTER (WHERE NOT coalesce(ok_p AND recent >= m AND recent > 0, false)) AS no_literature FROM gated, m WHERE ok_s AND studies = 0""")
 def _(spark, sf):
-    return agg.defensibility(derived(spark, sf))
+    return agg.defensibility(derived_table(spark, sf))
 
 
 _QUART = "round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3, round(avg(CASE WHEN v = 0 THEN 1.0 ELSE 0.0 END), 6) AS share_zero, count(v) AS n"
@@ -139,7 +144,7 @@ def _rounded(d, *keys):
 @query("distributions", f"""WITH {DERIVED_SQL}, x AS (SELECT 'papers' AS metric, recent AS v FROM gated WHERE ok_p AND recent IS NOT NULL
   UNION ALL SELECT 'studies', studies FROM gated WHERE ok_s AND studies IS NOT NULL) SELECT metric, {_QUART} FROM x GROUP BY metric""")
 def _(spark, sf):
-    d = derived(spark, sf)
+    d = derived_table(spark, sf)
     x = d.where(conf.credible("papers")).select(F.lit("papers").alias("metric"), F.col("recent").alias("v")).unionByName(
         d.where(conf.credible("studies")).select(F.lit("studies").alias("metric"), F.col("studies").alias("v"))
     )
@@ -161,7 +166,7 @@ def _(spark, sf):
 r AS (SELECT v, ties, sum(ties) OVER (ORDER BY v) - ties AS below, sum(ties) OVER () AS n FROM p)
 SELECT code, CASE WHEN ok_p THEN floor(CAST(below + ties * 0.5 AS DOUBLE) / CAST(n AS DOUBLE) * 1000 + 0.5) / 10 END AS pct FROM gated LEFT JOIN r ON recent = v""")
 def _(spark, sf):
-    return ranks.percentile_rank(derived(spark, sf), "recent", conf.credible("papers"), "pct").select("code", "pct")
+    return ranks.percentile_rank(derived_table(spark, sf), "recent", conf.credible("papers"), "pct").select("code", "pct")
 
 
 @query("percentile_rank_events", """
@@ -225,7 +230,7 @@ SELECT a.total, a.broken, {_pct('a.broken', 'a.total')} AS broken_pct, a.total -
   lv.total AS catalogue_rows, after_groups, retired, after_groups - retired AS usable FROM a, x, d, lv""")
 def _(spark, sf):
     _, totals = agg.corpus_levels(_catalogue(spark, sf))
-    d = agg.findings_snapshot(derived(spark, sf), totals, _defects(spark, sf))
+    d = agg.findings_snapshot(derived_table(spark, sf), totals, _defects(spark, sf))
     return d.select(
         "total", "broken", "broken_pct", "papers_excluded", "papers_excluded_pct", "no_studies", "specific_pct", "hyper_specific",
         "gene_related", "upstream_defects", "upstream_pct", "catalogue_rows", "after_groups", "retired", "usable",
@@ -368,7 +373,7 @@ top AS (SELECT * FROM u ORDER BY part, spot, CAST(code AS BIGINT) LIMIT 150)"""
 
 
 def _queue(spark, sf):
-    d = derived(spark, sf)
+    d = derived_table(spark, sf)
     q = (
         load(spark, sf, "events").where("event_type = 'purchase'")
         .groupBy(F.col("user_id").cast("string").alias("code")).agg(F.max("ts").alias("at"))
@@ -436,7 +441,7 @@ issues AS (
 
 
 def _audit(spark, sf):
-    d = derived(spark, sf).withColumn("in_studies_denominator", conf.credible("studies") & F.col("studies").isNotNull())
+    d = derived_table(spark, sf).withColumn("in_studies_denominator", conf.credible("studies") & F.col("studies").isNotNull())
     a = agg.headline_counts(d).select(
         "studies_denominator", "no_studies", (F.col("no_studies") / F.col("studies_denominator")).alias("share_zero")
     )
