@@ -265,7 +265,8 @@ def adjudication_ready(
     ready = sized.where(F.col("complete") & (F.col("candidates") <= MAX_CANDIDATES))
     if noisy is None:
         noisy = candidates.sparkSession.createDataFrame([(c,) for c in vocab.NOISY_CODES], "entity string")
-    return ready.join(noisy, ready["entity"].cast("string") == noisy["entity"].cast("string"), "left_anti")
+    listed = noisy.select(F.col("entity").cast("string").alias("_noisy")).distinct()
+    return ready.join(listed, F.col("entity").cast("string") == F.col("_noisy"), "left_anti")
 
 
 def evidence_key(voter: T.C, version: T.C, *fields: T.C) -> Column:

@@ -54,7 +54,7 @@ def _ballots(spark, sf):
 
 def _labelled(spark, sf):
     return _ballots(spark, sf).select(
-        F.col("source").alias("entity"), F.col("doc_id").alias("doc"), F.col("lang").alias("difficulty"), acc.consensus().alias("consensus")
+        F.concat_ws("-", "source", "lang").alias("entity"), F.col("doc_id").alias("doc"), F.col("lang").alias("difficulty"), acc.consensus().alias("consensus")
     )
 
 
@@ -96,15 +96,15 @@ def _(spark, sf):
 # Found documents are those over 1,500 characters.
 _ACC_SQL = f"""{VOTES_SQL},
 f AS (SELECT c.*, n_chars > 1500 AS found FROM con c JOIN documents USING (doc_id)),
-e AS MATERIALIZED (SELECT source, max(lang) AS lang, count(*) AS candidates, count(*) FILTER (WHERE consensus = 'relevant') AS rel, count(*) FILTER (WHERE consensus = 'irrelevant') AS irr,
+e AS MATERIALIZED (SELECT source || '-' || f.lang AS source, f.lang AS lang, count(*) AS candidates, count(*) FILTER (WHERE consensus = 'relevant') AS rel, count(*) FILTER (WHERE consensus = 'irrelevant') AS irr,
   count(*) FILTER (WHERE consensus IN ('uncertain', 'parent-category')) AS unc,
-  count(*) FILTER (WHERE consensus = 'relevant' AND found) AS frel, count(*) FILTER (WHERE consensus = 'irrelevant' AND found) AS firr FROM f GROUP BY source),
+  count(*) FILTER (WHERE consensus = 'relevant' AND found) AS frel, count(*) FILTER (WHERE consensus = 'irrelevant' AND found) AS firr FROM f GROUP BY f.source, f.lang),
 s AS MATERIALIZED (SELECT *, CASE WHEN rel > 0 THEN frel / rel END AS recall, CASE WHEN frel + firr > 0 THEN frel / (frel + firr) END AS prec, (rel + irr) / candidates AS cov FROM e)
 """
 
 
 def _per_entity(spark, sf):
-    found = load(spark, sf, "documents").where("n_chars > 1500").select(F.col("source").alias("entity"), F.col("doc_id").alias("doc"))
+    found = load(spark, sf, "documents").where("n_chars > 1500").select(F.concat_ws("-", "source", "lang").alias("entity"), F.col("doc_id").alias("doc"))
     return acc.entity_accuracy(_labelled(spark, sf), found)
 
 
@@ -187,10 +187,11 @@ def _(spark, sf):
     return acc.control_score(_long_votes(spark, sf), controls)
 
 
-@query("adjudication_ready", f"""WITH {VOTES_SQL}, c AS (SELECT d.source || '-' || d.lang AS entity, d.doc_id, coalesce(a_ok AND b_ok, false) AS both_ok FROM documents d LEFT JOIN v USING (doc_id))
+@query("adjudication_ready", f"""WITH {VOTES_SQL}, c AS (SELECT d.source || '-' || d.lang AS entity, d.doc_id, a_ok AND b_ok AS both_ok FROM documents d JOIN v USING (doc_id))
 SELECT entity, count(*) AS candidates FROM c WHERE entity NOT LIKE 'src1-%' GROUP BY entity HAVING bool_and(both_ok) AND count(*) <= 220""")
 def _(spark, sf):
-    docs = load(spark, sf, "documents").select(F.concat_ws("-", "source", "lang").alias("entity"), F.col("doc_id").alias("doc"))
+    labelled = load(spark, sf, "documents").join(load(spark, sf, "labels"), "doc_id", "left_semi")
+    docs = labelled.select(F.concat_ws("-", "source", "lang").alias("entity"), F.col("doc_id").alias("doc"))
     votes = acc.vote_validity(_raw_votes(spark, sf)).where("valid").withColumnRenamed("doc_id", "doc")
     votes = votes.join(docs, "doc").select("entity", "doc", "voter")
     noisy = docs.where("entity like 'src1-%'").select("entity").distinct()
