@@ -12,6 +12,7 @@ from .studies import first_n
 LIST_CAP = 15
 MERGED_CAP = 20
 NAME_STOP = 20
+FIELDS = ["generic", "text", "date", "status"]
 
 
 def is_approved(status: T.C) -> Column:
@@ -22,105 +23,118 @@ def is_positive(status: T.C) -> Column:
     return F.coalesce(F.lower(T.strip(status)) == "positive", F.lit(False))
 
 
-def _by_id(entity_ids: DataFrame, rows: DataFrame, identity: list[str]) -> DataFrame:
-    """Rows sharing an identifier; distinct by ``identity`` per entity."""
-    keyed = rows.select(F.explode("ids").alias("id"), "row").withColumn("id", F.upper(T.strip("id")))
+def _order(top: str = "top") -> list[Column]:
+    return [F.col(top).desc(), F.coalesce("date", F.lit("")).desc(), F.col("generic"), F.col("text")]
+
+
+def _listed(df: DataFrame, keys: list[str], cap: int) -> DataFrame:
+    """Counts over all rows of a key and its first ``cap`` rows in list order."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("top").alias("n_top"))
+    return counts.join(first_n(df, keys, _order(), cap, ["top", *FIELDS], "firsts"), keys, "left")
+
+
+def _flat(df: DataFrame, keys: list[str], identity: list[str], top) -> DataFrame:
+    """One row per key and distinct designation."""
+    ident = [F.col(f"row.{c}").alias(f"_{c}") for c in identity]
+    one = df.groupBy(*keys, *ident).agg(F.min("row").alias("row"))
+    return one.withColumn("top", top(F.col("row.status"))).select(*keys, "top", *[f"row.{f}" for f in FIELDS])
+
+
+def _by_id(entity_ids: DataFrame, rows: DataFrame, identity: list[str], top, cap: int) -> DataFrame:
+    """Designations sharing an identifier with the entity."""
     ids = entity_ids.select("entity", F.upper(T.strip("id")).alias("id")).where("id != ''").distinct()
-    return (
-        ids.join(keyed, "id")
-        .groupBy("entity", *[F.col(f"row.{c}").alias(c) for c in identity])
-        .agg(F.min("row").alias("row"))
-        .select("entity", "row")
-    )
+    keyed = rows.select(F.explode("ids").alias("raw"), "row").select(F.upper(T.strip("raw")).alias("id"), "row")
+    return _listed(_flat(ids.join(keyed, "id"), ["entity"], identity, top), ["entity"], cap)
+
 
+def _by_name(entity_names: DataFrame, rows: DataFrame, identity: list[str], top, cap: int) -> DataFrame:
+    """Designations whose key equals a name; names are read until 20 are found.
 
-def _by_name(entity_names: DataFrame, rows: DataFrame, identity: list[str]) -> DataFrame:
-    """Rows whose key equals a name; names are read in order until 20 are found."""
+    The key is made from the designation's text and the text is part of its
+    identity, so different names never share a designation. Counts and first
+    rows are therefore made once per key and added up per entity: however many
+    entities own a name and however many rows carry it, no pair of the two is
+    built.
+    """
+    per_key = _listed(_flat(rows.where(F.length("key") >= 4), ["key"], identity, top), ["key"], cap)
     names = (
         entity_names.select("entity", "pos", T.normalize_term("name").alias("key"))
         .where(F.length("key") >= 4)
         .groupBy("entity", "key").agg(F.min("pos").alias("pos"))
     )
-    found = (
-        names.join(rows.select("key", "row").where(F.length("key") >= 4), "key")
-        .groupBy("entity", *[F.col(f"row.{c}").alias(c) for c in identity])
-        .agg(F.min(F.struct("pos", "row")).alias("m"))
-        .select("entity", F.col("m.pos").alias("pos"), F.col("m.row").alias("row"))
+    found = names.join(per_key, "key")
+    # The names of one entity: a short window.
+    w = W.partitionBy("entity").orderBy("pos", "key").rowsBetween(W.unboundedPreceding, -1)
+    read = found.withColumn("earlier", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("earlier") < NAME_STOP)
+    ordered = F.array_sort(F.flatten(F.collect_list("firsts")), _compare)
+    return read.groupBy("entity").agg(
+        F.sum("n").alias("n"), F.sum("n_top").alias("n_top"), F.slice(ordered, 1, cap).alias("firsts")
+    )
+
+
+def _compare(a: Column, b: Column) -> Column:
+    """List order of two designations: -1, 0 or 1."""
+    day_a, day_b = F.coalesce(a["date"], F.lit("")), F.coalesce(b["date"], F.lit(""))
+    return (
+        F.when(a["top"] != b["top"], F.when(a["top"], -1).otherwise(1))
+        .when(day_a != day_b, F.when(day_a > day_b, -1).otherwise(1))
+        .when(a["generic"] != b["generic"], F.when(a["generic"] < b["generic"], -1).otherwise(1))
+        .when(a["text"] < b["text"], -1)
+        .when(a["text"] > b["text"], 1)
+        .otherwise(0)
     )
-    # One row per entity and name position: how many were found before it.
-    per_pos = found.groupBy("entity", "pos").agg(F.count("*").alias("n"))
-    w = W.partitionBy("entity").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    read = per_pos.withColumn("earlier", F.coalesce(F.sum("n").over(w), F.lit(0))).where(
-        F.col("earlier") < NAME_STOP
+
+
+def _result(found: DataFrame, agency: str, via: str) -> DataFrame:
+    return found.select(
+        "entity", F.lit(agency).alias("agency"), F.lit(via).alias("matched_via"),
+        F.col("n").alias("designations"), F.col("n_top").alias("approved"), F.col("firsts").alias("listed"),
     )
-    return found.join(read.select("entity", "pos"), ["entity", "pos"]).select("entity", "row")
 
 
 def fda_match(
     entity_ids: DataFrame, entity_names: DataFrame, rows: DataFrame,
-    identity: tuple[str, ...] = ("generic", "text", "date"),
+    identity: tuple[str, ...] = ("generic", "text", "date"), cap: int = LIST_CAP,
 ) -> DataFrame:
-    """``(entity, agency, matched_via, row, top)`` by id; by name only where no id hits.
+    """Per entity: counts over all matches and the first ``cap``, by id or by name.
 
-    ``rows`` has ``ids`` (array), ``key`` (name key) and ``row`` (struct with
-    ``generic, text, date, status``).
+    Names count only where no id hits. ``rows`` has ``ids`` (array), ``key``
+    (name key) and ``row`` (struct with ``generic, text, date, status``). Listed:
+    approved first, then newest.
     """
-    by_id = _by_id(entity_ids, rows, list(identity)).withColumn("matched_via", F.lit("umls"))
-    rest = entity_names.join(by_id.select("entity").distinct(), "entity", "left_anti")
-    by_name = _by_name(rest, rows, list(identity)).withColumn("matched_via", F.lit("name"))
-    return (
-        by_id.unionByName(by_name)
-        .withColumn("agency", F.lit("fda"))
-        .withColumn("top", is_approved(F.col("row.status")))
-    )
+    by_id = _by_id(entity_ids, rows, list(identity), is_approved, cap)
+    rest = entity_names.join(by_id.select("entity"), "entity", "left_anti")
+    by_name = _by_name(rest, rows, list(identity), is_approved, cap)
+    return _result(by_id, "fda", "umls").unionByName(_result(by_name, "fda", "name"))
 
 
 def ema_match(
     entity_names: DataFrame, rows: DataFrame,
-    identity: tuple[str, ...] = ("number", "generic", "text"),
+    identity: tuple[str, ...] = ("number", "generic", "text"), cap: int = LIST_CAP,
 ) -> DataFrame:
-    """As ``fda_match``, by name only."""
-    return (
-        _by_name(entity_names, rows, list(identity))
-        .withColumn("matched_via", F.lit("name"))
-        .withColumn("agency", F.lit("ema"))
-        .withColumn("top", is_positive(F.col("row.status")))
-    )
-
-
-def designation_lists(matches: DataFrame, cap: int = LIST_CAP) -> DataFrame:
-    """Counts over all matches and the first ``cap``: top status, then newest."""
-    flat = matches.select("entity", "top", "matched_via", "row.generic", "row.text", "row.date", "row.status")
-    counts = flat.groupBy("entity").agg(
-        F.count("*").alias("designations"), F.count_if("top").alias("approved"),
-        F.max("matched_via").alias("matched_via"),
-    )
-    order = [F.col("top").desc(), F.coalesce("date", F.lit("")).desc(), "generic", "text"]
-    lists = first_n(flat, ["entity"], order, cap, ["generic", "text", "date", "status"], "listed")
-    return counts.join(lists, "entity", "left")
+    """As ``fda_match``, by name only; positive first."""
+    return _result(_by_name(entity_names, rows, list(identity), is_positive, cap), "ema", "name")
 
 
 def merge_designations(fda: DataFrame, ema: DataFrame, cap: int = MERGED_CAP) -> DataFrame:
     """Approved first agency, positive second agency, then the rest, newest first.
 
-    Counts are over all matches, beside the capped list.
+    The list is made from both agencies' lists; counts are over all matches.
     """
-    fields = ["entity", "agency", "top", "row.generic", "row.text", "row.date", "row.status"]
-    both = fda.select(*fields).unionByName(ema.select(*fields)).withColumn(
-        "tier",
-        F.when(F.col("top") & (F.col("agency") == "fda"), 0).when(F.col("top"), 1).otherwise(2),
-    )
+    both = fda.unionByName(ema)
     counts = both.groupBy("entity").agg(
-        F.count("*").alias("designations"),
-        F.count_if(F.col("agency") == "fda").alias("fda_count"),
-        F.count_if(F.col("agency") == "ema").alias("ema_count"),
-        F.count_if(F.col("tier") == 0).alias("approved"),
+        F.sum("designations").alias("designations"),
+        F.sum(F.when(F.col("agency") == "fda", F.col("designations")).otherwise(0)).alias("fda_count"),
+        F.sum(F.when(F.col("agency") == "ema", F.col("designations")).otherwise(0)).alias("ema_count"),
+        F.sum(F.when(F.col("agency") == "fda", F.col("approved")).otherwise(0)).alias("approved"),
     )
     source = (
         F.when((F.col("fda_count") > 0) & (F.col("ema_count") > 0), "fda-oopd+ema")
         .when(F.col("ema_count") > 0, "ema")
         .otherwise("fda-oopd")
     )
+    rows = both.select("entity", "agency", F.explode("listed").alias("r")).select("entity", "agency", "r.*")
+    tier = F.when(F.col("top") & (F.col("agency") == "fda"), 0).when(F.col("top"), 1).otherwise(2)
     order = ["tier", F.coalesce("date", F.lit("")).desc(), "generic", "text"]
-    lists = first_n(both, ["entity"], order, cap, ["agency", "generic", "text", "date"], "listed")
+    lists = first_n(rows.withColumn("tier", tier), ["entity"], order, cap, ["agency", *FIELDS], "listed")
     return counts.withColumn("source", source).join(lists, "entity", "left")

@@ -271,102 +271,109 @@ def _(spark, sf):
 
 
 def _designation_rows(spark, sf):
-    """Line items as designations: by supplier id, by part name."""
+    """Line items as designations of their part: by part id, by part name."""
     li = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate", "l_linestatus")
-    p = load(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
+    p = load(spark, sf, "part").select("p_partkey", "p_name")
     j = li.join(p, li["l_partkey"] == p["p_partkey"])
-    status = F.when(F.col("l_returnflag") == "R", "Designated/FDA Approved for Orphan Indication").otherwise("Designated")
+    status = F.when(F.col("l_returnflag") == "R", "Designated/FDA Approved for Orphan Indication").otherwise("Positive")
+    key = F.col("l_partkey").cast("string")
+    text = F.concat_ws(" ", "p_name", key)
     row = F.struct(
-        F.col("p_brand").alias("generic"), F.col("p_name").alias("text"),
+        F.concat(F.lit("s"), (F.col("l_suppkey") % 10).cast("string")).alias("generic"), text.alias("text"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), status.alias("status"),
         F.col("l_orderkey").cast("string").alias("number"),
     )
-    hard = F.col("l_linestatus") == "O"
+    marked = (F.col("l_linestatus") == "O") & (F.col("l_partkey") % 4 == 0)
     return j.select(
-        F.when(hard, F.array(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")))).otherwise(F.array().cast("array<string>")).alias("ids"),
-        T.normalize_term("p_name").alias("key"), row.alias("row"),
+        F.when(marked, F.array(F.concat(F.lit("p"), key))).otherwise(F.array().cast("array<string>")).alias("ids"),
+        T.normalize_term(text).alias("key"), row.alias("row"),
     )
 
 
 def _designation_entities(spark, sf):
-    """Suppliers: half known by id, all by up to three part names of their nation."""
-    s = load(spark, sf, "supplier")
-    ids = s.where("s_suppkey % 2 = 0").select(
-        F.col("s_suppkey").alias("entity"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id")
+    """Parts: known by id, and named after themselves and the two before them."""
+    p = load(spark, sf, "part").select("p_partkey", "p_name")
+    ids = p.select(F.col("p_partkey").alias("entity"), F.concat(F.lit(" P"), F.col("p_partkey").cast("string")).alias("id"))
+    near = F.array(*[F.struct((F.col("p_partkey") + k).alias("entity"), F.lit(k).alias("pos")) for k in (0, 1, 2)])
+    near = p.select(
+        F.explode(near).alias("n"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name")
     )
-    p = load(spark, sf, "part").select("p_partkey", "p_name", (F.col("p_partkey") % 25).alias("n"))
-    first = p.groupBy("n", "p_name").agg(F.min("p_partkey").alias("k"))
-    ranked = first.withColumn("pos", F.row_number().over(W.partitionBy("n").orderBy("k"))).where("pos <= 3")
-    names = s.join(ranked, s["s_nationkey"] == ranked["n"]).select(
-        F.col("s_suppkey").alias("entity"), "pos", F.col("p_name").alias("name")
-    )
-    return ids, names
+    names = near.select("n.entity", "n.pos", "name")
+    return ids, names.join(p.select(F.col("p_partkey").alias("entity")), "entity", "left_semi")
 
 
-_DESIG_SQL = f"""
-d AS MATERIALIZED (SELECT CASE WHEN l_linestatus = 'O' THEN l_suppkey END AS sid, {S.norm('p_name')} AS key, p_brand AS generic, p_name AS text,
-  strftime(l_shipdate, '%Y-%m-%d') AS date, l_returnflag = 'R' AS top, CAST(l_orderkey AS VARCHAR) AS number FROM lineitem JOIN part ON l_partkey = p_partkey),
-nm AS (SELECT p_partkey % 25 AS n, p_name, min(p_partkey) AS k FROM part GROUP BY ALL),
-nr AS (SELECT n, {S.norm('p_name')} AS key, row_number() OVER (PARTITION BY n ORDER BY k) AS pos FROM nm),
-en AS (SELECT s_suppkey AS entity, pos, key FROM supplier JOIN nr ON s_nationkey = n WHERE pos <= 3),
-byid AS (SELECT s_suppkey AS entity, generic, text, date, min(top) AS top FROM supplier JOIN d ON sid = s_suppkey WHERE s_suppkey % 2 = 0 GROUP BY ALL),
+_DESIG_SQL = """
+d AS MATERIALIZED (SELECT l_partkey AS pk, l_linestatus = 'O' AND l_partkey % 4 = 0 AS marked, 's' || l_suppkey % 10 AS generic, p_name || ' ' || l_partkey AS text,
+  strftime(l_shipdate, '%Y-%m-%d') AS date, l_returnflag = 'R' AS fda_top, l_returnflag <> 'R' AS ema_top, CAST(l_orderkey AS VARCHAR) AS number,
+  CASE WHEN l_returnflag = 'R' THEN 'Designated/FDA Approved for Orphan Indication' ELSE 'Positive' END AS status FROM lineitem JOIN part ON l_partkey = p_partkey),
+nm AS MATERIALIZED (SELECT a.p_partkey AS entity, b.p_partkey AS pk, a.p_partkey - b.p_partkey AS pos FROM part a JOIN part b ON a.p_partkey - b.p_partkey BETWEEN 0 AND 2)
+"""
+# The row kept for equal designations is the smallest, field by field.
+_FDA_SQL = f"""{_DESIG_SQL},
+fi AS (SELECT pk AS entity, generic, text, date, min(status) = 'Designated/FDA Approved for Orphan Indication' AS top, 'umls' AS via, 0 AS pos FROM d WHERE marked GROUP BY ALL),
+fk AS (SELECT pk, generic, text, date, min(status) = 'Designated/FDA Approved for Orphan Indication' AS top FROM d GROUP BY ALL),
+fn AS (SELECT pk, count(*) AS n FROM fk GROUP BY pk),
+fr AS (SELECT entity, pk, pos FROM (SELECT nm.*, coalesce(sum(n) OVER (PARTITION BY entity ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM nm JOIN fn USING (pk)
+  WHERE entity NOT IN (SELECT entity FROM fi)) WHERE b < 20),
+fda AS MATERIALIZED (SELECT entity, generic, text, date, top, via FROM fi UNION ALL SELECT entity, generic, text, date, top, 'name' FROM fr JOIN fk USING (pk))
 """
-_FDA_SQL = f"""{_DESIG_SQL}
-byname AS (SELECT entity, generic, text, date, min(pos) AS pos, arg_min(top, (pos, NOT top)) AS t0 FROM en JOIN d USING (key)
-  WHERE entity NOT IN (SELECT entity FROM byid) GROUP BY ALL),
-cnt AS (SELECT entity, pos, count(*) AS n FROM byname GROUP BY ALL),
-keep AS (SELECT entity, pos FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY entity ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM cnt) WHERE b < 20),
-fda AS MATERIALIZED (SELECT entity, generic, text, date, 'umls' AS matched_via FROM byid UNION ALL SELECT entity, generic, text, date, 'name' FROM byname JOIN keep USING (entity, pos))
+_EMA_SQL = """
+ek AS (SELECT pk, number, generic, text, arg_min(date, (date, status)) AS date, arg_min(status, (date, status)) = 'Positive' AS top FROM d GROUP BY ALL),
+en AS (SELECT pk, count(*) AS n FROM ek GROUP BY pk),
+er AS (SELECT entity, pk, pos FROM (SELECT nm.*, coalesce(sum(n) OVER (PARTITION BY entity ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM nm JOIN en USING (pk)) WHERE b < 20),
+ema AS MATERIALIZED (SELECT entity, number, generic, text, date, top FROM er JOIN ek USING (pk))
 """
 
 
-def _fda(spark, sf):
-    ids, names = _designation_entities(spark, sf)
-    return designations.fda_match(ids, names, _designation_rows(spark, sf))
+def _list_sql(table: str) -> str:
+    return f"""SELECT entity, count(*) AS designations, count(*) FILTER (WHERE top) AS approved,
+      string_agg(generic || '/' || text || '/' || date, '|' ORDER BY rn) FILTER (WHERE rn <= 15) AS listed
+      FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY top DESC, date DESC, generic, text) AS rn FROM {table}) GROUP BY entity"""
 
 
-@query("fda_match", f"WITH {_FDA_SQL} SELECT entity, generic, text, date, matched_via FROM fda")
-def _(spark, sf):
-    return _fda(spark, sf).select("entity", "row.generic", "row.text", "row.date", "matched_via")
+def _shown(d):
+    rows = F.transform("listed", lambda r: F.concat_ws("/", r["generic"], r["text"], r["date"]))
+    return d.select("entity", "designations", "approved", F.array_join(rows, "|").alias("listed"))
 
 
-_EMA_SQL = f"""{_DESIG_SQL}
-ebyname AS (SELECT entity, number, generic, text, min(pos) AS pos FROM en JOIN d USING (key) GROUP BY ALL),
-ecnt AS (SELECT entity, pos, count(*) AS n FROM ebyname GROUP BY ALL),
-ekeep AS (SELECT entity, pos FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY entity ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM ecnt) WHERE b < 20),
-ema AS MATERIALIZED (SELECT entity, number, generic, text FROM ebyname JOIN ekeep USING (entity, pos))
-"""
+def _fda(spark, sf):
+    ids, names = _designation_entities(spark, sf)
+    return designations.fda_match(ids, names, _designation_rows(spark, sf))
 
 
 def _ema(spark, sf):
-    _, names = _designation_entities(spark, sf)
-    return designations.ema_match(names, _designation_rows(spark, sf))
+    return designations.ema_match(_designation_entities(spark, sf)[1], _designation_rows(spark, sf))
 
 
-@query("ema_match", f"WITH {_EMA_SQL} SELECT entity, number, generic, text FROM ema")
+@query("fda_match", f"WITH {_FDA_SQL} {_list_sql('fda')}")
 def _(spark, sf):
-    return _ema(spark, sf).select("entity", "row.number", "row.generic", "row.text")
+    return _shown(_fda(spark, sf))
 
 
-@query("designation_lists", f"""WITH {_FDA_SQL},
-r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY top DESC, date DESC, generic, text) AS rn FROM (
-  SELECT entity, generic, text, date, bool_and(top) AS top FROM fda JOIN d USING (generic, text, date) WHERE (matched_via = 'umls' AND sid = entity) OR matched_via = 'name' GROUP BY ALL))
-SELECT entity, count(*) AS designations, count(*) FILTER (WHERE top) AS approved,
-  string_agg(generic || '/' || text || '/' || date, '|' ORDER BY rn) FILTER (WHERE rn <= 15) AS listed FROM r GROUP BY entity""")
+@query("fda_match_source", f"WITH {_FDA_SQL} SELECT entity, max(via) AS matched_via FROM fda GROUP BY entity")
 def _(spark, sf):
-    d = designations.designation_lists(_fda(spark, sf))
-    shown = F.transform("listed", lambda r: F.concat_ws("/", r["generic"], r["text"], r["date"]))
-    return d.select("entity", "designations", "approved", F.array_join(shown, "|").alias("listed"))
+    return _fda(spark, sf).select("entity", "matched_via")
 
 
-@query("merge_designations", f"""WITH {_FDA_SQL}, {_EMA_SQL[_EMA_SQL.index('ebyname'):]},
-f AS (SELECT entity, count(*) AS fda_count FROM fda GROUP BY entity), m AS (SELECT entity, count(*) AS ema_count FROM ema GROUP BY entity)
-SELECT entity, coalesce(fda_count, 0) + coalesce(ema_count, 0) AS designations, coalesce(fda_count, 0) AS fda_count, coalesce(ema_count, 0) AS ema_count,
-  CASE WHEN fda_count > 0 AND ema_count > 0 THEN 'fda-oopd+ema' WHEN ema_count > 0 THEN 'ema' ELSE 'fda-oopd' END AS source,
-  least(20, coalesce(fda_count, 0) + coalesce(ema_count, 0)) AS shown FROM f FULL JOIN m USING (entity)""")
+@query("ema_match", f"WITH {_DESIG_SQL}, {_EMA_SQL} {_list_sql('ema')}")
+def _(spark, sf):
+    return _shown(_ema(spark, sf))
+
+
+@query("merge_designations", f"""WITH {_FDA_SQL}, {_EMA_SQL},
+fl AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY top DESC, date DESC, generic, text) AS rn FROM fda),
+el AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY top DESC, date DESC, generic, text) AS rn FROM ema),
+b AS (SELECT entity, 'fda' AS agency, CASE WHEN top THEN 0 ELSE 2 END AS tier, generic, text, date FROM fl WHERE rn <= 15
+  UNION ALL SELECT entity, 'ema', CASE WHEN top THEN 1 ELSE 2 END, generic, text, date FROM el WHERE rn <= 15),
+t AS (SELECT entity, string_agg(date, '|' ORDER BY tier, date DESC, generic, text) FILTER (WHERE rn <= 20) AS dates FROM (
+  SELECT *, row_number() OVER (PARTITION BY entity ORDER BY tier, date DESC, generic, text) AS rn FROM b) GROUP BY entity),
+f AS (SELECT entity, count(*) AS fc, count(*) FILTER (WHERE top) AS approved FROM fda GROUP BY entity), m AS (SELECT entity, count(*) AS ec FROM ema GROUP BY entity)
+SELECT entity, coalesce(fc, 0) + coalesce(ec, 0) AS designations, coalesce(fc, 0) AS fda_count, coalesce(ec, 0) AS ema_count, coalesce(approved, 0) AS approved,
+  CASE WHEN fc > 0 AND ec > 0 THEN 'fda-oopd+ema' WHEN ec > 0 THEN 'ema' ELSE 'fda-oopd' END AS source, dates FROM f FULL JOIN m USING (entity) JOIN t USING (entity)""")
 def _(spark, sf):
     d = designations.merge_designations(_fda(spark, sf), _ema(spark, sf))
-    return d.select("entity", "designations", "fda_count", "ema_count", "source", F.size("listed").alias("shown"))
+    dates = F.array_join(F.transform("listed", lambda r: r["date"]), "|")
+    return d.select("entity", "designations", "fda_count", "ema_count", "approved", "source", dates.alias("dates"))
 
 
 # ---- associations ------------------------------------------------------------

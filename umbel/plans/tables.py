@@ -11,10 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import spread
+
+
+# Tables whose rows are costly to process; small files of them are spread out.
+TEXT_TABLES = {"documents", "part", "pages", "conversations"}
 
 
 def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+    scan = spark.read.parquet(f"{sf}/{table}.parquet")
+    return spread(scan) if table in TEXT_TABLES else scan
 
 
 # ---- entities ----------------------------------------------------------------

@@ -56,6 +56,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan with at least one partition per core.
+
+    Only a scan with fewer splits than cores is redistributed, which means a few
+    small files; large inputs already have more splits and are left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Cut lineage: write a table to the shared folder and read it back.
 
