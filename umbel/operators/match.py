@@ -39,14 +39,18 @@ def study_texts(
         ),
     )
     rows = studies.select(F.col(doc).alias("doc"), F.explode(fields).alias("f"))
-    return rows.select("doc", "f.in_title", "f.text").where("text != ''")
+    return rows.select("doc", "f.in_title", "f.text")
 
 
 def plain_texts(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """Rows ``(doc, in_title, text)`` where the whole text counts as one field."""
+    """Rows ``(doc, in_title, text)`` where the whole text counts as one field.
+
+    Empty texts stay: they have no anchor, and a filter on the computed text
+    would make the scan normalise every text twice.
+    """
     return docs.select(
         F.col(doc).alias("doc"), F.lit(False).alias("in_title"), T.normalize_term(text).alias("text")
-    ).where("text != ''")
+    )
 
 
 def normal_terms(

@@ -2,49 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
 
 from ..functions import text as T
 from .match import plain_texts, term_hits
 
-SPANS = Ty.ArrayType(
-    Ty.StructType(
-        [
-            Ty.StructField("start", Ty.IntegerType()),
-            Ty.StructField("size", Ty.IntegerType()),
-            Ty.StructField("term", Ty.StringType()),
-        ]
-    )
-)
-
+def _free_spans(tokens: list[str], terms: list[str]) -> list[tuple[int, int, str]]:
+    """Spans of one text: each term, longest first, where still free."""
+    places: dict[str, list[int]] = {}
+    for i, t in enumerate(tokens):
+        places.setdefault(t, []).append(i)
+    taken = bytearray(len(tokens))
+    spans = []
+    for term in terms:
+        parts = term.split(" ")
+        size, free_from = len(parts), 0
+        for at in places.get(parts[0], ()):
+            if at < free_from or (size > 1 and tokens[at : at + size] != parts):
+                continue
+            free_from = at + size
+            if not any(taken[at : at + size]):
+                taken[at : at + size] = b"\x01" * size
+                spans.append((at, size, term))
+    return sorted(spans)
 
-@F.pandas_udf(SPANS)
-def _greedy_spans(words: pd.Series, terms: pd.Series) -> pd.Series:
-    """Token spans of one text: each term, longest first, where still free."""
-    def one(tokens, candidates):
-        if tokens is None or candidates is None:
-            return []
-        places: dict[str, list[int]] = {}
-        for i, t in enumerate(tokens):
-            places.setdefault(t, []).append(i)
-        taken = bytearray(len(tokens))
-        spans = []
-        for term in candidates:
-            parts = term.split(" ")
-            size, free_from = len(parts), 0
-            for at in places.get(parts[0], ()):
-                if at < free_from or list(tokens[at : at + size]) != parts:
-                    continue
-                free_from = at + size
-                if not any(taken[at : at + size]):
-                    taken[at : at + size] = b"\x01" * size
-                    spans.append({"start": at, "size": size, "term": term})
-        return sorted(spans, key=lambda s: s["start"])
 
-    return pd.Series([one(w, c) for w, c in zip(words, terms)])
+def _tag_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [
+            (doc, *span)
+            for doc, text, terms in zip(batch["doc"], batch["text"], batch["terms"])
+            for span in _free_spans(text.split(" "), list(terms))
+        ]
+        yield pd.DataFrame(rows, columns=["doc", "start", "size", "term"])
 
 
 def dictionary_tags(docs: DataFrame, dictionary: DataFrame, doc: str, text: str, term: str = "term") -> DataFrame:
@@ -65,7 +59,6 @@ def dictionary_tags(docs: DataFrame, dictionary: DataFrame, doc: str, text: str,
             lambda s: s["term"],
         ).alias("terms")
     )
-    spans = texts.join(per_doc, "doc").select(
-        "doc", F.explode(_greedy_spans(F.split("text", " "), "terms")).alias("s")
-    )
-    return spans.select("doc", "s.start", "s.size", "s.term")
+    kind = texts.schema["doc"].dataType.simpleString()
+    joined = texts.join(per_doc, "doc").select("doc", "text", "terms")
+    return joined.mapInPandas(_tag_batches, f"doc {kind}, start int, size int, term string")

@@ -84,19 +84,22 @@ def split_glued_tokens(names: DataFrame, freq: DataFrame, code: str = "code", na
     )
 
 
-def _deletions(word: Column, depth: Column) -> Column:
-    """The word and all forms with up to ``depth`` (1 or 2) letters removed."""
-    def drop_one(w: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.length(w)),
-            lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))),
-        )
+def _shortened(words: DataFrame, word: str, depth: Column) -> DataFrame:
+    """One row per form of a word with up to ``depth`` (1 or 2) letters removed.
 
-    once = F.array_distinct(drop_one(word))
-    twice = F.when(depth >= 2, F.flatten(F.transform(once, drop_one))).otherwise(
-        F.array().cast("array<string>")
+    The first letter stays: neighbours share it, and an equal first letter never
+    needs an edit. Positions are exploded rather than built as arrays, so the
+    forms are generated code. The pair past the end removes nothing.
+    """
+    n = F.length(word)
+    cut = words.withColumn("i", F.explode(F.sequence(F.lit(2), n + 1)))
+    last = F.when((depth >= 2) & (F.col("i") <= n), n).otherwise(F.col("i"))
+    cut = cut.withColumn("j", F.explode(F.sequence(F.col("i"), last)))
+    i, j, w = F.col("i"), F.col("j"), F.col(word)
+    form = F.concat(
+        F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.greatest(j - i - 1, F.lit(0))), F.substring(w, j + 1, n)
     )
-    return F.array_distinct(F.concat(F.array(word), once, twice))
+    return cut.withColumn("form", form).drop("i", "j")
 
 
 def _segments(n: Column, pieces: int) -> list[tuple[Column, Column]]:
@@ -112,13 +115,9 @@ def _segments(n: Column, pieces: int) -> list[tuple[Column, Column]]:
 
 def _candidates_short(rare: DataFrame, common: DataFrame) -> DataFrame:
     """Pairs that share a form with at most ``cap`` letters removed from each."""
-    left = rare.where(F.col("len") <= LONG_WORD).select(
-        "token", "freq", "cap", F.explode(_deletions(F.col("token"), F.col("cap"))).alias("form")
-    )
-    right = common.where(F.col("nlen") <= LONG_WORD + 2).select(
-        "neighbour", "nfreq",
-        F.explode(_deletions(F.col("neighbour"), F.when(F.col("nlen") >= 7, 2).otherwise(1))).alias("form"),
-    )
+    left = _shortened(rare.where(F.col("len") <= LONG_WORD).select("token", "freq", "cap"), "token", F.col("cap"))
+    near = common.where(F.col("nlen") <= LONG_WORD + 2)
+    right = _shortened(near, "neighbour", F.when(F.col("nlen") >= 7, 2).otherwise(1)).drop("nlen")
     return left.join(right, "form").drop("form")
 
 
