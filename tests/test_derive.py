@@ -141,4 +141,4 @@ def test_queue_and_targets(spark):
     rows, missing = selection.select_targets(known, spark.createDataFrame([("3",), ("7",)], "code string"))
     assert [r["code"] for r in rows.collect()] == ["3"] and [r["code"] for r in missing.collect()] == ["7"]
     one = spark.range(1).withColumn("level", F.lit(0))
-    assert selection.band_positions(one, "level", ["id"], F.lit(0)).first()["position"] == 0.5
+    assert selection.band_positions(one, "level", ["id"]).first()["position"] == 0.5

@@ -77,26 +77,23 @@ def anchored(terms: DataFrame) -> DataFrame:
     )
 
 
-def term_hits(texts: DataFrame, terms: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """``(doc, in_title, term)`` for each text field that contains a term.
-
-    ``keep`` names further columns of ``texts`` to carry along.
-    """
-    carried = ["doc", "in_title", *(keep or [])]
+def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(doc, in_title, term)`` for each text field that contains a term."""
     side, fits = broadcast_if_small(anchored(terms))
     tokens = F.array_distinct(F.split("text", " "))
     if fits:
-        wide = texts.select(*carried, "text", F.explode(tokens).alias("anchor"))
+        wide = texts.select("doc", "in_title", "text", F.explode(tokens).alias("anchor"))
         found = wide.join(side, "anchor").where(T.phrase_present(F.col("text"), F.col("term")))
-        return found.select(*carried, "term")
-    keyed = texts.withColumn("field", F.xxhash64("in_title", "text"))
+        return found.select("doc", "in_title", "term")
+    # Equal fields of a document count once, so repeated lines cannot multiply.
+    keyed = texts.withColumn("field", F.xxhash64("in_title", "text")).dropDuplicates(["doc", "field"])
     pairs = (
         keyed.select("doc", "field", F.explode(tokens).alias("anchor"))
         .join(side, "anchor")
         .select("doc", "field", "term")
     )
     found = pairs.join(keyed, ["doc", "field"]).where(T.phrase_present(F.col("text"), F.col("term")))
-    return found.select(*carried, "term")
+    return found.select("doc", "in_title", "term")
 
 
 def phrase_match(texts: DataFrame, terms: DataFrame) -> DataFrame:

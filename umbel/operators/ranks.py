@@ -1,9 +1,10 @@
 """Global ranks, quantiles and row numbers without a window over all rows.
 
-Rows are split into ordered buckets. Bucket totals are a bounded table (at most
-``BUCKETS`` rows per group), so their running sum is small; inside a bucket a
-window keyed by group and bucket does the rest. No task ever holds a whole
-group, however hot it is.
+Rows are range-partitioned by their order and written with the number of their
+range. Range totals are a short table (one row per range and group), so their
+running sum is small; a window keyed by group and range does the rest. The number
+of ranges is the number of shuffle partitions, so it grows with the job, and no
+task ever holds a whole group, however hot it is.
 """
 
 from __future__ import annotations
@@ -16,78 +17,64 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 
-BUCKETS = 256
 
+def _in_ranges(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """Rows with the number of their range, ``part``, in the given order.
 
-def numeric_bucket(df: DataFrame, value: str, buckets: int = BUCKETS) -> Column:
-    """Ordered bucket of a number: how many of the quantile bounds lie below it.
-
-    The bounds come from one sketch aggregate and are at most ``buckets``
-    numbers; equal values always share a bucket.
+    Written once: range bounds come from a sample, and the totals and the window
+    below must see the same ranges.
     """
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(value, cuts, 10_000).alias("b")).first()["b"]
-    edges = sorted({b for b in (bounds or []) if b is not None})
-    if not edges:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(value)))
-
-
-def hash_bucket(hashed: str, digits: int = 2) -> Column:
-    """Ordered bucket of a hex hash: its leading digits."""
-    return F.conv(F.substring(hashed, 1, digits), 16, 10).cast("int")
+    return materialize(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
 
 
-def _bucket_offsets(totals: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Running total before each bucket; input is bounded by groups x buckets."""
+def _offsets(ranged: DataFrame, amount: str, groups: list[str]) -> DataFrame:
+    """Running total before each range and the total, per group."""
+    totals = ranged.groupBy(*groups, "part").agg(F.sum(amount).alias("part_total"))
     w = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
-    before = w.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    earlier = w.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     return totals.select(
         *groups,
-        "bucket",
-        F.coalesce(F.sum("amount").over(before), F.lit(0)).alias("offset"),
-        F.sum("amount").over(w).alias("total"),
+        "part",
+        F.coalesce(F.sum("part_total").over(earlier), F.lit(0)).alias("offset"),
+        F.sum("part_total").over(w).alias("total"),
     )
 
 
 def running_before(
-    df: DataFrame, order: Sequence[Column | str], amount: str, bucket: Column, groups: Sequence[str] = ()
+    df: DataFrame, order: Sequence[Column | str], amount: str, groups: Sequence[str] = ()
 ) -> DataFrame:
-    """Adds ``before`` (sum of ``amount`` over earlier rows) and ``total``."""
+    """Adds ``before`` (sum of ``amount`` over earlier rows) and ``total``.
+
+    Per group when ``groups`` are given. The order must be total: equal rows
+    would fall on either side of a range.
+    """
     groups = list(groups)
-    tagged = df.withColumn("bucket", bucket)
-    totals = tagged.groupBy(*groups, "bucket").agg(F.sum(amount).alias("amount"))
-    offsets = _bucket_offsets(totals, groups)
-    w = W.partitionBy(*groups, "bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    ranged = _in_ranges(df, order)
+    w = W.partitionBy(*groups, "part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     inner = F.coalesce(F.sum(amount).over(w), F.lit(0))
-    joined = tagged.withColumn("inner_before", inner).join(offsets, [*groups, "bucket"])
+    joined = ranged.withColumn("inner_before", inner).join(_offsets(ranged, amount, groups), [*groups, "part"])
     return joined.withColumn("before", F.col("offset") + F.col("inner_before")).drop(
-        "bucket", "offset", "inner_before"
+        "part", "offset", "inner_before"
     )
 
 
-def row_index(
-    df: DataFrame, order: Sequence[Column | str], bucket: Column, groups: Sequence[str] = ()
-) -> DataFrame:
-    """Adds the zero-based ``row_index`` in the given order and ``total``."""
+def row_index(df: DataFrame, order: Sequence[Column | str], groups: Sequence[str] = ()) -> DataFrame:
+    """Adds the zero-based ``row_index`` in the given total order and ``total``."""
     one = df.withColumn("one", F.lit(1).cast("long"))
-    ranked = running_before(one, order, "one", bucket, groups)
-    return ranked.withColumnRenamed("before", "row_index").drop("one")
+    return running_before(one, order, "one", groups).withColumnRenamed("before", "row_index").drop("one")
 
 
 def value_ranks(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """One row per distinct value: ``ties``, ``before`` (rows below), ``total``.
 
-    Counting per value first means the ranked table has distinct values only. It
-    is written once: the bounds, the bucket totals and the window all read it, and
-    the rows themselves are read a single time.
+    Counting per value first means only distinct values are ranked, and the rows
+    themselves are read a single time.
     """
     groups = list(groups)
     counted = (
         df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("ties"))
     )
-    counted = materialize(counted, "values")
-    return running_before(counted, [value], "ties", numeric_bucket(counted, value), groups)
+    return running_before(counted, [value, *groups], "ties", groups)
 
 
 def percentile_rank(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import signals as S
 from ..functions import text as T
 from .confidence import zero
-from .ranks import hash_bucket, row_index
+from .ranks import row_index
 
 
 def neglect_ranking(df: DataFrame, n: int = 100) -> DataFrame:
@@ -60,13 +60,13 @@ def enough_rows(df: DataFrame, n: int = 10) -> DataFrame:
 def work_sessions(df: DataFrame, keys: list[str], size: int = 50, label: str = "session") -> DataFrame:
     """Numbers all rows in hash order; session is ``floor(i / size) + 1``."""
     hashed = df.withColumn("hash", seed_hash(label, *keys))
-    numbered = row_index(hashed, ["hash", *keys], hash_bucket("hash"))
+    numbered = row_index(hashed, ["hash", *keys])
     return numbered.withColumn("session", F.floor(F.col("row_index") / size) + 1).drop("total")
 
 
-def band_positions(cells: DataFrame, level: str, order: list[str], bucket: Column) -> DataFrame:
+def band_positions(cells: DataFrame, level: str, order: list[str]) -> DataFrame:
     """Position of each cell in its level, 0 to 1 in order; 0.5 when alone."""
-    placed = row_index(cells, order, bucket, [level])
+    placed = row_index(cells, order, [level])
     t = F.when(F.col("total") <= 1, F.lit(0.5)).otherwise(F.col("row_index") / (F.col("total") - 1))
     return placed.withColumn("position", t).drop("row_index", "total")
 

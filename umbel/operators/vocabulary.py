@@ -48,7 +48,9 @@ def split_glued_tokens(names: DataFrame, freq: DataFrame, code: str = "code", na
         .join(freq.select(F.col("token").alias("word")), "word", "left_anti")
     )
     frequent = freq.where((F.col("freq") >= FREQUENT) & (F.col("len") >= 3)).select("token")
-    cuts = words.select(
+    # Both halves are frequent words, so no longer word can split.
+    longest = frequent.agg(F.max(F.length("token")).alias("n")).scalar()
+    cuts = words.where(F.length("word") <= longest * 2).select(
         "word", F.explode(F.sequence(F.lit(3), F.length("word") - 3)).alias("cut")
     ).select(
         "word",

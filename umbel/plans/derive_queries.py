@@ -361,7 +361,7 @@ def _(spark, sf):
 SELECT event_id, level, round(CASE WHEN count(*) OVER (PARTITION BY level) = 1 THEN 0.5 ELSE (row_number() OVER (PARTITION BY level ORDER BY event_id) - 1.0) / (count(*) OVER (PARTITION BY level) - 1) END, 6) AS position FROM l""")
 def _(spark, sf):
     e = load(spark, sf, "events").select("event_id", Sg.signal_level("value", "papers").alias("level"))
-    d = selection.band_positions(e, "level", ["event_id"], ranks.numeric_bucket(e, "event_id"))
+    d = selection.band_positions(e, "level", ["event_id"])
     return d.select("event_id", "level", F.round("position", 6).alias("position"))
 
 

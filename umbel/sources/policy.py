@@ -72,8 +72,14 @@ def read_policy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
 def read_refresh_log(spark: SparkSession, path: str) -> DataFrame:
     """Log lines in file order; malformed lines are skipped, undated ones kept."""
     raw = spark.read.schema(LOG).option("mode", "PERMISSIVE").json(path)
-    # The generated id grows with position inside a file split, in file order.
-    placed = raw.withColumn("seq", F.monotonically_increasing_id())
+    # Files by age, then splits by offset, then rows by their place in the split.
+    placed = raw.withColumn(
+        "seq",
+        F.struct(
+            F.col("_metadata.file_modification_time").alias("age"), F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
+        ),
+    )
     return placed.where(F.col("_corrupt_record").isNull()).select(
         "kind", F.col("orphaCode").alias("code"), "reason",
         F.try_to_timestamp(F.coalesce("ranAt", "at")).alias("at"),
