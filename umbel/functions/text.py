@@ -30,6 +30,11 @@ def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def words_literal(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -139,24 +144,31 @@ def is_blocked_token(t: Column) -> Column:
 
 def is_generic_label(c: C) -> Column:
     """Umbrella labels that would match very many documents."""
-    label, norm, content = col(c), normalize_term(c), content_tokens(c)
-    organ_head = (
-        (F.size(content) == 1)
-        & label.rlike(r"(?i)\b(disease|disorder|syndrome|condition)$")
-        & is_blocked_token(F.get(content, F.lit(0)))
-    )
-    return any_of(
-        [
-            F.length(norm) < 5,
-            strip(label).rlike(vocab.GENERIC_LABEL),
-            norm.rlike(vocab.GENERIC_LABEL),
-            label.rlike("(?i)multiple congenital anomalies"),
-            label.rlike("(?i)intellectual disability") & (F.size(content) <= 3),
-            F.size(content) == 0,
-            F.coalesce(organ_head, F.lit(False)),
-        ]
+    parts = F.struct(
+        strip(c).alias("label"), normalize_term(c).alias("norm"), content_tokens(c).alias("content")
     )
 
+    def judge(v: Column) -> Column:
+        label, norm, content = v["label"], v["norm"], v["content"]
+        organ_head = (
+            (F.size(content) == 1)
+            & label.rlike(r"(?i)\b(disease|disorder|syndrome|condition)$")
+            & is_blocked_token(F.get(content, F.lit(0)))
+        )
+        return any_of(
+            [
+                F.length(norm) < 5,
+                label.rlike(vocab.GENERIC_LABEL),
+                norm.rlike(vocab.GENERIC_LABEL),
+                label.rlike("(?i)multiple congenital anomalies"),
+                label.rlike("(?i)intellectual disability") & (F.size(content) <= 3),
+                F.size(content) == 0,
+                F.coalesce(organ_head, F.lit(False)),
+            ]
+        )
+
+    return let(parts, judge)
+
 
 def phrase_present(haystack: Column, needle: Column) -> Column:
     """Containment on token boundaries; both sides already normalised."""
@@ -185,23 +197,28 @@ def cap_genes(arr: C) -> Column:
 
 def is_safe_recall(term: C, genes: C | None = None) -> Column:
     """Ordered rules that admit a term into the recall expansion."""
-    t = strip(term)
-    content = content_tokens(t)
-    plain = tokens(t)
-    lone, first = F.get(plain, F.lit(0)), F.get(content, F.lit(0))
-    is_gene = F.lit(False)
-    if genes is not None:
-        is_gene = F.exists(col(genes), lambda g: F.upper(g) == F.upper(t))
-    return (
-        F.when((t == "") | F.upper(t).isin(vocab.FREQUENT_GENES), False)
-        .when(is_gene, True)
-        .when(is_ontology_speak(t) | is_generic_label(t), False)
-        .when(F.size(content) >= 2, F.length(t) >= 20)
-        .when((F.size(content) == 1) & (F.size(plain) == 2), ~is_blocked_token(first))
-        .when(F.size(plain) != 1, False)
-        .otherwise((F.length(lone) >= 12) & ~is_blocked_token(lone))
+    parts = F.struct(
+        strip(term).alias("t"), content_tokens(term).alias("content"), tokens(term).alias("plain")
     )
 
+    def judge(v: Column) -> Column:
+        t, content, plain = v["t"], v["content"], v["plain"]
+        lone, first = F.get(plain, F.lit(0)), F.get(content, F.lit(0))
+        is_gene = F.lit(False)
+        if genes is not None:
+            is_gene = F.exists(col(genes), lambda g: F.upper(g) == F.upper(t))
+        return (
+            F.when((t == "") | F.upper(t).isin(vocab.FREQUENT_GENES), False)
+            .when(is_gene, True)
+            .when(is_ontology_speak(t) | is_generic_label(t), False)
+            .when(F.size(content) >= 2, F.length(t) >= 20)
+            .when((F.size(content) == 1) & (F.size(plain) == 2), ~is_blocked_token(first))
+            .when(F.size(plain) != 1, False)
+            .otherwise((F.length(lone) >= 12) & ~is_blocked_token(lone))
+        )
+
+    return let(parts, judge)
+
 
 def infer_genes(name: C) -> Column:
     n = col(name)
@@ -227,21 +244,27 @@ def stoplist_split(arr: C) -> Column:
     judged = F.transform(
         unique_lower(arr), lambda t: F.struct(t.alias("term"), stop_reason(t).alias("reason"))
     )
-    return F.struct(
-        F.transform(F.filter(judged, lambda x: x["reason"].isNull()), lambda x: x["term"]).alias(
-            "kept"
-        ),
-        F.filter(judged, lambda x: x["reason"].isNotNull()).alias("dropped"),
-    )
+
+    def split(rows: Column) -> Column:
+        kept = F.filter(rows, lambda x: x["reason"].isNull())
+        return F.struct(
+            F.transform(kept, lambda x: x["term"]).alias("kept"),
+            F.filter(rows, lambda x: x["reason"].isNotNull()).alias("dropped"),
+        )
+
+    return let(judged, split)
 
 
 def kept_terms(label: C, synonyms: C) -> Column:
     """Stoplist over label and synonyms; the label itself always stays."""
     lab = strip(label)
-    both = stoplist_split(F.concat(F.array(lab), col(synonyms)))
-    present = F.exists(both["kept"], lambda k: F.lower(k) == F.lower(lab)) | (lab == "")
-    kept = F.when(present, both["kept"]).otherwise(F.concat(F.array(lab), both["kept"]))
-    return F.struct(kept.alias("kept"), both["dropped"].alias("dropped"))
+
+    def with_label(both: Column) -> Column:
+        present = F.exists(both["kept"], lambda k: F.lower(k) == F.lower(lab)) | (lab == "")
+        kept = F.when(present, both["kept"]).otherwise(F.concat(F.array(lab), both["kept"]))
+        return F.struct(kept.alias("kept"), both["dropped"].alias("dropped"))
+
+    return let(stoplist_split(F.concat(F.array(lab), col(synonyms))), with_label)
 
 
 def or_query(arr: C) -> Column:
@@ -276,24 +299,29 @@ def phrase_terms(names: C, synonyms: C, cap: int = 40) -> Column:
     """
     names, synonyms = col(names), col(synonyms)
     clean = F.filter(synonyms, lambda s: ~is_ontology_speak(s))
-    scaffold = F.filter(synonyms, is_ontology_speak)
+    scaffold = F.filter(synonyms, lambda s: is_ontology_speak(s))
     rest = F.concat(F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0))), clean)
-    judged = kept_terms(F.get(names, F.lit(0)), rest)
-    wide = unique_lower(
-        F.flatten(F.transform(F.concat(names, judged["kept"]), article_variants))
-    )
-    reasoned = lambda arr, why: F.transform(
-        arr, lambda t: F.struct(t.alias("term"), F.lit(why).alias("reason"))
-    )
-    over = F.slice(wide, cap + 1, F.greatest(F.size(wide) - cap, F.lit(0)))
-    return F.struct(
-        F.slice(wide, 1, cap).alias("terms"),
-        F.concat(
-            judged["dropped"],
-            reasoned(scaffold, "ontology scaffolding synonym"),
-            reasoned(over, "term-cap after article variants"),
-        ).alias("dropped"),
-    )
+
+    def because(terms: Column, why: str) -> Column:
+        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(why).alias("reason")))
+
+    def widen(judged: Column) -> Column:
+        variants = F.transform(F.concat(names, judged["kept"]), lambda t: article_variants(t))
+        return F.struct(unique_lower(F.flatten(variants)).alias("wide"), judged["dropped"].alias("dropped"))
+
+    def cut(v: Column) -> Column:
+        wide = v["wide"]
+        over = F.slice(wide, cap + 1, F.greatest(F.size(wide) - cap, F.lit(0)))
+        return F.struct(
+            F.slice(wide, 1, cap).alias("terms"),
+            F.concat(
+                v["dropped"],
+                because(scaffold, "ontology scaffolding synonym"),
+                because(over, "term-cap after article variants"),
+            ).alias("dropped"),
+        )
+
+    return let(let(kept_terms(F.get(names, F.lit(0)), rest), widen), cut)
 
 
 def pack_chunks(arr: C, budget: int = 900) -> Column:
