@@ -26,5 +26,7 @@ def test_entry(spark):
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
     rows = df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     if name in SQL:
         assert difference(df.columns, rows, con, SQL[name]) is None
