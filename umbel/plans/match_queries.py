@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import match, papers, studies as st
+from ..runtime import materialize
 from . import sqltext as S
 from .registry import query
 from .tables import SENTENCES_SQL, STRATEGIES_SQL, STUDIES_SQL, load, sentences, strategies, studies
@@ -148,7 +149,7 @@ e AS (SELECT p_partkey AS code, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size %
 def _summary(spark, sf):
     names, _ = _part_terms(spark, sf)
     names = names.withColumn("existing", F.when(F.col("p_size") % 4 != 0, F.col("p_size") % 3))
-    hits = _exact(spark, sf)
+    hits = materialize(_exact(spark, sf), "hits")
     return st.offline_match_summary(names, hits, "code", "existing", "doc"), hits
 
 
