@@ -260,7 +260,7 @@ def near_duplicates(
     marked = materialize(with_fingerprints(docs, id_col, text_col, words), "fingerprints")
     first = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     found = links(first, radius, segments)
-    stars_ = found.unionByName(found.select(F.col("root").alias("fp"), "root")).distinct()
+    stars_ = materialize(found.unionByName(found.select(F.col("root").alias("fp"), "root")).distinct(), "stars")
     joined = components(stars_, node="fp", key="root")
     group = first.join(joined, "fp", "left").select("fp", "first", F.coalesce("cluster", "fp").alias("cluster"))
     named = group.groupBy("cluster").agg(F.min("first").alias("component_id"))
