@@ -1,15 +1,15 @@
 """Operators against brute force on the smallest tables and on odd rows."""
 
+import hashlib
 import zlib
 
-import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tests.compare import connect, difference
-from umbel.llm import attribution, queries, simhash, simple8b, tokenfiles, topk, wordbpe
+from umbel.llm import attribution, queries, simhash, simple8b, suffixes, tokenfiles, topk, wordbpe
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, section string"
@@ -215,3 +215,40 @@ def test_top_k_ties_and_odd_vectors(spark, monkeypatch):
         best = sorted(((-int(whole[q] @ x), i) for i, x in whole.items() if i != q))[:10]
         assert [got[q, n + 1] for n in range(10)] == [(i, -s) for s, i in best]
     assert topk.top_k(v.where("false"), v).count() == 0 and topk.top_k(v, v.where("false")).count() == 0
+
+
+def brute_repeats(rows, length):
+    from collections import Counter
+
+    raw = [(t or "").encode() for _, t in rows]
+    count = Counter(b[p : p + length] for b in raw for p in range(len(b) - length + 1))
+    out = []
+    for (i, _), b in zip(rows, raw):
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if count[b[p : p + length]] > 1:
+                gone[p : p + length] = b"\1" * length
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("group", [1, 2048])
+def test_repeated_strings_match_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(suffixes, "GROUP", group)
+    monkeypatch.setattr(suffixes, "PIECE", 700)
+    rng = np.random.default_rng(9)
+    base = ["".join(rng.choice(list("abcd é"), 400)) for _ in range(4)]
+    rows = [(i, base[i % 4][: 150 + 10 * i] + "".join(rng.choice(list("xyz"), 30)) + base[(i + 1) % 4][i * 7 :]) for i in range(20)]
+    rows += [(100, "ab" * 500), (101, None), (102, ""), (103, "short"), (104, base[0] * 3), (105, "q" * 40), (None, base[1])]
+    rows += [(106, base[2] + "tail"), (106, base[2] + "tail"), (107, "z" * 2000)]
+    got = suffixes.remove_repeats(odd(spark, rows), length=50, gram=8).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_repeats(rows, 50)
+    assert suffixes.remove_repeats(odd(spark, [])).count() == 0
+
+
+def test_repeated_strings_of_the_documents(spark):
+    rows = [(r.doc_id, r.text) for r in documents(spark).select("doc_id", "text").collect()]
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op10(spark, SF).collect()]
+    assert sorted(got, key=str) == brute_repeats(rows, 200)

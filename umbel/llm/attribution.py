@@ -64,10 +64,11 @@ def latin_spans(encoder: wordbpe.Encoder, data: np.ndarray, offsets: np.ndarray)
     A token of a word begins after the tokens before it. Its size is in bytes of
     UTF-8; a character cut between two tokens belongs to both.
     """
-    ids, words, count, sizes, per_text = encoder.latin(data, offsets)
+    ids, words, count, per_text = encoder.latin(data, offsets)
+    sizes = encoder.size_of[ids]
     wide = np.concatenate(([0], np.cumsum(data >= 128)))
     byte_of = np.arange(len(data) + 1) + wide
-    last = np.cumsum(sizes.astype(np.int64))
+    last = np.cumsum(sizes)
     before = last - sizes
     first_of_word = np.repeat(before[np.minimum(np.cumsum(count) - count, max(len(before) - 1, 0))], count) if len(before) else before
     begin = np.repeat(byte_of[words], count) + before - first_of_word

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import scratch_path
-from . import attribution, simhash, tokenfiles, topk
+from . import attribution, simhash, suffixes, tokenfiles, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.usable(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+@query("op10_repeated_strings")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")

@@ -77,6 +77,12 @@ class Encoder:
         self.model = self.whole.model
         letters = _byte_letters()
         self.spell = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+        ending = self.model.end_of_word_suffix or ""
+        names = self.whole.get_vocab()
+        # Bytes of text a token stands for: one per letter of its name.
+        self.size_of = np.zeros(max(names.values()) + 1, np.int64)
+        for name, i in names.items():
+            self.size_of[i] = len(name.removesuffix(ending))
         self.kind, self.low = _classes(), _lower()
         self.reset()
 
@@ -85,7 +91,6 @@ class Encoder:
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
-        self.sizes = np.zeros(0, np.int16)
 
     @staticmethod
     def at(path: str) -> Encoder:
@@ -93,8 +98,8 @@ class Encoder:
             _ENCODERS[path] = Encoder(path)
         return _ENCODERS[path]
 
-    def word(self, raw: bytes) -> list:
-        return self.model.tokenize(raw.decode("latin-1").translate(self.spell))
+    def word(self, raw: bytes) -> list[int]:
+        return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.spell))]
 
     def _rows(self, hashes: np.ndarray, words) -> np.ndarray:
         """Rows of distinct word hashes; ``words(i)`` gives the bytes of an unseen one."""
@@ -103,17 +108,14 @@ class Encoder:
         seen[seen] = self.known[at[seen]] == hashes[seen]
         new = np.flatnonzero(~seen)
         if len(new):
-            ids, counts, sizes = [], [], []
+            ids, counts = [], []
             for i in new.tolist():
                 found = self.word(words(i))
                 counts.append(len(found))
-                for t in found:
-                    ids.append(t.id)
-                    sizes.append(t.offsets[1] - t.offsets[0])
+                ids += found
             counts = np.array(counts, np.int64)
             first = len(self.pool) + np.cumsum(counts) - counts
             self.pool = np.concatenate((self.pool, np.array(ids, np.int32)))
-            self.sizes = np.concatenate((self.sizes, np.array(sizes, np.int16)))
             place = np.searchsorted(self.known, hashes[new])
             self.known = np.insert(self.known, place, hashes[new])
             self.start = np.insert(self.start, place, first)
@@ -143,7 +145,7 @@ class Encoder:
         return np.flatnonzero(start), np.flatnonzero(end) + 1
 
     def latin(self, data: np.ndarray, offsets: np.ndarray):
-        """``(ids, word starts, tokens per word, token sizes, tokens per text)`` of Latin-1 texts."""
+        """``(ids, word starts, tokens per word, tokens per text)`` of Latin-1 texts."""
         low = self.low[data]
         starts, ends = self._words(low, offsets)
         if len(self.known) > KEPT_WORDS:
@@ -152,31 +154,24 @@ class Encoder:
         long_ = np.flatnonzero(ends - starts > LONG_WORD)
         raw = low.tobytes()
         if len(long_):
-            seen: dict[bytes, int] = {}
-            for i in long_.tolist():
-                # Numbers far from the hashes in use would do; equal bytes get equal ones.
-                seen.setdefault(raw[starts[i] : ends[i]], i)
-            special = {w: self.word(w) for w in seen}
+            special = {w: self.word(w) for w in {raw[starts[i] : ends[i]] for i in long_.tolist()}}
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         rows = self._rows(unique, lambda i: raw[starts[first[i]] : ends[first[i]]])[inverse]
         count, begin = self.count[rows], self.start[rows]
-        pool, sizes = self.pool, self.sizes
+        pool = self.pool
         if len(long_):
-            extra_ids, extra_sizes = [], []
-            place = {}
+            extra, place = [], {}
             for w, found in special.items():
-                place[w] = (len(pool) + len(extra_ids), len(found))
-                extra_ids += [t.id for t in found]
-                extra_sizes += [t.offsets[1] - t.offsets[0] for t in found]
-            pool = np.concatenate((pool, np.array(extra_ids, np.int32)))
-            sizes = np.concatenate((sizes, np.array(extra_sizes, np.int16)))
+                place[w] = (len(pool) + len(extra), len(found))
+                extra += found
+            pool = np.concatenate((pool, np.array(extra, np.int32)))
             for i in long_.tolist():
                 begin[i], count[i] = place[raw[starts[i] : ends[i]]]
         last = np.cumsum(count)
         total = int(last[-1]) if len(last) else 0
         take = np.repeat(begin - (last - count), count) + np.arange(total)
         upto = np.concatenate(([0], last))[np.searchsorted(starts, offsets)]
-        return pool[take], starts, count, sizes[take], np.diff(upto)
+        return pool[take], starts, count, np.diff(upto)
 
     def texts(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """``(first row, last row, ids, tokens per row)`` over a text column, in order."""
@@ -184,7 +179,7 @@ class Encoder:
             for a, b, latin in self._runs(data, offsets):
                 part = data[offsets[a] : offsets[b]]
                 if latin is not None:
-                    ids, _, _, _, counts = self.latin(*latin)
+                    ids, _, _, counts = self.latin(*latin)
                     yield first + a, first + b, ids, counts
                 else:
                     ids = self.whole.encode(part.tobytes().decode(), add_special_tokens=False).ids
