@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import scratch_path
-from . import attribution, simhash, suffixes, tokenfiles, topk
+from . import attribution, kneser_ney, simhash, suffixes, tokenfiles, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_repeated_strings")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+
+
+@query("op6_kneser_ney_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_toxicity_neighbours")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
