@@ -77,7 +77,7 @@ def encode_documents(
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, SCHEMA).write.mode("errorifexists").parquet(path)
+    ordered.mapInArrow(run, SCHEMA).write.mode("errorifexists").option("compression", "zstd").parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
