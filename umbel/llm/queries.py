@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import scratch_path
-from . import attribution, kneser_ney, simhash, suffixes, tokenfiles, topk, toxicity
+from . import attribution, kneser_ney, latent, raking, simhash, site_templates, suffixes, tokenfiles, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_toxicity_neighbours")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op1_site_templates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = site_templates.main_text(table(spark, sf_dir, "pages"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op7_latent_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_raked_mixture")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = raking.by_source_language_topic(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "mix_tokens", "mix_probability", "mix_kept")
