@@ -17,10 +17,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 
-ROUNDS = 100
-TOLERANCE = 1e-6
-# Rounds planned as one job.
-STEP = 4
+ROUNDS = 40
+TOLERANCE = 1e-4
 MISSING = "?"
 
 
@@ -70,13 +68,13 @@ def rake(
     current = live.withColumn("weight", F.col("tokens").cast("double"))
     total = live.agg(F.sum("tokens")).first()[0] or 1
     current, gap = current.withColumn("weight", F.col("weight") / total), float("inf")
-    for _ in range(0, rounds, STEP):
-        for _ in range(STEP):
-            for d in dims:
-                sums = current.groupBy(d).agg(F.sum("weight").alias("now")).join(shares[d], d).select(
-                    d, (F.col("s") / F.col("now")).alias("f")
-                )
-                current = current.join(sums, d).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
+    for _ in range(rounds):
+        for d in dims:
+            sums = current.groupBy(d).agg(F.sum("weight").alias("now")).join(shares[d], d).select(
+                d, (F.col("s") / F.col("now")).alias("f")
+            )
+            current = current.join(sums, d).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
+        # A round is a table: the next one starts from rows, not from a longer plan.
         current = materialize(current, "raked")
         gaps = [
             current.groupBy(d).agg(F.sum("weight").alias("now")).join(shares[d], d).select(
