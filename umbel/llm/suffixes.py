@@ -37,9 +37,10 @@ from . import textbytes
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH = 200
-GRAM = 32
+# Long enough that common phrases and short shared lines are no repeated grams.
+GRAM = 64
 # Differing contexts of one gram that go to a shard; grams with more go window by window.
-GROUP = 2048
+GROUP = 8192
 SHARD_BYTES = 1_000_000
 # Bytes of one text looked at together; pieces overlap by the window.
 PIECE = 1 << 22
@@ -137,7 +138,8 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     rank = np.zeros(n, np.int64)
     covered = 4
     while True:
-        order = np.argsort(key, kind="stable")
+        # Equal keys get one rank, so their order among themselves is free.
+        order = np.argsort(key)
         ordered = key[order]
         rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
         if covered >= depth or rank[order[-1]] == n - 1:
@@ -314,7 +316,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     )
 
     def windows(batches):
-        names = ["h", "w", "doc_id", "th", "low"]
+        names = ["h", "w", "doc_id", "th", "low", "many"]
         for batch in batches:
             for i in range(batch.num_rows):
                 raw, at = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
@@ -322,18 +324,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
                 if count < 1:
                     continue
                 w = np.array([xxhash.xxh3_64_intdigest(raw[k : k + length]) for k in range(count)], np.uint64).view(np.int64)
-                same = [pa.array([batch.column(c)[i].as_py()] * count, t) for c, t in ((0, pa.int64()), (3, pa.int64()), (4, pa.int32()))]
+                kinds = ((0, pa.int64()), (3, pa.int64()), (4, pa.int32()), (5, pa.bool_()))
+                same = [pa.array([batch.column(c)[i].as_py()] * count, t) for c, t in kinds]
                 yield pa.RecordBatch.from_arrays(
-                    [same[0], pa.array(w), same[1], same[2], pa.array(at + np.arange(count))],
+                    [same[0], pa.array(w), same[1], same[2], pa.array(at + np.arange(count)), same[3]],
                     names=names,
                 )
 
-    hot = pieces.where("hot").select("h", "context", "at", "doc_id", "th")
+    hot = pieces.where("hot").select("h", "context", "at", "doc_id", "th", "many")
     each = materialize(
-        hot.mapInArrow(windows, "h long, w long, doc_id long, th int, low long"), "windows"
+        hot.mapInArrow(windows, "h long, w long, doc_id long, th int, low long, many boolean"), "windows"
     )
     often = each.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "w")
-    single = each.join(often, ["h", "w"]).select("doc_id", "th", "low", (F.col("low") + length).alias("high"))
+    # The windows of a context met twice are all known already.
+    single = each.where("NOT many").join(often, ["h", "w"]).select("doc_id", "th", "low", (F.col("low") + length).alias("high"))
     return spans.unionByName(shared).unionByName(single), texts
 
 
