@@ -243,7 +243,7 @@ def test_repeated_strings_match_brute_force(spark, monkeypatch, group):
     rows = [(i, base[i % 4][: 150 + 10 * i] + "".join(rng.choice(list("xyz"), 30)) + base[(i + 1) % 4][i * 7 :]) for i in range(20)]
     rows += [(100, "ab" * 500), (101, None), (102, ""), (103, "short"), (104, base[0] * 3), (105, "q" * 40), (None, base[1])]
     rows += [(106, base[2] + "tail"), (106, base[2] + "tail"), (107, "z" * 2000)]
-    got = suffixes.remove_repeats(odd(spark, rows), length=50, gram=8).collect()
+    got = suffixes.remove_repeats(odd(spark, rows), length=50, gram=16).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_repeats(rows, 50)
     assert suffixes.remove_repeats(odd(spark, [])).count() == 0
 

@@ -4,10 +4,10 @@ Wanted are all bytes covered by a string of ``length`` bytes that starts anywher
 else too. The work is brought together by anchors: every window of that length is
 marked by the place of its smallest gram hash, which depends on the window's bytes
 alone, so equal windows have equal anchors at equal offsets. An anchor's context is
-all that any window around it may cover.
+all that its own windows cover.
 
 1. Anchors of all texts; those whose gram is met twice are repeated.
-2. Repeated anchors with equal contexts: every window around them is repeated.
+2. Repeated anchors with equal contexts: every window in them is repeated.
 3. Contexts that share a gram but differ are laid out in shards. A shard builds its
    suffix array and Burrows-Wheeler transform and expands intervals breadth first
    by backward extension: prefixes common to neighbours come out by increasing
@@ -40,7 +40,7 @@ LENGTH = 200
 # Long enough that common phrases and short shared lines are no repeated grams.
 GRAM = 64
 # Differing contexts of one gram that go to a shard; grams with more go window by window.
-GROUP = 8192
+GROUP = 4096
 SHARD_BYTES = 1_000_000
 # Bytes of one text looked at together; pieces overlap by the window.
 PIECE = 1 << 22
@@ -59,14 +59,16 @@ def _window_minima(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
-def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(places, gram hashes)`` of the anchors of all texts in ``data``.
+def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+    """``(places, gram hashes, first windows, last windows)`` of the anchors of all texts in ``data``.
 
     Grams are ordered by 40 bits of their hash and then by place, so a window's
-    anchor follows from its bytes. Windows across two texts are left out.
+    anchor follows from its bytes. The windows of an anchor follow one another.
+    Windows across two texts are left out.
     """
+    none = np.zeros(0, np.int64)
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none, np.zeros(0, np.uint64), none, none
     start = np.arange(len(data) - gram + 1)
     hashes = textbytes.Rolling(data).of(start, start + gram)
     least = _window_minima((hashes & ~_PLACE) | start.astype(np.uint64), length - gram + 1)
@@ -74,116 +76,130 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     edges = offsets[1:-1]
     np.add.at(cross, np.maximum(edges - length + 1, 0), 1)
     np.add.at(cross, edges, -1)
-    whole = np.cumsum(cross)[: len(least)] == 0
-    place = (least[whole] & _PLACE).astype(np.int64)
-    place = np.unique(place) if len(edges) else place[np.concatenate(([True], place[1:] != place[:-1]))]
-    return place, hashes[place]
+    window = np.flatnonzero(np.cumsum(cross)[: len(least)] == 0)
+    place = (least[window] & _PLACE).astype(np.int64)
+    new = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else none
+    last = np.concatenate((new[1:] - 1, [len(place) - 1])) if len(place) else none
+    return place[new], hashes[place[new]], window[new], window[last]
 
 
 def text_anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """As ``anchors_of``; a text longer than a piece is cut into overlapping pieces."""
+    """As ``anchors_of``; a text longer than a piece is cut into pieces that share no window."""
     if len(data) <= PIECE:
         return anchors_of(data, offsets, length, gram)
-    places, hashes = [], []
+    found = []
     for i in range(len(offsets) - 1):
         text = data[offsets[i] : offsets[i + 1]]
         for a in range(0, max(len(text) - length + 1, 1), PIECE - length + 1):
             part = text[a : a + PIECE]
-            p, h = anchors_of(part, np.array([0, len(part)]), length, gram)
-            places.append(p + offsets[i] + a)
-            hashes.append(h)
-    place, first = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(hashes)[first]
+            place, hashes, first, last = anchors_of(part, np.array([0, len(part)]), length, gram)
+            at = offsets[i] + a
+            found.append((place + at, hashes, first + at, last + at))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
-ANCHOR = "h long, c long, doc_id long, th int, at long, stop long"
+ANCHOR = "h long, c long, doc_id long, th int, low long, high long"
 
 
 def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``h, c, doc_id, th, at, stop``: gram hash, context hash, text, place, end of the context.
+    """``h, c, doc_id, th, low, high``: gram hash, context hash, text, and where the context begins and ends.
 
-    A context runs from ``length - gram`` bytes before the anchor, or the start of
-    the text, to ``stop``. ``th`` tells texts of one id apart.
+    A context is what the windows of the anchor cover. Its hash includes the
+    anchor's place in it. ``th`` tells texts of one id apart.
     """
-    reach = length - gram
 
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             ids, marks = batch.column(0), batch.column(2)
-            for first, last, data, offsets in textbytes.pieces(batch.column(1)):
-                place, hashes = text_anchors(data, offsets, length, gram)
+            for begin, _, data, offsets in textbytes.pieces(batch.column(1)):
+                place, hashes, first, last = text_anchors(data, offsets, length, gram)
                 text = np.searchsorted(offsets, place, side="right") - 1
-                base, end = offsets[text], offsets[text + 1]
-                low, high = np.maximum(place - reach, base), np.minimum(place + length, end)
+                high = last + length
                 raw = data.tobytes()
                 context = np.array(
-                    [digest(raw[a:b], s) for a, b, s in zip(low.tolist(), high.tolist(), (place - low).tolist())], np.uint64
+                    [digest(raw[a:b], s) for a, b, s in zip(first.tolist(), high.tolist(), (place - first).tolist())], np.uint64
                 )
-                rows = pa.array(text + first)
+                rows, base = pa.array(text + begin), offsets[text]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hashes.view(np.int64)), pa.array(context.view(np.int64)), ids.take(rows), marks.take(rows),
-                     pa.array(place - base), pa.array(high - base)],
-                    names=["h", "c", "doc_id", "th", "at", "stop"],
+                     pa.array(first - base), pa.array(high - base)],
+                    names=["h", "c", "doc_id", "th", "low", "high"],
                 )
 
     return docs.select("doc_id", "text", "th").mapInArrow(run, ANCHOR)
 
 
-def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first ``depth`` symbols at least, by doubling."""
+def suffix_order(symbols: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in order of their first ``depth`` bytes at least, by doubling.
+
+    ``left`` is the number of bytes before a context's end; nothing beyond it is
+    compared. Suffixes equal up to there keep no order.
+    """
     n = len(symbols)
-    wide = np.concatenate((symbols, np.zeros(4, symbols.dtype))).astype(np.uint64)
-    key = (wide[:n] << np.uint64(48)) | (wide[1 : n + 1] << np.uint64(32)) | (wide[2 : n + 2] << np.uint64(16)) | wide[3 : n + 3]
-    rank = np.zeros(n, np.int64)
-    covered = 4
+    # Sorting whole numbers is several times as fast as ordering by them, so a place
+    # rides in the low bits of its key; 21 bits hold rank, next rank and place each.
+    packed = n < (1 << 21)
+    place = np.arange(n, dtype=np.uint64)
+    wide = np.concatenate((symbols, np.zeros(5, np.uint8)))
+    key = np.zeros(n, np.uint64)
+    for k in range(5):
+        key = (key << np.uint64(8)) | np.where(left > k, wide[k : n + k], 0).astype(np.uint64)
+    covered, bits = 5, np.uint64(21)
     while True:
-        # Equal keys get one rank, so their order among themselves is free.
-        order = np.argsort(key)
-        ordered = key[order]
-        rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-        if covered >= depth or rank[order[-1]] == n - 1:
+        if packed:
+            ordered = np.sort((key << bits) | place)
+            order = (ordered & np.uint64((1 << 21) - 1)).astype(np.int64)
+            ordered >>= bits
+        else:
+            order = np.argsort(key)
+            ordered = key[order]
+        if covered >= depth:
             return order
-        follow = np.zeros(n, np.int64)
-        follow[: n - covered] = rank[covered:] + 1
-        key = (rank.astype(np.uint64) << np.uint64(32)) | follow.astype(np.uint64)
+        rank = np.zeros(n, np.uint64)
+        rank[order[1:]] = np.cumsum(ordered[1:] != ordered[:-1])
+        follow = np.zeros(n, np.uint64)
+        follow[: n - covered] = rank[covered:] + np.uint64(1)
+        follow[left <= covered] = 0
+        key = (rank << (bits if packed else np.uint64(32))) | follow
         covered *= 2
 
 
-def common_prefixes(symbols: np.ndarray, order: np.ndarray, limit: int, ends: int) -> np.ndarray:
+def common_prefixes(symbols: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
     """Common prefix of each row with the one before, ``limit`` where it is that or longer.
 
     Intervals of rows that begin with the same string are extended backwards by one
-    symbol a round through the Burrows-Wheeler transform. A new interval that ends
+    byte a round through the Burrows-Wheeler transform. A new interval that ends
     where no prefix is known yet sets it to the round's number and is extended in
-    the next round; others have nothing new before them. Symbols from ``ends`` on
-    close a context, each is its own, and are never extended over.
+    the next round; others have nothing new before them. A zero closes a context
+    and is never extended over.
     """
     n = len(order)
     transform = symbols[order - 1]
-    back = np.empty(n, np.int64)
-    back[np.argsort(transform, kind="stable")] = np.arange(n)
-    prefix = np.full(n + 1, limit, np.int32)
+    back = np.empty(n, np.int32)
+    back[np.argsort(transform, kind="stable")] = np.arange(n, dtype=np.int32)
+    prefix = np.full(n + 1, limit, np.int16)
     unset = np.ones(n + 1, bool)
     unset[0] = unset[n] = False
     prefix[0] = prefix[n] = 0
-    closing = np.flatnonzero(symbols[order] >= ends)
+    closing = np.flatnonzero(symbols[order] == 0)
     prefix[closing], unset[closing] = 0, False
-    inner = transform < ends
-    low, high = np.array([0]), np.array([n - 1])
+    inner = transform != 0
+    low, high = np.array([0], np.int32), np.array([n - 1], np.int32)
     for level in range(limit):
         if not len(low):
             break
         size = high - low + 1
-        own = np.repeat(np.arange(len(low)), size)
-        rows = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + low[own]
+        # Intervals of one row never part again.
+        own = np.repeat(np.arange(len(low), dtype=np.int32), size)
+        rows = np.arange(int(size.sum()), dtype=np.int32) + np.repeat((low - (np.cumsum(size) - size)).astype(np.int32), size)
         kept = inner[rows]
         rows, own = rows[kept], own[kept]
-        target = back[rows]
-        by = np.argsort(target)
-        target, own, mark = target[by], own[by], transform[rows[by]]
-        if not len(target):
+        if not len(rows):
             break
+        ordered = np.sort((back[rows].astype(np.int64) << 32) | np.arange(len(rows)))
+        target, by = (ordered >> 32).astype(np.int32), ordered & 0xFFFFFFFF
+        own, mark = own[by], transform[rows[by]]
         part = np.flatnonzero((own[1:] != own[:-1]) | (mark[1:] != mark[:-1])) + 1
         low = target[np.concatenate(([0], part))]
         high = target[np.concatenate((part - 1, [len(target) - 1]))]
@@ -202,15 +218,20 @@ def repeated_windows(texts: list[bytes], owners: np.ndarray, places: np.ndarray,
     sizes = np.array([len(t) for t in texts])
     starts = np.cumsum(sizes + 1) - sizes - 1
     total = int(sizes.sum()) + len(texts)
-    symbols = np.zeros(total, np.uint16 if len(texts) < 65000 else np.int32)
+    symbols = np.zeros(total, np.uint8)
     inside = np.ones(total, bool)
     inside[starts + sizes] = False
-    symbols[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(symbols.dtype) + 1
-    symbols[starts + sizes] = np.arange(len(texts)) + 257
-    order = suffix_order(symbols, length + 1)
-    prefix = common_prefixes(symbols, order, length, 257)
-    same = prefix >= length
-    context = np.searchsorted(starts, order, side="right") - 1
+    # A zero closes a context; a zero in a text takes a value UTF-8 never has.
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    symbols[inside] = np.where(raw == 0, 255, raw)
+    owner = np.repeat(np.arange(len(texts)), sizes + 1)
+    left = starts[owner] + sizes[owner] - np.arange(total)
+    order = suffix_order(symbols, left, length)
+    prefix = common_prefixes(symbols, order, length)
+    # Only rows with a whole window can be repeated windows.
+    same = (prefix >= length) & (left[order] >= length)
+    same[1:] &= left[order[:-1]] >= length
+    context = owner[order]
     offset = order - starts[context]
     group = np.cumsum(~same) - 1
     # The same bytes of the same text give one place.
@@ -243,25 +264,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
 
     ``docs`` is ``doc_id, th, text`` with ``th`` a hash of the text.
     """
-    reach = length - gram
     found = materialize(anchors(docs, length, gram), "anchors")
     twice = found.groupBy("h").count().where("count > 1").select("h")
     repeated = materialize(found.join(twice, "h"), "repeated")
 
     contexts = materialize(
-        repeated.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "at", "stop")).alias("one")),
+        repeated.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "low", "high")).alias("one")),
         "contexts",
     )
     whole = contexts.where("n > 1").select("h", "c")
-    low = F.greatest(F.col("at") - reach, F.lit(0))
-    spans = repeated.join(whole, ["h", "c"]).select("doc_id", "th", low.alias("low"), F.col("stop").alias("high"))
+    spans = repeated.join(whole, ["h", "c"]).select("doc_id", "th", "low", "high")
 
     # Contexts that differ under one gram, each by one place that has it.
     differ = contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     sample = contexts.join(differ, "h").select("h", (F.col("m") > GROUP).alias("hot"), F.col("n") > 1, "one.*").toDF(
-        "h", "hot", "many", "doc_id", "th", "at", "stop"
+        "h", "hot", "many", "doc_id", "th", "low", "high"
     )
-    wanted = sample.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "hot", "many", "at", "stop")).alias("wanted"))
+    wanted = sample.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "hot", "many", "low", "high")).alias("wanted"))
     keys = repeated.select("doc_id", "th").distinct()
     lists = keys.alias("k").join(
         wanted.alias("w"), F.expr("k.doc_id <=> w.doc_id AND k.th = w.th"), "left"
@@ -285,8 +304,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
                     continue
                 raw, doc, th = text[i].as_py().encode(), batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 for w in wanted_:
-                    begin = max(w["at"] - reach, 0)
-                    rows.append((doc, th, None, w["h"], w["hot"], w["many"], begin, raw[begin : w["stop"]]))
+                    rows.append((doc, th, None, w["h"], w["hot"], w["many"], w["low"], raw[w["low"] : w["high"]]))
             if rows:
                 types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
