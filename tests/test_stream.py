@@ -44,6 +44,16 @@ def test_stream_merges_by_event_time(spark, tmp_path):
     assert run(spark, feed, table, rejects, place) == {"1": "live-delta", "4": "live-delta"}
 
 
+def test_two_runs_without_a_checkpoint_lose_nothing(spark, tmp_path):
+    feed, table, rejects = tmp_path / "feed", scratch_path(spark, "q"), scratch_path(spark, "rej")
+    write(feed, "a.json", [event("1", 9, "2024-01-10T00:00:00Z")])
+    assert run(spark, feed, table, rejects, None) == {"1": "live-delta"}
+    write(feed, "b.json", [event("4", 8, "2024-01-11T00:00:00Z"), event("2", 5, "2124-01-01T00:00:00Z")])
+    # An event dated in the future stays, and does not empty the queue.
+    assert run(spark, feed, table, rejects, None) == {"1": "live-delta", "4": "live-delta", "2": "missing-last-check"}
+    assert len(refresh._versions(spark, table)) <= 2
+
+
 def test_replayed_batch_changes_nothing(spark):
     table = scratch_path(spark, "q")
     batch = spark.createDataFrame([("1", "live-delta", 9, 5, "2024-01-10")], "code string, reason string, live_total long, published_total long, d string").withColumn("at", F.to_timestamp("d"))

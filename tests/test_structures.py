@@ -13,8 +13,8 @@ def test_ancestors_diamond_cycle_and_depth(spark):
     got = closure(spark, [("a", "b", 0), ("a", "c", 1), ("b", "d", 0), ("c", "d", 0), ("d", "a", 0)])
     assert got[("a", "d")] == 2 and ("a", "a") not in got and got[("d", "c")] == 2 and got[("b", "c")] == 3
     chain = [(f"n{i}", f"n{i + 1}", 0) for i in range(20)]
-    deep = closure(spark, chain)
-    assert max(d for (n, _), d in deep.items() if n == "n0") == 12
+    assert max(d for (n, _), d in closure(spark, chain).items() if n == "n0") == 20
+    assert max(d for (n, _), d in closure(spark, chain, max_depth=12).items() if n == "n0") == 12
     assert {a for (n, a) in closure(spark, chain, max_depth=3) if n == "n0"} == {"n1", "n2", "n3"}
 
 
@@ -69,6 +69,14 @@ def test_routes_keep_everything_beyond_the_cap(spark):
     assert (got["kept"], got["uncertain"]) == (40, 5)
 
 
+def test_routes_of_equal_records_lose_none(spark):
+    rows = [("e", 1, "relevant")] * 3 + [("f", None, "irrelevant")]
+    df = spark.createDataFrame(rows, "entity string, k int, verdict string")
+    got = {r["entity"]: r.asDict() for r in registries.route_counts(registries.route_by_verdict(df, "entity", [F.desc("k")], cap=2), "entity").collect()}
+    assert (got["e"]["kept"], got["e"]["uncertain"], got["f"]["dropped"]) == (2, 1, 1)
+    assert registries.route_by_verdict(df, "entity", ["k"], cap=None).where("route = 'uncertain'").count() == 0
+
+
 def test_best_evidence_unites_only_tied_keys(spark):
     keys = spark.createDataFrame([("e", "m1"), ("e", "m2"), ("e", "m3"), ("f", "none")], "entity string, key string")
     ev = spark.createDataFrame([("m1", 6, "A"), ("m1", 2, "B"), ("m2", 6, "C"), ("m3", 5, "D")], "key string, rank int, gene string")

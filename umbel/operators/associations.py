@@ -115,7 +115,8 @@ def summarise_drugs(entity_ids: DataFrame, drugs: DataFrame, cap: int = 15) -> D
     """Drugs of the entity's first id: most advanced stage first, then name.
 
     ``drugs``: ``node, drug, name, stage`` and optionally ``source_count``, which
-    then stands for the count.
+    then stands for the count. Only the list is cut at ``cap``; ``drug_count`` is
+    over all distinct drugs.
     """
     ids = first_ids(entity_ids)
     one = (
@@ -126,9 +127,11 @@ def summarise_drugs(entity_ids: DataFrame, drugs: DataFrame, cap: int = 15) -> D
     )
     lists = first_n(one, ["node"], ["r", "name", "drug"], cap, ["drug", "name", "stage"], "drugs")
     found = ids.join(lists, "node", "left")
-    listed = F.when(F.col("drugs").isNull(), 0).otherwise(F.size("drugs"))
+    every = one.groupBy("node").agg(F.count("*").alias("distinct_drugs"))
+    found = found.join(every, "node", "left")
+    listed = F.coalesce("distinct_drugs", F.lit(0))
     if "source_count" in drugs.columns:
         counts = drugs.groupBy("node").agg(F.max("source_count").alias("source_count"))
         found = found.join(counts, "node", "left")
         listed = F.coalesce("source_count", listed)
-    return found.withColumn("drug_count", listed.cast("long")).drop("source_count")
+    return found.withColumn("drug_count", listed.cast("long")).drop("source_count", "distinct_drugs")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids as I
 from ..runtime import materialize
+from .ranks import row_index
 
 MAX_ROUNDS = 60
 
@@ -52,11 +52,10 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return out.where("u != v").distinct()
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-    ).first()
-    return row["n"], row["h"]
+def _differ(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables of distinct edges differ in any row."""
+    sides = a.withColumn("side", F.lit(1)).unionByName(b.withColumn("side", F.lit(-1)))
+    return not sides.groupBy("u", "v").agg(F.sum("side").alias("n")).where("n <> 0").isEmpty()
 
 
 def components(keys: DataFrame, node: str = "rid", key: str = "key") -> DataFrame:
@@ -75,13 +74,11 @@ def components(keys: DataFrame, node: str = "rid", key: str = "key") -> DataFram
         .select(F.col("n").alias("u"), "v").distinct()
     )
     edges = materialize(edges, "components")
-    before = _checksum(edges)
     for _ in range(MAX_ROUNDS):
-        edges = materialize(_star(_star(edges, larger=True), larger=False), "components")
-        after = _checksum(edges)
-        if after == before:
+        before = edges
+        edges = materialize(_star(_star(before, larger=True), larger=False), "components")
+        if not _differ(before, edges):
             break
-        before = after
     else:
         raise RuntimeError("components did not settle")
     found = edges.groupBy("u").agg(F.min("v").alias("v"))
@@ -148,24 +145,26 @@ def split_already_known(records: DataFrame, known: DataFrame, rid: str = "rid")
     return records.join(hits, rid, "left_anti"), records.join(hits, rid, "left_semi")
 
 
-def route_by_verdict(records: DataFrame, entity: str, order: list, cap: int = 40) -> DataFrame:
-    """Adds ``route``: kept, parent, dropped or uncertain.
+def route_by_verdict(records: DataFrame, entity: str, order: list, cap: int | None = 40) -> DataFrame:
+    """Adds ``route``: kept, parent, dropped or uncertain, to every record.
 
-    The first ``cap`` records of an entity carry their verdict; every later one
-    stays, as uncertain. Rank is only needed up to the cap, so tasks forward at
-    most ``cap`` rows per entity and the rest is told apart by an anti join.
+    The first ``cap`` records of an entity in ``order`` carry their verdict; every
+    later one stays, as uncertain (none are later without a cap). Records are
+    numbered over ranges, so an entity of any size is spread over tasks; records
+    equal in ``order`` are numbered in no particular order, but each only once.
     """
-    w = W.partitionBy(entity).orderBy(*order)
-    judged = records.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
     route = (
         F.when(F.col("verdict") == "relevant", "kept")
         .when(F.col("verdict") == "parent-category", "parent")
         .when(F.col("verdict") == "irrelevant", "dropped")
         .otherwise("uncertain")
     )
-    keys = [entity, *[o for o in order if isinstance(o, str)]]
-    late = records.join(judged.select(*keys), keys, "left_anti")
-    return judged.withColumn("route", route).unionByName(late.withColumn("route", F.lit("uncertain")))
+    if cap is None:
+        return records.withColumn("route", route)
+    numbered = row_index(records, [entity, *order], [entity])
+    return numbered.withColumn("route", F.when(F.col("row_index") < cap, route).otherwise("uncertain")).select(
+        *records.columns, "route"
+    )
 
 
 def route_counts(routed: DataFrame, entity: str) -> DataFrame:

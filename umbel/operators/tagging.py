@@ -2,63 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .match import plain_texts, term_hits
+from ..runtime import broadcast_if_small
+from .match import anchored
+
+_SPANS = "array<struct<start:int,size:int,term:string>>"
 
-def _free_spans(tokens: list[str], terms: list[str]) -> list[tuple[int, int, str]]:
-    """Spans of one text: each term, longest first, where still free."""
-    places: dict[str, list[int]] = {}
-    for i, t in enumerate(tokens):
-        places.setdefault(t, []).append(i)
-    taken = bytearray(len(tokens))
-    spans = []
-    for term in terms:
-        parts = term.split(" ")
-        size, free_from = len(parts), 0
-        for at in places.get(parts[0], ()):
-            if at < free_from or (size > 1 and tokens[at : at + size] != parts):
-                continue
-            free_from = at + size
-            if not any(taken[at : at + size]):
-                taken[at : at + size] = b"\x01" * size
-                spans.append((at, size, term))
-    return sorted(spans)
 
+def _take(state: Column, hit: Column) -> Column:
+    """One step over the hits of a text: a hit is taken where it is still free.
 
-def _tag_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [
-            (doc, *span)
-            for doc, text, terms in zip(batch["doc"], batch["text"], batch["terms"])
-            for span in _free_spans(text.split(" "), list(terms))
-        ]
-        yield pd.DataFrame(rows, columns=["doc", "start", "size", "term"])
+    A hit that overlaps the one before it of the same term is passed over, taken
+    or not.
+    """
+    end = hit["start"] + hit["size"]
+    again = (state["term"] == hit["term"]) & (hit["start"] < state["until"])
+    busy = F.exists(state["spans"], lambda s: (s["start"] < end) & (hit["start"] < s["start"] + s["size"]))
+    own = F.array(F.struct(hit["start"].alias("start"), hit["size"].alias("size"), hit["term"].alias("term")))
+    return F.struct(
+        hit["term"].alias("term"),
+        F.when(again, state["until"]).otherwise(end).alias("until"),
+        F.when(again | busy, state["spans"]).otherwise(F.concat(state["spans"], own)).alias("spans"),
+    )
 
 
 def dictionary_tags(docs: DataFrame, dictionary: DataFrame, doc: str, text: str, term: str = "term") -> DataFrame:
-    """``(doc, start, size, term)`` by token position, in reading order.
+    """``(doc, start, size, term)`` by token position.
 
-    Candidates per text come from the anchor join, so a text meets only terms it
-    really contains; the small greedy pass sees one text at a time.
+    Terms meet a text through their anchor token, which also gives the place; the
+    text is compared there and nowhere else. The hits of one text, bounded by the
+    text itself, are folded in order of length, term and place.
     """
-    texts = plain_texts(docs, doc, text)
-    terms = (
-        dictionary.select(T.normalize_term(term).alias("term")).where("term != ''").distinct()
+    terms = dictionary.select(T.normalize_term(term).alias("term")).where("term != ''").distinct()
+    parts = F.split("term", " ")
+    side = anchored(terms).select(
+        "term", "anchor", parts.alias("parts"), (F.array_position(parts, F.col("anchor")) - 1).cast("int").alias("shift")
     )
-    found = term_hits(texts, terms).select("doc", "term").distinct()
-    # The terms of one text, longest first: bounded by the text itself.
-    per_doc = found.groupBy("doc").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("n"), F.col("term")))),
-            lambda s: s["term"],
-        ).alias("terms")
+    side, _ = broadcast_if_small(side)
+    texts = docs.select(F.col(doc).alias("doc"), F.split(T.normalize_term(text), " ").alias("tokens"))
+    placed = texts.select("doc", "tokens", F.posexplode("tokens").alias("at", "anchor")).join(side, "anchor")
+    start = F.col("at") - F.col("shift")
+    hits = placed.where(start >= 0).where(F.slice("tokens", start + 1, F.size("parts")) == F.col("parts")).select(
+        "doc", F.struct((-F.length("term")).alias("n"), "term", start.alias("start"), F.size("parts").alias("size")).alias("hit")
     )
-    kind = texts.schema["doc"].dataType.simpleString()
-    joined = texts.join(per_doc, "doc").select("doc", "text", "terms")
-    return joined.mapInPandas(_tag_batches, f"doc {kind}, start int, size int, term string")
+    listed = hits.groupBy("doc").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    empty = F.struct(F.lit("").alias("term"), F.lit(0).alias("until"), F.array().cast(_SPANS).alias("spans"))
+    folded = F.aggregate("hits", empty, _take, lambda state: state["spans"])
+    return listed.select("doc", F.explode(folded).alias("s")).select("doc", "s.start", "s.size", "s.term")

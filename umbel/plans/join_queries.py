@@ -453,7 +453,7 @@ WITH li AS (SELECT o_custkey, year(o_orderdate) AS y, l_partkey % 60 AS d, ['PHA
 f AS (SELECT o_custkey, min(year(o_orderdate)) AS y FROM orders GROUP BY ALL),
 b AS (SELECT o_custkey, d, arg_max(stage, r) AS stage, max(r) AS r FROM li JOIN f USING (o_custkey, y) GROUP BY ALL),
 s AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY r DESC, 'drug ' || d, 'CH' || d) AS rn FROM b)
-SELECT f.o_custkey AS entity, least(count(d), 15) AS drug_count, string_agg('CH' || d || ':' || stage, '|' ORDER BY rn) FILTER (WHERE rn <= 15) AS drugs
+SELECT f.o_custkey AS entity, count(d) AS drug_count, string_agg('CH' || d || ':' || stage, '|' ORDER BY rn) FILTER (WHERE rn <= 15) AS drugs
 FROM f LEFT JOIN s USING (o_custkey) GROUP BY ALL""")
 def _(spark, sf):
     ids, rows = _customer_years(spark, sf)

@@ -316,7 +316,23 @@ def _(spark, sf):
     return defects.classify_defects(suspects, raw, parsed).select("code", "form", "origin")
 
 
-@query("dictionary_tags")
+_SPAN = "STRUCT(start INTEGER, size INTEGER, term VARCHAR)[]"
+_HIT = f"{{'term': %s, 'start': CAST(%s AS INTEGER), 'size': CAST(%s AS INTEGER), 'until': CAST(0 AS INTEGER), 'spans': CAST([] AS {_SPAN})}}"
+_FREE = "len(list_filter(a.spans, lambda x: x.start < h.start + h.size AND h.start < x.start + x.size)) = 0"
+_AGAIN = "(a.term = h.term AND h.start < a.until)"
+
+
+@query("dictionary_tags", f"""
+WITH d AS MATERIALIZED (SELECT doc_id AS doc, string_split({S.norm('text')}, ' ') AS tok FROM documents),
+t AS (SELECT DISTINCT {S.norm('s')} AS term FROM (SELECT unnest(regexp_split_to_array(text, '[.\\n]')) AS s FROM benchmark)),
+tt AS (SELECT term, string_split(term, ' ') AS parts FROM t WHERE term <> ''),
+occ AS (SELECT doc, unnest(tok) AS w, unnest(range(len(tok))) AS i FROM d),
+hits AS (SELECT doc, term, i, len(parts) AS size FROM occ JOIN tt ON w = parts[1] JOIN d USING (doc) WHERE list_slice(tok, i + 1, i + len(parts)) = parts),
+l AS (SELECT doc, list({_HIT % ('term', 'i', 'size')} ORDER BY length(term) DESC, term, i) AS hs FROM hits GROUP BY doc),
+r AS (SELECT doc, list_reduce(list_prepend({_HIT % ("''", '-1', '0')}, hs), lambda a, h: {{'term': h.term, 'start': h.start, 'size': h.size,
+   'until': CASE WHEN {_AGAIN} THEN a.until ELSE h.start + h.size END,
+   'spans': CASE WHEN NOT {_AGAIN} AND {_FREE} THEN list_append(a.spans, {{'start': h.start, 'size': h.size, 'term': h.term}}) ELSE a.spans END}}) AS s FROM l)
+SELECT doc, x.start AS start, x.size AS size, x.term AS term FROM (SELECT doc, unnest(s.spans) AS x FROM r)""")
 def _(spark, sf):
     return tagging.dictionary_tags(load(spark, sf, "documents"), sentences(spark, sf), "doc_id", "text")
 

@@ -57,13 +57,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A file scan with at least one partition per core.
+    """A scan that a single unsplittable file leaves in one task, dealt to all cores.
 
-    Only a scan with fewer splits than cores is redistributed, which means a few
-    small files; large inputs already have more splits and are left alone.
+    Any scan of two splits or more is left as it is.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan if scan.rdd.getNumPartitions() > 1 else scan.repartition(scan.sparkSession.sparkContext.defaultParallelism)
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:

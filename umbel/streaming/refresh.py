@@ -95,49 +95,68 @@ def last_per_code(batch: DataFrame) -> DataFrame:
     return batch.where(F.col("at").isNotNull()).groupBy("code").agg(best.alias("b")).select("code", "b.*")
 
 
-def _current(spark: SparkSession, table: str) -> tuple[DataFrame | None, str | None]:
-    """The queue as last written; versions are folders ``v=<n>``, newest wins."""
+def _versions(spark: SparkSession, table: str) -> list[tuple[int, str, str]]:
+    """``(number, batch, folder)`` of the complete versions of a queue, oldest first.
+
+    A version is a folder ``v=<number>.<query>.<batch>``.
+    """
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(table)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return None, None
-    done = [
-        s.getPath().toString() for s in fs.listStatus(path)
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath().toString() + "/_SUCCESS"))
-    ]
-    if not done:
-        return None, None
-    newest = max(done, key=lambda p: int(p.rsplit("=", 1)[1]))
-    return spark.read.parquet(newest), newest
+        return []
+    found = []
+    for status in fs.listStatus(path):
+        folder = status.getPath().toString()
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")):
+            number, batch = folder.rsplit("=", 1)[1].split(".", 1)
+            found.append((int(number), batch, folder))
+    return sorted(found)
+
+
+def _drop_versions(spark: SparkSession, folders: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_queue(spark: SparkSession, table: str) -> DataFrame:
-    current, _ = _current(spark, table)
-    if current is None:
+    versions = _versions(spark, table)
+    if not versions:
         raise ValueError(f"no queue at {table}")
-    return current
+    return spark.read.parquet(versions[-1][2])
 
 
-def merge_into_queue(table: str, days: int = WINDOW_DAYS):
+def merge_into_queue(table: str, days: int = WINDOW_DAYS, as_of: Column | None = None, keep: int = 2):
     """``foreachBatch`` function: merge the micro-batch into the queue table.
 
-    A batch writes version ``v=<batch id>``; a replay finds it complete and
-    leaves it. The merge compares event times, so order of arrival is moot. Codes
-    whose last event left the window, measured at the newest event, are dropped.
+    A batch writes the next version, named after its query and batch id; a replay
+    finds the newest version named so and leaves it. Another query, whose ids begin
+    anew, merges into the same table. The merge compares event times, so neither
+    order of arrival nor a second reading matters. Codes whose last event left the
+    window are dropped; the window ends at the newest event that is not after
+    ``as_of`` (now, by default), so an event dated in the future moves nothing.
+    Versions before the last ``keep`` are removed.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current, newest = _current(spark, table)
-        if newest is not None and int(newest.rsplit("=", 1)[1]) >= batch_id:
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        name, versions = f"{query}.{batch_id}", _versions(spark, table)
+        if versions and versions[-1][1] == name:
             return
         merged = last_per_code(batch)
-        if current is not None:
+        if versions:
+            current = spark.read.parquet(versions[-1][2])
             merged = last_per_code(merged.unionByName(current.select(*merged.columns)))
-        newest_at = merged.agg(F.max("at").alias("m"))
-        keep = F.col("at") >= newest_at.select(F.col("m") - F.make_interval(days=F.lit(days))).scalar()
-        merged.where(keep).write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+        limit = as_of if as_of is not None else F.current_timestamp()
+        newest = merged.where(F.col("at") <= limit).agg(F.max("at").alias("m"))
+        since = newest.select(F.col("m") - F.make_interval(days=F.lit(days))).scalar()
+        number = versions[-1][0] + 1 if versions else 0
+        kept = merged.where(since.isNull() | (F.col("at") >= since))
+        kept.write.mode("overwrite").parquet(f"{table}/v={number}.{name}")
+        _drop_versions(spark, [folder for *_, folder in versions[: max(len(versions) + 1 - keep, 0)]])
 
     return run
 
@@ -145,7 +164,11 @@ def merge_into_queue(table: str, days: int = WINDOW_DAYS):
 def run_refresh(
     spark: SparkSession, feed: str, published: DataFrame, table: str, rejects: str, checkpoint: str | None = None
 ):
-    """Start both queries over the feed; each stops once the feed is read."""
+    """Start both queries over the feed; each stops once the feed is read.
+
+    With ``checkpoint`` a second run reads only what is new; without one it reads
+    the whole feed again and merges it once more, to the same queue.
+    """
     valid, bad = live_events(read_feed(spark, feed))
     place = checkpoint or scratch_path(spark, "refresh")
     queue = (
