@@ -36,6 +36,8 @@ STRETCH = 1.25
 ITEM_BLOCK = 4096
 # Terms in fewer than this share of documents are informative; a window needs some.
 INFORMATIVE, LEAST_INFORMATIVE = 0.02, 2
+# Terms in this many documents or fewer are informative in any corpus.
+SMALL = 20
 
 
 def _mark() -> np.ndarray:
@@ -120,13 +122,14 @@ def document_frequency(places: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return out, places.count()
 
 
-def _summed(rows: DataFrame, part, band: int = 1024) -> np.ndarray:
-    """Sum over all rows of the matrices ``part(terms, weights)`` gives for a batch, in bands of matrix rows."""
+def _summed(rows: DataFrame, part, matrix: np.ndarray, band: int = 1024) -> np.ndarray:
+    """Sum over all rows of the matrices ``part(terms, weights, matrix)`` gives for a batch, in bands of matrix rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(matrix)
 
     def run(batches):
         total = None
         for batch in batches:
-            made = part(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            made = part(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shared.value)
             total = made if total is None else total + made
         if total is not None:
             for i in range(0, len(total), band):
@@ -140,6 +143,7 @@ def _summed(rows: DataFrame, part, band: int = 1024) -> np.ndarray:
 
     schema = "i int, width int, band binary"
     found = rows.mapInArrow(run, schema).groupBy("i").applyInPandas(add, schema).collect()
+    shared.destroy()
     out = [np.frombuffer(r["band"]).reshape(-1, r["width"]) for r in sorted(found, key=lambda r: r["i"])]
     return np.concatenate(out) if out else np.zeros((0, 0))
 
@@ -153,30 +157,27 @@ def randomised_svd(rows: DataFrame, size: int, rank: int = RANK, extra: int = EX
     """
     width = min(rank + extra, size)
     sketch = np.random.default_rng(seed).standard_normal((size, width))
-    for _ in range(power + 1):
-        current = sketch
-
-        def through(terms, weights, g=current):
-            out = np.zeros((size, width))
-            for t, w in zip(terms, weights):
-                # A row names a term once.
-                t, w = np.array(t), np.array(w)
-                out[t] += w[:, None] * (w @ g[t])[None, :]
-            return out
 
-        made = _summed(rows, through)
-        if not len(made):
-            return np.zeros((size, 0))
-        sketch, _ = np.linalg.qr(made)
-    basis = sketch
+    def through(terms, weights, g):
+        out = np.zeros(g.shape)
+        for t, w in zip(terms, weights):
+            # A row names a term once.
+            t, w = np.array(t), np.array(w)
+            out[t] += w[:, None] * (w @ g[t])[None, :]
+        return out
 
-    def within(terms, weights, q=basis):
+    def within(terms, weights, q):
         seen = np.stack([np.array(w) @ q[np.array(t)] for t, w in zip(terms, weights)])
         return seen.T @ seen
 
-    values, turn = np.linalg.eigh(_summed(rows, within))
+    for _ in range(power + 1):
+        made = _summed(rows, through, sketch)
+        if not len(made):
+            return np.zeros((size, 0))
+        sketch, _ = np.linalg.qr(made)
+    values, turn = np.linalg.eigh(_summed(rows, within, sketch))
     kept = np.argsort(-values)[: min(rank, int((values > 1e-9 * max(values.max(), 1e-300)).sum()))]
-    return basis @ turn[:, kept]
+    return sketch @ turn[:, kept]
 
 
 def common_subsequence(item: dict[int, int], size: int, terms: list[int]) -> int:
@@ -310,7 +311,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine:
     places = materialize(term_places(rows, terms), "places")
     frequency, total = document_frequency(places, len(terms))
     idf = np.log((total + 1.0) / (frequency + 1.0)) + 0.1
-    informative = frequency < max(INFORMATIVE * total, LEAST_INFORMATIVE)
+    # In a small corpus every term of some document would pass the share; such terms all inform.
+    informative = frequency <= max(INFORMATIVE * total, SMALL)
     items = []
     for r, h in pairs:
         answer = (r["answer"] if "answer" in columns else None) or answer_of(r["text"])
