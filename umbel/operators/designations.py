@@ -11,7 +11,6 @@ from .studies import first_n
 
 LIST_CAP = 15
 MERGED_CAP = 20
-NAME_STOP = 20
 FIELDS = ["generic", "text", "date", "status"]
 
 
@@ -47,8 +46,8 @@ def _by_id(entity_ids: DataFrame, rows: DataFrame, identity: list[str], top, cap
     return _listed(_flat(ids.join(keyed, "id"), ["entity"], identity, top), ["entity"], cap)
 
 
-def _by_name(entity_names: DataFrame, rows: DataFrame, identity: list[str], top, cap: int) -> DataFrame:
-    """Designations whose key equals a name; names are read until 20 are found.
+def _by_name(entity_names: DataFrame, rows: DataFrame, identity: list[str], top, cap: int, name_stop: int | None) -> DataFrame:
+    """Designations whose key equals a name; with ``name_stop`` names are read until so many are found.
 
     The key is made from the designation's text and the text is part of its
     identity, so different names never share a designation. Counts and first
@@ -56,6 +55,8 @@ def _by_name(entity_names: DataFrame, rows: DataFrame, identity: list[str], top,
     entities own a name and however many rows carry it, no pair of the two is
     built.
     """
+    if "text" not in identity:
+        raise ValueError("the text names the key, so it has to be part of the identity")
     per_key = _listed(_flat(rows.where(F.length("key") >= 4), ["key"], identity, top), ["key"], cap)
     names = (
         entity_names.select("entity", "pos", T.normalize_term("name").alias("key"))
@@ -63,9 +64,11 @@ def _by_name(entity_names: DataFrame, rows: DataFrame, identity: list[str], top,
         .groupBy("entity", "key").agg(F.min("pos").alias("pos"))
     )
     found = names.join(per_key, "key")
-    # The names of one entity: a short window.
-    w = W.partitionBy("entity").orderBy("pos", "key").rowsBetween(W.unboundedPreceding, -1)
-    read = found.withColumn("earlier", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("earlier") < NAME_STOP)
+    read = found
+    if name_stop is not None:
+        # The names of one entity: a short window.
+        w = W.partitionBy("entity").orderBy("pos", "key").rowsBetween(W.unboundedPreceding, -1)
+        read = found.withColumn("earlier", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("earlier") < name_stop)
     ordered = F.array_sort(F.flatten(F.collect_list("firsts")), _compare)
     return read.groupBy("entity").agg(
         F.sum("n").alias("n"), F.sum("n_top").alias("n_top"), F.slice(ordered, 1, cap).alias("firsts")
@@ -94,32 +97,35 @@ def _result(found: DataFrame, agency: str, via: str) -> DataFrame:
 
 def fda_match(
     entity_ids: DataFrame, entity_names: DataFrame, rows: DataFrame,
-    identity: tuple[str, ...] = ("generic", "text", "date"), cap: int = LIST_CAP,
+    identity: tuple[str, ...] = ("generic", "text", "date"), cap: int = LIST_CAP, name_stop: int | None = None,
 ) -> DataFrame:
     """Per entity: counts over all matches and the first ``cap``, by id or by name.
 
+    All names are read; ``name_stop`` stops once so many designations are found.
+
     Names count only where no id hits. ``rows`` has ``ids`` (array), ``key``
     (name key) and ``row`` (struct with ``generic, text, date, status``). Listed:
     approved first, then newest.
     """
     by_id = _by_id(entity_ids, rows, list(identity), is_approved, cap)
     rest = entity_names.join(by_id.select("entity"), "entity", "left_anti")
-    by_name = _by_name(rest, rows, list(identity), is_approved, cap)
+    by_name = _by_name(rest, rows, list(identity), is_approved, cap, name_stop)
     return _result(by_id, "fda", "umls").unionByName(_result(by_name, "fda", "name"))
 
 
 def ema_match(
     entity_names: DataFrame, rows: DataFrame,
-    identity: tuple[str, ...] = ("number", "generic", "text"), cap: int = LIST_CAP,
+    identity: tuple[str, ...] = ("number", "generic", "text"), cap: int = LIST_CAP, name_stop: int | None = None,
 ) -> DataFrame:
     """As ``fda_match``, by name only; positive first."""
-    return _result(_by_name(entity_names, rows, list(identity), is_positive, cap), "ema", "name")
+    return _result(_by_name(entity_names, rows, list(identity), is_positive, cap, name_stop), "ema", "name")
 
 
 def merge_designations(fda: DataFrame, ema: DataFrame, cap: int = MERGED_CAP) -> DataFrame:
     """Approved first agency, positive second agency, then the rest, newest first.
 
-    The list is made from both agencies' lists; counts are over all matches.
+    Counts are over all matches. The list is that of all matches too when each
+    agency's list was made with at least this ``cap``.
     """
     both = fda.unionByName(ema)
     counts = both.groupBy("entity").agg(

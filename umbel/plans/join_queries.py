@@ -313,14 +313,13 @@ _FDA_SQL = f"""{_DESIG_SQL},
 fi AS (SELECT pk AS entity, generic, text, date, min(status) = 'Designated/FDA Approved for Orphan Indication' AS top, 'umls' AS via, 0 AS pos FROM d WHERE marked GROUP BY ALL),
 fk AS (SELECT pk, generic, text, date, min(status) = 'Designated/FDA Approved for Orphan Indication' AS top FROM d GROUP BY ALL),
 fn AS (SELECT pk, count(*) AS n FROM fk GROUP BY pk),
-fr AS (SELECT entity, pk, pos FROM (SELECT nm.*, coalesce(sum(n) OVER (PARTITION BY entity ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM nm JOIN fn USING (pk)
-  WHERE entity NOT IN (SELECT entity FROM fi)) WHERE b < 20),
+fr AS (SELECT nm.* FROM nm JOIN fn USING (pk) WHERE entity NOT IN (SELECT entity FROM fi)),
 fda AS MATERIALIZED (SELECT entity, generic, text, date, top, via FROM fi UNION ALL SELECT entity, generic, text, date, top, 'name' FROM fr JOIN fk USING (pk))
 """
 _EMA_SQL = """
 ek AS (SELECT pk, number, generic, text, arg_min(date, (date, status)) AS date, arg_min(status, (date, status)) = 'Positive' AS top FROM d GROUP BY ALL),
 en AS (SELECT pk, count(*) AS n FROM ek GROUP BY pk),
-er AS (SELECT entity, pk, pos FROM (SELECT nm.*, coalesce(sum(n) OVER (PARTITION BY entity ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM nm JOIN en USING (pk)) WHERE b < 20),
+er AS (SELECT nm.* FROM nm JOIN en USING (pk)),
 ema AS MATERIALIZED (SELECT entity, number, generic, text, date, top FROM er JOIN ek USING (pk))
 """
 
@@ -336,13 +335,13 @@ def _shown(d):
     return d.select("entity", "designations", "approved", F.array_join(rows, "|").alias("listed"))
 
 
-def _fda(spark, sf):
+def _fda(spark, sf, cap=designations.LIST_CAP):
     ids, names = _designation_entities(spark, sf)
-    return designations.fda_match(ids, names, _designation_rows(spark, sf))
+    return designations.fda_match(ids, names, _designation_rows(spark, sf), cap=cap)
 
 
-def _ema(spark, sf):
-    return designations.ema_match(_designation_entities(spark, sf)[1], _designation_rows(spark, sf))
+def _ema(spark, sf, cap=designations.LIST_CAP):
+    return designations.ema_match(_designation_entities(spark, sf)[1], _designation_rows(spark, sf), cap=cap)
 
 
 @query("fda_match", f"WITH {_FDA_SQL} {_list_sql('fda')}")
@@ -363,15 +362,16 @@ def _(spark, sf):
 @query("merge_designations", f"""WITH {_FDA_SQL}, {_EMA_SQL},
 fl AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY top DESC, date DESC, generic, text) AS rn FROM fda),
 el AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY top DESC, date DESC, generic, text) AS rn FROM ema),
-b AS (SELECT entity, 'fda' AS agency, CASE WHEN top THEN 0 ELSE 2 END AS tier, generic, text, date FROM fl WHERE rn <= 15
-  UNION ALL SELECT entity, 'ema', CASE WHEN top THEN 1 ELSE 2 END, generic, text, date FROM el WHERE rn <= 15),
+b AS (SELECT entity, 'fda' AS agency, CASE WHEN top THEN 0 ELSE 2 END AS tier, generic, text, date FROM fl
+  UNION ALL SELECT entity, 'ema', CASE WHEN top THEN 1 ELSE 2 END, generic, text, date FROM el),
 t AS (SELECT entity, string_agg(date, '|' ORDER BY tier, date DESC, generic, text) FILTER (WHERE rn <= 20) AS dates FROM (
   SELECT *, row_number() OVER (PARTITION BY entity ORDER BY tier, date DESC, generic, text) AS rn FROM b) GROUP BY entity),
 f AS (SELECT entity, count(*) AS fc, count(*) FILTER (WHERE top) AS approved FROM fda GROUP BY entity), m AS (SELECT entity, count(*) AS ec FROM ema GROUP BY entity)
 SELECT entity, coalesce(fc, 0) + coalesce(ec, 0) AS designations, coalesce(fc, 0) AS fda_count, coalesce(ec, 0) AS ema_count, coalesce(approved, 0) AS approved,
   CASE WHEN fc > 0 AND ec > 0 THEN 'fda-oopd+ema' WHEN ec > 0 THEN 'ema' ELSE 'fda-oopd' END AS source, dates FROM f FULL JOIN m USING (entity) JOIN t USING (entity)""")
 def _(spark, sf):
-    d = designations.merge_designations(_fda(spark, sf), _ema(spark, sf))
+    cap = designations.MERGED_CAP
+    d = designations.merge_designations(_fda(spark, sf, cap), _ema(spark, sf, cap))
     dates = F.array_join(F.transform("listed", lambda r: r["date"]), "|")
     return d.select("entity", "designations", "fda_count", "ema_count", "approved", "source", dates.alias("dates"))
 
