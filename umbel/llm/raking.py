@@ -40,8 +40,8 @@ def even_targets(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     """``value, share``: the tokens of each value to a power below one, as shares. Evens a mixture out."""
     sums = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
     lifted = sums.select("value", F.pow("tokens", F.lit(power)).alias("w"))
-    total = lifted.agg(F.sum("w").alias("total"))
-    return lifted.join(F.broadcast(total), F.lit(True)).select("value", (F.col("w") / F.col("total")).alias("share"))
+    total = lifted.agg(F.sum("w")).first()[0] or 1.0
+    return lifted.select("value", (F.col("w") / total).alias("share"))
 
 
 def rake(
