@@ -28,7 +28,7 @@ MIN_TITLE = {"phrase": 8, "mesh": 6, "recall": 4}
 def study_texts(
     studies: DataFrame, doc: str = "nct_id", title: str = "title", conditions: str = "conditions"
 ) -> DataFrame:
-    """Rows ``(doc, in_title, text)``, text normalised."""
+    """Rows ``(doc, field, in_title, text)``, text normalised; ``field`` numbers the fields of a document."""
     fields = F.concat(
         F.transform(
             F.coalesce(F.col(conditions), F.array().cast("array<string>")),
@@ -38,18 +38,18 @@ def study_texts(
             F.struct(F.lit(True).alias("in_title"), T.normalize_term(F.coalesce(title, F.lit(""))).alias("text"))
         ),
     )
-    rows = studies.select(F.col(doc).alias("doc"), F.explode(fields).alias("f"))
-    return rows.select("doc", "f.in_title", "f.text")
+    rows = studies.select(F.col(doc).alias("doc"), F.posexplode(fields).alias("field", "f"))
+    return rows.select("doc", "field", "f.in_title", "f.text")
 
 
 def plain_texts(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """Rows ``(doc, in_title, text)`` where the whole text counts as one field.
+    """Rows ``(doc, field, in_title, text)`` where the whole text counts as one field.
 
     Empty texts stay: they have no anchor, and a filter on the computed text
     would make the scan normalise every text twice.
     """
     return docs.select(
-        F.col(doc).alias("doc"), F.lit(False).alias("in_title"), T.normalize_term(text).alias("text")
+        F.col(doc).alias("doc"), F.lit(0).alias("field"), F.lit(False).alias("in_title"), T.normalize_term(text).alias("text")
     )
 
 
@@ -85,15 +85,14 @@ def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
         wide = texts.select("doc", "in_title", "text", F.explode(tokens).alias("anchor"))
         found = wide.join(side, "anchor").where(T.phrase_present(F.col("text"), F.col("term")))
         return found.select("doc", "in_title", "term")
-    # Equal fields of a document count once, so repeated lines cannot multiply.
-    keyed = texts.withColumn("field", F.xxhash64("in_title", "text")).dropDuplicates(["doc", "field"])
+    # Only anchors leave a text; the number of the field leads back to it.
     pairs = (
-        keyed.select("doc", "field", F.explode(tokens).alias("anchor"))
+        texts.select("doc", "field", F.explode(tokens).alias("anchor"))
         .join(side, "anchor")
         .select("doc", "field", "term")
     )
-    found = pairs.join(keyed, ["doc", "field"]).where(T.phrase_present(F.col("text"), F.col("term")))
-    return found.select("doc", "in_title", "term")
+    found = pairs.join(texts, ["doc", "field"]).where(T.phrase_present(F.col("text"), F.col("term")))
+    return found.select("doc", "in_title", "term").distinct()
 
 
 def phrase_match(texts: DataFrame, terms: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +29,9 @@ def write_snapshot(df: DataFrame, path: str, date: str) -> None:
 
 
 def list_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Dates, newest first."""
-    dates = spark.read.parquet(path).select(F.col("snapshot_date").cast("string").alias("snapshot_date"))
-    return dates.distinct().orderBy(F.col("snapshot_date").desc())
+    """Dates, newest first, read off the folder names; no file is opened for them."""
+    found = {m[1] for f in spark.read.parquet(path).inputFiles() if (m := re.search(r"/snapshot_date=([^/]+)/", f))}
+    return spark.createDataFrame([(d,) for d in sorted(found)], "snapshot_date string").orderBy(F.col("snapshot_date").desc())
 
 
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
