@@ -100,12 +100,12 @@ def stop_reason(term: C) -> Column:
         F.length(F.regexp_replace(t, "[^A-Za-z0-9]", "")) < 4
     )
     return (
-        F.when(F.length(t) < 5, "under 5 characters")
-        .when(weak_code, "bare acronym under 4 characters")
-        .when(F.lower(t).isin(vocab.COMMON_WORDS), "single common English word")
+        F.when(F.length(t) < 5, "too-short")
+        .when(weak_code, "bare-acronym")
+        .when(F.lower(t).isin(vocab.COMMON_WORDS), "common-word")
         .when(
             t.rlike(vocab.NUMERIC_PREFIX_LETTER) | t.rlike(vocab.LETTER_SEP_LETTER),
-            "hyphenated/spaced numeric-prefix + single letter (ambiguous)",
+            "numeric-letter",
         )
     )
 
@@ -316,8 +316,8 @@ def phrase_terms(names: C, synonyms: C, cap: int = 40) -> Column:
             F.slice(wide, 1, cap).alias("terms"),
             F.concat(
                 v["dropped"],
-                because(scaffold, "ontology scaffolding synonym"),
-                because(over, "term-cap after article variants"),
+                because(scaffold, "scaffold-synonym"),
+                because(over, "over-cap"),
             ).alias("dropped"),
         )
 

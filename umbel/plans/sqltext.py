@@ -33,11 +33,11 @@ def matches(x: str, rx: str) -> str:
 
 
 def stop_reason(t: str) -> str:
-    return f"""CASE WHEN length({t}) < 5 THEN 'under 5 characters'
-      WHEN {matches(t, vocab.BARE_CODE)} AND length(regexp_replace({t}, '[^A-Za-z0-9]', '', 'g')) < 4 THEN 'bare acronym under 4 characters'
-      WHEN lower({t}) IN {in_list(vocab.COMMON_WORDS)} THEN 'single common English word'
+    return f"""CASE WHEN length({t}) < 5 THEN 'too-short'
+      WHEN {matches(t, vocab.BARE_CODE)} AND length(regexp_replace({t}, '[^A-Za-z0-9]', '', 'g')) < 4 THEN 'bare-acronym'
+      WHEN lower({t}) IN {in_list(vocab.COMMON_WORDS)} THEN 'common-word'
       WHEN {matches(t, vocab.NUMERIC_PREFIX_LETTER)} OR {matches(t, vocab.LETTER_SEP_LETTER)}
-        THEN 'hyphenated/spaced numeric-prefix + single letter (ambiguous)' END"""
+        THEN 'numeric-letter' END"""
 
 
 def blocked(t: str) -> str:
