@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids as I
-from ..runtime import materialize
+from ..runtime import discard, materialize
 from .ranks import row_index
 
 MAX_ROUNDS = 60
@@ -77,7 +77,9 @@ def components(keys: DataFrame, node: str = "rid", key: str = "key") -> DataFram
     for _ in range(MAX_ROUNDS):
         before = edges
         edges = materialize(_star(_star(before, larger=True), larger=False), "components")
-        if not _differ(before, edges):
+        settled = not _differ(before, edges)
+        discard(before)
+        if settled:
             break
     else:
         raise RuntimeError("components did not settle")
