@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import discard, materialize
 
 ROUNDS = 40
 TOLERANCE = 1e-4
@@ -67,7 +67,7 @@ def rake(
         shares[d] = rows.withColumn("s", F.col("s") / total)
     current = live.withColumn("weight", F.col("tokens").cast("double"))
     total = live.agg(F.sum("tokens")).first()[0] or 1
-    current, gap = current.withColumn("weight", F.col("weight") / total), float("inf")
+    current, gap, last = current.withColumn("weight", F.col("weight") / total), float("inf"), None
     for _ in range(rounds):
         for d in dims:
             sums = current.groupBy(d).agg(F.sum("weight").alias("now")).join(shares[d], d).select(
@@ -76,6 +76,9 @@ def rake(
             current = current.join(sums, d).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
         # A round is a table: the next one starts from rows, not from a longer plan.
         current = materialize(current, "raked")
+        if last is not None:
+            discard(last)
+        last = current
         gaps = [
             current.groupBy(d).agg(F.sum("weight").alias("now")).join(shares[d], d).select(
                 F.abs(F.col("now") / F.col("s") - 1).alias("gap")
