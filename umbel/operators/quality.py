@@ -15,6 +15,8 @@ from .confidence import failed
 # Audit thresholds.
 CONTAMINATION_SHARE = 0.02
 SHARE_TOLERANCE = 0.0005
+# Reviewer names that are no person; a caller adds the names of its own tools.
+MACHINE_REVIEWERS = "(?i)model|consensus"
 
 
 def _recall(terms: str = "recall_terms") -> Column:
@@ -107,7 +109,7 @@ def audit_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def corpus_issues(counts: DataFrame, aggregate: DataFrame, validation: DataFrame | None = None) -> DataFrame:
+def corpus_issues(counts: DataFrame, aggregate: DataFrame, validation: DataFrame | None = None, machine_reviewers: str = MACHINE_REVIEWERS) -> DataFrame:
     """Corpus rules from two one-row frames side by side.
 
     ``aggregate``: ``studies_denominator, no_studies, share_zero``.
@@ -126,7 +128,7 @@ def corpus_issues(counts: DataFrame, aggregate: DataFrame, validation: DataFrame
     if validation is not None:
         rules.append(
             ("ASSERT", "validation-method-mislabelled",
-             F.col("method").rlike("(?i)human") & F.col("reviewed_by").rlike("(?i)model|gpt|claude|consensus"))
+             F.col("method").rlike("(?i)human") & F.col("reviewed_by").rlike(machine_reviewers))
         )
     hits = F.array_compact(
         F.array(*[
@@ -139,8 +141,10 @@ def corpus_issues(counts: DataFrame, aggregate: DataFrame, validation: DataFrame
     )
 
 
-def audit_issues(df: DataFrame, aggregate: DataFrame, validation: DataFrame | None = None) -> DataFrame:
-    return row_issues(df).unionByName(corpus_issues(audit_counts(df), aggregate, validation))
+def audit_issues(
+    df: DataFrame, aggregate: DataFrame, validation: DataFrame | None = None, machine_reviewers: str = MACHINE_REVIEWERS,
+) -> DataFrame:
+    return row_issues(df).unionByName(corpus_issues(audit_counts(df), aggregate, validation, machine_reviewers))
 
 
 def audit_summary(issues: DataFrame) -> DataFrame:

@@ -431,6 +431,7 @@ a AS ({_HEAD}),
 issues AS (
   SELECT 'ASSERT' AS level, 'label-encoding-corrupt' AS issue, code FROM derived WHERE regexp_matches(name, '{T.vocab.MOJIBAKE}') AND name_corrected IS NULL
   UNION ALL SELECT 'WARN', 'label-encoding-corrupt', code FROM derived WHERE regexp_matches(name, '{T.vocab.MOJIBAKE}') AND name_corrected IS NOT NULL
+  UNION ALL SELECT 'ASSERT', 'credible-record-null-total', code FROM derived WHERE health <> 'broken' AND studies_error IS NULL AND fully_scanned AND studies IS NULL
   UNION ALL SELECT 'WARN', 'ontology-speak-divergence', code FROM derived WHERE scaffold_query
   UNION ALL SELECT 'WARN', 'trials-exceed-publications', code FROM derived WHERE studies > papers AND studies > 0
   UNION ALL SELECT 'WARN', 'no-parent-tier-despite-mondo-ancestry', code FROM derived WHERE studies = 0 AND parent_studies IS NULL AND len(node_ids) > 0
@@ -441,7 +442,7 @@ issues AS (
 
 
 def _audit(spark, sf):
-    d = derived_table(spark, sf).withColumn("in_studies_denominator", conf.credible("studies") & F.col("studies").isNotNull())
+    d = derived_table(spark, sf).withColumn("in_studies_denominator", conf.credible("studies"))
     a = agg.headline_counts(d).select(
         "studies_denominator", "no_studies", (F.col("no_studies") / F.col("studies_denominator")).alias("share_zero")
     )
