@@ -4,7 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from tests.llm.test_llm_exact import odd
-from umbel.llm import minhash, simhash
+from umbel.llm import latent, minhash, simhash
 
 
 def five(text):
@@ -48,3 +48,27 @@ def test_a_large_group_of_near_copies(spark):
     rows += [(1000 + i, " ".join(some_words(rng, 100))) for i in range(50)] + [(None, rows[0][1]), (2000, "A b"), (2001, "a  B"), (2002, ""), (2003, None)]
     kept = [r.doc_id for r in minhash.keep_one(odd(spark, rows)).collect()]
     assert sorted(kept, key=str) == sorted([0, *range(1000, 1050), None, 2000, 2002], key=str)
+
+
+def bench(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+
+
+def test_an_item_copied_into_a_third_of_the_documents(spark):
+    rng = np.random.default_rng(7)
+    words = some_words(rng, 30)
+    items = [" ".join(words), *(" ".join(some_words(rng, 40)) for _ in range(40))]
+    known = " ".join(items[1:]).split()
+    rows, want = [], set()
+    for d in range(600):
+        pad = [str(w) for w in rng.choice(known, 200)]
+        if d % 3 == 0:
+            own = list(words)
+            if d % 2:
+                own[int(rng.integers(0, 30))] = "other"
+            at = int(rng.integers(0, 200))
+            pad[at:at] = own
+            want.add(d)
+        rows.append((d, " ".join(pad)))
+    got = latent.find_leaks(odd(spark, rows), bench(spark, *items)).collect()
+    assert {r.doc_id for r in got if r.item_id == 0} == want and all(r.kind == "copy" for r in got if r.item_id == 0)

@@ -8,6 +8,10 @@ is a stated query set, taken in blocks. Candidates are checked word by word: the
 longest common subsequence of item and document within a span not much longer than
 the item. A nearly whole item is a copy; a looser match counts as a paraphrase only
 if the item's answer is there too.
+
+Copies do not depend on the latent space or on how common their words are: runs of
+three words shared by an item and a document are counted by where the item would
+begin, and a place with as many as a copy must have is checked too.
 """
 
 from __future__ import annotations
@@ -34,10 +38,8 @@ COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.75
 STRETCH = 1.25
 # Benchmark items compared at a time.
 ITEM_BLOCK = 4096
-# Terms in fewer than this share of documents are informative; a window needs some.
-INFORMATIVE, LEAST_INFORMATIVE = 0.02, 2
-# Terms in this many documents or fewer are informative in any corpus.
-SMALL = 20
+# Words of the runs that find copies.
+RUN = 3
 
 
 def _mark() -> np.ndarray:
@@ -229,20 +231,80 @@ class Item:
         return found
 
 
+class Runs:
+    """The items' runs of ``RUN`` words, or of all words of a shorter item, in the order of their codes."""
+
+    def __init__(self, items: list[Item]):
+        sizes = np.array([len(i.terms) for i in items], np.int64)
+        self.sizes = sizes
+        # A word of an item that is replaced breaks RUN runs at most.
+        lost = np.floor((1 - COPY) * sizes + 1e-9).astype(np.int64)
+        self.needed = np.maximum(sizes - RUN + 1 - RUN * lost, 1)
+        self.tables = []
+        for width in range(1, RUN + 1):
+            mine = [i for i in range(len(items)) if min(len(items[i].terms), RUN) == width]
+            codes = [run_codes(np.array(items[i].terms, np.int64), width) for i in mine]
+            owner = np.repeat(np.array(mine, np.int64), [len(c) for c in codes])
+            offset = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, np.int64)
+            code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
+            order = np.argsort(code, kind="stable")
+            self.tables.append((code[order], owner[order], offset[order]))
+
+    def places(self, row: np.ndarray, place: np.ndarray, term: np.ndarray):
+        """``(row, item, first word)`` of every stretch of a row with the runs a copy of the item needs."""
+        found = []
+        for width, (codes, owner, offset) in enumerate(self.tables, 1):
+            if not len(codes) or len(term) < width:
+                continue
+            n = len(term) - width + 1
+            own = run_codes(term.astype(np.int64), width)
+            whole = np.flatnonzero((row[:n] == row[width - 1 :]) & (place[width - 1 :] - place[:n] == width - 1))
+            low = np.searchsorted(codes, own[whole], side="left")
+            size = np.searchsorted(codes, own[whole], side="right") - low
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+            here = np.repeat(whole, size)
+            found.append((row[here], owner[at], place[here].astype(np.int64) - offset[at]))
+        if not found:
+            return []
+        r, i, s = (np.concatenate(c) for c in zip(*found))
+        if not len(r):
+            return []
+        out = set()
+        # Begins that lost words shift by half an item at most lie in one block of one of the two rows of blocks.
+        for shift in (0, 1):
+            width = self.sizes[i]
+            block = (s + width + shift * (width // 2)) // np.maximum(width, 1)
+            order = np.lexsort((s, block, i, r))
+            a, b, c = r[order], i[order], block[order]
+            edge = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]))))
+            enough = edge[np.diff(np.append(edge, len(a))) >= self.needed[b[edge]]]
+            out.update(zip(a[enough].tolist(), b[enough].tolist(), np.maximum(s[order][enough], 0).tolist()))
+        return sorted(out)
+
+
+def run_codes(terms: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` terms."""
+    n = max(len(terms) - width + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for j in range(width):
+        out = textbytes.mix(out + terms[j : j + n].astype(np.uint64) + np.uint64(1))
+    return out
+
+
 MATCH = "doc_id long, item_id long, cosine double, common double, answer double, kind string, at long"
 
 
-def search(places: DataFrame, items: list[Item], idf: np.ndarray, space: np.ndarray, informative: np.ndarray, cosine: float) -> DataFrame:
+def search(places: DataFrame, items: list[Item], idf: np.ndarray, space: np.ndarray, cosine: float) -> DataFrame:
     """``MATCH`` rows for one block of items: checked matches, the best per document and item."""
     latent = space * idf[:, None]
     rows = np.stack([latent[i.terms].sum(axis=0) for i in items]) if items else np.zeros((0, space.shape[1]))
     rows = np.divide(rows, np.linalg.norm(rows, axis=1, keepdims=True), out=np.zeros_like(rows), where=np.linalg.norm(rows, axis=1, keepdims=True) > 0)
     shared = places.sparkSession.sparkContext.broadcast(
-        (items, latent.astype(np.float32), np.ascontiguousarray(rows.T, np.float32), informative)
+        (items, latent.astype(np.float32), np.ascontiguousarray(rows.T, np.float32), Runs(items))
     )
 
     def run(batches):
-        items_, terms_, targets, rare = shared.value
+        items_, terms_, targets, runs = shared.value
         names = [c.split()[0] for c in MATCH.split(", ")]
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
@@ -258,10 +320,26 @@ def search(places: DataFrame, items: list[Item], idf: np.ndarray, space: np.ndar
                 base = np.cumsum(sizes + 2 * WINDOW) - (sizes + 2 * WINDOW)
                 key = base[row] + place
                 low, high = np.searchsorted(key, base[owner] + begin), np.searchsorted(key, base[owner] + begin + WINDOW)
-                tally = np.concatenate(([0], np.cumsum(rare[term])))
-                kept = np.flatnonzero(tally[high] - tally[low] >= LEAST_INFORMATIVE)
+                kept = np.flatnonzero(high > low)
                 edge = np.searchsorted(row, np.arange(n + 1))
                 best: dict[tuple[int, int], tuple] = {}
+
+                def check(r, i, b, e, near):
+                    item = items_[i]
+                    own = slice(edge[r], edge[r + 1])
+                    common, answer, at = item.best(place[own], term[own], b, e)
+                    share, told = common / len(item.terms), answer / max(len(item.answer), 1)
+                    if share < PARAPHRASE or (share < COPY and told < ANSWER):
+                        return
+                    if near is None:
+                        a, z = np.searchsorted(place[own], (at, at + len(item.terms)))
+                        span = terms_[term[own][a:z]].sum(axis=0)
+                        near = float(span @ targets[:, i]) / max(float(np.linalg.norm(span)), 1e-9)
+                    if (share, told, near, at) > best.get((r, i), (0,)):
+                        best[r, i] = share, told, near, at
+
+                for r, i, b in runs.places(row, place, term):
+                    check(r, i, b, b + len(items_[i].terms), None)
                 for c in range(0, len(kept), 2048):
                     mine = kept[c : c + 2048]
                     size = high[mine] - low[mine]
@@ -270,15 +348,8 @@ def search(places: DataFrame, items: list[Item], idf: np.ndarray, space: np.ndar
                     length = np.linalg.norm(seen, axis=1)
                     near = (seen @ targets) / np.maximum(length, 1e-9)[:, None]
                     for w, i in zip(*np.nonzero(near >= cosine)):
-                        r, b = int(owner[mine[w]]), int(begin[mine[w]])
-                        item = items_[i]
-                        common, answer, at = item.best(place[edge[r] : edge[r + 1]], term[edge[r] : edge[r + 1]], b, b + WINDOW)
-                        share, told = common / len(item.terms), answer / max(len(item.answer), 1)
-                        if share < PARAPHRASE or (share < COPY and told < ANSWER):
-                            continue
-                        found = (share, told, float(near[w, i]), at)
-                        if found > best.get((r, i), (0,)):
-                            best[r, i] = found
+                        b = int(begin[mine[w]])
+                        check(int(owner[mine[w]]), int(i), b, b + WINDOW, float(near[w, i]))
                 if best:
                     cols = list(zip(*[
                         (doc[r], items_[i].item_id, c, s, t, "copy" if s >= COPY else "paraphrase", at) for (r, i), (s, t, c, at) in sorted(best.items())
@@ -311,8 +382,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine:
     places = materialize(term_places(rows, terms), "places")
     frequency, total = document_frequency(places, len(terms))
     idf = np.log((total + 1.0) / (frequency + 1.0)) + 0.1
-    # In a small corpus every term of some document would pass the share; such terms all inform.
-    informative = frequency <= max(INFORMATIVE * total, SMALL)
     items = []
     for r, h in pairs:
         answer = (r["answer"] if "answer" in columns else None) or answer_of(r["text"])
@@ -330,7 +399,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine:
     sparse = spark.createDataFrame(passages, "terms array<int>, weights array<double>")
     space = randomised_svd(sparse, len(terms), rank)
     found = [
-        search(places, items[a : a + ITEM_BLOCK], idf, space, informative, cosine) for a in range(0, len(items), ITEM_BLOCK)
+        search(places, items[a : a + ITEM_BLOCK], idf, space, cosine) for a in range(0, len(items), ITEM_BLOCK)
     ]
     out = found[0]
     for more in found[1:]:
