@@ -72,3 +72,14 @@ def test_an_item_copied_into_a_third_of_the_documents(spark):
         rows.append((d, " ".join(pad)))
     got = latent.find_leaks(odd(spark, rows), bench(spark, *items)).collect()
     assert {r.doc_id for r in got if r.item_id == 0} == want and all(r.kind == "copy" for r in got if r.item_id == 0)
+
+
+def test_documents_that_are_short_items(spark):
+    five_words = "Who painted the Mona Lisa"
+    fifteen = "Which river flows through Vienna and Budapest on its way east? The Danube does that"
+    reworded = "Which river flows across Vienna and then Budapest on its course east? The Danube does that"
+    pad = " ".join(f"pad{i}" for i in range(80))
+    items = bench(spark, five_words, fifteen, f"{fifteen} {pad} one much longer item")
+    rows = [(1, five_words), (2, fifteen), (3, "Danube"), (4, reworded), (5, ""), (6, "five other words stand here")]
+    got = {(r.doc_id, r.item_id) for r in latent.find_leaks(odd(spark, rows), items).collect()}
+    assert got == {(1, 0), (2, 1), (4, 1)}

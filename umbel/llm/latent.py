@@ -314,7 +314,8 @@ def search(places: DataFrame, items: list[Item], idf: np.ndarray, space: np.ndar
                 row, place, term = _flat(batch, n)
                 if not len(row):
                     continue
-                count = np.maximum((sizes - 1) // STRIDE, 0)
+                # Every text with a word has a window.
+                count = np.maximum((sizes - 1) // STRIDE, (sizes > 0).astype(np.int64))
                 owner = np.repeat(np.arange(n), count)
                 begin = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
                 base = np.cumsum(sizes + 2 * WINDOW) - (sizes + 2 * WINDOW)
