@@ -4,7 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from tests.llm.test_llm_exact import odd
-from umbel.llm import latent, minhash, simhash
+from umbel.llm import latent, minhash, raking, simhash
 
 
 def five(text):
@@ -83,3 +83,26 @@ def test_documents_that_are_short_items(spark):
     rows = [(1, five_words), (2, fifteen), (3, "Danube"), (4, reworded), (5, ""), (6, "five other words stand here")]
     got = {(r.doc_id, r.item_id) for r in latent.find_leaks(odd(spark, rows), items).collect()}
     assert got == {(1, 0), (2, 1), (4, 1)}
+
+
+def test_one_rare_document_does_not_shrink_the_mixture(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for d in range(900):
+        s, lang = int(rng.choice(3, p=[0.7, 0.2, 0.1])), int(rng.choice(2, p=[0.8, 0.2]))
+        rows.append((d, f"s{s}", f"l{lang}", " ".join(["word"] * int(rng.integers(50, 300)))))
+    schema = "doc_id long, source string, lang string, text string"
+    shares = []
+    for more in ([], [(5000, "rare", "l0", "just five words of text")], [(5000, "rare", "odd", "just five words of text")]):
+        got = raking.by_source_language_topic(spark.createDataFrame(rows + more, schema)).collect()
+        old = [r for r in got if r.doc_id < 5000]
+        kept, total = {}, sum(r.mix_tokens for r in old)
+        for r in old:
+            kept[r.source] = kept.get(r.source, 0) + r.mix_tokens * r.mix_probability
+        shares.append(sum(kept.values()) / total)
+        sizes = {s: sum(r.mix_tokens for r in old if r.source == s) ** 0.7 for s in kept}
+        print("kept share", shares[-1])
+        assert all(r.mix_probability == 1 for r in got if r.doc_id == 5000)
+        for s, n in sizes.items():
+            assert abs(kept[s] / sum(kept.values()) - n / sum(sizes.values())) < 0.01
+    assert min(shares) >= 0.249
