@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import scratch_path
-from . import attribution, kneser_ney, latent, raking, simhash, site_templates, suffixes, tokenfiles, topk, toxicity
+from . import attribution, kneser_ney, latent, raking, simhash, site_templates, spelling, suffixes, tokenfiles, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = raking.by_source_language_topic(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "lang", "mix_tokens", "mix_probability", "mix_kept")
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = spelling.word_counts(table(spark, sf_dir, "documents"), least=7, slip=31)
+    return spelling.group_variants(counted.where("n >= 2"), times=10)
