@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import scratch_path
-from . import attribution, kneser_ney, latent, raking, simhash, site_templates, spelling, suffixes, tokenfiles, topk, toxicity
+from . import attribution, kneser_ney, latent, packing, raking, simhash, site_templates, spelling, suffixes, tokenfiles, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = spelling.word_counts(table(spark, sf_dir, "documents"), least=7, slip=31)
     return spelling.group_variants(counted.where("n >= 2"), times=10)
+
+
+@query("op11_best_fit_shards")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.shard_documents(table(spark, sf_dir, "documents"), shards=24)
+    return packed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
