@@ -29,7 +29,7 @@ from .textbytes import lower_table, pieces
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Words all trees together are fitted on, and words of a leaf aimed at.
+# Words, about, that all trees together are fitted on, and words of a leaf aimed at.
 SAMPLE = 65_536
 LEAF = 8_192
 # Words, and queries, a unit of work takes at most.
@@ -302,9 +302,14 @@ def _unit(table: pa.Table) -> pa.Table:
 
 
 def _trees(words: DataFrame, sample: int, leaf: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """A tree per word length with more than a leaf of words, from ``sample`` words in hash order."""
+    """A tree per word length with more than a leaf of words, from about ``sample`` words chosen by hash."""
     sizes = {r["size"]: r["n"] for r in words.groupBy("size").agg(F.count("*").alias("n")).where(F.col("n") > leaf).collect()}
-    picked = words.where(F.col("size").isin(list(sizes))).orderBy(F.xxhash64("word"), "word").limit(sample) if sizes else None
+    picked = None
+    if sizes:
+        # A cut on the hash: no task sends more than its share.
+        cut = int(min(1.0, sample / sum(sizes.values())) * 2**31)
+        chosen = words.where(F.pmod(F.xxhash64("word"), F.lit(2**31)) < cut)
+        picked = chosen.where(F.col("size").isin(list(sizes))).orderBy("word")
     by_size: dict[int, list[str]] = {}
     for r in picked.select("size", "word").collect() if picked is not None else []:
         by_size.setdefault(r["size"], []).append(r["word"])
