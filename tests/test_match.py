@@ -3,6 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_points
+from tests.compare import connect, difference
+from umbel import runtime
 from umbel.operators import match, studies, tagging
 
 
@@ -10,10 +13,10 @@ def norm(s):
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in s.lower()).split())
 
 
-@pytest.fixture(params=["broadcast", "shuffle"])
+@pytest.fixture(params=["broadcast", "slices"])
 def path(request, monkeypatch):
-    if request.param == "shuffle":
-        monkeypatch.setattr(match, "broadcast_if_small", lambda df, limit=0: (df, False))
+    if request.param == "slices":
+        monkeypatch.setattr(runtime, "BROADCAST_BYTES", 200)
     return request.param
 
 
@@ -126,3 +129,41 @@ def test_study_lists_are_capped_but_counts_are_not(spark):
     assert (got["total"], got["recruiting_count"], got["expanded_access_total"], got["registered_total"]) == (40, 40, 1, 41)
     assert [r["doc"] for r in got["recruiting"]] == [f"N{i:03d}" for i in range(15)]
     assert got["strategies_with_hits"] == ["phrase", "mesh"]
+
+
+@pytest.mark.parametrize("name", ["phrase_match", "phrase_match_texts", "study_signals", "publication_signals", "count_live", "dictionary_tags"])
+def test_queries_with_terms_past_the_bound(spark, monkeypatch, name):
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 1024 if name == "phrase_match" else 8192)
+    sf = "/root/testdata/sf0.001"
+    df = entry_points.queries()[name](spark, sf)
+    assert difference(df.columns, df.collect(), connect(sf), entry_points.oracle_sql()[name]) is None
+
+
+def test_text_is_scanned_and_never_moved(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 700)
+    docs, terms = sample()
+    d = match.plain_texts(spark.createDataFrame(docs, "id long, text string"), "id", "text")
+    t = match.normal_terms(spark.createDataFrame(terms, "e long, term string"), "e")
+    assert len(match.anchored_slices(d, t)) > 2
+    hits = match.term_hits(d, t)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_a_word_of_all_documents_is_no_anchor(spark, monkeypatch):
+    d = match.plain_texts(spark.createDataFrame([(i, f"everywhere w{i} thing{i % 7}") for i in range(500)], "id long, text string"), "id", "text")
+    # Among the terms alone the word is as rare as the others, and longer.
+    t = match.normal_terms(spark.createDataFrame([(i, f"everywhere thing{i}") for i in range(1)] + [(9, "thing0 other")], "e long, term string"), "e")
+    sketch = match.frequency_sketch(d)
+    counts = {r["token"]: r["n_texts"] for r in match.estimated_frequency(spark.createDataFrame([("everywhere",), ("thing0",), ("nowhere",)], "token string"), sketch).collect()}
+    assert counts["everywhere"] >= 500 and 72 <= counts["thing0"] < 100 and counts["nowhere"] < 10
+    assert {r["term"]: r["anchor"] for r in match.anchored(t).collect()}["everywhere thing0"] == "everywhere"
+    assert {r["term"]: r["anchor"] for r in match.anchored(t, sketch).collect()} == {"everywhere thing0": "thing0", "thing0 other": "other"}
+
+
+def test_slices_hold_every_row_once(spark):
+    df = spark.range(5000).select(F.col("id").alias("term"), F.lit("x" * 50).alias("pad"))
+    slices = runtime.broadcast_slices(df, "term", 20_000)
+    assert len(slices) > 20 and all(runtime.measured_bytes(s) <= 20_000 for s in slices)
+    assert sorted(r["term"] for s in slices for r in s.collect()) == list(range(5000))
+    assert len(runtime.broadcast_slices(df, "term")) == 1

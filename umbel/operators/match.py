@@ -1,29 +1,38 @@
 """Matching term phrases to document text on token boundaries.
 
-Every term hangs on one anchor: its token shared by the fewest other terms (the
-longest of those). A document can only contain the term if it contains the
-anchor, so an equality join on distinct document tokens gives the candidates and
-a containment test on the normalised text decides. No term is compared with a
-document that lacks its anchor, and nothing is compared pairwise.
-
-While the term table fits a broadcast, text never moves: explode, probe and test
-run in one stage. Past the bound, only (document, token) pairs are shuffled; hot
-tokens are split by adaptive skew handling, and the text is read once more by
-document for the test.
+Every term hangs on one anchor, one of its tokens. A document can only contain the
+term if it contains the anchor, so an equality join on distinct document tokens gives
+the candidates and a containment test on the normalised text decides. No term is
+compared with a document that lacks its anchor, and nothing is compared pairwise.
+
+Text never moves: explode, probe and test run in one stage against a broadcast term
+table. A table past the bound is cut into slices that each fit, and the text is
+scanned once a slice. Then the anchor is the token found in the fewest documents,
+read off one count sketch over all text, so a word that every document has is never
+an anchor of a term that has another. Within the bound that extra scan costs more
+than it saves, and the anchor is the token shared by the fewest other terms (the
+longest of those).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
-from ..runtime import broadcast_if_small
+from ..runtime import broadcast_if_small, broadcast_slices, materialize
 
 MIN_CONDITION = 4
 MIN_TITLE = {"phrase": 8, "mesh": 6, "recall": 4}
 
+# The count sketch: so many cells a row, whatever the text; estimates are never too low.
+SKETCH_CELLS, SKETCH_ROWS = 1 << 18, 2
+# Slices whose hits make one table.
+SLICES_A_TABLE = 8
+
 
 def study_texts(
     studies: DataFrame, doc: str = "nct_id", title: str = "title", conditions: str = "conditions"
@@ -65,34 +74,62 @@ def normal_terms(
     )
 
 
-def anchored(terms: DataFrame) -> DataFrame:
+def _cells(token: str) -> Column:
+    return F.array(*[F.pmod(F.xxhash64(F.lit(row), token), F.lit(SKETCH_CELLS)) for row in range(SKETCH_ROWS)])
+
+
+def frequency_sketch(texts: DataFrame) -> DataFrame:
+    """``(row, cell, n)``: texts per cell of a token's hash, over all of ``text``."""
+    tokens = texts.select(F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
+    return tokens.select(F.posexplode(_cells("token")).alias("row", "cell")).groupBy("row", "cell").agg(F.count("*").alias("n"))
+
+
+def estimated_frequency(tokens: DataFrame, sketch: DataFrame) -> DataFrame:
+    """``(token, n_texts)`` of distinct tokens: the least of their cells."""
+    spots = tokens.select("token", F.posexplode(_cells("token")).alias("row", "cell"))
+    return spots.join(sketch, ["row", "cell"], "left").groupBy("token").agg(F.min(F.coalesce("n", F.lit(0))).alias("n_texts"))
+
+
+def anchored(terms: DataFrame, sketch: DataFrame | None = None) -> DataFrame:
     """Distinct terms with their anchor token."""
     distinct = terms.select("term").distinct()
     parts = distinct.select("term", F.explode(F.array_distinct(F.split("term", " "))).alias("token"))
     shared = parts.groupBy("token").agg(F.count("*").alias("n_terms"))
-    return (
-        parts.join(shared, "token")
-        .groupBy("term")
-        .agg(F.min_by("token", F.struct("n_terms", -F.length("token"), "token")).alias("anchor"))
-    )
+    order = [F.col("n_terms"), -F.length("token"), F.col("token")]
+    if sketch is not None:
+        shared = shared.join(estimated_frequency(shared.select("token"), sketch), "token")
+        order = [F.col("n_texts"), *order]
+    return parts.join(shared, "token").groupBy("term").agg(F.min_by("token", F.struct(*order)).alias("anchor"))
+
+
+def anchored_slices(texts: DataFrame, terms: DataFrame) -> list[DataFrame]:
+    """The term table with anchors, ready to be broadcast slice by slice."""
+    near = anchored(terms)
+    if broadcast_if_small(near)[1]:
+        return [F.broadcast(near)]
+    sketch = materialize(frequency_sketch(texts), "sketch")
+    return broadcast_slices(anchored(terms, sketch), "term")
+
+
+def over_slices(slices: list[DataFrame], hits) -> DataFrame:
+    """``hits(slice)`` of every slice together; many slices are written some at a time."""
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    if len(slices) <= SLICES_A_TABLE:
+        return union([hits(side) for side in slices])
+    groups = [slices[i : i + SLICES_A_TABLE] for i in range(0, len(slices), SLICES_A_TABLE)]
+    return union([materialize(union([hits(side) for side in group]), "hits") for group in groups])
 
 
 def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """``(doc, in_title, term)`` for each text field that contains a term."""
-    side, fits = broadcast_if_small(anchored(terms))
-    tokens = F.array_distinct(F.split("text", " "))
-    if fits:
-        wide = texts.select("doc", "in_title", "text", F.explode(tokens).alias("anchor"))
+    tokens = F.explode(F.array_distinct(F.split("text", " ")))
+    wide = texts.select("doc", "in_title", "text", tokens.alias("anchor"))
+
+    def hits(side: DataFrame) -> DataFrame:
         found = wide.join(side, "anchor").where(T.phrase_present(F.col("text"), F.col("term")))
         return found.select("doc", "in_title", "term")
-    # Only anchors leave a text; the number of the field leads back to it.
-    pairs = (
-        texts.select("doc", "field", F.explode(tokens).alias("anchor"))
-        .join(side, "anchor")
-        .select("doc", "field", "term")
-    )
-    found = pairs.join(texts, ["doc", "field"]).where(T.phrase_present(F.col("text"), F.col("term")))
-    return found.select("doc", "in_title", "term").distinct()
+
+    return over_slices(anchored_slices(texts, terms), hits)
 
 
 def phrase_match(texts: DataFrame, terms: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 # A side is broadcast only when its measured bytes stay under this bound.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -57,21 +59,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan that a single unsplittable file leaves in one task, dealt to all cores.
+    """In a session of one machine, the rows of a scan dealt to all cores.
 
-    Any scan of two splits or more is left as it is.
+    A small file often has one row group, and then one task has all its rows however
+    many splits the file is cut into. On a cluster tables have many row groups and the
+    scan stays as it is.
     """
-    return scan if scan.rdd.getNumPartitions() > 1 else scan.repartition(scan.sparkSession.sparkContext.defaultParallelism)
+    context = scan.sparkSession.sparkContext
+    return scan.repartition(context.defaultParallelism) if re.match(r"local(\[|$)", context.master) else scan
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, label: str = "stage", by: str | None = None) -> DataFrame:
     """Cut lineage: write a table to the shared folder and read it back.
 
     Survives the loss of any executor, and gives the optimiser real sizes for
-    what follows.
+    what follows. ``by`` names a column whose values get folders of their own.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.mode("errorifexists").parquet(path)
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._scratch_path = path
     return table
@@ -86,24 +92,59 @@ def discard(table: DataFrame) -> None:
         place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: text as it is, 16 for each field, nested fields as JSON text."""
+    size = F.lit(16 * len(df.columns))
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            size = size + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(field.dataType, (ArrayType, MapType, StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return size
+
+
 def measured_bytes(df: DataFrame) -> int:
-    """Bytes of the rows as text plus 16 per row and column, by one aggregate."""
-    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    row = df.agg(F.sum(size + F.lit(16 * len(df.columns))).alias("b")).first()
-    return int(row["b"] or 0)
+    """Bytes of all rows, by one aggregate."""
+    return int(df.agg(F.sum(row_bytes(df)).alias("b")).first()["b"] or 0)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+def broadcast_if_small(df: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]:
     """``(side, fits)``: a broadcast hint only when the measured size fits.
 
     The caller joins either way; past the limit the join shuffles and adaptive
     skew handling splits hot keys.
     """
-    if measured_bytes(df) <= limit:
+    if measured_bytes(df) <= (BROADCAST_BYTES if limit is None else limit):
         return F.broadcast(df), True
     return df, False
 
 
+def broadcast_slices(df: DataFrame, key: str, limit: int | None = None) -> list[DataFrame]:
+    """The rows of a table in slices that each fit a broadcast; one slice if all fits.
+
+    For joins against a side that must not move: it is scanned once a slice. Slices
+    are cut by the hash of ``key`` (distinct values, or nearly) and their sizes are
+    measured again, so each hint is backed by its own figure.
+    """
+    limit = BROADCAST_BYTES if limit is None else limit
+    total = measured_bytes(df)
+    if total <= limit:
+        return [F.broadcast(df)]
+    held, parts = materialize(df, "slices"), 1 + total // limit
+    while True:
+        cut = held.withColumn("slice", F.pmod(F.xxhash64(key), F.lit(parts)))
+        largest = cut.groupBy("slice").agg(F.sum(row_bytes(held)).alias("b"), F.count("*").alias("n")).agg(
+            F.max(F.when(F.col("n") > 1, F.col("b")))
+        ).first()[0]
+        if largest is None or largest <= limit:
+            break
+        parts *= 2
+    kept = materialize(cut, "slices", by="slice")
+    discard(held)
+    return [F.broadcast(kept.where(F.col("slice") == i).drop("slice")) for i in range(parts)]
+
+
 def side_by_side(*frames: DataFrame) -> DataFrame:
     """One-row frames as one wide row: a union and a max, no join."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
