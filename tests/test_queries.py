@@ -1,5 +1,7 @@
 """Every registered query against its SQL at the smallest scale."""
 
+import importlib
+
 import pytest
 
 import __spark_entry__ as entry_points
@@ -30,3 +32,23 @@ def test_query(spark, con, name):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     if name in SQL:
         assert difference(df.columns, rows, con, SQL[name]) is None
+
+
+@pytest.mark.parametrize("name,table,module", [
+    ("fda_match", "lineitem", "designations"), ("ema_match", "lineitem", "designations"), ("merge_designations", "lineitem", "designations"),
+    ("summarise_chemicals", "lineitem", "associations"), ("corpus_rollup", "part", None), ("corpus_levels", "part", None),
+])
+def test_facts_are_read_once(spark, monkeypatch, name, table, module):
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    if module:
+        owner = importlib.import_module(f"umbel.operators.{module}")
+        real = owner.materialize
+        monkeypatch.setattr(owner, "materialize", lambda df, *a, **b: real(planned(df), *a, **b))
+    planned(QUERIES[name](spark, SF))
+    scans = [line for plan in plans for line in plan.splitlines() if "FileScan" in line and f"/{table}.parquet" in line]
+    assert len(scans) == 1

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from umbel.operators import designations, evidence, graph, identifiers, reconcile, registries
@@ -9,6 +11,38 @@ def closure(spark, edges, **kw):
     return {(r["node"], r["ancestor"]): r["depth"] for r in graph.ancestors(spark.createDataFrame(edges, EDGE), **kw).collect()}
 
 
+def walked(rows):
+    return {(r["node"], r["ancestor"]): (r["depth"], tuple(r["path"])) for r in rows.collect()}
+
+
+def test_walks_from_starts_equal_the_closure_and_write_no_more(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(f"n{i}", f"n{rng.randrange(i + 1, i + 9)}", k) for i in range(90) for k in range(2)] + [("n95", "n90", 0), ("n96", "n90", 0)], EDGE)
+    whole = walked(graph.ancestors(edges))
+    assert walked(graph.small_ancestors(edges.where("child >= 'n7'"), 20)) == walked(graph.ancestors(edges.where("child >= 'n7'")))
+    written = []
+    real = graph.materialize
+
+    def counted(df, label="stage", by=None):
+        table = real(df, label, by)
+        if label == graph.CLOSURE:
+            written.append(table.count())
+        return table
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    kept = graph.KeptClosure(edges)
+    some = kept.of(spark.createDataFrame([("n60",), ("n61",), (None,), ("gone",)], "node string"))
+    want = {k: v for k, v in whole.items() if k[0] in ("n60", "n61")}
+    assert walked(some) == want and sum(written) == len(want) < len(whole) / 4
+    more = kept.of(spark.createDataFrame([("n61",), ("n80",)], "node string"))
+    new = {k: v for k, v in whole.items() if k[0] == "n80"}
+    assert walked(more) == {k: v for k, v in whole.items() if k[0] in ("n61", "n80")} and sum(written) == len(want) + len(new)
+    for depth in (1, 2, 3):
+        cut = graph.ancestors(edges, spark.createDataFrame([("n5",)], "node string"), max_depth=depth)
+        assert walked(cut) == {k: v for k, v in whole.items() if k[0] == "n5" and v[0] <= depth}
+    assert graph.ancestors(edges, spark.createDataFrame([], "node string")).isEmpty()
+
+
 def test_ancestors_diamond_cycle_and_depth(spark):
     got = closure(spark, [("a", "b", 0), ("a", "c", 1), ("b", "d", 0), ("c", "d", 0), ("d", "a", 0)])
     assert got[("a", "d")] == 2 and ("a", "a") not in got and got[("d", "c")] == 2 and got[("b", "c")] == 3
@@ -110,13 +144,15 @@ def test_designations_by_id_then_by_name(spark):
     got = {r["entity"]: r for r in designations.fda_match(ids, names, rows).collect()}
     assert (got["e"]["matched_via"], got["e"]["designations"], got["e"]["approved"], len(got["e"]["listed"])) == ("umls", 20, 1, 15)
     assert got["e"]["listed"][0]["generic"] == "g3" and got["e"]["listed"][1]["date"] == "2020-01-20"
-    assert (got["f"]["matched_via"], got["f"]["designations"]) == ("name", 20)  # twenty found, second name unread
+    assert (got["f"]["matched_via"], got["f"]["designations"]) == ("name", 21)
+    few = {r["entity"]: r["designations"] for r in designations.fda_match(ids, names, rows, name_stop=20).collect()}
+    assert few["f"] == 20  # twenty found, second name unread
     assert got["g"]["designations"] == 1
     assert [x["generic"] for x in got["f"]["listed"]] == [x["generic"] for x in got["e"]["listed"]]
     ema = designations.ema_match(names, rows)
     merged = {r["entity"]: r for r in designations.merge_designations(designations.fda_match(ids, names, rows), ema).collect()}
     assert (merged["e"]["source"], merged["e"]["designations"]) == ("fda-oopd+ema", 21)
-    assert len(merged["f"]["listed"]) == 20 and merged["f"]["designations"] == 40
+    assert len(merged["f"]["listed"]) == 20 and merged["f"]["designations"] == 42
 
 
 def test_backfill_outcomes(spark):

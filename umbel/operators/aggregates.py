@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import signals as S
@@ -51,18 +52,33 @@ def defensibility(df: DataFrame) -> DataFrame:
     )
 
 
-def corpus_levels(catalogue: DataFrame, group: str = "group", name: str = "name") -> tuple[DataFrame, DataFrame]:
-    """``(per group, totals)`` of a catalogue."""
+def corpus_rollup(catalogue: DataFrame, group: str = "group", name: str = "name") -> DataFrame:
+    """Rows per group and the total (``is_total``) of a catalogue, in one pass.
+
+    ``share_rank`` numbers groups by size, ties by name; the total has none.
+    """
     label = F.coalesce(F.col(group), F.lit("(missing)"))
-    is_group = label == "Group of disorders"
-    retired = ~is_group & (F.col(name).startswith("OBSOLETE:") | F.col(name).startswith("NON RARE IN EUROPE:"))
-    per = catalogue.groupBy(label.alias("group")).agg(F.count("*").alias("n"))
-    totals = catalogue.agg(
-        F.count("*").alias("total"),
-        F.count_if(~is_group).alias("after_groups"),
-        F.count_if(retired).alias("retired"),
-        F.count_if(label == "Disorder").alias("disorder_level"),
+    is_group = F.col("group") == "Group of disorders"
+    retired = ~is_group & (F.col("name").startswith("OBSOLETE:") | F.col("name").startswith("NON RARE IN EUROPE:"))
+    # Rolled up on the label alone, so the flags are sums of what stands in the row.
+    rows = catalogue.select(label.alias("group"), F.col(name).alias("name")).select(
+        "group", is_group.alias("is_group"), retired.alias("is_retired"), (F.col("group") == "Disorder").alias("is_disorder")
+    )
+    levels = rows.rollup("group").agg(
+        F.grouping("group").cast("boolean").alias("is_total"), F.count("*").alias("total"),
+        F.count_if(~F.col("is_group")).alias("after_groups"), F.count_if("is_retired").alias("retired"),
+        F.count_if("is_disorder").alias("disorder_level"),
     ).withColumn("usable", F.col("after_groups") - F.col("retired"))
+    # One row a group: a short window.
+    w = W.partitionBy("is_total").orderBy(F.col("total").desc(), "group")
+    return levels.withColumn("share_rank", F.when(~F.col("is_total"), F.row_number().over(w)))
+
+
+def corpus_levels(catalogue: DataFrame, group: str = "group", name: str = "name") -> tuple[DataFrame, DataFrame]:
+    """``(per group, totals)`` of a catalogue, two views of one rollup."""
+    levels = corpus_rollup(catalogue, group, name)
+    per = levels.where(~F.col("is_total")).select("group", F.col("total").alias("n"))
+    totals = levels.where("is_total").select("total", "after_groups", "retired", "disorder_level", "usable")
     return per, totals
 
 

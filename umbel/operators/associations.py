@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
+from ..runtime import materialize
 from .studies import first_n
 
 
@@ -60,48 +64,80 @@ def first_ids(entity_ids: DataFrame) -> DataFrame:
     return entity_ids.groupBy("entity").agg(F.min_by("node", "pos").alias("node"))
 
 
+LISTS = {"chemicals": 12, "pathways": 8, "phenotypes": 8}
+ENTRY = "array<struct<kind:string,key:string,rank:double,name:string,note:string>>"
+
+
+def _entry(kind: str, key: Column, rank: Column, name: Column, note: Column, usable: Column) -> Column:
+    one = F.struct(
+        F.lit(kind).alias("kind"), key.alias("key"), rank.cast("double").alias("rank"), name.alias("name"), note.cast("string").alias("note")
+    )
+    return F.when(usable, F.array(one)).otherwise(F.array().cast(ENTRY))
+
+
+def annotation_entries(chemical: Column, evidence: Column, pathway: Column, rank: Column, sign_id: Column, sign: Column, freq: Column) -> Column:
+    """The chemical, pathway and phenotype that one record names, as one array of entries.
+
+    Chemicals are the same in any case, therapeutic ones come first; pathways are the
+    same in any case, by rank; phenotypes are the same by id, the frequent first.
+    Unnamed ones make no entry.
+    """
+    therapeutic = F.coalesce(evidence.rlike("(?i)therapeutic"), F.lit(False))
+    some = lambda c: F.coalesce(T.strip(c) != "", F.lit(False))
+    return F.concat(
+        _entry("chemicals", F.lower(T.strip(chemical)), F.when(therapeutic, 0).otherwise(1), T.strip(chemical), evidence, some(chemical)),
+        _entry("pathways", F.lower(T.strip(pathway)), rank, T.strip(pathway), F.lit(None), some(pathway)),
+        _entry("phenotypes", T.strip(sign_id), -F.coalesce(freq, F.lit(-1.0)), T.strip(sign), F.lit(None), some(sign_id) & some(sign)),
+    )
+
+
+def summarise_annotations(entity_ids: DataFrame, records: DataFrame) -> DataFrame:
+    """Chemicals, pathways and phenotypes of the entity's first id, in one pass.
+
+    ``records`` has ``node`` and ``entries`` (see ``annotation_entries``). Distinct
+    entries are made once for all kinds and written; counts are over all, lists are
+    twelve chemicals, eight pathways and eight phenotypes.
+    """
+    ids = first_ids(entity_ids)
+    mine = records.join(ids.select("node").distinct(), "node", "left_semi").select("node", F.explode("entries").alias("e")).select("node", "e.*")
+    entries = materialize(
+        mine.groupBy("node", "kind", "key").agg(F.min(F.struct("rank", "name", "note")).alias("m")).select("node", "kind", "key", "m.*"),
+        "annotations",
+    )
+    counts = entries.groupBy("node").agg(*[F.count_if(F.col("kind") == kind).alias(f"{kind}_count") for kind in LISTS])
+    # Phenotypes of one frequency go by id, the others by name.
+    tie = F.when(F.col("kind") == "phenotypes", F.col("key")).otherwise(F.col("name"))
+    most = F.create_map(*[F.lit(x) for pair in LISTS.items() for x in pair])
+    w = W.partitionBy("node", "kind").orderBy("rank", "tie")
+    ranked = entries.withColumn("tie", tie).withColumn("at", F.row_number().over(w)).where(F.col("at") <= max(LISTS.values()))
+    ranked = ranked.where(F.col("at") <= F.element_at(most, F.col("kind")))
+
+    def listed(kind: str, *fields: str) -> Column:
+        row = F.struct("at", F.col("name"), F.col("note").alias("evidence"), F.col("key").alias("id"))
+        rows = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, row)))
+        return F.when(F.size(rows) > 0, F.transform(rows, lambda r: F.struct(*[r[f].alias(f) for f in fields]))).alias(kind)
+
+    lists = ranked.groupBy("node").agg(listed("chemicals", "name", "evidence"), listed("pathways", "name"), listed("phenotypes", "id", "name"))
+    zeros = {f"{kind}_count": F.coalesce(f"{kind}_count", F.lit(0)) for kind in LISTS}
+    return ids.join(counts, "node", "left").join(lists, "node", "left").withColumns(zeros)
+
+
 def summarise_chemicals(
     entity_ids: DataFrame, chemicals: DataFrame, pathways: DataFrame, phenotypes: DataFrame
 ) -> DataFrame:
-    """Chemicals, pathways and phenotypes of the entity's first id.
+    """As ``summarise_annotations``, from three tables, each read once.
 
-    Chemicals (``node, name, evidence``) distinct in any case, therapeutic
-    first, twelve listed; pathways (``node, name, rank``) eight; phenotypes
-    (``node, id, name, freq``) by frequency, eight. Counts are over all.
+    Chemicals: ``node, name, evidence``; pathways: ``node, name, rank``; phenotypes:
+    ``node, id, name, freq``.
     """
-    ids = first_ids(entity_ids)
-    therapeutic = F.coalesce(F.col("evidence").rlike("(?i)therapeutic"), F.lit(False))
-    chem = (
-        chemicals.where(T.strip("name") != "")
-        .groupBy("node", F.lower(T.strip("name")).alias("k"))
-        .agg(F.min(F.struct((~therapeutic).alias("late"), T.strip("name").alias("name"), "evidence")).alias("m"))
-        .select("node", "m.late", "m.name", "m.evidence")
-    )
-    path = (
-        pathways.where(T.strip("name") != "")
-        .groupBy("node", F.lower(T.strip("name")).alias("k"))
-        .agg(F.min(F.struct("rank", T.strip("name").alias("name"))).alias("m"))
-        .select("node", "m.rank", "m.name")
-    )
-    pheno = (
-        phenotypes.where((T.strip("id") != "") & (T.strip("name") != ""))
-        .groupBy("node", T.strip("id").alias("id"))
-        .agg(F.min(F.struct((-F.coalesce("freq", F.lit(-1.0))).alias("f"), T.strip("name").alias("name"))).alias("m"))
-        .select("node", "id", F.col("m.f").alias("f"), "m.name")
-    )
-    parts = [
-        (chem, ["late", "name"], 12, ["name", "evidence"], "chemicals"),
-        (path, ["rank", "name"], 8, ["name"], "pathways"),
-        (pheno, ["f", "id"], 8, ["id", "name"], "phenotypes"),
+    none = F.lit(None).cast("string")
+    zero = F.lit(0.0)
+    rows = [
+        chemicals.select("node", annotation_entries(F.col("name"), F.col("evidence"), none, zero, none, none, zero).alias("entries")),
+        pathways.select("node", annotation_entries(none, none, F.col("name"), F.col("rank"), none, none, zero).alias("entries")),
+        phenotypes.select("node", annotation_entries(none, none, none, zero, F.col("id"), F.col("name"), F.col("freq")).alias("entries")),
     ]
-    out = ids
-    for rows, order, cap, fields, label in parts:
-        mine = rows.join(ids, "node", "left_semi")
-        counts = mine.groupBy("node").agg(F.count("*").alias(f"{label}_count"))
-        lists = first_n(mine, ["node"], order, cap, fields, label)
-        out = out.join(counts, "node", "left").join(lists, "node", "left")
-    zeros = {f"{label}_count": F.coalesce(f"{label}_count", F.lit(0)) for *_, label in parts}
-    return out.withColumns(zeros)
+    return summarise_annotations(entity_ids, reduce(DataFrame.unionByName, rows))
 
 
 def stage_rank(c: T.C):

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import materialize
 from .studies import first_n
 
 LIST_CAP = 15
@@ -26,27 +27,59 @@ def _order(top: str = "top") -> list[Column]:
     return [F.col(top).desc(), F.coalesce("date", F.lit("")).desc(), F.col("generic"), F.col("text")]
 
 
-def _listed(df: DataFrame, keys: list[str], cap: int) -> DataFrame:
+def designation_facts(rows: DataFrame, kinds: dict[str, tuple[str, tuple[str, ...]]]) -> DataFrame:
+    """``(kind, tag, ..., row)``: distinct designations by each way they are found.
+
+    ``kinds`` maps a kind to what its tag is, ``ids`` or ``key``, and to the fields
+    that make designations the same. Every fact is expanded into its tags and grouped
+    once, whatever the number of kinds, and the result is a table in the shared
+    folder: what follows reads that, not the facts.
+    """
+    fields = list(dict.fromkeys(f for _, identity in kinds.values() for f in identity))
+    row = F.col("row")
+
+    def tagged(kind: str, tag: Column, identity: tuple[str, ...]) -> Column:
+        own = [F.when(F.lit(f in identity), row[f]).alias(f"_{f}") for f in fields]
+        return F.struct(F.lit(kind).alias("kind"), tag.alias("tag"), *own)
+
+    tags = []
+    for kind, (source, identity) in kinds.items():
+        if source == "ids":
+            ids = F.filter(F.transform("ids", lambda i: F.upper(T.strip(i))), lambda i: i != "")
+            own = F.transform(ids, lambda i: tagged(kind, i, identity))
+            tags.append(F.coalesce(own, F.array().cast(own_type(rows, fields))))
+        else:
+            long = F.length("key") >= 4
+            tags.append(F.when(long, F.array(tagged(kind, F.col("key"), identity))).otherwise(F.array().cast(own_type(rows, fields))))
+    flat = rows.select("row", F.explode(F.concat(*tags)).alias("t")).select("t.*", "row")
+    one = flat.groupBy("kind", "tag", *[f"_{f}" for f in fields]).agg(F.min("row").alias("row"))
+    return materialize(one, "designations", by="kind")
+
+
+def own_type(rows: DataFrame, fields: list[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema["row"].dataType.fields}
+    return f"array<struct<kind:string,tag:string,{','.join(f'_{f}:{kinds[f]}' for f in fields)}>>"
+
+
+def _listed(df: DataFrame, keys: list[str], top, cap: int) -> DataFrame:
     """Counts over all rows of a key and its first ``cap`` rows in list order."""
+    df = df.withColumn("top", top(F.col("row.status"))).select(*keys, "top", *[f"row.{f}" for f in FIELDS])
     counts = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("top").alias("n_top"))
     return counts.join(first_n(df, keys, _order(), cap, ["top", *FIELDS], "firsts"), keys, "left")
 
 
-def _flat(df: DataFrame, keys: list[str], identity: list[str], top) -> DataFrame:
-    """One row per key and distinct designation."""
-    ident = [F.col(f"row.{c}").alias(f"_{c}") for c in identity]
-    one = df.groupBy(*keys, *ident).agg(F.min("row").alias("row"))
-    return one.withColumn("top", top(F.col("row.status"))).select(*keys, "top", *[f"row.{f}" for f in FIELDS])
+def _entity_ids(entity_ids: DataFrame) -> DataFrame:
+    return entity_ids.select("entity", F.upper(T.strip("id")).alias("tag")).where("tag != ''").distinct()
 
 
-def _by_id(entity_ids: DataFrame, rows: DataFrame, identity: list[str], top, cap: int) -> DataFrame:
-    """Designations sharing an identifier with the entity."""
-    ids = entity_ids.select("entity", F.upper(T.strip("id")).alias("id")).where("id != ''").distinct()
-    keyed = rows.select(F.explode("ids").alias("raw"), "row").select(F.upper(T.strip("raw")).alias("id"), "row")
-    return _listed(_flat(ids.join(keyed, "id"), ["entity"], identity, top), ["entity"], cap)
+def _by_id(entity_ids: DataFrame, facts: DataFrame, top, cap: int) -> DataFrame:
+    """Designations sharing an identifier with the entity; one that several ids share counts once."""
+    fields = [c for c in facts.columns if c.startswith("_")]
+    found = _entity_ids(entity_ids).join(facts, "tag").groupBy("entity", *fields).agg(F.min("row").alias("row"))
+    return _listed(found, ["entity"], top, cap)
 
 
-def _by_name(entity_names: DataFrame, rows: DataFrame, identity: list[str], top, cap: int, name_stop: int | None) -> DataFrame:
+def _by_name(entity_names: DataFrame, facts: DataFrame, top, cap: int, name_stop: int | None) -> DataFrame:
     """Designations whose key equals a name; with ``name_stop`` names are read until so many are found.
 
     The key is made from the designation's text and the text is part of its
@@ -55,19 +88,19 @@ def _by_name(entity_names: DataFrame, rows: DataFrame, identity: list[str], top,
     entities own a name and however many rows carry it, no pair of the two is
     built.
     """
-    if "text" not in identity:
+    if "_text" not in facts.columns:
         raise ValueError("the text names the key, so it has to be part of the identity")
-    per_key = _listed(_flat(rows.where(F.length("key") >= 4), ["key"], identity, top), ["key"], cap)
+    per_key = _listed(facts, ["tag"], top, cap)
     names = (
-        entity_names.select("entity", "pos", T.normalize_term("name").alias("key"))
-        .where(F.length("key") >= 4)
-        .groupBy("entity", "key").agg(F.min("pos").alias("pos"))
+        entity_names.select("entity", "pos", T.normalize_term("name").alias("tag"))
+        .where(F.length("tag") >= 4)
+        .groupBy("entity", "tag").agg(F.min("pos").alias("pos"))
     )
-    found = names.join(per_key, "key")
+    found = names.join(per_key, "tag")
     read = found
     if name_stop is not None:
         # The names of one entity: a short window.
-        w = W.partitionBy("entity").orderBy("pos", "key").rowsBetween(W.unboundedPreceding, -1)
+        w = W.partitionBy("entity").orderBy("pos", "tag").rowsBetween(W.unboundedPreceding, -1)
         read = found.withColumn("earlier", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("earlier") < name_stop)
     ordered = F.array_sort(F.flatten(F.collect_list("firsts")), _compare)
     return read.groupBy("entity").agg(
@@ -95,30 +128,60 @@ def _result(found: DataFrame, agency: str, via: str) -> DataFrame:
     )
 
 
+FDA_IDENTITY = ("generic", "text", "date")
+EMA_IDENTITY = ("number", "generic", "text")
+
+
+def _kind(facts: DataFrame, kind: str) -> DataFrame:
+    return facts.where(F.col("kind") == kind).drop("kind")
+
+
+def _fda(entity_ids: DataFrame, entity_names: DataFrame, facts: DataFrame, cap: int, name_stop: int | None) -> DataFrame:
+    own = _kind(facts, "fda-id")
+    by_id = _by_id(entity_ids, own, is_approved, cap)
+    known = _entity_ids(entity_ids).join(own.select("tag").distinct(), "tag", "left_semi")
+    rest = entity_names.join(known.select("entity"), "entity", "left_anti")
+    by_name = _by_name(rest, _kind(facts, "fda-name"), is_approved, cap, name_stop)
+    return _result(by_id, "fda", "umls").unionByName(_result(by_name, "fda", "name"))
+
+
+def _ema(entity_names: DataFrame, facts: DataFrame, cap: int, name_stop: int | None) -> DataFrame:
+    return _result(_by_name(entity_names, _kind(facts, "ema-name"), is_positive, cap, name_stop), "ema", "name")
+
+
 def fda_match(
     entity_ids: DataFrame, entity_names: DataFrame, rows: DataFrame,
-    identity: tuple[str, ...] = ("generic", "text", "date"), cap: int = LIST_CAP, name_stop: int | None = None,
+    identity: tuple[str, ...] = FDA_IDENTITY, cap: int = LIST_CAP, name_stop: int | None = None,
 ) -> DataFrame:
     """Per entity: counts over all matches and the first ``cap``, by id or by name.
 
     All names are read; ``name_stop`` stops once so many designations are found.
 
     Names count only where no id hits. ``rows`` has ``ids`` (array), ``key``
-    (name key) and ``row`` (struct with ``generic, text, date, status``). Listed:
-    approved first, then newest.
+    (name key) and ``row`` (struct with ``generic, text, date, status``), and is read
+    once. Listed: approved first, then newest.
     """
-    by_id = _by_id(entity_ids, rows, list(identity), is_approved, cap)
-    rest = entity_names.join(by_id.select("entity"), "entity", "left_anti")
-    by_name = _by_name(rest, rows, list(identity), is_approved, cap, name_stop)
-    return _result(by_id, "fda", "umls").unionByName(_result(by_name, "fda", "name"))
+    facts = designation_facts(rows, {"fda-id": ("ids", identity), "fda-name": ("key", identity)})
+    return _fda(entity_ids, entity_names, facts, cap, name_stop)
 
 
 def ema_match(
     entity_names: DataFrame, rows: DataFrame,
-    identity: tuple[str, ...] = ("number", "generic", "text"), cap: int = LIST_CAP, name_stop: int | None = None,
+    identity: tuple[str, ...] = EMA_IDENTITY, cap: int = LIST_CAP, name_stop: int | None = None,
 ) -> DataFrame:
     """As ``fda_match``, by name only; positive first."""
-    return _result(_by_name(entity_names, rows, list(identity), is_positive, cap, name_stop), "ema", "name")
+    return _ema(entity_names, designation_facts(rows, {"ema-name": ("key", identity)}), cap, name_stop)
+
+
+def all_designations(
+    entity_ids: DataFrame, entity_names: DataFrame, rows: DataFrame,
+    cap: int = MERGED_CAP, name_stop: int | None = None,
+) -> DataFrame:
+    """Both agencies' matches in the same ``rows``, merged; the rows are read once."""
+    facts = designation_facts(
+        rows, {"fda-id": ("ids", FDA_IDENTITY), "fda-name": ("key", FDA_IDENTITY), "ema-name": ("key", EMA_IDENTITY)}
+    )
+    return merge_designations(_fda(entity_ids, entity_names, facts, cap, name_stop), _ema(entity_names, facts, cap, name_stop), cap)
 
 
 def merge_designations(fda: DataFrame, ema: DataFrame, cap: int = MERGED_CAP) -> DataFrame:

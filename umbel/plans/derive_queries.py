@@ -199,6 +199,14 @@ def _(spark, sf):
     return agg.corpus_levels(_catalogue(spark, sf))[0]
 
 
+@query("corpus_rollup", f"""WITH {CATALOGUE_SQL}, g AS (SELECT coalesce(grp, '(missing)') AS g, count(*) AS n FROM cat GROUP BY 1)
+SELECT g AS "group", false AS is_total, n AS total, CASE WHEN g = 'Group of disorders' THEN 0 ELSE n END AS after_groups,
+  CAST(row_number() OVER (ORDER BY n DESC, g) AS INT) AS share_rank FROM g
+UNION ALL SELECT NULL, true, total, after_groups, NULL FROM lv""")
+def _(spark, sf):
+    return agg.corpus_rollup(_catalogue(spark, sf)).select("group", "is_total", "total", "after_groups", "share_rank")
+
+
 @query("corpus_totals", f"WITH {CATALOGUE_SQL} SELECT *, after_groups - retired AS usable FROM lv")
 def _(spark, sf):
     return agg.corpus_levels(_catalogue(spark, sf))[1]

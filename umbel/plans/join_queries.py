@@ -147,6 +147,16 @@ def _(spark, sf):
     return graph.ancestors(edges).select("node", "ancestor", "depth")
 
 
+@query("ancestors_brands", """
+WITH b AS (SELECT DISTINCT p_brand AS b, substr(p_brand, 1, 7) AS m FROM part), t AS (SELECT DISTINCT m FROM b)
+SELECT b AS node, m AS ancestor, 1 AS depth, '0' AS path FROM b WHERE b <> m UNION ALL SELECT b, 'Brand', 2, '0-0' FROM b WHERE b <> m UNION ALL SELECT m, 'Brand', 1, '0' FROM t""")
+def _(spark, sf):
+    brands = load(spark, sf, "part").select(F.col("p_brand").alias("child"), F.substring("p_brand", 1, 7).alias("parent")).distinct()
+    top = brands.select(F.col("parent").alias("child"), F.lit("Brand").alias("parent")).distinct()
+    tree = graph.small_ancestors(brands.unionByName(top).withColumn("pos", F.lit(0)))
+    return tree.withColumn("path", F.array_join(F.col("path").cast("array<string>"), "-"))
+
+
 def _named_customers(spark, sf):
     """Customers as labelled nodes: the label comes from segment and key."""
     c = load(spark, sf, "customer")
@@ -186,7 +196,8 @@ SELECT entity, rank, label FROM (SELECT entity, label, row_number() OVER (PARTIT
   WHERE NOT {S.generic('label')} AND {S.shares_signal('name', 'label')}) WHERE rank <= 3""")
 def _(spark, sf):
     names, ids, nodes = _named_customers(spark, sf)
-    return graph.recall_parents(names, ids, _closure(spark, sf), nodes).select("entity", "rank", "label")
+    near = graph.ancestors(_halving(spark, sf), ids, max_depth=2)
+    return graph.recall_parents(names, ids, near, nodes).select("entity", "rank", "label")
 
 
 @query("parent_category", f"""WITH RECURSIVE {_CLOSURE_SQL}, {_NAMED_SQL} {_labelled_sql('WHERE depth <= 2')}
@@ -194,7 +205,8 @@ SELECT entity, label FROM (SELECT entity, label, row_number() OVER (PARTITION BY
   WHERE NOT {S.generic('label')} AND NOT {S.scaffold('label')} AND {S.name_parent('name', 'label')}) WHERE rn = 1""")
 def _(spark, sf):
     names, ids, nodes = _named_customers(spark, sf)
-    return graph.parent_category(names, ids, _closure(spark, sf), nodes).select("entity", "label")
+    near = graph.ancestors(_halving(spark, sf), ids, max_depth=2)
+    return graph.parent_category(names, ids, near, nodes).select("entity", "label")
 
 
 @query("parent_probe", f"""WITH RECURSIVE {_CLOSURE_SQL}, {_NAMED_SQL} {_labelled_sql('')},
@@ -204,13 +216,17 @@ r AS (SELECT entity, label, coalesce(hits, 0) AS hits, rank FROM (SELECT entity,
 s AS (SELECT *, min(CASE WHEN hits >= 50 THEN rank END) OVER (PARTITION BY entity) AS stop FROM r)
 SELECT entity, label, hits FROM s WHERE stop IS NULL OR rank <= stop QUALIFY row_number() OVER (PARTITION BY entity ORDER BY hits DESC, rank) = 1""")
 def _(spark, sf):
+    return _probe(spark, sf, _closure(spark, sf))
+
+
+def _probe(spark, sf, closure):
     _, ids, nodes = _named_customers(spark, sf)
     orders = load(spark, sf, "orders").select(F.col("o_custkey").alias("id"))
     hits = (
         nodes.join(orders, "id").groupBy(T.normalize_term("label").alias("label_key"))
         .agg((F.count("*") % 83).alias("hits"))
     )
-    return graph.parent_probe(ids, _closure(spark, sf), nodes, hits).select("entity", "label", "hits")
+    return graph.parent_probe(ids, closure, nodes, hits).select("entity", "label", "hits")
 
 
 def _policy(spark, sf):
@@ -235,6 +251,11 @@ r AS (SELECT entity, groups, ancestor, via FROM d UNION ALL
   SELECT pa.entity, string_agg(DISTINCT g, ',' ORDER BY g), ancestor, 'parent' FROM pa JOIN pol ON code = ancestor GROUP BY pa.entity, ancestor)
 SELECT c_custkey AS entity, via IS NOT NULL AS listed, via, ancestor, groups FROM customer LEFT JOIN r ON entity = c_custkey""")
 def _(spark, sf):
+    return _policy_match(spark, sf, graph.KeptClosure(_halving(spark, sf)))
+
+
+def _policy_match(spark, sf, kept):
+    """Only customers without an entry of their own are walked."""
     pol = _policy(spark, sf)
     c = load(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_custkey").alias("code"))
     ids = c.select("entity", F.col("code").alias("node"), F.lit(0).alias("pos"))
@@ -242,15 +263,30 @@ def _(spark, sf):
     labels = c.select(F.col("code").alias("id"), F.concat(F.lit("node "), F.col("code").cast("string")).alias("label"))
     nodes = evidence.policy_nodes(pol, code_nodes, labels)
     ent = pol.select("group").distinct().withColumn("entitlement", F.concat(F.lit("benefit "), F.col("group").cast("string")))
-    closure = _closure(spark, sf)
-    texts = nodes.withColumn("node", F.col("node"))
-    d = evidence.policy_match(
-        c, ids, pol, texts, closure, ent
-    )
+    indirect = ids.join(pol.select(F.col("code").alias("node")).distinct(), "node", "left_anti")
+    d = evidence.policy_match(c, ids, pol, nodes, kept.of(indirect), ent)
     return d.select("entity", "listed", "via", F.col("ancestor").cast("bigint").alias("ancestor"),
                     F.array_join(F.col("groups").cast("array<string>"), ",").alias("groups"))
 
 
+@query("parent_fallbacks", f"""WITH RECURSIVE {_CLOSURE_SQL}, {_POLICY_SQL}, {_NAMED_SQL} {_labelled_sql('')},
+hits AS (SELECT label, count(*) % 83 AS hits FROM w JOIN orders ON o_custkey = c_custkey GROUP BY label),
+r AS (SELECT entity, label, coalesce(hits, 0) AS hits, rank FROM (SELECT entity, label, row_number() OVER (PARTITION BY entity ORDER BY pos, depth, path) AS rank FROM lab)
+  LEFT JOIN hits USING (label) WHERE rank <= 8),
+s AS (SELECT *, min(CASE WHEN hits >= 50 THEN rank END) OVER (PARTITION BY entity) AS stop FROM r),
+probe AS (SELECT entity, label, hits FROM s WHERE stop IS NULL OR rank <= stop QUALIFY row_number() OVER (PARTITION BY entity ORDER BY hits DESC, rank) = 1),
+pa AS (SELECT node AS entity, arg_min(ancestor, (depth, path)) AS ancestor FROM closure WHERE ancestor IN (SELECT code FROM pol)
+  AND node NOT IN (SELECT code FROM pol) GROUP BY node)
+SELECT c_custkey AS entity, pa.ancestor AS policy_ancestor, probe.label AS probe_label, probe.hits AS probe_hits
+FROM customer LEFT JOIN pa ON pa.entity = c_custkey LEFT JOIN probe ON probe.entity = c_custkey""")
+def _(spark, sf):
+    # One closure for both: what the policy match has walked, the probe reads.
+    kept = graph.KeptClosure(_halving(spark, sf))
+    policy = _policy_match(spark, sf, kept).select("entity", F.col("ancestor").alias("policy_ancestor"))
+    probe = _probe(spark, sf, kept.of(_named_customers(spark, sf)[1]))
+    return policy.join(probe.select("entity", F.col("label").alias("probe_label"), F.col("hits").alias("probe_hits")), "entity", "left")
+
+
 @query("policy_missing", f"""WITH {_POLICY_SQL} SELECT policy_id, code FROM pol WHERE code NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3)""")
 def _(spark, sf):
     cat = load(spark, sf, "customer").where("c_nationkey != 3").select(F.col("c_custkey").alias("code"))
@@ -335,13 +371,13 @@ def _shown(d):
     return d.select("entity", "designations", "approved", F.array_join(rows, "|").alias("listed"))
 
 
-def _fda(spark, sf, cap=designations.LIST_CAP):
+def _fda(spark, sf):
     ids, names = _designation_entities(spark, sf)
-    return designations.fda_match(ids, names, _designation_rows(spark, sf), cap=cap)
+    return designations.fda_match(ids, names, _designation_rows(spark, sf))
 
 
-def _ema(spark, sf, cap=designations.LIST_CAP):
-    return designations.ema_match(_designation_entities(spark, sf)[1], _designation_rows(spark, sf), cap=cap)
+def _ema(spark, sf):
+    return designations.ema_match(_designation_entities(spark, sf)[1], _designation_rows(spark, sf))
 
 
 @query("fda_match", f"WITH {_FDA_SQL} {_list_sql('fda')}")
@@ -370,8 +406,7 @@ f AS (SELECT entity, count(*) AS fc, count(*) FILTER (WHERE top) AS approved FRO
 SELECT entity, coalesce(fc, 0) + coalesce(ec, 0) AS designations, coalesce(fc, 0) AS fda_count, coalesce(ec, 0) AS ema_count, coalesce(approved, 0) AS approved,
   CASE WHEN fc > 0 AND ec > 0 THEN 'fda-oopd+ema' WHEN ec > 0 THEN 'ema' ELSE 'fda-oopd' END AS source, dates FROM f FULL JOIN m USING (entity) JOIN t USING (entity)""")
 def _(spark, sf):
-    cap = designations.MERGED_CAP
-    d = designations.merge_designations(_fda(spark, sf, cap), _ema(spark, sf, cap))
+    d = designations.all_designations(*_designation_entities(spark, sf), _designation_rows(spark, sf))
     dates = F.array_join(F.transform("listed", lambda r: r["date"]), "|")
     return d.select("entity", "designations", "fda_count", "ema_count", "approved", "source", dates.alias("dates"))
 
@@ -436,10 +471,12 @@ def _(spark, sf):
     li = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
     j = rows.select("o_orderkey", "node").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
     word = lambda p, c, m: F.concat(F.lit(p), (F.col(c) % m).cast("string"))
-    chem = j.select("node", word("chem ", "l_suppkey", 20).alias("name"), F.when(F.col("l_returnflag") == "R", "Therapeutic").alias("evidence"))
-    path = j.select("node", word("path ", "l_partkey", 30).alias("name"), F.col("l_orderkey").alias("rank"))
-    pheno = j.select("node", word("HP:", "l_partkey", 40).alias("id"), word("sign ", "l_partkey", 40).alias("name"), F.col("l_quantity").alias("freq"))
-    d = associations.summarise_chemicals(ids, chem, path, pheno)
+    entries = associations.annotation_entries(
+        word("chem ", "l_suppkey", 20), F.when(F.col("l_returnflag") == "R", "Therapeutic"),
+        word("path ", "l_partkey", 30), F.col("l_orderkey"),
+        word("HP:", "l_partkey", 40), word("sign ", "l_partkey", 40), F.col("l_quantity"),
+    )
+    d = associations.summarise_annotations(ids, j.select("node", entries.alias("entries")))
     lists = [
         F.array_join(F.transform(c, lambda r: r[f]), "|").alias(c)
         for c, f in (("chemicals", "name"), ("pathways", "name"), ("phenotypes", "id"))
