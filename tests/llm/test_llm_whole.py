@@ -1,5 +1,10 @@
 """Cases an operator once left out: planted where a cut would lose them."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 
 import corpus_pipeline
@@ -106,3 +111,22 @@ def test_one_rare_document_does_not_shrink_the_mixture(spark):
         for s, n in sizes.items():
             assert abs(kept[s] / sum(kept.values()) - n / sum(sizes.values())) < 0.01
     assert min(shares) >= 0.249
+
+
+def test_queries_run_where_workers_cannot_import_the_package(tmp_path):
+    repo = Path(__file__).resolve().parents[2]
+    script = tmp_path / "elsewhere.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {str(repo)!r})
+import __spark_entry__ as entry
+from umbel.runtime import build_session
+spark = build_session("elsewhere", partitions=4)
+for name, fn in entry.queries().items():
+    if name.startswith("op"):
+        fn(spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+print("all ran")
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all ran" in done.stdout, done.stderr[-2000:]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from . import textbytes
+from . import shipping, textbytes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -299,12 +299,12 @@ def search(places: DataFrame, items: list[Item], idf: np.ndarray, space: np.ndar
     latent = space * idf[:, None]
     rows = np.stack([latent[i.terms].sum(axis=0) for i in items]) if items else np.zeros((0, space.shape[1]))
     rows = np.divide(rows, np.linalg.norm(rows, axis=1, keepdims=True), out=np.zeros_like(rows), where=np.linalg.norm(rows, axis=1, keepdims=True) > 0)
-    shared = places.sparkSession.sparkContext.broadcast(
-        (items, latent.astype(np.float32), np.ascontiguousarray(rows.T, np.float32), Runs(items))
+    shared = shipping.send(
+        places.sparkSession, (items, latent.astype(np.float32), np.ascontiguousarray(rows.T, np.float32), Runs(items))
     )
 
     def run(batches):
-        items_, terms_, targets, runs = shared.value
+        items_, terms_, targets, runs = shipping.receive(shared)
         names = [c.split()[0] for c in MATCH.split(", ")]
         for whole in batches:
             for a in range(0, whole.num_rows, 512):

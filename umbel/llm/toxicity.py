@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import broadcast_if_small, materialize
-from . import textbytes
+from . import shipping, textbytes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -193,10 +193,10 @@ def build_index(known: DataFrame, idf: np.ndarray, examples: int) -> Index:
 
 def votes(table: DataFrame, index: Index, neighbours: int = NEIGHBOURS) -> DataFrame:
     """``doc_id, label, vote`` and ``evidence``; vote is null without a neighbour."""
-    shared = table.sparkSession.sparkContext.broadcast(index)
+    shared = shipping.send(table.sparkSession, index)
 
     def run(batches):
-        ix = shared.value
+        ix = shipping.receive(shared)
         for whole in batches:
             for a in range(0, whole.num_rows, 2048):
                 batch = whole.slice(a, 2048)
