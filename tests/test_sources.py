@@ -1,11 +1,14 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from umbel.operators import defects
+from umbel import runtime
 from umbel.runtime import scratch_path
-from umbel.sources import catalogue, ontology, policy, records, sinks
+from umbel.operators import name_index, reconcile, registries, terms
+from umbel.sources import catalogue, ontology, policy, publishing, records, sinks, snapshots, xmlsplit
 
 CATALOGUE = """<?xml version="1.0" encoding="UTF-8"?>
 <JDBOR date="2024"><DisorderList count="3">
@@ -155,12 +158,14 @@ def test_upgrade_never_invents_signals(spark):
 def test_snapshots_and_gates(spark):
     path = scratch_path(spark, "snap")
     df = spark.range(3)
-    sinks.write_snapshot(df, path, "2024-01-01")
-    sinks.write_snapshot(df.limit(1), path, "2024-02-01")
-    with pytest.raises(Exception, match="(?i)exist"):
-        sinks.write_snapshot(df, path, "2024-02-01")
-    assert [r[0] for r in sinks.list_snapshots(spark, path).collect()] == ["2024-02-01", "2024-01-01"]
-    assert sinks.latest_snapshot(spark, path).count() == 1
+    snapshots.write_snapshot(df, path, "2024-01-01")
+    snapshots.write_snapshot(df.limit(1), path, "2024-02-01")
+    with pytest.raises(FileExistsError):
+        snapshots.write_snapshot(df, path, "2024-02-01")
+    snapshots.write_snapshot(df.limit(0), path, "2023-02-01")
+    listed = [tuple(r) for r in snapshots.list_snapshots(spark, path).collect()]
+    assert listed == [("2024-02-01", 1), ("2024-01-01", 3), ("2023-02-01", 0)]
+    assert snapshots.latest_snapshot(spark, path).count() == 1
     rows = spark.createDataFrame([("1", 1, True), ("2", None, False)], "code string, studies long, fully_scanned boolean")
     assert sinks.publish_gate(rows, 2) is rows
     for bad in (lambda: sinks.publish_gate(rows, 3), lambda: sinks.publish_gate(rows, 2, 1), lambda: sinks.publish_gate(rows.withColumn("studies", F.lit(1)), 2)):
@@ -183,3 +188,111 @@ def test_defect_origin(spark):
     assert got == {"a": "upstream", "b": "parser", "c": "upstream", "d": "not-reproduced", "e": "not-reproduced"}
     hits = defects.label_hits(spark.createDataFrame([("1", "microcephalicdwarfism", []), ("2", "x", ["gallblader stone"])], "code string, name string, s array<string>"), "code", "name", "s", defects.PATTERNS)
     assert {(r["pattern"], r["in_name"], r["in_any"]) for r in defects.label_defect_scan(hits).collect()} == {("joined-words", 1, 1), ("gallblader", 0, 1)}
+
+
+def test_a_comparison_reads_the_buckets_that_differ(spark):
+    path = scratch_path(spark, "snap")
+    row = F.struct(F.col("id").alias("k"), (F.col("id") * 3).alias("n"), F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("s"))
+    before = spark.range(4000).select(row.alias("r")).select("r.*")
+    after = before.where("k != 17").withColumn("s", F.when(F.col("k") == 99, None).otherwise(F.col("s"))).unionByName(spark.sql("SELECT 9000L AS k, 1L AS n, 'x' AS s"))
+    snapshots.write_snapshot(before, path, "2024-01-01", "k")
+    snapshots.write_snapshot(after.repartition(7), path, "2024-02-01", "k")
+    snapshots.write_snapshot(before.repartition(5).select("s", "n", "k"), path, "2024-03-01", "k")
+    assert snapshots.changed_buckets(spark, path, "2024-01-01", "2024-03-01") == []
+    changed = snapshots.changed_buckets(spark, path, "2024-01-01", "2024-02-01")
+    of = spark.createDataFrame([(17,), (99,), (9000,)], "k long").select(snapshots._bucket("k", snapshots.BUCKETS).alias("b"))
+    assert changed == sorted({r["b"] for r in of.collect()})
+    plan = snapshots.read_snapshot(spark, path, "2024-01-01", changed)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan
+    got = {(r["k"], r["change"], r["field"]) for r in snapshots.diff_snapshots(spark, path, "2024-01-01", "2024-02-01", "k", ["n", "s"]).collect()}
+    assert got == {(17, "lost", None), (9000, "added", None), (99, "changed", "s")}
+    assert got == {(r["k"], r["change"], r["field"]) for r in reconcile.snapshot_diff(before, after, "k", ["n", "s"]).collect()}
+    snapshots.write_snapshot(before, path, "2024-04-01", "k", buckets=8)
+    with pytest.raises(ValueError, match="not laid out alike"):
+        snapshots.changed_buckets(spark, path, "2024-01-01", "2024-04-01")
+
+
+def test_one_writer_of_a_date_wins(spark, monkeypatch):
+    path, df = scratch_path(spark, "snap"), spark.range(5)
+    # Both saw no claim; the second comes to it after the first.
+    monkeypatch.setattr(snapshots, "path_exists", lambda *a: False)
+    snapshots.write_snapshot(df, path, "2024-01-01")
+    with pytest.raises(FileExistsError):
+        snapshots.write_snapshot(df.limit(2), path, "2024-01-01")
+    assert snapshots.latest_snapshot(spark, path).count() == 5
+    assert runtime.claim_file(spark, f"{path}/one") and not runtime.claim_file(spark, f"{path}/one")
+
+
+def test_one_root_is_read_by_many_tasks(spark, tmp_path):
+    record = '<Disorder id="{0}">\n <OrphaCode>{0}</OrphaCode><Name lang="en">Name &amp; {0}</Name>\n <DisorderGroup id="1"><Name>Disorder</Name></DisorderGroup>\n</Disorder>\n'
+    file = tmp_path / "one.xml"
+    file.write_text('<?xml version="1.0" encoding="UTF-8"?>\n<JDBOR date="x"><DisorderList count="3">' + "".join(record.format(i) for i in range(20000)) + "</DisorderList></JDBOR>\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    try:
+        rows = xmlsplit.read_records(spark, str(file), "Disorder", catalogue.CATALOGUE)
+        sizes = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) > 15 and max(sizes) < 20000 / 8
+        whole = spark.read.format("xml").option("rowTag", "Disorder").option("multiLine", True).schema(catalogue.CATALOGUE).load(str(file))
+        assert rows.exceptAll(whole).isEmpty() and whole.exceptAll(rows).isEmpty() and rows.count() == 20000
+        assert catalogue.read_catalogue(spark, str(file)).where("name = 'Name & 7'").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_publishing_by_the_figures_of_the_write(spark):
+    rows = spark.createDataFrame([("1", 1, True), ("2", None, False), ("3", 4, True)], "code string, studies long, fully_scanned boolean")
+    path = scratch_path(spark, "published")
+    with pytest.raises(Exception):
+        publishing.read_published(spark, path)
+    assert publishing.publish(rows, path, 3).first()["published"]
+    bad = publishing.publish(rows.withColumn("fully_scanned", F.lit(None).cast("boolean")), path, 4, failed=1).first()
+    assert (bad["published"], bad["rows"], bad["incomplete"]) == (False, 3, 2)
+    assert bad["reasons"] == ["entities-failed", "wrong-number-of-rows", "not-fully-scanned"]
+    assert publishing.read_published(spark, path).where("fully_scanned").count() == 2
+    assert publishing.publish(rows.limit(0), path, 0).first()["published"] and publishing.read_published(spark, path).isEmpty()
+    log = scratch_path(spark, "done")
+    assert tuple(publishing.append_done(rows, log, 8).first()) == (3, 3, 8, 37.5)
+    assert tuple(publishing.append_done(rows.limit(0), log, 8).first()) == (0, 3, 8, 37.5)
+    assert tuple(publishing.append_done(rows, log, 5).first()) == (3, 6, 5, 100.0)
+    assert tuple(publishing.write_sample(rows, scratch_path(spark, "s"), "x", ["code"], 2).first()) == (2, 2, True)
+    assert tuple(publishing.write_sample(rows, scratch_path(spark, "s"), "x", ["code"], 4).first()) == (4, 3, False)
+
+
+def test_name_index_gives_what_a_scan_gives(spark):
+    rnd, parts = random.Random(11), ["alpha", "beta", "gamma", "syn", "drome", "é", " of ", "-", "type", "X"]
+    label = lambda: "".join(rnd.choices(parts, k=rnd.randint(1, 4)))
+    rows = [(str(i * 7), label(), [label() for _ in range(rnd.randint(0, 3))]) for i in range(300)] + [("9999", None, None), ("12", "ab", [])]
+    entities = spark.createDataFrame(rows, "code string, name string, synonyms array<string>")
+    path = scratch_path(spark, "names")
+    name_index.build_index(entities, path)
+    asked = {label()[rnd.randint(0, 3) :][: rnd.randint(1, 9)] for _ in range(1100)} | {"ORPHA:14", "orpha7", "orpha", "12", " Beta ", "ab", "%_", "orpha:1", "zz", "a"}
+    needles = spark.createDataFrame([(q,) for q in asked] + [(None,)], "q string")
+    got = {}
+    for r in name_index.search(spark, path, needles).collect():
+        got.setdefault(r["q"], set()).add(r["code"])
+    low = [(c, [x.lower() for x in [n, *(s or [])] if x is not None]) for c, n, s in rows]
+    for q in asked:
+        typed = q.strip(" ").lower()
+        bare = typed.removeprefix("orpha").removeprefix(":") if typed.startswith("orpha") else typed
+        want = {c for c, labels in low if bare in c or any(typed in x for x in labels)} if len(typed) >= 2 else set()
+        assert got.get(q, set()) == want, q
+    first = name_index.first_found(name_index.search(spark, path, spark.createDataFrame([("beta",)], "q string"))).orderBy("rank").collect()
+    assert [r["code"] for r in first] == [r["code"] for r in terms.search_entities(entities, "beta").collect()]
+    plan = name_index.search(spark, path, needles)._jdf.queryExecution().executedPlan().toString()
+    assert "/names-" in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_attached_clusters_equal_one_run(spark):
+    rnd = random.Random(5)
+    keys = [(i, f"c{i // 2}") for i in range(60)] + [(i, f"c{(i + 1) // 2}") for i in range(60)]  # one long chain
+    keys += [(1000 + i, f"k{rnd.randrange(150)}") for i in range(300)] + [(5000, "alone")]
+    whole = {(r["rid"], r["cluster"]) for r in registries.components(spark.createDataFrame(keys, "rid long, key string")).collect()}
+    batches = [[k for k in keys if k[0] % 4 == b] for b in (2, 0, 3, 1)]
+    table = lambda rows: spark.createDataFrame(rows, "rid long, key string")
+    clusters = registries.components(table(batches[0])).select("rid", "cluster")
+    kept = registries.kept_keys(table(batches[0]), clusters)
+    for rows in batches[1:]:
+        clusters, kept = registries.attach(clusters, kept, table(rows))
+    assert {(r["rid"], r["cluster"]) for r in clusters.collect()} == whole and kept.count() == len({k for _, k in keys})
+    again, _ = registries.attach(clusters, kept, table([]))
+    assert again.count() == len(whole)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids as I
-from ..runtime import discard, materialize
+from ..runtime import broadcast_if_small, discard, materialize
 from .ranks import row_index
 
 MAX_ROUNDS = 60
@@ -89,6 +89,34 @@ def components(keys: DataFrame, node: str = "rid", key: str = "key") -> DataFram
     )
 
 
+def kept_keys(keys: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``(key, cluster)``, one row per key: what later records attach to."""
+    return keys.join(clusters, "rid").groupBy("key").agg(F.min("cluster").alias("cluster"))
+
+
+def attach(clusters: DataFrame, kept: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(clusters, kept)`` after the records of ``fresh`` (``rid, key``) came in.
+
+    ``clusters`` is ``rid, cluster`` and ``kept`` is ``key, cluster`` of all before.
+    Components are searched among the new records and the clusters that share a key
+    with them, each standing for itself by its smallest record; other clusters are not
+    touched. Where a new record bridges clusters they become one, under the smallest
+    record of all, so the outcome is that of one run over everything.
+    """
+    fresh = fresh.select("rid", "key").distinct()
+    touched = kept.join(fresh.select("key").distinct(), "key", "left_semi").select(F.col("cluster").alias("rid"), "key")
+    found = materialize(components(materialize(fresh.unionByName(touched), "touched")), "attached")
+    moved, _ = broadcast_if_small(found.where("rid <> cluster").select(F.col("rid").alias("cluster"), F.col("cluster").alias("into")))
+
+    def renamed(table: DataFrame, column: str) -> DataFrame:
+        return table.join(moved, "cluster", "left").select(column, F.coalesce("into", "cluster").alias("cluster"))
+
+    new = found.join(fresh.select("rid").distinct(), "rid", "left_semi")
+    after = materialize(renamed(clusters, "rid").unionByName(new), "clusters")
+    keys = renamed(kept, "key").unionByName(fresh.join(new, "rid").select("key", "cluster"))
+    return after, materialize(keys.groupBy("key").agg(F.min("cluster").alias("cluster")), "kept")
+
+
 def registry_dedupe(records: DataFrame) -> DataFrame:
     """One row per cluster: the first record, ids united, blank fields filled.
 

@@ -9,6 +9,8 @@ from ..functions import text as T
 from ..operators import (
     associations, designations, evidence, graph, identifiers, reconcile, registries,
 )
+from ..runtime import materialize, scratch_path
+from ..sources import snapshots
 from . import sqltext as S
 from .registry import query
 from .tables import load
@@ -538,6 +540,27 @@ def _(spark, sf):
     return registries.components(registries.record_keys(_records(spark, sf))).select("rid", "cluster")
 
 
+@query("registry_clusters_over_time", f"WITH RECURSIVE {_COMPONENTS_SQL} SELECT rid, cluster FROM comp")
+def _(spark, sf):
+    # Three deliveries, each attached to what the ones before left.
+    keys = registries.record_keys(_records(spark, sf))
+    parts = [keys.where(F.pmod(F.xxhash64("rid"), F.lit(3)) == i) for i in range(3)]
+    clusters = registries.components(parts[0]).select("rid", "cluster")
+    kept = registries.kept_keys(parts[0], clusters)
+    for fresh in parts[1:]:
+        clusters, kept = registries.attach(clusters, kept, fresh)
+    return clusters
+
+
+@query("registry_united_ids", f"""WITH RECURSIVE {_COMPONENTS_SQL}
+SELECT DISTINCT cluster, source || '-' || n_chars AS other_id FROM comp JOIN documents ON doc_id = rid""")
+def _(spark, sf):
+    rows = _records(spark, sf)
+    clusters = materialize(registries.components(registries.record_keys(rows)), "clusters")
+    first = rows.join(clusters, "rid").groupBy("cluster").agg(F.min_by(F.struct("id", "nct_id"), "rid").alias("f"))
+    return registries.cluster_ids(rows, clusters, first.select("cluster", "f.*"))
+
+
 @query("registry_dedupe", f"""WITH RECURSIVE {_COMPONENTS_SQL}
 SELECT cluster, count(*) AS records, 'DOC' || min(rid) AS id,
   arg_min(lang, rid) FILTER (WHERE lang <> 'en') AS status, arg_min(source, rid) FILTER (WHERE rid % 2 = 1) AS study_type,
@@ -646,7 +669,12 @@ UNION ALL SELECT k, 'changed', 's' FROM j WHERE sa <> sb UNION ALL SELECT k, 'ch
 def _(spark, sf):
     before, after = _version(spark, sf, "1998-01-01"), _version(spark, sf, "1999-01-01", True)
     touched = load(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"))
-    return reconcile.snapshot_diff(before, after, "k", ["n", "s", "t"], touched, frozen_if_touched=["s"], derived=["t"])
+    path = scratch_path(spark, "versions")
+    snapshots.write_snapshot(before, path, "1998-01-01", "k")
+    snapshots.write_snapshot(after, path, "1999-01-01", "k")
+    return snapshots.diff_snapshots(
+        spark, path, "1998-01-01", "1999-01-01", "k", ["n", "s", "t"], touched, frozen_if_touched=["s"], derived=["t"]
+    )
 
 
 @query("transitions", """

@@ -6,11 +6,14 @@ reads it back through the reader, and must agree with the table itself.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.signals import data_as_of
 from ..runtime import scratch_path
-from ..sources import catalogue, ontology, policy, records, sinks
+from ..sources import catalogue, ontology, policy, publishing, records, sinks, snapshots
 from . import sqltext as S
 from .derive_queries import CATALOGUE_SQL, DERIVED_SQL, _catalogue, derived_table
 from .registry import query
@@ -25,6 +28,13 @@ def _lines(df, label: str) -> str:
     return path
 
 
+def _records(df, label: str) -> str:
+    """Write XML records one after the other, several to a line; returns the folder."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("lineSep", " ").text(path)
+    return path
+
+
 def _tag(name: str, value, attrs: str = "") -> F.Column:
     value = F.lit(value) if isinstance(value, str) else value
     return F.concat(F.lit(f"<{name}{attrs}>"), value, F.lit(f"</{name}>"))
@@ -49,7 +59,7 @@ def _catalogue_xml(spark, sf) -> str:
         _tag("DisorderType", _tag("Name", F.col("p_type"))),
         F.lit("</Disorder>"),
     )
-    return _lines(load(spark, sf, "part").select(row.alias("value")), "catalogue")
+    return _records(load(spark, sf, "part").select(row.alias("value")), "catalogue")
 
 
 @query("read_catalogue", """
@@ -57,7 +67,7 @@ SELECT CAST(p_partkey AS VARCHAR) AS code, p_name AS name, p_brand || CASE WHEN
   CASE WHEN p_size % 3 = 0 THEN 'A ' || p_name || ' of & more' ELSE 'first ' || p_name END AS definition, 'MONDO:' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS nodes,
   'https://x.org/' || p_partkey AS link, CASE WHEN p_size % 5 = 0 THEN 'Group of disorders' ELSE 'Disorder' END AS "group", p_type AS type FROM part WHERE p_size % 20 <> 0""")
 def _(spark, sf):
-    d = catalogue.read_catalogue(spark, _catalogue_xml(spark, sf), record_per_line=True)
+    d = catalogue.read_catalogue(spark, _catalogue_xml(spark, sf))
     return d.select(
         "code", "name", F.array_join("synonyms", "|").alias("synonyms"), "definition", F.array_join("node_ids", "|").alias("nodes"), "link", "group", "type"
     )
@@ -77,7 +87,7 @@ def _(spark, sf):
             F.when(size % 3 == 0, item("Point prevalence", "Worldwide", F.concat(F.lit("&lt;i&gt;1-9 / "), size.cast("string"), F.lit("&lt;/i&gt;")))).otherwise(item("Point prevalence", "Europe", "other")),
         )), F.lit("</Disorder>"),
     )
-    return catalogue.read_prevalence(spark, _lines(load(spark, sf, "part").select(row.alias("value")), "prevalence"), record_per_line=True)
+    return catalogue.read_prevalence(spark, _records(load(spark, sf, "part").select(row.alias("value")), "prevalence"))
 
 
 @query("usable_entities", f"WITH {CATALOGUE_SQL} SELECT code, name FROM cat WHERE coalesce(grp, '') <> 'Group of disorders' AND p_size % 7 > 1")
@@ -280,7 +290,7 @@ def _trial_xml(spark, sf) -> str:
         _tag("scientific_title", F.concat(F.lit("Science "), k)), _tag("secondary_id", F.concat(F.lit("NCT"), k)),
         _tag("condition", "one; two|three"), _tag("recruitment_status", F.col("o_orderstatus")), F.lit("</trial>"),
     )
-    return _lines(load(spark, sf, "orders").select(row.alias("value")), "trials")
+    return _records(load(spark, sf, "orders").select(row.alias("value")), "trials")
 
 
 _TRIAL_SQL = """SELECT {id} AS id, 'NCT' || k AS nct_id, CASE WHEN o_orderkey % 3 = 0 THEN 'Science ' ELSE 'Title ' END || k AS title, o_orderstatus AS status, {reg} AS registry, 'one|two|three' AS conditions
@@ -289,16 +299,34 @@ FROM (SELECT *, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS k FROM orders)"""
 
 @query("read_registry_ictrp", _TRIAL_SQL.format(id="CASE WHEN o_orderkey % 2 = 0 THEN 'ISRCTN' ELSE 'DRKS' END || k", reg="CASE WHEN o_orderkey % 2 = 0 THEN 'isrctn' ELSE 'drks' END"))
 def _(spark, sf):
-    r = records.read_registry_trials(spark, _trial_xml(spark, sf), "ictrp", record_per_line=True)
+    r = records.read_registry_trials(spark, _trial_xml(spark, sf), "ictrp")
     return r.select("id", "nct_id", "title", "status", "registry", F.array_join("conditions", "|").alias("conditions"))
 
 
 @query("read_registry_isrctn", _TRIAL_SQL.format(id="'ISRCTN' || k", reg="'isrctn'"))
 def _(spark, sf):
-    r = records.read_registry_trials(spark, _trial_xml(spark, sf), "isrctn", record_per_line=True)
+    r = records.read_registry_trials(spark, _trial_xml(spark, sf), "isrctn")
     return r.select("id", "nct_id", "title", "status", "registry", F.array_join("conditions", "|").alias("conditions"))
 
 
+@query("read_registry_isrctn_full", """
+SELECT 'ISRCTN' || k AS id, 'NCT' || k AS nct_id, CASE WHEN o_orderkey % 3 = 0 THEN 'Science ' ELSE 'Title ' END || k AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'Ongoing' ELSE o_orderstatus END AS status,
+  'isrctn' AS registry, CASE WHEN o_orderkey % 2 = 0 THEN 'one|two' ELSE 'three' END AS conditions, CASE WHEN o_orderkey % 5 = 0 THEN 'Treatment' ELSE 'Interventional' END AS study_type
+FROM (SELECT *, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS k FROM orders)""")
+def _(spark, sf):
+    n, k = F.col("o_orderkey"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")
+    no = F.lit("")
+    row = F.concat(
+        F.lit('<fullTrial publicIdentifierCanonical="isrctn'), k, F.lit('">'), F.when(n % 4 == 0, _tag("isrctn", F.concat(F.lit(" isrctn"), k))).otherwise(no),
+        F.when(n % 3 == 0, no).otherwise(_tag("title", F.concat(F.lit("Title "), k))), _tag("scientificTitle", F.concat(F.lit("Science "), k)),
+        _tag("externalRef", F.concat(F.lit("nct"), k)), F.when(n % 2 == 0, _tag("overallStatus", "Ongoing")).otherwise(_tag("recruitmentStatus", F.col("o_orderstatus"))),
+        F.when(n % 2 == 0, _tag("condition", "one; two")).otherwise(_tag("conditions", "three")),
+        F.when(n % 5 == 0, _tag("primaryStudyDesign", "Treatment")).otherwise(_tag("studyType", "Interventional")), F.lit("</fullTrial>"),
+    )
+    r = records.read_registry_trials(spark, _records(load(spark, sf, "orders").select(row.alias("value")), "trials"), "isrctn-full")
+    return r.select("id", "nct_id", "title", "status", "registry", F.array_join("conditions", "|").alias("conditions"), "study_type")
+
+
 @query("read_associations", "SELECT 'MONDO:' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS subject, p_name AS object_label FROM part")
 def _(spark, sf):
     d = load(spark, sf, "part").select(F.concat(F.lit("MONDO:"), F.col("p_partkey").cast("string")).alias("subject"), F.col("p_name").alias("object_label"))
@@ -384,18 +412,79 @@ def _(spark, sf):
 @query("latest_snapshot", "SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey <> 4")
 def _(spark, sf):
     path, c = scratch_path(spark, "snapshots"), load(spark, sf, "customer")
-    sinks.write_snapshot(c, path, "2024-01-01")
-    sinks.write_snapshot(c.where("c_nationkey != 4"), path, "2024-03-01")
-    return sinks.latest_snapshot(spark, path).select("c_custkey", "c_acctbal")
+    snapshots.write_snapshot(c, path, "2024-01-01")
+    snapshots.write_snapshot(c.where("c_nationkey != 4"), path, "2024-03-01")
+    return snapshots.latest_snapshot(spark, path).select("c_custkey", "c_acctbal")
+
+
+@query("list_snapshots", """SELECT CAST(y AS VARCHAR) || '-01-01' AS snapshot_date, (SELECT count(*) FROM orders WHERE year(o_orderdate) <= y) AS rows
+FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders WHERE year(o_orderdate) % 3 = 0)""")
+def _(spark, sf):
+    # Every third year a snapshot of all orders so far.
+    path, o = scratch_path(spark, "snapshots"), load(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    for y in sorted(r["year"] for r in o.where("year % 3 = 0").select("year").distinct().collect()):
+        snapshots.write_snapshot(o.where(F.col("year") <= y), path, f"{y}-01-01", "o_orderkey")
+    return snapshots.list_snapshots(spark, path)
+
+
+@query("refused_snapshot", "SELECT true AS refused, count(*) AS rows FROM customer")
+def _(spark, sf):
+    path, c = scratch_path(spark, "snapshots"), load(spark, sf, "customer")
+    snapshots.write_snapshot(c, path, "2024-01-01")
+    try:
+        snapshots.write_snapshot(c.limit(1), path, "2024-01-01")
+        refused = False
+    except FileExistsError:
+        refused = True
+    return snapshots.latest_snapshot(spark, path).agg(F.lit(refused).alias("refused"), F.count("*").alias("rows"))
+
+
+@query("publish_outcomes", """
+WITH s AS (SELECT o_custkey, count(*) AS n, max(o_orderstatus) = 'P' AS whole FROM orders GROUP BY ALL),
+t AS (SELECT count(*) AS rows, count(*) FILTER (WHERE NOT whole) AS incomplete FROM s), u AS (SELECT count(*) AS rows FROM s WHERE whole)
+SELECT rows, incomplete, false AS published, 'not-fully-scanned' AS reasons FROM t UNION ALL SELECT rows, incomplete, false, 'entities-failed,wrong-number-of-rows,not-fully-scanned' FROM t
+UNION ALL SELECT rows, 0, true, '' FROM u UNION ALL SELECT rows, 0, false, 'wrong-number-of-rows' FROM u""")
+def _(spark, sf):
+    scanned = load(spark, sf, "orders").groupBy("o_custkey").agg(
+        F.count("*").alias("studies"), (F.max("o_orderstatus") == "P").alias("fully_scanned")
+    )
+    everyone = load(spark, sf, "orders").select("o_custkey").distinct().count()
+    whole = scanned.where("fully_scanned")
+    n = whole.count()
+    made = [
+        publishing.publish(df, scratch_path(spark, "published"), target, failed)
+        for df, target, failed in ((scanned, everyone, 0), (scanned, everyone + 1, 2), (whole, n, 0), (whole, n + 1, 0))
+    ]
+    return reduce(DataFrame.unionByName, made).select("rows", "incomplete", "published", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("read_published", "SELECT o_custkey, count(*) AS studies FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey")
+def _(spark, sf):
+    # The second version is refused, so the first one stands.
+    path = scratch_path(spark, "published")
+    rows = load(spark, sf, "orders").where("o_orderstatus <> 'F'").groupBy("o_custkey").agg(F.count("*").alias("studies")).withColumn("fully_scanned", F.lit(True))
+    publishing.publish(rows, path, rows.count())
+    publishing.publish(rows.withColumn("studies", F.lit(0)), path, -1)
+    return publishing.read_published(spark, path).select("o_custkey", "studies")
+
+
+@query("append_progress", """
+WITH n AS (SELECT count(*) AS t FROM orders), d AS (SELECT count(*) AS d FROM orders WHERE o_orderstatus IN ('F', 'O'))
+SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS added, d AS done, t AS target, least(100, floor(d * 1000.0 / t + 0.5) / 10) AS percent FROM n, d""")
+def _(spark, sf):
+    path, o = scratch_path(spark, "progress"), load(spark, sf, "orders")
+    target = o.count()
+    publishing.append_done(o.where("o_orderstatus = 'F'"), path, target)
+    return publishing.append_done(o.where("o_orderstatus = 'O'"), path, target)
 
 
-@query("list_snapshots", "SELECT CAST(y AS VARCHAR) || '-01-01' AS snapshot_date FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders)")
+@query("sample_outcomes", """
+SELECT 10 AS wanted, least(10, count(*)) AS drawn, count(*) >= 10 AS enough FROM documents UNION ALL
+SELECT 30, least(30, count(*)), count(*) >= 30 FROM nation""")
 def _(spark, sf):
-    # One partition per year of the orders, written in a single job.
-    path = scratch_path(spark, "snapshots")
-    o = load(spark, sf, "orders").withColumn("snapshot_date", F.concat(F.year("o_orderdate").cast("string"), F.lit("-01-01")))
-    o.write.partitionBy("snapshot_date").parquet(path)
-    return sinks.list_snapshots(spark, path)
+    d, n = load(spark, sf, "documents").select("source", "doc_id"), load(spark, sf, "nation").select("n_name", "n_nationkey")
+    many = publishing.write_sample(d, scratch_path(spark, "sample"), "control", ["source", "doc_id"])
+    return many.unionByName(publishing.write_sample(n, scratch_path(spark, "sample"), "control", ["n_name", "n_nationkey"], 30))
 
 
 @query("pending", "SELECT c_custkey AS code FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")

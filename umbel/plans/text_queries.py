@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import ids as I
 from ..functions import text as T
 from ..functions import vocab
-from ..operators import defects, tagging, terms, vocabulary
+from ..operators import defects, name_index, tagging, terms, vocabulary
+from ..runtime import scratch_path
 from . import sqltext as S
 from .registry import query
 from .tables import ENTITIES_SQL, entities, load, sentences
@@ -345,6 +346,21 @@ def _(spark, sf):
     return terms.search_entities(entities(spark, sf), " Widget ").select("code", "name")
 
 
+@query("name_search", f"""
+WITH {ENTITIES_SQL}, n AS (SELECT DISTINCT substr(p_name, 2, 5) AS q FROM part UNION SELECT DISTINCT 'ORPHA:' || substr(CAST(p_partkey AS VARCHAR), 1, 2) FROM part UNION SELECT DISTINCT substr(p_type, 1, 2) FROM part),
+t AS (SELECT q, lower(trim(q)) AS typed, CASE WHEN lower(trim(q)) LIKE 'orpha%' THEN regexp_replace(lower(trim(q)), '^orpha:?', '') ELSE lower(trim(q)) END AS bare FROM n WHERE length(trim(q)) >= 2),
+h AS (SELECT q, code, row_number() OVER (PARTITION BY q ORDER BY CAST(code AS BIGINT)) AS rank FROM t JOIN entities
+  ON contains(lower(name), typed) OR contains(code, bare) OR len(list_filter(synonyms, lambda s: contains(lower(s), typed))) > 0)
+SELECT q, CAST(rank AS INT) AS rank, code FROM h WHERE rank <= 12""")
+def _(spark, sf):
+    path, p = scratch_path(spark, "names"), load(spark, sf, "part")
+    name_index.build_index(entities(spark, sf), path)
+    needles = p.select(F.explode(F.array(
+        F.substring("p_name", 2, 5), F.concat(F.lit("ORPHA:"), F.substring(F.col("p_partkey").cast("string"), 1, 2)), F.substring("p_type", 1, 2)
+    )).alias("q")).distinct()
+    return name_index.first_found(name_index.search(spark, path, needles)).select("q", "rank", "code")
+
+
 @query("normalize_curie", """
 SELECT p_partkey, 'MONDO:' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS a, 'MONDO:' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS b,
   'ORPHA:' || p_partkey AS c FROM part""")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
@@ -87,9 +88,29 @@ def discard(table: DataFrame) -> None:
     """Remove a table ``materialize`` made, once nothing will read it any more."""
     path = getattr(table, "_scratch_path", None)
     if path is not None:
-        context = table.sparkSession.sparkContext
-        place = context._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        place, files = _file(table.sparkSession, path)
+        files.delete(place, True)
+
+
+def _file(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place, files = _file(spark, path)
+    return files.exists(place)
+
+
+def claim_file(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; of several callers, on any driver, one gets true."""
+    place, files = _file(spark, path)
+    try:
+        return files.createNewFile(place)
+    except Py4JJavaError as failed:
+        if "FileAlreadyExists" in str(failed):
+            return False
+        raise
 
 
 def row_bytes(df: DataFrame) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids as I
 from ..functions import text as T
+from .xmlsplit import read_records
 
 CATALOGUE = """
   OrphaCode string, Name string, ExpertLink string,
@@ -28,16 +29,6 @@ RETIRED_PREFIXES = ["OBSOLETE:", "NON RARE IN EUROPE:"]
 GROUP_LEVEL = "Group of disorders"
 
 
-def read_xml(spark: SparkSession, path: str, tag: str, schema: str, record_per_line: bool) -> DataFrame:
-    """Rows of one XML tag.
-
-    A document with a root is read by one task per file; files that hold one
-    record per line are split like any text.
-    """
-    reader = spark.read.format("xml").option("rowTag", tag).option("multiLine", not record_per_line)
-    return reader.schema(schema).load(path)
-
-
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     """Fail early when a source has no readable rows."""
     if df.isEmpty():
@@ -66,9 +57,9 @@ def catalogue_xrefs(refs: T.C, source: str = "MONDO") -> Column:
     )
 
 
-def read_catalogue(spark: SparkSession, path: str, record_per_line: bool = False) -> DataFrame:
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """One row per catalogue entry; entries without code or name are dropped."""
-    raw = read_xml(spark, path, "Disorder", CATALOGUE, record_per_line)
+    raw = read_records(spark, path, "Disorder", CATALOGUE)
     require_rows(raw, "catalogue")
     empty_s = F.array().cast("array<string>")
     sections = F.flatten(
@@ -120,8 +111,8 @@ def pick_prevalence(items: T.C) -> Column:
     return F.coalesce(F.get(best, F.lit(0))["cls"], F.get(named, F.lit(0))["cls"])
 
 
-def read_prevalence(spark: SparkSession, path: str, record_per_line: bool = False) -> DataFrame:
-    raw = read_xml(spark, path, "Disorder", PREVALENCE, record_per_line)
+def read_prevalence(spark: SparkSession, path: str) -> DataFrame:
+    raw = read_records(spark, path, "Disorder", PREVALENCE)
     require_rows(raw, "prevalence")
     items = F.transform(
         F.coalesce("PrevalenceList.Prevalence", F.array()),

@@ -9,7 +9,7 @@ from ..functions import ids as I
 from ..functions import text as T
 from ..functions import vocab
 from ..functions.signals import as_array
-from .catalogue import read_xml
+from .xmlsplit import read_records
 
 STUDY = """
   protocolSection struct<
@@ -214,8 +214,8 @@ def read_ctis(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_ictrp(spark: SparkSession, path: str, record_per_line: bool = False) -> DataFrame:
-    raw = read_xml(spark, path, "trial", ICTRP, record_per_line)
+def read_ictrp(spark: SparkSession, path: str) -> DataFrame:
+    raw = read_records(spark, path, "trial", ICTRP)
     trial = F.coalesce(filled("trial_id"), filled("trialID"), filled("MainID"))
     title = F.coalesce(filled("public_title"), filled("scientific_title"))
     ident = F.coalesce(trial, F.concat(F.lit("ictrp-"), F.substring(F.sha1(title), 1, 12)))
@@ -241,10 +241,10 @@ def read_ictrp(spark: SparkSession, path: str, record_per_line: bool = False) ->
     )
 
 
-def read_isrctn(spark: SparkSession, path: str, full: bool = False, record_per_line: bool = False) -> DataFrame:
+def read_isrctn(spark: SparkSession, path: str, full: bool = False) -> DataFrame:
     """Exchange format, or the registry's own with ``full``."""
     if not full:
-        raw = read_xml(spark, path, "trial", ICTRP, record_per_line)
+        raw = read_records(spark, path, "trial", ICTRP)
         trial = filled("trial_id")
         url = F.coalesce(filled("url"), F.concat(F.lit("https://www.isrctn.com/"), trial))
         title = F.coalesce(filled("public_title"), filled("scientific_title"), trial)
@@ -255,7 +255,7 @@ def read_isrctn(spark: SparkSession, path: str, full: bool = False, record_per_l
             "study_type": filled("study_type"),
         }
     else:
-        raw = read_xml(spark, path, "fullTrial", ISRCTN_FULL, record_per_line)
+        raw = read_records(spark, path, "fullTrial", ISRCTN_FULL)
         trial = F.coalesce(filled("isrctn"), filled("_publicIdentifierCanonical"))
         ident = _isrctn_id(trial)
         title = F.coalesce(filled("title"), filled("scientificTitle"), ident)
@@ -270,14 +270,14 @@ def read_isrctn(spark: SparkSession, path: str, full: bool = False, record_per_l
     return _registry(raw.withColumns({**cols, "registry": F.lit("isrctn")}))
 
 
-def read_registry_trials(spark: SparkSession, path: str, kind: str, record_per_line: bool = False) -> DataFrame:
+def read_registry_trials(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """One schema for all registries: ``ctis``, ``ictrp``, ``isrctn``, ``isrctn-full``."""
     if kind == "ctis":
         return read_ctis(spark, path)
     if kind == "ictrp":
-        return read_ictrp(spark, path, record_per_line)
+        return read_ictrp(spark, path)
     if kind in ("isrctn", "isrctn-full"):
-        return read_isrctn(spark, path, kind == "isrctn-full", record_per_line)
+        return read_isrctn(spark, path, kind == "isrctn-full")
     raise ValueError(f"unknown registry kind {kind}")
 
 

@@ -1,9 +1,7 @@
-"""Artifacts, dated snapshots, resume and publish checks."""
+"""Artifacts, resume and publish checks."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,25 +21,6 @@ def read_artifact(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/parquet")
 
 
-def write_snapshot(df: DataFrame, path: str, date: str) -> None:
-    """A dated snapshot; an existing date is never overwritten."""
-    df.write.mode("errorifexists").parquet(f"{path}/snapshot_date={date}")
-
-
-def list_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Dates, newest first, read off the folder names; no file is opened for them."""
-    found = {m[1] for f in spark.read.parquet(path).inputFiles() if (m := re.search(r"/snapshot_date=([^/]+)/", f))}
-    return spark.createDataFrame([(d,) for d in sorted(found)], "snapshot_date string").orderBy(F.col("snapshot_date").desc())
-
-
-def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the newest date; the filter prunes all other folders."""
-    newest = list_snapshots(spark, path).first()
-    if newest is None:
-        raise ValueError(f"no snapshot under {path}")
-    return spark.read.parquet(path).where(F.col("snapshot_date").cast("string") == newest["snapshot_date"])
-
-
 def pending(targets: DataFrame, done: DataFrame, key: str = "code") -> DataFrame:
     """Targets not finished yet."""
     return targets.join(done.select(key), key, "left_anti")
