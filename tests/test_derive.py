@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from umbel.operators import aggregates as agg
 from umbel.operators import confidence as conf
-from umbel.operators import quality, readiness, selection
+from umbel.operators import aggregates, papers, quality, readiness, selection
 
 SCHEMA = """code string, name string, name_corrected string, synonyms array<string>, definition string, node_ids array<string>,
   prevalence_class string, gene_class string, genes array<string>, papers long, recent long, studies long, registered long, parent_studies long,
@@ -142,3 +142,35 @@ def test_queue_and_targets(spark):
     assert [r["code"] for r in rows.collect()] == ["3"] and [r["code"] for r in missing.collect()] == ["7"]
     one = spark.range(1).withColumn("level", F.lit(0))
     assert selection.band_positions(one, "level", ["id"]).first()["position"] == 0.5
+
+
+def test_display_order_puts_accents_beside_their_letters(spark):
+    rows = [("1", "Zebra"), ("2", "Äpfel"), ("3", "apple"), ("4", "Apfel"), ("5", "banana")]
+    cells = spark.createDataFrame([(c, n, 3, n) for c, n in rows], "code string, name string, papers int, group string")
+    names = lambda df, c="name": [r[c] for r in df.collect()]
+    assert names(selection.landscape_order(cells, "papers", "papers", "alpha", "UNICODE")) == ["Apfel", "Äpfel", "apple", "banana", "Zebra"]
+    assert names(selection.landscape_order(cells, "papers", "papers", "alpha")) == ["Apfel", "Zebra", "apple", "banana", "Äpfel"]
+    assert names(selection.landscape_order(cells, "papers", "papers", collation="UNICODE")) == ["Apfel", "Äpfel", "apple", "banana", "Zebra"]
+    assert names(aggregates.landscape_groups(cells, collation="UNICODE"), "group") == ["Apfel", "Äpfel", "apple", "banana", "Zebra"]
+    scored = cells.selectExpr("*", "0 AS recent", "0 AS studies", "0 AS people", "'None' AS gene_class", "false AS excluded", "'ok' AS health")
+    assert names(selection.neglect_ranking(scored, 3, "UNICODE")) == ["Apfel", "Äpfel", "apple"] and names(selection.neglect_ranking(scored, 3)) == ["Apfel", "Zebra", "apple"]
+    authors = spark.createDataFrame([("e", n.lower(), n, None, 2000, i) for i, n in rows], "entity string, author string, display string, affiliation string, year int, at string")
+    leaders = papers.researchers(authors, "entity", ["at"], 3, "UNICODE")[1].orderBy("rank")
+    assert names(leaders, "display") == ["Apfel", "Äpfel", "apple"]
+
+
+def test_findings_show_the_curated_labels_first(spark):
+    base = "code string, name string, papers long, probe_label string, probe_hits long, health string, health_reasons array<string>"
+    rows = [(str(c), f"label {c}", 0, "wide parent", 60 + c, "ok", []) for c in range(1, 8)]
+    rows += [("20", "AB12-related disorder", 2, None, None, "ok", []), ("21", "CD-related disorder", 9, None, None, "ok", []), ("9", "broken one", 0, None, None, "broken", ["why"]), ("10", "broken two", 0, None, None, "broken", [])]
+    rows += [("30", "x" * 50, 0, "wide parent", 70, "ok", []), ("31", "a-b", 0, "disease", 90, "ok", [])]
+    df = spark.createDataFrame(rows, base)
+    bad = spark.createDataFrame([("5", "name", "form", "upstream"), ("6", "name", "form", "parser")], "code string, name string, form string, origin string")
+    shown = lambda curated: {(r["section"], r["rank"]): (r["code"], r["detail"]) for r in aggregates.findings_examples(df, bad, curated).collect()}
+    some = shown(["7", "3", "404", "5", "2", "1"])
+    assert [some["hyper-specific", i][0] for i in (1, 2, 3, 4)] == ["7", "3", "5", "2"]
+    few = shown(["7", "404"])
+    assert {k: v for k, v in few.items() if k[0] != "hyper-specific"} == {
+        ("broken", 1): ("9", "why"), ("broken", 2): ("10", "every search strategy returned zero"), ("defect", 1): ("5", "form"), ("gene-related", 1): ("20", "gene-related"),
+    }
+    assert [few["hyper-specific", i][0] for i in (1, 2)] == ["30", "20"] and len(few) == 6

@@ -395,3 +395,8 @@ def publication_terms(name: C, genes: C) -> Column:
 def novel_terms(base: C, extra: C) -> Column:
     known = F.transform(col(base), normalize_term)
     return F.filter(col(extra), lambda t: ~F.array_contains(known, normalize_term(t)))
+
+
+def display_key(c: C, collation: str | None = "UNICODE") -> Column:
+    """Sort key for people: accents and case beside their plain letters; bytes without a collation."""
+    return F.collate(col(c), collation) if collation else col(c)

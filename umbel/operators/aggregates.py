@@ -145,6 +145,62 @@ def findings_snapshot(df: DataFrame, catalogue_totals: DataFrame, defects: DataF
     )
 
 
+EXAMPLES = "section string, rank int, code string, name string, detail string, papers long, parent string, parent_hits long"
+
+
+def _first(df: DataFrame, section: str, order: list, most: int | None) -> DataFrame:
+    """Rows of one section numbered in order; a limit keeps the sort to the rows shown."""
+    shown = df.orderBy(*order) if most is None else df.orderBy(*order).limit(most)
+    # As many rows as a page shows, or as many defects as were reviewed by hand.
+    at = F.row_number().over(W.partitionBy("section").orderBy(*order))
+    fields = {name: kind for name, kind in (part.split() for part in EXAMPLES.split(", ")) if name not in ("section", "rank")}
+    given = [F.col(n).cast(k).alias(n) if n in df.columns else F.lit(None).cast(k).alias(n) for n, k in fields.items()]
+    return shown.withColumn("section", F.lit(section)).withColumn("rank", at).select("section", "rank", *given)
+
+
+def findings_examples(df: DataFrame, defects: DataFrame, curated: list[str] | None = None) -> DataFrame:
+    """``EXAMPLES`` rows of a findings snapshot, by section.
+
+    ``broken``: the first eight, with their first reason. ``defect``: every upstream
+    defect (``code, name, form, origin``). ``gene-related``: four labels named after a
+    gene with under five papers. ``hyper-specific``: the curated codes if three or
+    more are there, at most four of them; else three labels with the best-covered
+    parents and two sparse gene-related ones, at most four together.
+    """
+    by_code = [F.expr("try_cast(code as bigint)"), F.col("code")]
+    missing = F.lit("every search strategy returned zero")
+    broken = df.where("health = 'broken'").withColumn("detail", F.coalesce(F.get("health_reasons", F.lit(0)), missing))
+    upstream = defects.where("origin = 'upstream'").withColumn("detail", F.col("form"))
+    sparse = df.where(gene_related("name") & (F.coalesce("papers", F.lit(0)) < 5)).withColumn("detail", F.lit("gene-related"))
+    labels = df.withColumnsRenamed({"probe_label": "parent", "probe_hits": "parent_hits"})
+    chosen = labels.where(F.col("code").isin(curated if curated is not None else vocab.FINDINGS_CODES))
+    listed = F.array_position(F.array(*[F.lit(c) for c in (curated if curated is not None else vocab.FINDINGS_CODES)]), F.col("code"))
+    parents = hyper_specific(df).withColumnsRenamed({"probe_label": "parent", "probe_hits": "parent_hits"})
+    if chosen.count() >= 3:
+        hyper = _first(chosen.withColumn("place", listed), "hyper-specific", [F.col("place")], 4)
+    else:
+        best = _first(parents, "hyper-specific", [F.col("parent_hits").desc(), *by_code], 3)
+        few = _first(sparse.withColumn("parent_hits", F.lit(0)), "hyper-specific", by_code, 2).withColumn("rank", F.col("rank") + 3)
+        both = best.unionByName(few)
+        # Five rows at most.
+        hyper = both.withColumn("rank", F.row_number().over(W.partitionBy("section").orderBy("rank"))).where("rank <= 4")
+    return (
+        _first(broken, "broken", by_code, 8)
+        .unionByName(_first(upstream, "defect", by_code, None))
+        .unionByName(_first(sparse, "gene-related", by_code, 4))
+        .unionByName(hyper)
+    )
+
+
+def findings_record(snapshot: DataFrame, provenance: DataFrame) -> DataFrame:
+    """The snapshot's row with the versions and the sampling it was made from.
+
+    ``provenance``, one row: ``catalogue_version, ontology_version, evidence_version,
+    mode, n, seed, excluded``. Versions that were not recorded stay null.
+    """
+    return side_by_side(snapshot, provenance)
+
+
 def landscape_cells(df: DataFrame) -> DataFrame:
     """Slim projection for plotting."""
     return df.select(
@@ -173,12 +229,12 @@ def landscape_histogram(cells: DataFrame, metric: str, kind: str) -> DataFrame:
     return cells.groupBy(level.alias("level")).agg(F.count("*").alias("n"))
 
 
-def landscape_groups(cells: DataFrame, group: str = "group") -> DataFrame:
-    """Entities per group, largest first; blank becomes Ungrouped."""
+def landscape_groups(cells: DataFrame, group: str = "group", collation: str | None = None) -> DataFrame:
+    """Entities per group, largest first, then by name; blank becomes Ungrouped."""
     label = F.when(T.strip(group) != "", T.strip(group)).otherwise("Ungrouped")
     return (
         cells.groupBy(label.alias("group")).agg(F.count("*").alias("n"))
-        .orderBy(F.col("n").desc(), "group")
+        .orderBy(F.col("n").desc(), T.display_key("group", collation))
     )
 
 

@@ -72,12 +72,13 @@ def sample_papers(papers: DataFrame, key: str, order: list, n: int = 200) -> Dat
 
 
 def researchers(
-    authors: DataFrame, key: str, order: list[str], top: int = 10
+    authors: DataFrame, key: str, order: list[str], top: int = 10, collation: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``(counts, leaders)`` from rows ``key, author, display, affiliation, year``.
 
     ``order`` names the columns that fix paper order: the display name is the
-    first seen, the affiliation the last one that is not null.
+    first seen, the affiliation the last one that is not null. Leaders with as many
+    papers go by name, in a collation if one is given.
     """
     at = F.struct(*order)
     people = (
@@ -91,6 +92,6 @@ def researchers(
         )
     )
     counts = people.groupBy(key).agg(F.count("*").alias("people"))
-    w = W.partitionBy(key).orderBy(F.col("papers").desc(), "display", "author")
+    w = W.partitionBy(key).orderBy(F.col("papers").desc(), T.display_key("display", collation), "author")
     leaders = people.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     return counts, leaders

@@ -12,22 +12,23 @@ from .confidence import zero
 from .ranks import row_index
 
 
-def neglect_ranking(df: DataFrame, n: int = 100) -> DataFrame:
-    """Least-studied entities first."""
+def neglect_ranking(df: DataFrame, n: int = 100, collation: str | None = None) -> DataFrame:
+    """Least-studied entities first; equal ones by name, in a collation if one is given."""
     score = S.neglect_score("papers", "recent", "studies", "people", "gene_class")
     return (
         df.where(~F.col("excluded") & (F.col("health") != "broken"))
         .withColumn("score", score)
-        .orderBy(F.col("score").desc(), "name", "code")
+        .orderBy(F.col("score").desc(), T.display_key("name", collation), "code")
         .limit(n)
     )
 
 
-def landscape_order(cells: DataFrame, metric: str, kind: str, mode: str = "intensity") -> DataFrame:
+def landscape_order(cells: DataFrame, metric: str, kind: str, mode: str = "intensity", collation: str | None = None) -> DataFrame:
+    name = T.display_key("name", collation)
     if mode == "alpha":
-        return cells.orderBy("name", "code")
+        return cells.orderBy(name, "code")
     value = F.coalesce(F.col(metric), F.lit(-1))
-    return cells.orderBy(value.desc(), S.signal_level(metric, kind).desc(), "name", "code")
+    return cells.orderBy(value.desc(), S.signal_level(metric, kind).desc(), name, "code")
 
 
 def seed_hash(seed: T.C | int, *keys: T.C) -> Column:

@@ -245,6 +245,39 @@ def _(spark, sf):
     )
 
 
+@query("findings_record", f"""WITH {DERIVED_SQL}, a AS ({_HEAD}), v AS (SELECT 'v' || max(p_size) AS catalogue_version, count(*) AS n FROM part)
+SELECT total, broken, catalogue_version, NULL AS ontology_version, 'full' AS mode, n, 42 AS seed FROM a, v""")
+def _(spark, sf):
+    _, totals = agg.corpus_levels(_catalogue(spark, sf))
+    row = agg.findings_snapshot(derived_table(spark, sf), totals, _defects(spark, sf))
+    made = load(spark, sf, "part").agg(
+        F.concat(F.lit("v"), F.max("p_size").cast("string")).alias("catalogue_version"), F.lit(None).cast("string").alias("ontology_version"),
+        F.lit("full").alias("mode"), F.count("*").alias("n"), F.lit(42).alias("seed"),
+    )
+    return agg.findings_record(row, made).select("total", "broken", "catalogue_version", "ontology_version", "mode", "n", "seed")
+
+
+@query("findings_examples", f"""WITH {DERIVED_SQL}, n AS (SELECT * REPLACE (p_type || CASE WHEN probe_hits % 2 = 0 THEN '-related ' ELSE ' and ' END || name AS name) FROM derived),
+b AS (SELECT 'broken' AS section, row_number() OVER (ORDER BY CAST(code AS BIGINT)) AS rank, code, papers, NULL AS parent_hits FROM n WHERE health = 'broken'),
+u AS (SELECT 'defect', row_number() OVER (ORDER BY p_partkey), CAST(p_partkey AS VARCHAR), NULL, NULL FROM part WHERE p_size % 19 = 0),
+g AS (SELECT code, papers, row_number() OVER (ORDER BY CAST(code AS BIGINT)) AS rank FROM n WHERE regexp_matches(name, '^[A-Z0-9]{{2,}}-related\\b') AND coalesce(papers, 0) < 5),
+c AS (SELECT code, papers, probe_hits, row_number() OVER (ORDER BY list_position(['2269', '1174', '466921', '308621', '692812'], code)) AS rank, count(*) OVER () AS have FROM n WHERE code IN ('2269', '1174', '466921', '308621', '692812')),
+y AS (SELECT code, papers, probe_hits, row_number() OVER (ORDER BY probe_hits DESC, CAST(code AS BIGINT)) AS rank FROM n
+  WHERE papers = 0 AND probe_hits >= 50 AND (length(name) >= 45 OR contains(name, '-')) AND NOT {S.matches('probe_label', T.vocab.UNINFORMATIVE_PARENT)}),
+z AS (SELECT code, papers, probe_hits, rank FROM y WHERE rank <= 3 UNION ALL SELECT code, papers, 0, rank + 3 FROM g WHERE rank <= 2),
+hy AS (SELECT code, papers, probe_hits, rank FROM c WHERE have >= 3 UNION ALL
+  SELECT code, papers, probe_hits, row_number() OVER (ORDER BY rank) FROM z WHERE (SELECT count(*) FROM c) < 3)
+SELECT section, CAST(rank AS INT) AS rank, code, papers, parent_hits FROM b WHERE rank <= 8 UNION ALL SELECT * FROM u UNION ALL SELECT 'gene-related', rank, code, papers, NULL FROM g WHERE rank <= 4
+UNION ALL SELECT 'hyper-specific', rank, code, papers, probe_hits FROM hy WHERE rank <= 4""")
+def _(spark, sf):
+    d = derived_table(spark, sf).withColumn("name", F.concat("group", F.when(F.col("probe_hits") % 2 == 0, "-related ").otherwise(" and "), "name"))
+    bad = load(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("code"), F.col("p_name").alias("name"), F.col("p_brand").alias("form"),
+        F.when(F.col("p_size") % 19 == 0, "upstream").otherwise("parser").alias("origin"),
+    )
+    return agg.findings_examples(d, bad).select("section", "rank", "code", "papers", "parent_hits")
+
+
 def _long_names(spark, sf):
     """Entities with compound names: type, hyphen and name."""
     return entities(spark, sf).withColumn("name", F.concat("group", F.when(F.col("probe_hits") % 2 == 0, "-related ").otherwise(" and "), "name"))
@@ -462,6 +495,16 @@ def _(spark, sf):
     return quality.audit_issues(*_audit(spark, sf)).select("level", "issue", "code")
 
 
+@query("audit_validation", f"""{_ISSUES}, k AS (SELECT count(*) FILTER (WHERE quality = 1) AS good FROM labels)
+SELECT level, issue, code FROM issues UNION ALL SELECT 'ASSERT', 'validation-method-mislabelled', NULL FROM k WHERE good > 0""")
+def _(spark, sf):
+    # Reviewed by a tool that only the caller knows to be one.
+    made = load(spark, sf, "labels").agg(
+        F.concat(F.lit("Human review of "), F.count_if(F.col("quality") == 1).cast("string")).alias("method"), F.lit("labelling-bot 2").alias("reviewed_by")
+    )
+    return quality.audit_issues(*_audit(spark, sf), made, quality.MACHINE_REVIEWERS + "|bot").select("level", "issue", "code")
+
+
 @query("audit_summary", f"{_ISSUES} SELECT level, issue, count(*) AS n FROM issues GROUP BY level, issue")
 def _(spark, sf):
     return quality.audit_summary(quality.audit_issues(*_audit(spark, sf)))

@@ -171,6 +171,15 @@ def _(spark, sf):
     return st.offline_match_totals(*_summary(spark, sf), "doc")
 
 
+@query("offline_disagreements", f"""{_SUMMARY_SQL}
+SELECT 'stored-zero' AS list, code, coalesce(existing, 0) AS stored, interventional FROM e WHERE coalesce(existing, 0) = 0 AND interventional > 0
+UNION ALL SELECT 'matched-zero', code, existing, interventional FROM e WHERE existing > 0 AND interventional = 0""")
+def _(spark, sf):
+    zero, some = st.disagreements(_summary(spark, sf)[0])
+    both = zero.withColumn("list", F.lit("stored-zero")).unionByName(some.withColumn("list", F.lit("matched-zero")))
+    return both.select("list", "code", F.coalesce("existing", F.lit(0)).alias("stored"), "interventional")
+
+
 @query("parent_tier", f"""{_WITH}
 SELECT entity, count(*) AS wider, count(*) FILTER (WHERE status = 'RECRUITING') AS wider_recruiting FROM (
   SELECT entity, doc FROM hits WHERE strategy = 'recall' EXCEPT SELECT entity, doc FROM hits WHERE strategy = 'phrase')

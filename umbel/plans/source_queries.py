@@ -111,7 +111,7 @@ def _ontology(spark, sf):
     k = F.col("c_custkey")
     edge = lambda p, o: F.struct(iri(k).alias("sub"), F.lit(p).alias("pred"), iri(o).alias("obj"))
     graph = F.struct(
-        F.struct(F.lit("2024-05-01").alias("version")).alias("meta"),
+        F.struct(F.concat(F.lit("2024-05-"), F.lpad((k % 28 + 1).cast("string"), 2, "0")).alias("version")).alias("meta"),
         F.array(
             F.struct(
                 iri(k).alias("id"), F.col("c_name").alias("lbl"), F.when(k % 10 == 0, "PROPERTY").otherwise("CLASS").alias("type"),
@@ -137,6 +137,11 @@ def _(spark, sf):
     return n.select("id", "label", F.array_join("xrefs", "|").alias("xrefs"), F.array_join("exact_synonyms", "|").alias("synonyms"))
 
 
+@query("read_ontology_version", "SELECT '2024-05-' || lpad(CAST(max(c_custkey % 28 + 1) AS VARCHAR), 2, '0') AS version FROM customer")
+def _(spark, sf):
+    return _ontology(spark, sf)[2]
+
+
 @query("read_ontology_edges", """
 SELECT 'MONDO:' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS child, 'MONDO:' || lpad(CAST(p AS VARCHAR), 7, '0') AS parent, min(pos) AS pos FROM (
   SELECT c_custkey, c_custkey // 2 AS p, 0 AS pos FROM customer UNION ALL SELECT c_custkey, c_custkey // 3, 3 FROM customer) GROUP BY ALL""")
@@ -409,6 +414,41 @@ def _(spark, sf):
     return sinks.read_artifact(spark, path).select("code", "confidence", "papers")
 
 
+def _policies(spark, sf):
+    """A policy document per customer: its orders are the entries."""
+    o = load(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(
+        F.col("o_orderkey").cast("string").alias("orphaCode"), F.concat(F.lit("entry "), F.col("o_orderkey").cast("string")).alias("name"),
+        (F.col("o_orderkey") % 3 + 1).cast("int").alias("group"), F.when(F.col("o_orderkey") % 11 > 0, "list").otherwise(" ").alias("source"),
+        F.when(F.col("o_orderkey") % 13 > 0, "exact").alias("mappingConfidence"),
+    )).alias("diseases"))
+    k = F.col("o_custkey")
+    own = lambda g: F.struct(F.concat(F.lit("label "), F.lit(str(g))).alias("label"), F.lit("fund").alias("mechanism"), F.when(k % 5 > 0, "read").otherwise("").alias("caveat"))
+    centre = F.transform(F.sequence(F.lit(1), F.when(k % 4 == 0, 14).otherwise(15)), lambda i: F.struct(F.concat(F.lit("centre "), i.cast("string")).alias("name"), F.when(i < 15, "src").otherwise(F.when(k % 3 > 0, "src")).alias("source")))
+    docs = o.select(
+        "diseases", F.lit("2024-01-01").alias("lastVerified"), F.when(k % 7 > 0, "https://portal").alias("crowdfundingPortal"),
+        F.when(k % 6 > 0, F.array(F.lit("63"))).otherwise(F.array().cast("array<string>")).alias("officialDiseaseCounts"),
+        F.create_map(F.lit("1"), own(1), F.lit("2"), own(2)).alias("groupEntitlements"), centre.alias("centresOfExcellence"),
+    )
+    path = scratch_path(spark, "policies")
+    docs.write.json(path)
+    return policy.read_policy(spark, path, one_document_per_line=True)
+
+
+@query("read_policy", "SELECT CAST(o_orderkey AS VARCHAR) AS code, 'entry ' || o_orderkey AS name, CAST(o_orderkey % 3 + 1 AS INT) AS \"group\" FROM orders")
+def _(spark, sf):
+    return _policies(spark, sf)[0].select("code", "name", "group")
+
+
+@query("policy_problems", """
+WITH d AS (SELECT DISTINCT o_custkey AS k FROM orders)
+SELECT 'ASSERT' AS level, 'portal-missing' AS rule, count(*) FILTER (WHERE k % 7 = 0) AS n FROM d UNION ALL SELECT 'ASSERT', 'official-counts-missing', count(*) FILTER (WHERE k % 6 = 0) FROM d
+UNION ALL SELECT 'WARN', 'centre-count', count(*) FILTER (WHERE k % 4 = 0) FROM d UNION ALL SELECT 'ASSERT', 'centre-source-missing', count(*) FILTER (WHERE k % 4 > 0 AND k % 3 = 0) FROM d
+UNION ALL SELECT 'ASSERT', 'entitlement-incomplete', 2 * count(*) FILTER (WHERE k % 5 = 0) FROM d
+UNION ALL SELECT 'ASSERT', 'entry-incomplete', count(*) FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 13 = 0""")
+def _(spark, sf):
+    return _policies(spark, sf)[3].groupBy("level", "rule").agg(F.count("*").alias("n"))
+
+
 @query("latest_snapshot", "SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey <> 4")
 def _(spark, sf):
     path, c = scratch_path(spark, "snapshots"), load(spark, sf, "customer")

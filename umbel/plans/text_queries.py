@@ -298,6 +298,37 @@ def _(spark, sf):
     return defects.defect_examples(_label_hits(spark, sf))
 
 
+# Names with the defects that are looked for, in the name or in a synonym.
+_PLANT = {0: " gallblader", 1: " Haploinsuffiency", 2: " choreathetosis type", 3: " cornealdystrophy", 4: " chondrodystrophy", 5: " microcephalicdwarfism"}
+_PLANT_SQL = "CASE p_partkey % 9 " + " ".join(f"WHEN {k} THEN {S.q(v)}" for k, v in _PLANT.items()) + " ELSE '' END"
+_FIXED_SQL = f"WITH n AS (SELECT p_partkey AS code, p_name || CASE WHEN p_partkey % 2 = 0 THEN {_PLANT_SQL} ELSE '' END AS name, p_type || {_PLANT_SQL} AS syn FROM part), h AS (" + " UNION ALL ".join(
+    f"""SELECT code, {S.q(n)} AS pattern, CASE WHEN {S.matches('name', rx)} THEN 'Name' ELSE 'Synonym' END AS field, CASE WHEN {S.matches('name', rx)} THEN name ELSE syn END AS label
+      FROM n WHERE {S.matches('name', rx)} OR {S.matches('syn', rx)}"""
+    for n, rx in defects.PATTERNS.items()
+) + ")"
+
+
+def _fixed_hits(spark, sf):
+    k = F.col("p_partkey") % 9
+    plant = F.coalesce(*[F.when(k == n, v) for n, v in _PLANT.items()], F.lit(""))
+    p = load(spark, sf, "part").select(
+        "p_partkey", F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, plant).otherwise("")).alias("name"), F.array(F.concat("p_type", plant)).alias("synonyms")
+    )
+    return defects.label_hits(p, "p_partkey", "name", "synonyms", defects.PATTERNS)
+
+
+@query("known_defect_scan", f"{_FIXED_SQL} SELECT pattern, count(*) FILTER (WHERE field = 'Name') AS in_name, count(*) AS in_any FROM h GROUP BY pattern")
+def _(spark, sf):
+    return defects.label_defect_scan(_fixed_hits(spark, sf))
+
+
+@query("known_defect_examples", f"""{_FIXED_SQL}
+SELECT pattern, code, field, label, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY code) AS rank FROM h)
+WHERE rank <= CASE WHEN pattern = 'joined-words' THEN 25 ELSE 15 END""")
+def _(spark, sf):
+    return defects.defect_examples(_fixed_hits(spark, sf)).select("pattern", "code", "field", "label", "rank")
+
+
 @query("classify_defects", """
 WITH s AS (SELECT p_partkey AS code, p_type AS kind, upper(split_part(p_name, ' ', 2)) AS form, p_name, p_brand, p_size FROM part),
 r AS (SELECT *, CASE WHEN p_size % 3 = 0 THEN p_name ELSE p_brand END AS rname, CASE WHEN p_size % 5 = 0 THEN p_name ELSE '' END AS rsyn,

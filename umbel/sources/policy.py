@@ -20,12 +20,14 @@ LOG = """
 """
 
 
-def read_policy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """``(entries, entitlements, centres, problems)`` of one small document.
+def read_policy(
+    spark: SparkSession, path: str, one_document_per_line: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``(entries, entitlements, centres, problems)`` of policy documents, one or a folder of them.
 
     ``problems`` lists what breaks a structure rule, as ``(level, rule, item)``.
     """
-    doc = spark.read.schema(POLICY).option("multiLine", True).json(path)
+    doc = spark.read.schema(POLICY).option("multiLine", not one_document_per_line).json(path)
     entries = doc.select(F.posexplode("diseases").alias("policy_id", "d")).select(
         "policy_id", F.col("d.orphaCode").alias("code"), "d.name", F.col("d.`group`").alias("group"), "d.source",
         F.col("d.mappingConfidence").alias("mapping_confidence"),
