@@ -53,10 +53,13 @@ def infer_registry(c: C) -> Column:
     return ladder.when(key.rlike(r"^\d{4}-\d{6}-\d{2}"), "euctr").otherwise("other")
 
 
-def title_fingerprint(c: C) -> Column:
-    """First twelve tokens longer than two characters."""
+def title_fingerprint(c: C, tokens: int | None = None) -> Column:
+    """Tokens longer than two characters: all of them, or the first ``tokens``.
+
+    A prefix makes titles one that differ further on, so it is the caller's choice.
+    """
     words = F.filter(F.split(normalize_term(c), " "), lambda t: F.length(t) > 2)
-    return F.array_join(F.slice(words, 1, 12), " ")
+    return F.array_join(words if tokens is None else F.slice(words, 1, tokens), " ")
 
 
 def xref_bucket(c: C) -> Column:

@@ -251,22 +251,38 @@ def control_score(votes: DataFrame, controls: DataFrame) -> DataFrame:
     )
 
 
-def adjudication_ready(
-    candidates: DataFrame, votes: DataFrame, voters: tuple[str, str], noisy: DataFrame | None = None
+def adjudication_status(
+    candidates: DataFrame, votes: DataFrame, voters: tuple[str, str], noisy: DataFrame | None = None, most: int = MAX_CANDIDATES
 ) -> DataFrame:
-    """Entities whose candidates all have both voters' verdicts and that are not too large."""
+    """``(entity, candidates, voted, status)`` of every entity.
+
+    Ready if all candidates have both voters' verdicts; else the first that holds of
+    ``listed-as-noisy``, ``too-many-candidates`` and ``votes-missing``.
+    """
     per_doc = votes.where(F.col("voter").isin(list(voters))).groupBy("entity", "doc").agg(
         F.bool_or(F.col("voter") == voters[0]).alias("_a"), F.bool_or(F.col("voter") == voters[1]).alias("_b")
     )
     both = F.coalesce(F.col("_a") & F.col("_b"), F.lit(False))
     sized = candidates.select("entity", "doc").distinct().join(per_doc, ["entity", "doc"], "left").groupBy("entity").agg(
-        F.count("*").alias("candidates"), F.bool_and(both).alias("complete")
+        F.count("*").alias("candidates"), F.count_if(both).alias("voted")
     )
-    ready = sized.where(F.col("complete") & (F.col("candidates") <= MAX_CANDIDATES))
     if noisy is None:
         noisy = candidates.sparkSession.createDataFrame([(c,) for c in vocab.NOISY_CODES], "entity string")
-    listed = noisy.select(F.col("entity").cast("string").alias("_noisy")).distinct()
-    return ready.join(listed, F.col("entity").cast("string") == F.col("_noisy"), "left_anti")
+    listed = noisy.select(F.col("entity").cast("string").alias("_noisy")).distinct().withColumn("_listed", F.lit(True))
+    status = (
+        F.when(F.col("_listed"), "listed-as-noisy").when(F.col("candidates") > most, "too-many-candidates")
+        .when(F.col("voted") < F.col("candidates"), "votes-missing").otherwise("ready")
+    )
+    joined = sized.join(listed, F.col("entity").cast("string") == F.col("_noisy"), "left")
+    return joined.select("entity", "candidates", "voted", status.alias("status"))
+
+
+def adjudication_ready(
+    candidates: DataFrame, votes: DataFrame, voters: tuple[str, str], noisy: DataFrame | None = None
+) -> DataFrame:
+    """Entities whose candidates all have both voters' verdicts and that are not too large."""
+    ready = adjudication_status(candidates, votes, voters, noisy).where("status = 'ready'")
+    return ready.select("entity", "candidates", F.lit(True).alias("complete"))
 
 
 def evidence_key(voter: T.C, version: T.C, *fields: T.C) -> Column:

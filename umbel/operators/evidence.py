@@ -3,36 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
 
 
-def best_evidence(
+def evidence_rows(
     entity_keys: DataFrame, evidence: DataFrame, entity: str, key: str, rank: str, symbol: str
 ) -> DataFrame:
-    """Best rank over an entity's keys, and the symbols of keys tied at it.
+    """``(entity, rank, symbol)``: the best rank over an entity's keys, a row for each symbol tied at it.
 
-    A key's rank is its best row, its symbols are all of its rows. Entities
-    without any evidence have a null rank and no symbols.
+    A key's rank is its best row, its symbols are all of its rows. An entity without
+    symbols at its best rank has one row with a null symbol, without any evidence a
+    null rank too.
     """
     best = evidence.groupBy(key).agg(F.max(rank).alias("rank"))
-    symbols = evidence.where(F.col(symbol).isNotNull() & (F.col(symbol) != "")).select(key, symbol).distinct()
+    symbols = evidence.where(F.col(symbol).isNotNull() & (F.col(symbol) != "")).select(key, F.col(symbol).alias("symbol")).distinct()
     ranked = entity_keys.select(entity, key).distinct().join(best, key)
     top = ranked.groupBy(entity).agg(F.max("rank").alias("rank"))
-    tied = ranked.join(top, [entity, "rank"])
-    found = (
-        tied.join(symbols, key).groupBy(entity)
-        .agg(F.array_sort(F.collect_set(symbol)).alias("symbols"))
-    )
-    empty = F.array().cast("array<string>")
-    return (
-        entity_keys.select(entity).distinct()
-        .join(top, entity, "left")
-        .join(found, entity, "left")
-        .select(entity, "rank", F.coalesce("symbols", empty).alias("symbols"))
-    )
+    tied = ranked.join(top, [entity, "rank"]).join(symbols, key).select(entity, "symbol").distinct()
+    return entity_keys.select(entity).distinct().join(top, entity, "left").join(tied, entity, "left").select(entity, "rank", "symbol")
+
+
+def best_evidence(
+    entity_keys: DataFrame, evidence: DataFrame, entity: str, key: str, rank: str, symbol: str, cap: int | None = None
+) -> DataFrame:
+    """``evidence_rows`` as a sorted array per entity; ``cap`` bounds it."""
+    rows = evidence_rows(entity_keys, evidence, entity, key, rank, symbol)
+    if cap is not None:
+        at = F.row_number().over(W.partitionBy(entity).orderBy("symbol"))
+        rows = rows.withColumn("_at", at).where(F.col("_at") <= cap)
+    return rows.groupBy(entity).agg(F.max("rank").alias("rank"), F.array_sort(F.collect_list("symbol")).alias("symbols"))
 
 
 def evidence_class(rank: T.C) -> Column:

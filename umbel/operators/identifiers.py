@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import ids as I
 from ..functions import text as T
+from .studies import first_n
 
 BUCKETS = ["mesh", "umls", "omim", "ncit"]
 
 
-def collect_identifiers(entity_ids: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Cross-references of each entity's nodes by bucket, in first-seen order.
+def identifier_rows(entity_ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(entity, bucket, value, at)``: each cross-reference of an entity's nodes once.
 
-    ``entity_ids`` has ``entity, node, pos``; ``nodes`` has ``id, xrefs``. The
-    bucket is a grouping key, so one busy bucket does not swell the others.
+    ``entity_ids`` has ``entity, node, pos``; ``nodes`` has ``id, xrefs``; ``at`` is
+    the place where a value was seen first. One row a value, so an entity with very
+    many of them is rows like any other.
     """
-    rows = (
+    return (
         entity_ids.join(nodes.select(F.col("id").alias("node"), "xrefs"), "node")
         .select("entity", "pos", F.posexplode("xrefs").alias("xpos", "xref"))
         .select(
@@ -28,33 +30,44 @@ def collect_identifiers(entity_ids: DataFrame, nodes: DataFrame) -> DataFrame:
         .groupBy("entity", "bucket", "value")
         .agg(F.min("at").alias("at"))
     )
-    per = rows.groupBy("entity").pivot("bucket", BUCKETS).agg(
-        F.array_sort(F.collect_list(F.struct("at", "value")))["value"]
-    )
+
+
+def _listed(rows: DataFrame, keys: list[str], order: list[str], value: str, cap: int | None) -> DataFrame:
+    """``(keys, v)``: values as an array in order, the first ``cap`` if one is given."""
+    if cap is not None:
+        return first_n(rows, keys, order, cap, [value], "v").select(*keys, F.col(f"v.{value}").alias("v"))
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, value)))[value].alias("v"))
+
+
+def collect_identifiers(entity_ids: DataFrame, nodes: DataFrame, cap: int | None = None) -> DataFrame:
+    """``identifier_rows`` as arrays by bucket, in first-seen order; ``cap`` bounds each."""
+    lists = _listed(identifier_rows(entity_ids, nodes), ["entity", "bucket"], ["at"], "value", cap)
+    per = lists.groupBy("entity").pivot("bucket", BUCKETS).agg(F.first("v"))
+    own = _listed(entity_ids.select("entity", "pos", "node").distinct(), ["entity"], ["pos"], "node", cap)
     empty = F.array().cast("array<string>")
-    return (
-        entity_ids.groupBy("entity")
-        .agg(F.array_sort(F.collect_set(F.struct("pos", "node")))["node"].alias("nodes"))
-        .join(per, "entity", "left")
-        .select("entity", "nodes", *[F.coalesce(b, empty).alias(b) for b in BUCKETS])
+    return own.join(per, "entity", "left").select(
+        "entity", F.col("v").alias("nodes"), *[F.coalesce(b, empty).alias(b) for b in BUCKETS]
     )
 
 
-def collect_exact_synonyms(entity_ids: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct exact synonyms over each entity's nodes, first-seen order."""
-    rows = (
+def synonym_rows(entity_ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(entity, synonym, at)``: each exact synonym over an entity's nodes once."""
+    return (
         entity_ids.join(nodes.select(F.col("id").alias("node"), "exact_synonyms"), "node")
         .select("entity", "pos", F.posexplode("exact_synonyms").alias("spos", "synonym"))
         .groupBy("entity", "synonym")
         .agg(F.min(F.struct("pos", "spos")).alias("at"))
     )
-    return rows.groupBy("entity").agg(
-        F.array_sort(F.collect_list(F.struct("at", "synonym")))["synonym"].alias("synonyms")
-    )
 
 
-def resolve_labels(entity_ids: DataFrame, labels: DataFrame) -> DataFrame:
-    """Descriptor labels of each entity; ``labels`` has ``id, label``.
+def collect_exact_synonyms(entity_ids: DataFrame, nodes: DataFrame, cap: int | None = None) -> DataFrame:
+    """``synonym_rows`` as arrays in first-seen order; ``cap`` bounds them."""
+    lists = _listed(synonym_rows(entity_ids, nodes), ["entity"], ["at"], "synonym", cap)
+    return lists.select("entity", F.col("v").alias("synonyms"))
+
+
+def label_rows(entity_ids: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(entity, pos, label)``: descriptor labels of each entity; ``labels`` has ``id, label``.
 
     Ids look like C or D and digits; labels shorter than three characters are
     dropped; equal labels in any case count once, the first id's spelling stays.
@@ -62,16 +75,20 @@ def resolve_labels(entity_ids: DataFrame, labels: DataFrame) -> DataFrame:
     clean = labels.select(F.upper(T.strip("id")).alias("id"), T.strip("label").alias("label")).where(
         F.length("label") >= 3
     )
-    rows = (
+    return (
         entity_ids.select("entity", "pos", F.upper(T.strip("id")).alias("id"))
         .where(F.col("id").rlike(r"^[CD]\d+$"))
         .join(clean, "id")
         .groupBy("entity", F.lower("label").alias("k"))
         .agg(F.min(F.struct("pos", "label")).alias("first"))
+        .select("entity", "first.pos", "first.label")
     )
-    return rows.groupBy("entity").agg(
-        F.array_sort(F.collect_list("first"))["label"].alias("labels")
-    )
+
+
+def resolve_labels(entity_ids: DataFrame, labels: DataFrame, cap: int | None = None) -> DataFrame:
+    """``label_rows`` as arrays in the order of ids; ``cap`` bounds them."""
+    lists = _listed(label_rows(entity_ids, labels), ["entity"], ["pos"], "label", cap)
+    return lists.select("entity", F.col("v").alias("labels"))
 
 
 def needs_backfill(ids: T.C, labels: T.C) -> Column:

@@ -12,15 +12,18 @@ from .ranks import row_index
 MAX_ROUNDS = 60
 
 
-def record_keys(records: DataFrame) -> DataFrame:
-    """``(rid, key)``: own id, main-registry id, secondary ids, long title print."""
-    print_ = I.title_fingerprint("title")
+def record_keys(records: DataFrame, title_tokens: int | None = None) -> DataFrame:
+    """``(rid, key)``: own id, main-registry id, secondary ids, long title print.
+
+    The print of a long title is hashed, so keys stay short whatever the title.
+    """
+    print_ = I.title_fingerprint("title", title_tokens)
     keys = F.array_compact(
         F.concat(
             F.array(
                 F.concat(F.lit("id:"), I.canonical_id("id")),
                 F.when(F.col("nct_id").isNotNull(), F.concat(F.lit("nct:"), I.canonical_id("nct_id"))),
-                F.when(F.length(print_) >= 24, F.concat(F.lit("title:"), print_)),
+                F.when(F.length(print_) >= 24, F.concat(F.lit("title:"), F.sha2(print_, 256))),
             ),
             F.transform(
                 F.coalesce("secondary_ids", F.array().cast("array<string>")),

@@ -53,6 +53,33 @@ def _(spark, sf):
     return d.select("entity", F.array_join("synonyms", "|").alias("synonyms"))
 
 
+@query("identifier_rows", f"""
+SELECT p_partkey AS entity, unnest(['mesh', 'umls', 'omim', 'mesh', 'ncit']) AS bucket, unnest(['D' || {_PAD}, 'C' || {_PAD}, {_PAD}, p_brand, p_brand]) AS value FROM part""")
+def _(spark, sf):
+    return identifiers.identifier_rows(*_part_nodes(spark, sf)).select("entity", "bucket", "value")
+
+
+@query("synonym_rows", "SELECT p_partkey AS entity, unnest([p_name, p_type, p_brand]) AS synonym FROM part")
+def _(spark, sf):
+    return identifiers.synonym_rows(*_part_nodes(spark, sf)).select("entity", "synonym")
+
+
+@query("label_rows", """
+WITH l AS (SELECT o_custkey AS entity, o_orderkey AS pos, CASE WHEN o_orderstatus = 'F' THEN upper(o_orderpriority) ELSE lower(o_orderpriority) END AS label FROM orders)
+SELECT entity, min(pos) AS pos, arg_min(label, pos) AS label FROM l GROUP BY entity, lower(label)""")
+def _(spark, sf):
+    return identifiers.label_rows(*_descriptor_ids(spark, sf))
+
+
+@query("first_labels", """
+WITH l AS (SELECT o_custkey AS entity, o_orderkey AS pos, CASE WHEN o_orderstatus = 'F' THEN upper(o_orderpriority) ELSE lower(o_orderpriority) END AS label FROM orders),
+f AS (SELECT entity, lower(label) AS k, arg_min(label, pos) AS label, min(pos) AS pos FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY pos) AS rn FROM f)
+SELECT entity, string_agg(label, '|' ORDER BY pos) AS labels FROM r WHERE rn <= 2 GROUP BY entity""")
+def _(spark, sf):
+    d = identifiers.resolve_labels(*_descriptor_ids(spark, sf), cap=2)
+    return d.select("entity", F.array_join("labels", "|").alias("labels"))
+
+
 def _descriptor_ids(spark, sf):
     """Descriptor ids of each customer: one per order, labelled by priority."""
     o = load(spark, sf, "orders")
@@ -109,6 +136,26 @@ def _(spark, sf):
     return d.select("entity", "rank", F.array_join("symbols", "|").alias("symbols"))
 
 
+def _evidence_keys(spark, sf):
+    o = load(spark, sf, "orders").select(
+        F.col("o_custkey").alias("entity"),
+        F.concat_ws("-", F.col("o_custkey").cast("string"), F.year("o_orderdate").cast("string")).alias("key"),
+        (6 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("rank"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("symbol"),
+    )
+    everyone = load(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), F.lit("none").alias("key"))
+    return o.select("entity", "key").unionByName(everyone), o
+
+
+@query("evidence_rows", """
+WITH o AS (SELECT o_custkey, year(o_orderdate) AS y, 6 - CAST(substr(o_orderpriority, 1, 1) AS INT) AS rank, nullif(o_orderstatus, 'P') AS s FROM orders),
+k AS (SELECT o_custkey, y, max(rank) AS rank FROM o GROUP BY ALL), t AS (SELECT o_custkey, max(rank) AS rank FROM k GROUP BY ALL),
+g AS (SELECT DISTINCT o.o_custkey, s FROM t JOIN k USING (o_custkey, rank) JOIN o ON o.o_custkey = k.o_custkey AND o.y = k.y WHERE s IS NOT NULL)
+SELECT c_custkey AS entity, rank, s AS symbol FROM customer LEFT JOIN t ON t.o_custkey = c_custkey LEFT JOIN g ON g.o_custkey = c_custkey""")
+def _(spark, sf):
+    keys, o = _evidence_keys(spark, sf)
+    return evidence.evidence_rows(keys, o, "entity", "key", "rank", "symbol")
+
+
 def _halving(spark, sf):
     """A deep hierarchy over customers: k has parents k/2 and k/3."""
     c = load(spark, sf, "customer").where("c_custkey > 0")

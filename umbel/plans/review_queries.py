@@ -187,17 +187,31 @@ def _(spark, sf):
     return acc.control_score(_long_votes(spark, sf), controls)
 
 
-@query("adjudication_ready", f"""WITH {VOTES_SQL}, c AS (SELECT d.source || '-' || d.lang AS entity, d.doc_id, a_ok AND b_ok AS both_ok FROM documents d JOIN v USING (doc_id))
-SELECT entity, count(*) AS candidates FROM c WHERE entity NOT LIKE 'src1-%' GROUP BY entity HAVING bool_and(both_ok) AND count(*) <= 220""")
-def _(spark, sf):
+def _candidates(spark, sf):
+    """Labelled documents as candidates of their source and language, with their votes."""
     labelled = load(spark, sf, "documents").join(load(spark, sf, "labels"), "doc_id", "left_semi")
     docs = labelled.select(F.concat_ws("-", "source", "lang").alias("entity"), F.col("doc_id").alias("doc"))
     votes = acc.vote_validity(_raw_votes(spark, sf)).where("valid").withColumnRenamed("doc_id", "doc")
     votes = votes.join(docs, "doc").select("entity", "doc", "voter")
     noisy = docs.where("entity like 'src1-%'").select("entity").distinct()
+    return docs, votes, noisy
+
+
+@query("adjudication_ready", f"""WITH {VOTES_SQL}, c AS (SELECT d.source || '-' || d.lang AS entity, d.doc_id, a_ok AND b_ok AS both_ok FROM documents d JOIN v USING (doc_id))
+SELECT entity, count(*) AS candidates FROM c WHERE entity NOT LIKE 'src1-%' GROUP BY entity HAVING bool_and(both_ok) AND count(*) <= 220""")
+def _(spark, sf):
+    docs, votes, noisy = _candidates(spark, sf)
     return acc.adjudication_ready(docs, votes, ("a", "b"), noisy).select("entity", "candidates")
 
 
+@query("adjudication_status", f"""WITH {VOTES_SQL}, c AS (SELECT d.source || '-' || d.lang AS entity, d.doc_id, a_ok AND b_ok AS both_ok FROM documents d JOIN v USING (doc_id)),
+s AS (SELECT entity, count(*) AS candidates, count(*) FILTER (WHERE both_ok) AS voted FROM c GROUP BY entity)
+SELECT *, CASE WHEN entity LIKE 'src1-%' THEN 'listed-as-noisy' WHEN candidates > 8 THEN 'too-many-candidates' WHEN voted < candidates THEN 'votes-missing' ELSE 'ready' END AS status FROM s""")
+def _(spark, sf):
+    docs, votes, noisy = _candidates(spark, sf)
+    return acc.adjudication_status(docs, votes, ("a", "b"), noisy, most=8)
+
+
 @query("evidence_key", """
 SELECT doc_id, sha256('{"voter":"a","version":"v2","f0":"' || source || '","f1":' || CASE WHEN lang = 'en' THEN 'null' ELSE '"' || lang || '"' END || '}') AS key FROM documents""")
 def _(spark, sf):

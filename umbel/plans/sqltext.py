@@ -82,5 +82,6 @@ def safe_recall(t: str) -> str:
       ELSE length({w}[1]) >= 12 AND NOT {blocked(w + '[1]')} END"""
 
 
-def fingerprint(x: str) -> str:
-    return f"array_to_string(list_filter(string_split({norm(x)}, ' '), lambda t: length(t) > 2)[1:12], ' ')"
+def fingerprint(x: str, tokens: int | None = None) -> str:
+    cut = "" if tokens is None else f"[1:{tokens}]"
+    return f"array_to_string(list_filter(string_split({norm(x)}, ' '), lambda t: length(t) > 2){cut}, ' ')"

@@ -424,6 +424,7 @@ def _(spark, sf):
     )
 
 
-@query("title_fingerprint", f"SELECT doc_id, {S.fingerprint('text')} AS fp FROM documents")
+@query("title_fingerprint", f"SELECT doc_id, md5({S.fingerprint('text')}) AS whole, {S.fingerprint('text', 12)} AS fp FROM documents")
 def _(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", I.title_fingerprint("text").alias("fp"))
+    # The key of twelve tokens is there for comparison with older clusters.
+    return load(spark, sf, "documents").select("doc_id", F.md5(I.title_fingerprint("text")).alias("whole"), I.title_fingerprint("text", 12).alias("fp"))
