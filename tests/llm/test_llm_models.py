@@ -60,6 +60,16 @@ def test_pages_table(spark):
 # ---- mixing ------------------------------------------------------------------
 
 
+def test_raking_of_arrays_and_of_tables_agree(spark):
+    rng = np.random.default_rng(21)
+    cells = spark.createDataFrame([(f"a{i}", f"b{j}", int(n)) for i in range(5) for j in range(4) if (n := rng.integers(0, 400)) > 60], "a string, b string, tokens long")
+    even = {d: raking.even_targets(cells, d, 0.5) for d in "ab"}
+    for keep in (None, 0.4):
+        (one, gap), (other, away) = (raking.rake(cells, even, keep=keep, collected=n) for n in (1000, 0))
+        a, b = ({(r.a, r.b): r.weight for r in t.collect()} for t in (one, other))
+        assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-9 and abs(gap - away) < 1e-9
+
+
 def test_raking_matches_numpy(spark):
     rng = np.random.default_rng(4)
     rows = [(f"s{i}", f"l{j}", int(rng.integers(1, 1000))) for i in range(5) for j in range(3)]

@@ -15,6 +15,8 @@ from __future__ import annotations
 import warnings
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ TOLERANCE = 1e-4
 MISSING = "?"
 # Share of all tokens a mixture keeps at least.
 KEEP = 0.25
+# Cells that are raked as arrays: 40 bytes each beside their names.
+CELLS = 50_000
 # A fit with a larger gap is reported.
 REPORTED = 0.01
 
@@ -70,10 +74,13 @@ def within_supply(shares: DataFrame, cells: DataFrame, dimension: str, kept: flo
 
 def rake(
     cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE,
-    keep: float | None = None,
+    keep: float | None = None, collected: int = CELLS,
 ) -> tuple[DataFrame, float]:
     """``(cells with weight, largest gap)``; weights sum to one.
 
+    Up to ``collected`` cells, counted, are raked as arrays on the driver (a few MB);
+    more as tables, by the same steps.
+
     ``cells`` has the dimensions of ``targets`` and ``tokens``; a target is
     ``value, share``. Values without a target get weight zero; targets without
     tokens are left out and the others scaled up. When targets contradict each
@@ -95,6 +102,8 @@ def rake(
         whole = rows.agg(F.sum("s")).first()[0] or 1.0
         rows = rows.withColumn("s", F.col("s") / whole)
         shares[d] = rows if keep is None else within_supply(rows, live, d, keep * total)
+    if live.count() <= collected:
+        return _rake_rows(live, shares, rounds, tolerance, None if keep is None else keep * total)
     current = live.withColumn("weight", F.col("tokens").cast("double"))
     current, gap, last = current.withColumn("weight", F.col("weight") / total), float("inf"), None
     for _ in range(rounds):
@@ -123,6 +132,28 @@ def rake(
     return current, gap or 0.0
 
 
+def _rake_rows(live: DataFrame, shares: dict[str, DataFrame], rounds: int, tolerance: float, kept: float | None) -> tuple[DataFrame, float]:
+    """The rounds of ``rake`` over collected cells; ``kept`` is the number of tokens to keep."""
+    cells = live.toArrow()
+    tokens = cells.column("tokens").to_numpy().astype(np.float64)
+    weight, gap, marginals = tokens / (tokens.sum() or 1.0), 0.0, []
+    for d, table in shares.items():
+        wanted = {r[d]: r["s"] for r in table.collect()}
+        values = {v: i for i, v in enumerate(wanted)}
+        marginals.append((np.array([values[v] for v in cells.column(d).to_pylist()], np.int64), np.array(list(wanted.values()), np.float64)))
+    for _ in range(rounds if len(tokens) else 0):
+        for of, share in marginals:
+            now = np.bincount(of, weight, minlength=len(share))
+            weight = weight * np.divide(share, now, out=np.zeros_like(share), where=now > 0)[of]
+            if kept is not None:
+                weight = np.minimum(weight, tokens / kept)
+        gap = max(float(np.abs(np.bincount(of, weight, minlength=len(share)) / share - 1).max()) for of, share in marginals)
+        if gap < tolerance:
+            break
+    made = cells.append_column("weight", pa.array(weight))
+    return live.sparkSession.createDataFrame(made), gap
+
+
 def mix(
     docs: DataFrame, dimensions: dict[str, Column], targets: dict[str, DataFrame] | None = None, power: float = 0.7,
     tokens: Column | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP,
@@ -149,7 +180,9 @@ def mix(
     factor = raked.select(*keys, (F.col("weight") / F.col("tokens")).alias("factor"))
     top = factor.agg(F.max("factor")).first()[0] or 1.0
     scale = max(1.0 / top, keep * (raked.agg(F.sum("tokens")).first()[0] or 0))
-    chances = materialize(factor.select(*keys, F.least(F.lit(1.0), F.col("factor") * scale).alias("chance")), "chances")
+    # A cell kept whole is so despite rounding.
+    p = F.col("factor") * scale
+    chances = materialize(factor.select(*keys, F.when(p >= 1.0 - 1e-12, 1.0).otherwise(p).alias("chance")), "chances")
     drawn = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col), F.lit(seed))).otherwise(F.xxhash64(F.col(text_col), F.lit(seed)))
     place = F.pmod(drawn, F.lit(1 << 53)) / float(1 << 53)
     chance = F.when(F.col("mix_tokens") == 0, 1.0).otherwise(F.coalesce("chance", F.lit(0.0)))
