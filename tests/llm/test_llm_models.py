@@ -278,6 +278,20 @@ def test_toxicity_of_held_out_documents(spark):
     assert hits / sum(r.predicted for r in got) > 0.9 and hits / sum(known[r.doc_id] for r in got) > 0.8
 
 
+def test_equal_texts_have_equal_scores(spark):
+    docs = documents(spark).select("doc_id", "text")
+    text = [r.text for r in docs.where("text is not null").orderBy("doc_id").limit(3).collect()]
+    free = [i for i in range(10_000, 10_200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    held = [i for i in range(10_000, 10_200) if zlib.crc32(str(i).encode()) % 3 == 1]
+    copies = [(i, text[n % 3] + " idiot moron") for n, i in enumerate(free[:9] + held[:9])]
+    marks = [(i, 1, (n // 3) % 2) for n, i in enumerate(free[:6])]
+    rows = docs.unionByName(spark.createDataFrame(copies, "doc_id long, text string"))
+    known = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality", "toxic").unionByName(spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: (r.score, r.vote) for r in toxicity.classify(rows, known).collect()}
+    for n in range(3):
+        assert len({got[i] for i, t in copies if t == text[n] + " idiot moron"}) == 1
+
+
 def test_toxicity_of_odd_rows(spark):
     got = toxicity.classify(odd(spark), labels(spark, [(5, 1, 1), (3, 1, 0), (3, 1, None), (None, 1, 1)])).collect()
     assert len(got) == 13 and all(0 <= r.score <= 1 for r in got)

@@ -303,6 +303,11 @@ def search(places: DataFrame, items: list[Item], idf: np.ndarray, space: np.ndar
         places.sparkSession, (items, latent.astype(np.float32), np.ascontiguousarray(rows.T, np.float32), Runs(items))
     )
 
+    def position(present, wanted):
+        """Row of each wanted stride, the last row for those without terms."""
+        at = np.minimum(np.searchsorted(present, wanted), len(present) - 1)
+        return np.where(present[at] == wanted, at, len(present))
+
     def run(batches):
         items_, terms_, targets, runs = shipping.receive(shared)
         names = [c.split()[0] for c in MATCH.split(", ")]
@@ -322,6 +327,9 @@ def search(places: DataFrame, items: list[Item], idf: np.ndarray, space: np.ndar
                 key = base[row] + place
                 low, high = np.searchsorted(key, base[owner] + begin), np.searchsorted(key, base[owner] + begin + WINDOW)
                 kept = np.flatnonzero(high > low)
+                # A row has one stride more than windows.
+                stride_base = np.cumsum(count + 1) - (count + 1)
+                stride = stride_base[owner] + begin // STRIDE
                 edge = np.searchsorted(row, np.arange(n + 1))
                 best: dict[tuple[int, int], tuple] = {}
 
@@ -343,14 +351,19 @@ def search(places: DataFrame, items: list[Item], idf: np.ndarray, space: np.ndar
                     check(r, i, b, b + len(items_[i].terms), None)
                 for c in range(0, len(kept), 2048):
                     mine = kept[c : c + 2048]
-                    size = high[mine] - low[mine]
-                    take = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[mine], size)
-                    seen = np.add.reduceat(terms_[term[take]], np.cumsum(size) - size, axis=0)
+                    # Windows overlap by half, so sums are made per stride and added in pairs.
+                    a, z = int(low[mine[0]]), int(high[mine[-1]])
+                    own_stride = stride_base[row[a:z]] + place[a:z] // STRIDE
+                    edges_ = np.flatnonzero(np.diff(own_stride, prepend=-1))
+                    present = own_stride[edges_]
+                    sums = np.zeros((len(present) + 1, terms_.shape[1]), np.float32)
+                    np.add.reduceat(terms_[term[a:z]], edges_, axis=0, out=sums[:-1])
+                    seen = sums[position(present, stride[mine])] + sums[position(present, stride[mine] + 1)]
                     length = np.linalg.norm(seen, axis=1)
-                    near = (seen @ targets) / np.maximum(length, 1e-9)[:, None]
-                    for w, i in zip(*np.nonzero(near >= cosine)):
+                    near = seen @ targets
+                    for w, i in zip(*np.nonzero(near >= cosine * np.maximum(length, 1e-9)[:, None])):
                         b = int(begin[mine[w]])
-                        check(int(owner[mine[w]]), int(i), b, b + WINDOW, float(near[w, i]))
+                        check(int(owner[mine[w]]), int(i), b, b + WINDOW, float(near[w, i] / max(length[w], 1e-9)))
                 if best:
                     cols = list(zip(*[
                         (doc[r], items_[i].item_id, c, s, t, "copy" if s >= COPY else "paraphrase", at) for (r, i), (s, t, c, at) in sorted(best.items())

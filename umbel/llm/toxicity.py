@@ -155,7 +155,8 @@ class Index:
                 break
             for b in np.unique(block[active]):
                 mine = active[block[active] == b]
-                part = queries[mine] @ self.weights[b * BLOCK : (b + 1) * BLOCK].T
+                # Rounded, so that a product's place in its batch does not show in ties.
+                part = np.round(queries[mine] @ self.weights[b * BLOCK : (b + 1) * BLOCK].T, 6)
                 ids = np.broadcast_to(b * BLOCK + np.arange(part.shape[1]), part.shape)
                 all_scores = np.concatenate((scores[mine], part), axis=1)
                 all_ids = np.concatenate((found[mine], ids), axis=1)
@@ -191,8 +192,20 @@ def build_index(known: DataFrame, idf: np.ndarray, examples: int) -> Index:
     )
 
 
+def weighed(cosine: np.ndarray, count: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(vote, weights, toxic shares)`` of found examples; no vote without a neighbour."""
+    weight = np.where((cosine > 0) & (count > 0), np.sqrt(np.maximum(count, 0)) / (1.05 - np.minimum(cosine, 1)), 0)
+    share = np.divide(toxic, count, out=np.zeros_like(toxic), where=count > 0)
+    total = weight.sum(axis=1)
+    return np.divide((weight * share).sum(axis=1), total, out=np.full(len(total), np.nan), where=total > 0), weight, share
+
+
 def votes(table: DataFrame, index: Index, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """``doc_id, label, vote`` and ``evidence``; vote is null without a neighbour."""
+    """``doc_id, label, vote, vote_apart`` and ``evidence``; a vote is null without a neighbour.
+
+    ``vote`` depends on the text alone, so equal texts have equal votes. In
+    ``vote_apart`` a row learnt from does not count itself: for the calibration.
+    """
     shared = shipping.send(table.sparkSession, index)
 
     def run(batches):
@@ -203,28 +216,26 @@ def votes(table: DataFrame, index: Index, neighbours: int = NEIGHBOURS) -> DataF
                 labels = batch.column(1).to_pylist()
                 rows = dense(batch.column(2).to_pylist(), batch.column(3).to_pylist(), ix.idf)
                 found, cosine = ix.nearest(rows, neighbours)
+                some = len(ix.rows) > 0
+                count, toxic = (ix.rows[found], ix.toxic[found]) if some else (np.zeros(found.shape), np.zeros(found.shape))
+                vote, weight, share = weighed(cosine, count, toxic)
+                # Calibration only: a row learnt from does not vote for itself there.
                 own = np.array([ix.vector_row.get(r.tobytes(), -1) if l is not None else -1 for r, l in zip(rows, labels)])
                 label = np.array([l or 0 for l in labels], np.float64)
                 mine = (found == own[:, None]) & (cosine > 0) & (own >= 0)[:, None]
-                # A row learnt from does not vote for itself.
-                count = (ix.rows[found] if len(ix.rows) else np.zeros(found.shape)) - mine
-                toxic = (ix.toxic[found] if len(ix.rows) else np.zeros(found.shape)) - mine * label[:, None]
-                weight = np.where((cosine > 0) & (count > 0), np.sqrt(np.maximum(count, 0)) / (1.05 - np.minimum(cosine, 1)), 0)
-                share = np.divide(toxic, count, out=np.zeros_like(toxic), where=count > 0)
-                total = weight.sum(axis=1)
-                vote = np.divide((weight * share).sum(axis=1), total, out=np.zeros(len(rows)), where=total > 0)
+                apart, _, _ = weighed(cosine, count - mine, toxic - mine * label[:, None])
                 evidence = [
                     [{"doc_id": int(ix.names[f]), "cosine": float(c), "toxic_share": float(s)} for f, c, s, w in zip(fs, cs, ss, ws) if w > 0][:3]
                     for fs, cs, ss, ws in zip(found.tolist(), cosine.tolist(), share.tolist(), weight.tolist())
                 ]
                 kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic_share", pa.float64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(4), pa.array(vote, mask=total <= 0), pa.array(evidence, kind)],
-                    names=["doc_id", "label", "held_out", "vote", "evidence"],
+                    [batch.column(0), batch.column(1), batch.column(4), pa.array(vote, mask=np.isnan(vote)), pa.array(apart, mask=np.isnan(apart)), pa.array(evidence, kind)],
+                    names=["doc_id", "label", "held_out", "vote", "vote_apart", "evidence"],
                 )
 
     return table.select("doc_id", "label", "terms", "counts", "held_out").mapInArrow(
-        run, "doc_id long, label int, held_out boolean, vote double, evidence array<struct<doc_id:long,cosine:double,toxic_share:double>>"
+        run, "doc_id long, label int, held_out boolean, vote double, vote_apart double, evidence array<struct<doc_id:long,cosine:double,toxic_share:double>>"
     )
 
 
@@ -235,7 +246,7 @@ def calibrate(voted: DataFrame, bins: int = BINS) -> tuple[np.ndarray, float]:
     made to rise with the vote by pooling neighbours that fall.
     """
     known = voted.where("label IS NOT NULL").withColumn(
-        "bin", F.when(F.col("vote").isNotNull(), F.least(F.floor(F.col("vote") * bins), F.lit(bins - 1))).cast("int")
+        "bin", F.when(F.col("vote_apart").isNotNull(), F.least(F.floor(F.col("vote_apart") * bins), F.lit(bins - 1))).cast("int")
     )
     rows = {r["bin"]: (r["n"], r["toxic"]) for r in known.groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).collect()}
     total, toxic = (sum(v[i] for v in rows.values()) for i in (0, 1))
