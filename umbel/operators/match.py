@@ -206,9 +206,13 @@ def exact_term_match(
     keywords: str,
     cap: int = 8,
     least: int = 5,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Normalised equality of owned terms with conditions, then keywords.
 
+    ``carry`` names columns of the document that its matches keep, so that ``docs``
+    is built and read once.
+
     Terms with more than ``cap`` owners are ambiguous and assign nothing (see
     ``ambiguous_terms``). One row per entity and document: a condition hit beats
     a keyword hit, earlier fields come first.
@@ -225,19 +229,19 @@ def exact_term_match(
 
     fields = F.concat(listed(0, "condition", conditions), listed(1, "keyword", keywords))
     rows = (
-        docs.select(doc, F.explode(fields).alias("f"))
-        .select(doc, "f.*")
+        docs.select(doc, *carry, F.explode(fields).alias("f"))
+        .select(doc, *carry, "f.*")
         .where(F.length("term") >= least)
     )
     # Equal fields of one document count once, before anything is shuffled far.
-    once = rows.groupBy(doc, "term").agg(F.min(F.struct("rank", "pos", "via", "value")).alias("f"))
+    once = rows.groupBy(doc, *carry, "term").agg(F.min(F.struct("rank", "pos", "via", "value")).alias("f"))
     usable = owned.where(F.col("owners") <= cap).select("term", code)
     joined = once.join(usable, "term")
     best = F.min(F.struct("f.rank", "f.pos", "term", "f.via", "f.value"))
     return (
-        joined.groupBy(code, doc)
+        joined.groupBy(code, doc, *carry)
         .agg(best.alias("b"))
-        .select(code, doc, F.col("b.term").alias("term"), F.col("b.via").alias("via"), F.col("b.value").alias("value"))
+        .select(code, doc, *carry, F.col("b.term").alias("term"), F.col("b.via").alias("via"), F.col("b.value").alias("value"))
     )
 
 

@@ -123,9 +123,7 @@ def _item_docs(spark, sf):
 
 def _exact(spark, sf):
     _, owned = _part_terms(spark, sf)
-    docs = _item_docs(spark, sf)
-    hits = match.exact_term_match(owned, docs, "code", "doc", "conditions", "keywords")
-    return hits.join(docs.select("doc", "study_type"), "doc")
+    return match.exact_term_match(owned, _item_docs(spark, sf), "code", "doc", "conditions", "keywords", carry=("study_type",))
 
 
 @query("exact_term_match", f"WITH {_OWNED_SQL} SELECT code, doc, study_type, via FROM m")
