@@ -214,15 +214,17 @@ class Item:
         n = len(self.terms)
         low, high = np.searchsorted(place, (begin - n, end + n))
         near, spots = term[low:high], place[low:high]
-        mine = np.isin(near, self.known)
+        mine = self.known[np.minimum(np.searchsorted(self.known, near), len(self.known) - 1)] == near
         near, spots = near[mine], spots[mine]
-        if len(near) < PARAPHRASE * n:
+        # A span with fewer of its words has no match that counts.
+        least = PARAPHRASE * n
+        if len(near) < least:
             return 0, 0, 0
         span, found = int(np.ceil(STRETCH * n)) + 1, (0, 0, 0)
         begins = np.arange(int(spots[0]), int(spots[-1]) + 1, max(1, n // 8))
         lows, highs = np.searchsorted(spots, begins), np.searchsorted(spots, begins + span)
         for s, a, b in zip(begins.tolist(), lows.tolist(), highs.tolist()):
-            if b - a <= found[0]:
+            if b - a <= found[0] or b - a < least:
                 continue
             part = near[a:b].tolist()
             common = common_subsequence(self.masks, n, part)
