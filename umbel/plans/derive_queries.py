@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import aggregates as agg
 from ..operators import confidence as conf
 from ..operators import quality, ranks, readiness, selection
-from ..runtime import materialize, side_by_side
+from ..runtime import bucketed, materialize, side_by_side
 from . import sqltext as S
 from .registry import query
 from .tables import ENTITIES_SQL, entities, load
@@ -50,8 +50,13 @@ gated AS MATERIALIZED (SELECT *, health <> 'broken' AND NOT excluded AND confide
 """
 
 
+def artifact(spark, sf):
+    """Entities written once, laid out by code: what follows joins them where they lie."""
+    return bucketed(entities(spark, sf), "code")
+
+
 def derived(spark, sf):
-    return conf.derive(entities(spark, sf))
+    return conf.derive(artifact(spark, sf))
 
 
 def derived_table(spark, sf):
@@ -71,19 +76,19 @@ f AS (SELECT key, list(code ORDER BY rn) AS firsts FROM r WHERE rn <= 4 GROUP BY
 SELECT code, key, owners - 1 AS others, array_to_string(list_filter(firsts, lambda x: x <> code)[1:3], ',') AS shown
 FROM kept JOIN owners USING (key) JOIN f USING (key) WHERE owners > 1""")
 def _(spark, sf):
-    d = conf.name_collisions(entities(spark, sf))
+    d = conf.name_collisions(artifact(spark, sf))
     return d.select("code", "key", "others", F.array_join("shown_owners", ",").alias("shown"))
 
 
 @query("confidence_base", f"WITH {DERIVED_SQL} SELECT code, dropped_terms, collisions, base_score, base AS base_confidence FROM derived")
 def _(spark, sf):
-    d = conf.confidence_base(entities(spark, sf))
+    d = conf.confidence_base(artifact(spark, sf))
     return d.select("code", "dropped_terms", "collisions", "base_score", "base_confidence")
 
 
 @query("confidence_rules", f"WITH {DERIVED_SQL} SELECT code, k3 AS confidence, contra AS excluded FROM derived")
 def _(spark, sf):
-    return conf.confidence_rules(conf.confidence_base(entities(spark, sf))).select("code", "confidence", "excluded")
+    return conf.confidence_rules(conf.confidence_base(artifact(spark, sf))).select("code", "confidence", "excluded")
 
 
 @query("confidence_final", f"WITH {DERIVED_SQL} SELECT code, health, confidence, excluded FROM derived")
@@ -386,9 +391,9 @@ def _(spark, sf):
     return selection.hash_sample_per_group(d, "source", "doc_id", 15).select("source", "doc_id", "rank")
 
 
-@query("global_hash_sample", "SELECT source, doc_id FROM documents WHERE lang <> 'en' ORDER BY md5('control:' || source || ':' || doc_id), source, doc_id LIMIT 10")
+@query("global_hash_sample", "SELECT source, doc_id FROM documents ORDER BY md5('control:' || source || ':' || doc_id), source, doc_id LIMIT 10")
 def _(spark, sf):
-    d = load(spark, sf, "documents").where("lang != 'en'").select("source", "doc_id")
+    d = load(spark, sf, "documents").select("source", "doc_id")
     return selection.global_hash_sample(d, "control", ["source", "doc_id"]).select("source", "doc_id")
 
 

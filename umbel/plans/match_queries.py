@@ -192,13 +192,12 @@ def _(spark, sf):
 
 
 @query("count_live", f"""
-WITH {SENTENCES_SQL}, d AS MATERIALIZED (SELECT doc_id, {S.norm('text')} AS t FROM documents WHERE lang = 'en'),
+WITH {SENTENCES_SQL}, d AS MATERIALIZED (SELECT doc_id, {S.norm('text')} AS t FROM documents),
 n AS (SELECT item_id, count(DISTINCT doc_id) AS live FROM phr JOIN d ON {S.contains('t', 'term')} GROUP BY item_id)
 SELECT item_id AS entity, coalesce(live, 0) AS live FROM benchmark LEFT JOIN n USING (item_id)""")
 def _(spark, sf):
     b = load(spark, sf, "benchmark").select("item_id", T.or_query(F.split("text", r"[.\n]")).alias("query"))
-    docs = load(spark, sf, "documents").where("lang = 'en'")
-    return match.count_live(b, match.plain_texts(docs, "doc_id", "text"), "item_id", "query")
+    return match.count_live(b, match.plain_texts(load(spark, sf, "documents"), "doc_id", "text"), "item_id", "query")
 
 
 @query("fallback_scan", f"""{_WITH},

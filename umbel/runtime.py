@@ -84,6 +84,20 @@ def materialize(df: DataFrame, label: str = "stage", by: str | None = None) -> D
     return table
 
 
+def bucketed(df: DataFrame, key: str, label: str = "artifact", buckets: int | None = None) -> DataFrame:
+    """``df`` as a table laid out by ``key``: joins and groupings by it move the other side only.
+
+    As many buckets as shuffle partitions unless given; the files are in the shared
+    folder, the name is in the session's catalogue.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    parts = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def discard(table: DataFrame) -> None:
     """Remove a table ``materialize`` made, once nothing will read it any more."""
     path = getattr(table, "_scratch_path", None)
