@@ -166,6 +166,8 @@ def test_snapshots_and_gates(spark):
     listed = [tuple(r) for r in snapshots.list_snapshots(spark, path).collect()]
     assert listed == [("2024-02-01", 1), ("2024-01-01", 3), ("2023-02-01", 0)]
     assert snapshots.latest_snapshot(spark, path).count() == 1
+    old = snapshots.read_snapshot(spark, path, "2023-02-01")
+    assert old.columns == ["id"] and old.isEmpty()
     rows = spark.createDataFrame([("1", 1, True), ("2", None, False)], "code string, studies long, fully_scanned boolean")
     assert sinks.publish_gate(rows, 2) is rows
     for bad in (lambda: sinks.publish_gate(rows, 3), lambda: sinks.publish_gate(rows, 2, 1), lambda: sinks.publish_gate(rows.withColumn("studies", F.lit(1)), 2)):

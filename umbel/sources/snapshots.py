@@ -13,17 +13,19 @@ first; the file system decides. Data of a writer that lost or died is never list
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from ..runtime import claim_file, path_exists
 from ..operators.reconcile import snapshot_diff
 
 BUCKETS = 64
 GROUP = 8
-MANIFEST = "version string, buckets int, key string, bucket int, rows long, digest decimal(38,0), snapshot_date string"
+MANIFEST = "version string, columns string, buckets int, key string, bucket int, rows long, digest decimal(38,0), snapshot_date string"
 
 
 def _bucket(key: str, buckets: int):
@@ -50,10 +52,10 @@ def write_snapshot(df: DataFrame, path: str, date: str, key: str | None = None,
     if not claim_file(spark, f"{path}/claims/{date}"):
         raise FileExistsError(f"snapshot {date} was written by another under {path}")
     digests.select(
-        F.lit(version).alias("version"), F.lit(buckets).alias("buckets"), F.lit(key).alias("key"), "bucket", "rows", "digest"
+        F.lit(version).alias("version"), F.lit(df.schema.json()).alias("columns"), F.lit(buckets).alias("buckets"), F.lit(key).alias("key"), "bucket", "rows", "digest"
     ).unionByName(
         # An empty snapshot has a row too.
-        spark.createDataFrame([(version, buckets, key, -1, 0)], "version string, buckets int, key string, bucket int, rows long").withColumn("digest", F.lit(0).cast("decimal(38,0)"))
+        spark.createDataFrame([(version, df.schema.json(), buckets, key, -1, 0)], "version string, columns string, buckets int, key string, bucket int, rows long").withColumn("digest", F.lit(0).cast("decimal(38,0)"))
     ).coalesce(1).write.parquet(f"{path}/manifest/snapshot_date={date}")
 
 
@@ -72,7 +74,7 @@ def read_snapshot(spark: SparkSession, path: str, date: str, buckets: list[int]
     if made is None:
         raise ValueError(f"no snapshot {date} under {path}")
     folder = f"{path}/data/snapshot_date={date}/version={made['version']}"
-    rows = spark.read.parquet(folder)
+    rows = spark.read.schema(StructType.fromJson(json.loads(made["columns"])).add("bucket", IntegerType())).parquet(folder)
     return (rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).drop("bucket")
 
 
