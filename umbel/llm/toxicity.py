@@ -1,16 +1,20 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are hashed words. The vocabulary is the ``FEATURES`` terms that speak most for
-the toxic label in the rows learnt from; document frequencies are over all
-documents. Examples are the distinct vectors of the rows learnt from, at most
-``EXAMPLES`` of them (half with toxic rows among them while there are enough), so
-index and vocabulary have a fixed bound and go to every task.
-
-The index is laid out in blocks with the largest weight of each term in a block. A
-query adds up what a block could reach at best, opens blocks from the best bound
-down, and stops when no unopened block can reach its kth neighbour: the neighbours
-are exact. Votes are weighted by distance and calibrated on the rows learnt from,
-each scored without itself.
+Terms are hashed words, with no cap on their number. A term weighs its count, its
+rarity over all documents and the log-odds of its labels in the rows learnt from;
+the last keeps ordinary words from drowning the few that matter (by rarity alone
+the nearest examples share a topic, not a label). Examples are the distinct
+vectors of the rows learnt from, at most ``EXAMPLES`` of them (half with toxic rows
+among them while there are enough); the space has the terms of their texts that
+``LEAST`` rows or more hold, so the index is bounded by the examples and goes to
+every task. Document frequencies and label counts are over all rows.
+
+The index is inverted: each term lists the blocks of examples that hold it with its
+largest weight there, and each such entry its postings. A query adds up what every
+block could reach at best, scores the postings of the best few blocks, then those of
+each block that can still reach its kth neighbour: the neighbours are exact. Votes
+are weighted by distance and calibrated on the rows learnt from, each scored with
+its own row left out of the vote and of the log-odds.
 """
 
 from __future__ import annotations
@@ -28,15 +32,18 @@ from . import shipping, textbytes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-FEATURES = 64
 EXAMPLES = 4096
-NEIGHBOURS = 16
-BLOCK = 64
+NEIGHBOURS = 8
+# Examples of a block, and blocks that are scored before any bound is used.
+BLOCK, OPEN = 64, 4
+# Postings and scores of the queries that are answered together.
+WORK = 1 << 20
 BINS = 20
 # Terms of one task held before they are added up.
 GATHER = 1 << 21
-# Rows learnt from that must have a term before it can speak for a label.
+# Rows learnt from that must hold a term before it counts, and rows added to each.
 LEAST = 3
+PRIOR = 3.0
 
 
 def _terms(column: pa.Array):
@@ -92,149 +99,289 @@ def term_labels(known: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def choose_terms(counts: DataFrame, toxic: int, other: int, features: int = FEATURES) -> np.ndarray:
-    """The terms that part the labels most, towards toxic, by chi-square; ties by hash."""
-    n = float(toxic + other)
-    a, b = F.col("toxic").cast("double"), F.col("other").cast("double")
-    c, d = float(toxic) - a, float(other) - b
-    chi = n * F.pow(a * d - b * c, 2) / ((a + b) * (c + d) * float(max(toxic, 1)) * float(max(other, 1)))
-    best = counts.where((F.col("toxic") + F.col("other") >= LEAST) & (a * other > b * toxic) & (c + d > 0)).orderBy(
-        F.desc(chi), "term"
-    ).limit(features)
-    return np.sort(np.array([r["term"] for r in best.select("term").collect()], np.int64).view(np.uint64))
+def log_odds(toxic, other, size: tuple[int, int]) -> np.ndarray:
+    """How far a term's rows part the labels, either way; ``size`` is toxic rows and others.
 
+    Every term has ``PRIOR`` rows more, with the labels of all rows, so that a term of
+    few rows says little.
+    """
+    share = (size[0] + 1.0) / (size[0] + size[1] + 2.0)
+    return np.abs(
+        np.log((toxic + PRIOR * share) / (size[0] + PRIOR * share)) - np.log((other + PRIOR * (1 - share)) / (size[1] + PRIOR * (1 - share)))
+    )
 
-def vectors(docs: DataFrame, terms: np.ndarray, columns: list[str]) -> DataFrame:
-    """``docs`` (``columns`` and ``text``) with counts of the chosen terms in place of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+
+def vector_keys(text: np.ndarray, terms: np.ndarray, counts: np.ndarray, rows: int) -> np.ndarray:
+    """One hash per text of its terms and counts, zero without a word."""
+    key = np.zeros(rows, np.uint64)
+    np.add.at(key, text, textbytes.mix(terms ^ textbytes.mix(counts.astype(np.uint64))))
+    return key
+
+
+def choose_examples(known: DataFrame, examples: int) -> list:
+    """At most ``examples`` rows ``key, rows, toxic, name``, one per distinct vector of ``known``.
+
+    The bounded sample: vectors of most rows first, then by hash; half of it for
+    vectors with toxic rows while there are enough. ``name`` is the smallest id.
+    """
 
     def run(batches):
-        chosen = shared.value
         for batch in batches:
-            for first, last, text, hashes in _terms(batch.column(len(columns))):
-                place = np.searchsorted(chosen, hashes)
-                hit = place < len(chosen)
-                hit[hit] = chosen[place[hit]] == hashes[hit]
-                text, place, count = _pairs(text[hit], place[hit])
-                edge = np.searchsorted(text, np.arange(last - first + 1)).astype(np.int32)
+            for first, last, text, hashes in _terms(batch.column(2)):
+                key = vector_keys(*_pairs(text, hashes), last - first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(i).slice(first, last - first) for i in range(len(columns))]
-                    + [pa.ListArray.from_arrays(pa.array(edge), pa.array(place.astype(np.int32))),
-                       pa.ListArray.from_arrays(pa.array(edge), pa.array(count.astype(np.int32)))],
-                    names=[*columns, "terms", "counts"],
+                    [*(batch.column(i).slice(first, last - first) for i in (0, 1)), pa.array(key.view(np.int64))], names=["doc_id", "label", "key"]
                 )
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", terms array<int>, counts array<int>"
-    return docs.select(*columns, "text").mapInArrow(run, schema)
+    keyed = known.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, key long").where("key != 0")
+    groups = materialize(
+        keyed.groupBy("key").agg(F.count("*").alias("rows"), F.sum("label").alias("toxic"), F.min("doc_id").alias("name")), "examples"
+    )
+    order = [F.desc("rows"), F.xxhash64("key"), "key"]
+    with_toxic = groups.where("toxic > 0").orderBy(*order).limit(examples // 2).collect()
+    return [*with_toxic, *groups.where("toxic = 0").orderBy(*order).limit(examples - len(with_toxic)).collect()]
 
 
-class Index:
-    """Examples in blocks, and the largest weight of each term in each block."""
-
-    def __init__(self, terms: list, counts: list, rows: np.ndarray, toxic: np.ndarray, names: np.ndarray, idf: np.ndarray):
-        weights = dense(terms, counts, idf)
-        order = np.lexsort((np.arange(len(weights)), weights.argmax(axis=1))) if len(weights) else np.zeros(0, int)
-        self.weights, self.rows, self.toxic, self.names, self.idf = weights[order], rows[order], toxic[order], names[order], idf
-        self.vector_row = {w.tobytes(): i for i, w in enumerate(self.weights)}
-        starts = range(0, len(weights), BLOCK)
-        self.best = np.stack([self.weights[a : a + BLOCK].max(axis=0) for a in starts]) if len(weights) else np.zeros((0, len(idf)), np.float32)
-
-    def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """``(example, cosine)`` of the k nearest per query, best first; cosine zero fills up."""
-        n = len(queries)
-        found, scores = np.zeros((n, k), np.int64), np.zeros((n, k), np.float32)
-        if not len(self.weights) or not n:
-            return found, scores
-        bound = queries @ self.best.T + 1e-5
-        order = np.argsort(-bound, axis=1, kind="stable")
-        for step in range(order.shape[1]):
-            block = order[:, step]
-            active = np.flatnonzero(bound[np.arange(n), block] >= np.maximum(scores[:, -1], 1e-4))
-            if not len(active):
-                break
-            for b in np.unique(block[active]):
-                mine = active[block[active] == b]
-                # Rounded, so that a product's place in its batch does not show in ties.
-                part = np.round(queries[mine] @ self.weights[b * BLOCK : (b + 1) * BLOCK].T, 6)
-                ids = np.broadcast_to(b * BLOCK + np.arange(part.shape[1]), part.shape)
-                all_scores = np.concatenate((scores[mine], part), axis=1)
-                all_ids = np.concatenate((found[mine], ids), axis=1)
-                top = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
-                scores[mine], found[mine] = np.take_along_axis(all_scores, top, 1), np.take_along_axis(all_ids, top, 1)
-        return found, scores
+def example_terms(known: DataFrame, chosen: list) -> DataFrame:
+    """``key, term, n`` of the chosen examples, read from the row of each one's name."""
+    names = dict(sorted((r["key"], r["name"]) for r in chosen))
+    shared = known.sparkSession.sparkContext.broadcast((np.array(list(names), np.int64), np.array(list(names.values()), np.int64)))
 
+    def run(batches):
+        keys, named = shared.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, last, text, hashes in _terms(batch.column(1)):
+                text, terms, counts = _pairs(text, hashes)
+                key = vector_keys(text, terms, counts, last - first).view(np.int64)
+                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                mine = (keys[at] == key) & (named[at] == ids[first:last]) if len(keys) else np.zeros(len(key), bool)
+                own = mine[text]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[text[own]]), pa.array(terms[own].view(np.int64)), pa.array(counts[own])], names=["key", "term", "n"]
+                )
 
-def dense(terms: list, counts: list, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF rows; ``1 + ln(count)`` times idf."""
-    out = np.zeros((len(terms), len(idf)), np.float32)
-    for i, (t, c) in enumerate(zip(terms, counts)):
-        if len(t):
-            out[i, t] = (1 + np.log(np.asarray(c, np.float64))) * idf[t]
-    size = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, size, out=out, where=size > 0)
+    rows = known.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    return rows.mapInArrow(run, "key long, term long, n long").dropDuplicates(["key", "term"])
 
 
-def build_index(known: DataFrame, idf: np.ndarray, examples: int) -> Index:
-    """Examples from rows learnt from (``doc_id, label, terms, counts``) that have any chosen term."""
-    groups = known.where("size(terms) > 0").groupBy("terms", "counts").agg(
-        F.count("*").alias("rows"), F.sum("label").alias("toxic"), F.min("doc_id").alias("name")
-    )
-    groups = materialize(groups, "examples")
-    # A bounded sample: the most frequent vectors, then by hash.
-    order = [F.desc("rows"), F.xxhash64("terms", "counts"), "name"]
-    with_toxic = groups.where("toxic > 0").orderBy(*order).limit(examples // 2).collect()
-    rest = groups.where("toxic = 0").orderBy(*order).limit(examples - len(with_toxic)).collect()
-    found = [*with_toxic, *rest]
-    return Index(
-        [r["terms"] for r in found], [r["counts"] for r in found], np.array([r["rows"] for r in found], np.float64),
-        np.array([r["toxic"] for r in found], np.float64), np.array([r["name"] if r["name"] is not None else -1 for r in found], np.int64), idf,
-    )
+def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
+    """``(rows of docs, rows with each term)`` over all rows; a task adds up its share."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches):
+        chosen = shared.value
+        total, found = 0, np.zeros(len(chosen), np.int64)
+        for batch in batches:
+            total += batch.num_rows
+            for _, _, text, hashes in _terms(batch.column(0)):
+                _, hashes, _ = _pairs(text, hashes)
+                _, place = within(chosen, hashes)
+                found += np.bincount(place, minlength=len(chosen))
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(found[some], total))], names=["place", "n"])
+
+    sums = docs.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    place, n = sums["place"].to_numpy(), sums["n"].to_numpy()
+    frequency = np.zeros(len(terms), np.int64)
+    frequency[place[place >= 0]] = n[place >= 0]
+    return int(n[place < 0].sum()), frequency
+
+
+def within(sorted_terms: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(mask of the hashes that are terms, their places)``."""
+    if not len(sorted_terms):
+        return np.zeros(len(hashes), bool), np.zeros(0, np.int64)
+    place = np.minimum(np.searchsorted(sorted_terms, hashes), len(sorted_terms) - 1)
+    hit = sorted_terms[place] == hashes
+    return hit, place[hit]
+
+
+def unit(row: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+    """Weights over the length of their row's vector."""
+    size = np.sqrt(np.bincount(row, weight * weight, rows))[row]
+    return np.divide(weight, size, out=np.zeros_like(weight), where=size > 0)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of ranges, one range after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+class Index:
+    """Postings of examples by term and block, with the largest weight of a term in a block.
+
+    ``example, place, weight`` are the entries of unit vectors over ``terms`` places.
+    """
+
+    def __init__(self, example: np.ndarray, place: np.ndarray, weight: np.ndarray, terms: int, examples: int):
+        # Blocks hold examples of one strongest term.
+        strongest = np.zeros(examples, np.int64)
+        by = np.lexsort((-place, weight, example))
+        strongest[example[by]] = place[by]
+        self.order = np.lexsort((np.arange(examples), strongest))
+        at = np.empty(examples, np.int64)
+        at[self.order] = np.arange(examples)
+        example = at[example]
+        by = np.lexsort((example, place))
+        self.examples, self.blocks = examples, -(-examples // BLOCK)
+        self.post_example, self.post_weight = example[by].astype(np.int32), weight[by]
+        pair = place[by] * max(self.blocks, 1) + example[by] // BLOCK
+        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
+        self.pair_edge = np.append(first, len(pair))
+        self.pair_block = (pair[first] % max(self.blocks, 1)).astype(np.int32)
+        self.pair_best = np.maximum.reduceat(self.post_weight, first) if len(first) else np.zeros(0)
+        self.term_edge = np.searchsorted(pair[first] // max(self.blocks, 1), np.arange(terms + 1))
+        self.cost = np.bincount(place, minlength=terms) + np.diff(self.term_edge)
+
+    def nearest(self, row: np.ndarray, place: np.ndarray, weight: np.ndarray, queries: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(example, cosine)`` of the k nearest per query, best first, ties by example; cosine zero fills up.
+
+        ``row, place, weight`` are the entries of the queries' unit vectors by row and place.
+        """
+        found, scores = np.zeros((queries, k), np.int64), np.zeros((queries, k))
+        if not self.examples or not queries:
+            return found, scores
+        # An answer's scores are a row over all examples, so that counts as work too.
+        work = np.bincount(row, self.cost[place], queries).astype(np.int64) + self.examples
+        for first, last in textbytes.slices(np.concatenate(([0], np.cumsum(work))), WORK):
+            a, b = np.searchsorted(row, (first, last))
+            some = self._answer(row[a:b] - first, place[a:b], weight[a:b], last - first, min(k, self.examples))
+            found[first:last, : some[0].shape[1]], scores[first:last, : some[0].shape[1]] = some
+        return found, scores
+
+    def _answer(self, row, place, weight, queries, k):
+        size = self.term_edge[place + 1] - self.term_edge[place]
+        pair = _ranges(self.term_edge[place], size)
+        owner, own = np.repeat(row, size), np.repeat(weight, size)
+        slot = owner * self.blocks + self.pair_block[pair]
+        bound = np.bincount(slot, own * self.pair_best[pair], queries * self.blocks).reshape(queries, self.blocks)
+
+        def added(opened):
+            use = opened.reshape(-1)[slot]
+            count = self.pair_edge[pair[use] + 1] - self.pair_edge[pair[use]]
+            post = _ranges(self.pair_edge[pair[use]], count)
+            cell = np.repeat(owner[use], count) * self.examples + self.post_example[post]
+            return np.bincount(cell, np.repeat(own[use], count) * self.post_weight[post], queries * self.examples).reshape(queries, self.examples)
+
+        first = min(OPEN, self.blocks)
+        opened = np.zeros(bound.shape, bool)
+        np.put_along_axis(opened, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
+        score = added(opened)
+        kth = np.partition(score, self.examples - k, axis=1)[:, self.examples - k]
+        # The margin is wider than the rounding below.
+        more = ~opened & (bound > 0) & (bound + 1e-5 >= kth[:, None])
+        if more.any():
+            score += added(more)
+        # Rounded, so that ties are ties; then the smaller example.
+        whole = np.rint(score * 1e6).astype(np.int64)
+        rank = whole * self.examples + (self.examples - 1 - self.order)
+        top = np.argpartition(-rank, k - 1, axis=1)[:, :k]
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(rank, top, 1), axis=1), 1)
+        return self.order[top], np.take_along_axis(whole, top, 1) / 1e6
+
+
+class Examples:
+    """What a task needs: terms, their statistics, the examples and their index."""
+
+    def __init__(self, chosen: list, table: pa.Table, size: tuple[int, int]):
+        keys = np.array([r["key"] for r in chosen], np.int64)
+        by = np.argsort(keys)
+        self.keys, self.size = keys[by], size
+        self.rows, self.toxic, self.names = (np.array([r[c] for r in chosen], np.int64)[by] for c in ("rows", "toxic", "name"))
+        terms = table["term"].to_numpy().view(np.uint64)
+        self.terms, first, place = np.unique(terms, return_index=True, return_inverse=True)
+        self.term_toxic, self.term_other = (table[c].to_numpy()[first].astype(np.float64) for c in ("toxic", "other"))
+        self.entries = np.searchsorted(self.keys, table["key"].to_numpy()), place, table["n"].to_numpy()
+
+    def weigh(self, total: int, frequency: np.ndarray) -> Examples:
+        """The index, from documents and documents with each term."""
+        self.idf = np.log((total + 1.0) / (frequency + 1.0)) + 1
+        example, place, n = self.entries
+        by = np.lexsort((place, example))
+        example, place, n = example[by], place[by], n[by]
+        weight = (1 + np.log(n)) * self.idf[place] * log_odds(self.term_toxic, self.term_other, self.size)[place]
+        self.index = Index(example, place, unit(example, weight, len(self.keys)), len(self.terms), len(self.keys))
+        del self.entries
+        return self
+
+    def queries(self, text, hashes, counts, rows, labels=None):
+        """``(row, place, unit weight)``; with ``labels`` a row's own label is left out of the log-odds."""
+        hit, place = within(self.terms, hashes)
+        row, counts = text[hit], counts[hit]
+        toxic, other, size = self.term_toxic[place], self.term_other[place], self.size
+        if labels is not None:
+            own = labels[row]
+            toxic, other, size = np.maximum(toxic - own, 0), np.maximum(other - 1 + own, 0), (size[0] - own, size[1] - 1 + own)
+        return row, place, unit(row, (1 + np.log(counts)) * self.idf[place] * log_odds(toxic, other, size), rows)
+
+
+def learn(docs: DataFrame, known: DataFrame, examples: int = EXAMPLES) -> Examples:
+    """The examples of ``known`` (``doc_id, label, text``), weighed over all of ``docs``."""
+    size = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    chosen = choose_examples(known, examples)
+    counts = term_labels(known.select("text", "label")).where(F.col("toxic") + F.col("other") >= LEAST)
+    # As many rows as the examples have distinct terms.
+    table = example_terms(known, chosen).join(counts, "term").toArrow()
+    found = Examples(chosen, table, (size.get(1, 0), size.get(0, 0)))
+    return found.weigh(*document_frequencies(docs, found.terms))
 
 
 def weighed(cosine: np.ndarray, count: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(vote, weights, toxic shares)`` of found examples; no vote without a neighbour."""
     weight = np.where((cosine > 0) & (count > 0), np.sqrt(np.maximum(count, 0)) / (1.05 - np.minimum(cosine, 1)), 0)
-    share = np.divide(toxic, count, out=np.zeros_like(toxic), where=count > 0)
+    share = np.divide(toxic, count, out=np.zeros(count.shape), where=count > 0)
     total = weight.sum(axis=1)
     return np.divide((weight * share).sum(axis=1), total, out=np.full(len(total), np.nan), where=total > 0), weight, share
 
 
-def votes(table: DataFrame, index: Index, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """``doc_id, label, vote, vote_apart`` and ``evidence``; a vote is null without a neighbour.
+def votes(rows: DataFrame, examples: Examples, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """``doc_id, label, held_out, vote, vote_apart, evidence``; a vote is null without a neighbour.
 
     ``vote`` depends on the text alone, so equal texts have equal votes. In
     ``vote_apart`` a row learnt from does not count itself: for the calibration.
     """
-    shared = shipping.send(table.sparkSession, index)
+    shared = shipping.send(rows.sparkSession, examples)
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic_share", pa.float64())]))
+
+    def counted(ex, found):
+        return (ex.rows[found], ex.toxic[found]) if len(ex.rows) else (np.zeros(found.shape), np.zeros(found.shape))
 
     def run(batches):
-        ix = shipping.receive(shared)
-        for whole in batches:
-            for a in range(0, whole.num_rows, 2048):
-                batch = whole.slice(a, 2048)
-                labels = batch.column(1).to_pylist()
-                rows = dense(batch.column(2).to_pylist(), batch.column(3).to_pylist(), ix.idf)
-                found, cosine = ix.nearest(rows, neighbours)
-                some = len(ix.rows) > 0
-                count, toxic = (ix.rows[found], ix.toxic[found]) if some else (np.zeros(found.shape), np.zeros(found.shape))
-                vote, weight, share = weighed(cosine, count, toxic)
-                # Calibration only: a row learnt from does not vote for itself there.
-                own = np.array([ix.vector_row.get(r.tobytes(), -1) if l is not None else -1 for r, l in zip(rows, labels)])
-                label = np.array([l or 0 for l in labels], np.float64)
-                mine = (found == own[:, None]) & (cosine > 0) & (own >= 0)[:, None]
-                apart, _, _ = weighed(cosine, count - mine, toxic - mine * label[:, None])
+        ex = shipping.receive(shared)
+        for batch in batches:
+            every = batch.column(1).to_pylist()
+            for first, last, text, hashes in _terms(batch.column(3)):
+                n = last - first
+                text, hashes, counts = _pairs(text, hashes)
+                found, cosine = ex.index.nearest(*ex.queries(text, hashes, counts, n), n, neighbours)
+                vote, weight, share = weighed(cosine, *counted(ex, found))
                 evidence = [
-                    [{"doc_id": int(ix.names[f]), "cosine": float(c), "toxic_share": float(s)} for f, c, s, w in zip(fs, cs, ss, ws) if w > 0][:3]
+                    [{"doc_id": int(ex.names[f]), "cosine": float(c), "toxic_share": float(s)} for f, c, s, w in zip(fs, cs, ss, ws) if w > 0][:3]
                     for fs, cs, ss, ws in zip(found.tolist(), cosine.tolist(), share.tolist(), weight.tolist())
                 ]
-                kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic_share", pa.float64())]))
+                # Calibration only: a row learnt from neither votes nor weighs terms for itself there.
+                apart = np.full(n, np.nan)
+                learnt = np.array([i for i, l in enumerate(every[first:last]) if l is not None], np.int64)
+                if len(learnt):
+                    label = np.array([every[first + i] for i in learnt], np.int64)
+                    place = np.full(n, -1)
+                    place[learnt] = np.arange(len(learnt))
+                    own = place[text] >= 0
+                    mine = place[text[own]], hashes[own], counts[own]
+                    near, near_cosine = ex.index.nearest(*ex.queries(*mine, len(learnt), label), len(learnt), neighbours)
+                    key = vector_keys(*mine, len(learnt)).view(np.int64)
+                    itself = near == np.searchsorted(ex.keys, key)[:, None]
+                    itself &= (ex.keys[near] == key[:, None]) if len(ex.keys) else False
+                    rows_of, toxic_of = counted(ex, near)
+                    apart[learnt] = weighed(near_cosine, rows_of - itself, toxic_of - itself * label[:, None])[0]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(4), pa.array(vote, mask=np.isnan(vote)), pa.array(apart, mask=np.isnan(apart)), pa.array(evidence, kind)],
+                    [*(batch.column(i).slice(first, n) for i in (0, 1, 2)), pa.array(vote, mask=np.isnan(vote)),
+                     pa.array(apart, mask=np.isnan(apart)), pa.array(evidence, kind)],
                     names=["doc_id", "label", "held_out", "vote", "vote_apart", "evidence"],
                 )
 
-    return table.select("doc_id", "label", "terms", "counts", "held_out").mapInArrow(
+    return rows.select("doc_id", "label", "held_out", "text").mapInArrow(
         run, "doc_id long, label int, held_out boolean, vote double, vote_apart double, evidence array<struct<doc_id:long,cosine:double,toxic_share:double>>"
     )
 
@@ -265,33 +412,25 @@ def calibrate(voted: DataFrame, bins: int = BINS) -> tuple[np.ndarray, float]:
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, features: int = FEATURES, examples: int = EXAMPLES, threshold: float = 0.7,
+    docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, threshold: float = 0.7,
 ) -> DataFrame:
     """``doc_id, held_out, score, predicted, vote, evidence`` for every row of ``docs``.
 
     Labels are learnt from rows whose ``crc32(doc_id) % 3`` is not 1, with a label;
-    of several labels of an id the largest holds. A null or empty text, or one
-    without a chosen term, gets the share of toxic rows among its like. Without any
+    of several labels of an id the largest holds, and any above zero is toxic. A null or empty text, or one
+    without a term of the examples, gets the share of toxic rows among its like. Without any
     label every score is 0.5. A null id is never learnt from and not held out.
     Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
-        F.max(F.col("toxic").cast("int")).alias("mark")
+        F.max((F.col("toxic").cast("int") > 0).cast("int")).alias("mark")
     )
     side, _ = broadcast_if_small(marks)
     rows = rows.join(side, "doc_id", "left").withColumn("label", F.when(~F.col("held_out"), F.col("mark"))).drop("mark")
     known = rows.where("label IS NOT NULL")
-    size = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    terms = choose_terms(term_labels(known.select("text", "label")), size.get(1, 0), size.get(0, 0), features)
-    table = materialize(vectors(rows, terms, ["doc_id", "label", "held_out"]), "term_vectors")
-    total = table.count()
-    idf = np.full(len(terms), np.log(total + 1.0) + 1)
-    for r in table.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
-        idf[r["term"]] = np.log((total + 1.0) / (r["count"] + 1)) + 1
-    index = build_index(table.where("label IS NOT NULL"), idf, examples)
-    voted = materialize(votes(table, index), "votes")
+    voted = materialize(votes(rows, learn(rows, known, examples)), "votes")
     curve, alone = calibrate(voted)
     # Straight lines between the middles of the bins.
     place = F.greatest(F.least(F.col("vote") * BINS - 0.5, F.lit(BINS - 1.0)), F.lit(0.0))
