@@ -35,7 +35,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 EXAMPLES = 4096
 NEIGHBOURS = 8
 # Examples of a block, and blocks that are scored before any bound is used.
-BLOCK, OPEN = 64, 4
+BLOCK, OPEN = 256, 2
+# Terms that one of so many examples holds are kept as whole columns, not as postings.
+COMMON = 32
 # Postings and scores of the queries that are answered together.
 WORK = 1 << 20
 BINS = 20
@@ -212,19 +214,31 @@ class Index:
     """Postings of examples by term and block, with the largest weight of a term in a block.
 
     ``example, place, weight`` are the entries of unit vectors over ``terms`` places.
+    Terms of many examples are columns over all of them: their part of every score is
+    one product, and a block's bound is its best such part and the maxima of the rest.
     """
 
     def __init__(self, example: np.ndarray, place: np.ndarray, weight: np.ndarray, terms: int, examples: int):
-        # Blocks hold examples of one strongest term.
-        strongest = np.zeros(examples, np.int64)
+        # Blocks hold examples of one language, by their commonest term, then of one strongest term.
+        held = np.bincount(place, minlength=terms)
+        strongest, commonest = np.zeros(examples, np.int64), np.zeros(examples, np.int64)
         by = np.lexsort((-place, weight, example))
         strongest[example[by]] = place[by]
-        self.order = np.lexsort((np.arange(examples), strongest))
+        by = np.lexsort((-place, held[place], example))
+        commonest[example[by]] = place[by]
+        self.order = np.lexsort((np.arange(examples), strongest, commonest))
         at = np.empty(examples, np.int64)
         at[self.order] = np.arange(examples)
         example = at[example]
-        by = np.lexsort((example, place))
         self.examples, self.blocks = examples, -(-examples // BLOCK)
+        common = np.flatnonzero(held * COMMON > max(examples, BLOCK))
+        self.column = np.full(terms, -1)
+        self.column[common] = np.arange(len(common))
+        often = self.column[place] >= 0
+        self.dense = np.zeros((len(common), self.blocks * BLOCK))
+        self.dense[self.column[place[often]], example[often]] = weight[often]
+        example, place, weight = example[~often], place[~often], weight[~often]
+        by = np.lexsort((example, place))
         self.post_example, self.post_weight = example[by].astype(np.int32), weight[by]
         pair = place[by] * max(self.blocks, 1) + example[by] // BLOCK
         first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
@@ -243,7 +257,7 @@ class Index:
         if not self.examples or not queries:
             return found, scores
         # An answer's scores are a row over all examples, so that counts as work too.
-        work = np.bincount(row, self.cost[place], queries).astype(np.int64) + self.examples
+        work = np.bincount(row, self.cost[place], queries).astype(np.int64) + self.blocks * BLOCK
         for first, last in textbytes.slices(np.concatenate(([0], np.cumsum(work))), WORK):
             a, b = np.searchsorted(row, (first, last))
             some = self._answer(row[a:b] - first, place[a:b], weight[a:b], last - first, min(k, self.examples))
@@ -251,30 +265,38 @@ class Index:
         return found, scores
 
     def _answer(self, row, place, weight, queries, k):
+        width = self.blocks * BLOCK
+        column = self.column[place]
+        often = column >= 0
+        asked = np.zeros((queries, len(self.dense)))
+        asked[row[often], column[often]] = weight[often]
+        score = asked @ self.dense
+        row, place, weight = row[~often], place[~often], weight[~often]
         size = self.term_edge[place + 1] - self.term_edge[place]
         pair = _ranges(self.term_edge[place], size)
         owner, own = np.repeat(row, size), np.repeat(weight, size)
         slot = owner * self.blocks + self.pair_block[pair]
-        bound = np.bincount(slot, own * self.pair_best[pair], queries * self.blocks).reshape(queries, self.blocks)
+        rest = np.bincount(slot, own * self.pair_best[pair], queries * self.blocks).reshape(queries, self.blocks)
+        bound = rest + score.reshape(queries, self.blocks, BLOCK).max(axis=2)
 
         def added(opened):
             use = opened.reshape(-1)[slot]
             count = self.pair_edge[pair[use] + 1] - self.pair_edge[pair[use]]
             post = _ranges(self.pair_edge[pair[use]], count)
-            cell = np.repeat(owner[use], count) * self.examples + self.post_example[post]
-            return np.bincount(cell, np.repeat(own[use], count) * self.post_weight[post], queries * self.examples).reshape(queries, self.examples)
+            cell = np.repeat(owner[use], count) * width + self.post_example[post]
+            return np.bincount(cell, np.repeat(own[use], count) * self.post_weight[post], queries * width).reshape(queries, width)
 
         first = min(OPEN, self.blocks)
         opened = np.zeros(bound.shape, bool)
         np.put_along_axis(opened, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
-        score = added(opened)
-        kth = np.partition(score, self.examples - k, axis=1)[:, self.examples - k]
+        score += added(opened)
+        kth = np.partition(score[:, : self.examples], self.examples - k, axis=1)[:, self.examples - k]
         # The margin is wider than the rounding below.
-        more = ~opened & (bound > 0) & (bound + 1e-5 >= kth[:, None])
+        more = ~opened & (rest > 0) & (bound + 1e-5 >= kth[:, None])
         if more.any():
             score += added(more)
-        # Rounded, so that ties are ties; then the smaller example.
-        whole = np.rint(score * 1e6).astype(np.int64)
+        # Rounded, so that ties are ties and the place in a batch does not show; then the smaller example.
+        whole = np.rint(score[:, : self.examples] * 1e6).astype(np.int64)
         rank = whole * self.examples + (self.examples - 1 - self.order)
         top = np.argpartition(-rank, k - 1, axis=1)[:, :k]
         top = np.take_along_axis(top, np.argsort(-np.take_along_axis(rank, top, 1), axis=1), 1)
