@@ -58,6 +58,39 @@ def test_ancestor_order_is_walk_order(spark):
     assert [r["ancestor"] for r in rows] == ["z", "b", "x", "y", "w"]
 
 
+def test_nearest_and_probe_of_edges_equal_the_closure_and_write_no_more(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"n{i}", f"n{rng.randrange(i + 1, i + 9)}", k) for i in range(90) for k in range(2)]
+    edges = spark.createDataFrame([*rows, ("n95", "n90", 0), ("n96", "n40", 0), ("n90", "n50", 1), ("n7", "n7", 3)], EDGE)  # cycles too
+    whole = graph.ancestors(edges)
+    pairs = walked(whole)
+    marked = spark.createDataFrame([(f"n{i}",) for i in (20, 44, 45, 70, 96)] + [(None,)], "node string")
+    starts = spark.createDataFrame([(f"n{i}",) for i in range(80)] + [(None,), ("gone",)], "node string")
+    want = {}
+    for (n, a), (d, p) in pairs.items():
+        if int(n[1:]) < 80 and a in ("n20", "n44", "n45", "n70", "n96"):
+            want[n] = min(want.get(n, (d, p, a)), (d, p, a))
+    assert walked(graph.nearest(edges, starts, marked)) == {(n, a): (d, p) for n, (d, p, a) in want.items()}
+    assert graph.nearest(edges, starts, marked.where("node is null")).isEmpty()
+
+    labels = spark.createDataFrame([(f"n{i}", f"Label {i % 23}" if i % 7 else None) for i in range(100)], "id string, label string")
+    hits = spark.createDataFrame([(f"label {i}", (i * 37) % 55) for i in range(20)], "label_key string, hits long")
+    ids = spark.createDataFrame([(f"e{i}", f"n{j}", k) for i in range(80) for k, j in enumerate((i, i + 1))], "entity string, node string, pos int")
+    written = []
+    real = graph.materialize
+
+    def counted(df, label="stage", by=None):
+        table = real(df, label, by)
+        if label == graph.CLOSURE:
+            written.append(table.count())
+        return table
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    got = {r["entity"]: tuple(r) for r in graph.probe_edges(ids, edges, labels, hits).collect()}
+    assert got == {r["entity"]: tuple(r) for r in graph.parent_probe(ids, whole, labels, hits).collect()}
+    assert sum(written) < len(pairs) / 3
+
+
 def test_probe_stops_at_first_well_covered_label(spark):
     ids = spark.createDataFrame([("e", "n0", 0)], "entity string, node string, pos int")
     c = graph.ancestors(spark.createDataFrame([(f"n{i}", f"n{i + 1}", 0) for i in range(12)], EDGE))

@@ -90,6 +90,8 @@ def policy_match(
 
     The entity's ids are walked in order, nearest ancestor first; its own nodes
     never count. Groups are sorted and distinct, entitlements follow the groups.
+    Where every entity has one node, ``graph.nearest`` of the linked nodes will do for
+    ``closure``.
     """
     rules = policy.select("policy_id", "code", F.col("name").alias("policy_name"), "group")
     direct = (
