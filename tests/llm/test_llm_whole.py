@@ -55,6 +55,19 @@ def test_a_large_group_of_near_copies(spark):
     assert sorted(kept, key=str) == sorted([0, *range(1000, 1050), None, 2000, 2002], key=str)
 
 
+def test_pairs_of_a_large_bucket_that_are_near_no_leader(spark, monkeypatch):
+    for name, value in (("BANDS", 2), ("ROWS", 1), ("BUCKET", 4), ("LEADERS", 1)):
+        monkeypatch.setattr(minhash, name, value)
+    rng, rows = np.random.default_rng(8), []
+    form = some_words(rng, 80)
+    for i in range(30):
+        words = form + some_words(rng, 40)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
+    assert jaccard(rows[0][1], rows[1][1]) > 0.9 and jaccard(rows[0][1], rows[2][1]) < 0.8
+    kept = sorted(r.doc_id for r in minhash.keep_one(odd(spark, rows)).collect())
+    assert kept == [2 * i for i in range(30)]
+
+
 def bench(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
 
