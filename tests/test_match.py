@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tests.compare import connect, difference
+from umbel import plans
 from umbel import runtime
 from umbel.operators import match, studies, tagging
 
@@ -167,3 +168,9 @@ def test_slices_hold_every_row_once(spark):
     assert len(slices) > 20 and all(runtime.measured_bytes(s) <= 20_000 for s in slices)
     assert sorted(r["term"] for s in slices for r in s.collect()) == list(range(5000))
     assert len(runtime.broadcast_slices(df, "term")) == 1
+
+
+def test_queries_that_read_matches_twice_search_the_text_once(spark):
+    for name in ("fallback_scan", "split_by_list", "parent_tier"):
+        plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan, name

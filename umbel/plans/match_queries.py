@@ -52,7 +52,8 @@ def _umbrella(spark, sf):
 SELECT entity, doc, CASE WHEN source IN ('src5', 'src6') THEN 'umbrella' ELSE 'counted' END AS list
 FROM classified JOIN studies USING (doc)""")
 def _(spark, sf):
-    m = match.classify_matches(_matches(spark, sf)).withColumn("id", F.col("doc").cast("string"))
+    # Both lists read the matches, so they are found once.
+    m = materialize(match.classify_matches(_matches(spark, sf)), "matches").withColumn("id", F.col("doc").cast("string"))
     counted, umbrella = match.split_by_list(m, _umbrella(spark, sf), "id")
     rows = counted.withColumn("list", F.lit("counted")).unionByName(umbrella.withColumn("list", F.lit("umbrella")))
     return rows.select("entity", "doc", "list")
@@ -183,7 +184,8 @@ SELECT entity, count(*) AS wider, count(*) FILTER (WHERE status = 'RECRUITING')
   SELECT entity, doc FROM hits WHERE strategy = 'recall' EXCEPT SELECT entity, doc FROM hits WHERE strategy = 'phrase')
 JOIN studies USING (doc) GROUP BY entity""")
 def _(spark, sf):
-    m = _matches(spark, sf)
+    # Each filter would make a plan of its own, and every plan a search over all text.
+    m = materialize(_matches(spark, sf).where("strategy in ('recall', 'phrase')").select("entity", "strategy", "doc"), "matches")
     wide = match.parent_tier(m.where("strategy = 'recall'"), m.where("strategy = 'phrase'"))
     docs = studies(spark, sf).select(F.col("nct_id").alias("doc"), "status")
     return wide.join(docs, "doc").groupBy("entity").agg(
@@ -208,10 +210,11 @@ SELECT entity, CASE WHEN r <= 60 THEN r WHEN f <= 20 THEN f WHEN m <= 5 THEN m E
   CASE WHEN r <= 60 THEN 0 WHEN f <= 20 THEN 1 WHEN m <= 5 THEN 2 END AS tier FROM p""")
 def _(spark, sf):
     items = load(spark, sf, "benchmark").select(F.col("item_id").alias("entity"))
-    m = _matches(spark, sf)
+    # The three tiers are counted from one search over all text.
+    m = materialize(_matches(spark, sf).groupBy("entity", "strategy").agg(F.count("*").alias("n")), "tiers")
     tiers = []
     for strategy, ceiling in (("recall", 60), ("phrase", 20), ("mesh", 5)):
-        n = m.where(F.col("strategy") == strategy).groupBy("entity").agg(F.count("*").alias("n"))
+        n = m.where(F.col("strategy") == strategy).select("entity", "n")
         tiers.append(
             items.join(n, "entity", "left").select(
                 "entity", F.coalesce("n", F.lit(0)).alias("total"), (F.coalesce("n", F.lit(0)) <= ceiling).alias("complete")
