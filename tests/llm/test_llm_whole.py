@@ -143,3 +143,19 @@ print("all ran")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert "all ran" in done.stdout, done.stderr[-2000:]
+
+
+def test_near_duplicates_leave_no_texts_on_the_disk(spark, monkeypatch, tmp_path):
+    from umbel import runtime
+
+    for name, value in (("BANDS", 2), ("ROWS", 1), ("BUCKET", 4), ("LEADERS", 1)):
+        monkeypatch.setattr(minhash, name, value)
+    monkeypatch.setattr(runtime, "scratch_dir", lambda _: str(tmp_path))
+    rng, rows = np.random.default_rng(8), []
+    form = some_words(rng, 80)
+    for i in range(30):
+        words = form + some_words(rng, 40)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
+    assert minhash.keep_one(odd(spark, rows)).count() == 30
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert "stay" in left and not left & {"sketches", "texts", "shingles", "prefixes", "candidates", "slots"}
