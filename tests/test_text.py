@@ -132,3 +132,25 @@ def test_search(spark):
     assert [r["code"] for r in terms.search_entities(df, "ALPHA").collect()] == ["3", "12"]
     assert terms.search_entities(df, "a").count() == 0
     assert [r["code"] for r in terms.search_entities(df, "orpha:12").collect()] == ["12"]
+
+
+def test_costly_arrays_are_computed_once_a_row(spark):
+    from umbel.plans import text_queries  # noqa: F401
+    from umbel.plans.registry import QUERIES
+
+    for name in ("recall_terms", "token_frequency"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Filter (size(" not in plan and "Filter ((size(" not in plan, name
+
+
+def test_terms_and_frequencies_are_made_once(spark):
+    from tests.test_structures import tallied
+    from umbel.operators import terms, vocabulary
+
+    e, rows = tallied(spark.createDataFrame([("a", ["Name of one"], ["Synonym of two", "x"])], "code string, names array<string>, synonyms array<string>"))
+    kept, dropped = terms.phrase_term_rows(e, "code", "names", "synonyms")
+    assert kept.count() == 4 and dropped.count() == 1 and rows.value == 1
+    words = [("abcdefgh", 100, 8), ("abcdefgi", 1, 8)]
+    freq, rows = tallied(spark.createDataFrame(words, "token string, freq long, len int"))
+    assert [r["neighbour"] for r in vocabulary.misspelling_candidates(freq, freq).collect()] == ["abcdefgh"]
+    assert rows.value == 2

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import materialize
 
 
 def apply_stoplist(entities: DataFrame, code: str, label: str, synonyms: str) -> DataFrame:
@@ -21,8 +22,8 @@ def apply_stoplist(entities: DataFrame, code: str, label: str, synonyms: str) ->
 def phrase_term_rows(
     entities: DataFrame, code: str, names: str, synonyms: str, cap: int = 40
 ) -> tuple[DataFrame, DataFrame]:
-    """``(terms, dropped)`` tables of ``phrase_terms`` for every entity."""
-    built = entities.select(code, T.phrase_terms(names, synonyms, cap).alias("p"))
+    """``(terms, dropped)`` tables of ``phrase_terms`` for every entity, which are made once for both."""
+    built = materialize(entities.select(code, T.phrase_terms(names, synonyms, cap).alias("p")), "phrases")
     terms = built.select(code, F.posexplode("p.terms").alias("pos", "term"))
     dropped = built.select(code, F.explode("p.dropped").alias("x")).select(
         code, "x.term", "x.reason"

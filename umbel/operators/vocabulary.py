@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import materialize
 
 FREQUENT = 8
 MIN_WORD = 6
@@ -25,7 +26,7 @@ def token_frequency(df: DataFrame, columns: list[str], kind: str = "alpha") -> D
     """``(token, freq, len)``; counts combine before the shuffle."""
     text = F.concat_ws(" ", *columns)
     return (
-        df.select(F.explode(split_words(text, kind)).alias("token"))
+        T.exploded(df, split_words(text, kind), "token")
         .groupBy("token")
         .agg(F.count("*").alias("freq"))
         .withColumn("len", F.length("token"))
@@ -168,7 +169,10 @@ def misspelling_candidates(words: DataFrame, freq: DataFrame) -> DataFrame:
     ``words`` holds ``token``: the words to judge. Candidate pairs come from
     equality on shortened forms, never from all pairs of a block, and the edit
     distance decides. Flags only. Returns ``(token, freq, neighbour, nfreq, dist)``.
+    The frequencies are counted once and kept as a table.
     """
+    held = materialize(freq, "frequency")
+    words, freq = held if words is freq else words, held
     rare = (
         words.select("token").distinct()
         .join(freq, "token")
