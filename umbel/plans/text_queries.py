@@ -187,8 +187,7 @@ def _(spark, sf):
         "p_name", F.concat_ws(" ", "p_brand", "p_name", F.lit("extended")),
         F.concat(F.lower("p_type"), F.lower(F.replace(F.col("p_name"), F.lit(" "), F.lit("")))),
     )
-    d = _labels(spark, sf).select("p_partkey", T.recall_terms("label", syn).alias("r"))
-    return d.select("p_partkey", F.explode("r").alias("recall"))
+    return T.exploded(_labels(spark, sf), T.recall_terms("label", syn), "recall", "p_partkey")
 
 
 @query("gene_terms", """
