@@ -122,8 +122,7 @@ def over_slices(slices: list[DataFrame], hits) -> DataFrame:
 
 def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """``(doc, in_title, term)`` for each text field that contains a term."""
-    tokens = F.explode(F.array_distinct(F.split("text", " ")))
-    wide = texts.select("doc", "in_title", "text", tokens.alias("anchor"))
+    wide = T.exploded(texts, F.array_distinct(F.split("text", " ")), "anchor", "doc", "in_title", "text")
 
     def hits(side: DataFrame) -> DataFrame:
         found = wide.join(side, "anchor").where(T.phrase_present(F.col("text"), F.col("term")))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..runtime import side_by_side
+from ..runtime import materialize, side_by_side
 
 
 def first_n(df: DataFrame, keys: list[str], order: list, n: int, fields: list[str], out: str) -> DataFrame:
@@ -28,9 +28,11 @@ def study_signals(matches: DataFrame, cap: int = 15) -> DataFrame:
     """Counts per entity over distinct matched documents.
 
     ``matches`` has ``entity, doc, study_type, status, matched_via``. Only
-    interventional documents make ``total``; the other types are kept apart.
+    interventional documents make ``total``; the other types are kept apart. Counts
+    and lists read the matches from a table, so they are found once.
     """
-    m = matches.dropDuplicates(["entity", "doc"])
+    columns = ["entity", "doc", "study_type", "status", "matched_via"]
+    m = materialize(matches.select(*columns).dropDuplicates(["entity", "doc"]), "signals")
     recruiting = F.upper("status").isin(vocab.RECRUITING_STATUSES)
     inter = F.coalesce(F.col("study_type") == "INTERVENTIONAL", F.lit(False))
     obs = F.coalesce(F.col("study_type") == "OBSERVATIONAL", F.lit(False))
