@@ -198,3 +198,70 @@ def test_backfill_outcomes(spark):
 def test_label_alignment_folds_accents(spark):
     df = spark.createDataFrame([("Sjogren syndrome / SS (x)", ["Primary Sjögren syndrome"]), ("Other", ["Nothing"])], "g string, l array<string>")
     assert [r[0] for r in df.select(reconcile.labels_align("g", "l")).collect()] == [True, False]
+
+
+def tallied(df):
+    """``df`` and an accumulator of the rows that were made of it."""
+    rows = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema), rows
+
+
+def test_keys_of_components_are_made_once(spark):
+    keys, rows = tallied(spark.createDataFrame([(i, f"k{i // 2}") for i in range(20)], "rid long, key string"))
+    assert {r["cluster"] for r in registries.components(keys).collect()} == set(range(0, 20, 2))
+    assert rows.value == 20
+
+
+def test_dedupe_takes_the_first_record_and_moves_no_titles_in_aggregates(spark):
+    schema = """rid long, id string, nct_id string, secondary_ids array<string>, title string, status string, registry string,
+      url string, conditions array<string>, study_type string"""
+    df = spark.createDataFrame([(i, f"R{i}", None, ["S1"], f"t{i}", None, "other", f"u{i}", [], None) for i in (5, 3, 9)], schema)
+    got = registries.registry_dedupe(df)
+    assert [(r["cluster"], r["records"], r["id"], r["title"], r["url"]) for r in got.collect()] == [(3, 3, "R3", "t3", "u3")]
+    plan = got.select("cluster", "records", "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "title" not in "".join(line for line in plan.splitlines() if "Aggregate" in line)
+
+
+def test_keys_of_records_are_computed_once_a_row(spark):
+    df = spark.createDataFrame([(1, "A", None, ["b"], "some title")], "rid long, id string, nct_id string, secondary_ids array<string>, title string")
+    plan = registries.record_keys(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan
+
+
+def test_designation_keys_are_made_once_a_part(spark):
+    from umbel.plans import join_queries
+
+    plan = join_queries._designation_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("regexp_replace")
+
+
+def test_designations_of_both_agencies_as_merged_from_their_lists(spark):
+    row = "struct<generic:string,text:string,date:string,status:string,number:string>"
+    status = ["FDA approved for orphan indication", "Positive", "d", None]
+    data = [
+        (["C1"] if i % 5 == 0 else [], f"name {i % 3}", (f"g{i % 4}", f"name {i % 3}", None if i % 7 == 0 else f"2020-01-{i % 9 + 1:02d}", status[i % 4], str(i % 6)))
+        for i in range(120)
+    ]
+    rows = spark.createDataFrame(data, f"ids array<string>, key string, row {row}")
+    ids = spark.createDataFrame([("e", "c1")], "entity string, id string")
+    names = spark.createDataFrame([(e, k, f"Name {k}") for e in "efg" for k in range(3)], "entity string, pos int, name string")
+    apart = designations.merge_designations(designations.fda_match(ids, names, rows, cap=20), designations.ema_match(names, rows, cap=20))
+    shown = lambda d: {r["entity"]: (r["designations"], r["fda_count"], r["approved"], [(x["date"], x["generic"], x["text"]) for x in r["listed"]]) for r in d.collect()}
+    assert shown(designations.all_designations(ids, names, rows)) == shown(apart)
+    folder = designations.designation_facts(rows, {"fda-name": ("key", designations.FDA_IDENTITY)})
+    assert {f.name for f in folder.schema["rest"].dataType} == {"generic", "text", "date", "status"}  # the number is listed nowhere
+
+
+def test_matches_of_study_signals_are_found_once(spark):
+    m = spark.createDataFrame([("e", i, "INTERVENTIONAL", "RECRUITING", "phrase") for i in range(9)], "entity string, doc long, study_type string, status string, matched_via string")
+    matches, rows = tallied(m)
+    from umbel.operators import studies
+
+    got = studies.study_signals(matches).first()
+    assert (got["total"], len(got["recruiting"])) == (9, 9) and rows.value == 9

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,103 +30,109 @@ def _order(top: str = "top") -> list[Column]:
 
 
 def designation_facts(rows: DataFrame, kinds: dict[str, tuple[str, tuple[str, ...]]]) -> DataFrame:
-    """``(kind, tag, ..., row)``: distinct designations by each way they are found.
+    """``(kind, tag, ..., rest)``: distinct designations by each way they are found.
 
     ``kinds`` maps a kind to what its tag is, ``ids`` or ``key``, and to the fields
-    that make designations the same. Every fact is expanded into its tags and grouped
-    once, whatever the number of kinds, and the result is a table in the shared
-    folder: what follows reads that, not the facts.
+    that make designations the same; ``rest`` holds the other fields, of the smallest
+    of equal designations. Every fact is expanded into its tags and grouped once,
+    whatever the number of kinds, and the result is a table in the shared folder:
+    what follows reads that, not the facts.
     """
     fields = list(dict.fromkeys(f for _, identity in kinds.values() for f in identity))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema["row"].dataType.fields}
+    # Fields behind the last listed one decide nothing that is shown.
+    last = max(i for i, f in enumerate(types) if f in FIELDS)
+    others = list(types)[: last + 1]
     row = F.col("row")
 
     def tagged(kind: str, tag: Column, identity: tuple[str, ...]) -> Column:
         own = [F.when(F.lit(f in identity), row[f]).alias(f"_{f}") for f in fields]
-        return F.struct(F.lit(kind).alias("kind"), tag.alias("tag"), *own)
+        rest = F.struct(*[F.when(F.lit(f not in identity), row[f]).alias(f) for f in others])
+        return F.struct(F.lit(kind).alias("kind"), tag.alias("tag"), *own, rest.alias("rest"))
 
-    tags = []
+    own_type = (
+        f"array<struct<kind:string,tag:string,{','.join(f'_{f}:{types[f]}' for f in fields)},"
+        f"rest:struct<{','.join(f'{f}:{types[f]}' for f in others)}>>>"
+    )
+    none, tags = F.array().cast(own_type), []
     for kind, (source, identity) in kinds.items():
         if source == "ids":
             ids = F.filter(F.transform("ids", lambda i: F.upper(T.strip(i))), lambda i: i != "")
-            own = F.transform(ids, lambda i: tagged(kind, i, identity))
-            tags.append(F.coalesce(own, F.array().cast(own_type(rows, fields))))
+            tags.append(F.coalesce(F.transform(ids, lambda i: tagged(kind, i, identity)).cast(own_type), none))
         else:
-            long = F.length("key") >= 4
-            tags.append(F.when(long, F.array(tagged(kind, F.col("key"), identity))).otherwise(F.array().cast(own_type(rows, fields))))
-    flat = rows.select("row", F.explode(F.concat(*tags)).alias("t")).select("t.*", "row")
-    one = flat.groupBy("kind", "tag", *[f"_{f}" for f in fields]).agg(F.min("row").alias("row"))
-    return materialize(one, "designations", by="kind")
+            tags.append(F.when(F.length("key") >= 4, F.array(tagged(kind, F.col("key"), identity)).cast(own_type)).otherwise(none))
+    flat = T.exploded(rows, F.concat(*tags), "t").select("t.*")
+    keys = ["kind", "tag", *[f"_{f}" for f in fields]]
+    # The smallest is found by sorting, and a number in front decides most comparisons.
+    one = flat.groupBy(F.xxhash64(*keys).alias("h"), *keys).agg(F.min("rest").alias("rest"))
+    return materialize(one.drop("h"), "designations", by="kind")
+
 
+def _first_rows(df: DataFrame, keys: list[str], order: list, cap: int) -> DataFrame:
+    """The first ``cap`` rows of each key; tasks forward no more of a key."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
 
-def own_type(rows: DataFrame, fields: list[str]) -> str:
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema["row"].dataType.fields}
-    return f"array<struct<kind:string,tag:string,{','.join(f'_{f}:{kinds[f]}' for f in fields)}>>"
 
+def _counted(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("top").alias("n_top"))
 
-def _listed(df: DataFrame, keys: list[str], top, cap: int) -> DataFrame:
-    """Counts over all rows of a key and its first ``cap`` rows in list order."""
-    df = df.withColumn("top", top(F.col("row.status"))).select(*keys, "top", *[f"row.{f}" for f in FIELDS])
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("top").alias("n_top"))
-    return counts.join(first_n(df, keys, _order(), cap, ["top", *FIELDS], "firsts"), keys, "left")
+
+def _topped(df: DataFrame, keys: list[str], top) -> DataFrame:
+    return df.withColumn("top", top(F.col("row.status"))).select(*keys, "top", *[f"row.{f}" for f in FIELDS])
 
 
 def _entity_ids(entity_ids: DataFrame) -> DataFrame:
     return entity_ids.select("entity", F.upper(T.strip("id")).alias("tag")).where("tag != ''").distinct()
 
 
-def _by_id(entity_ids: DataFrame, facts: DataFrame, top, cap: int) -> DataFrame:
-    """Designations sharing an identifier with the entity; one that several ids share counts once."""
+def _by_id(entity_ids: DataFrame, facts: DataFrame, top, cap: int) -> tuple[DataFrame, DataFrame]:
+    """Counts and first rows of designations sharing an identifier with the entity; one that several ids share counts once."""
     fields = [c for c in facts.columns if c.startswith("_")]
-    found = _entity_ids(entity_ids).join(facts, "tag").groupBy("entity", *fields).agg(F.min("row").alias("row"))
-    return _listed(found, ["entity"], top, cap)
+    found = _entity_ids(entity_ids).join(facts, "tag").groupBy("entity", *fields).agg(F.min("rest").alias("rest"))
+    rows = _topped(found.withColumn("row", _row(found)), ["entity"], top)
+    return _counted(rows, ["entity"]), _first_rows(rows, ["entity"], _order(), cap)
 
 
-def _by_name(entity_names: DataFrame, facts: DataFrame, top, cap: int, name_stop: int | None) -> DataFrame:
-    """Designations whose key equals a name; with ``name_stop`` names are read until so many are found.
+def _by_name(entity_names: DataFrame, facts: DataFrame, top, cap: int, name_stop: int | None) -> tuple[DataFrame, DataFrame]:
+    """Counts and rows of designations whose key equals a name; with ``name_stop`` names are read until so many are found.
 
     The key is made from the designation's text and the text is part of its
     identity, so different names never share a designation. Counts and first
     rows are therefore made once per key and added up per entity: however many
-    entities own a name and however many rows carry it, no pair of the two is
-    built.
+    entities own a name and however many rows carry it, no more than ``cap`` rows
+    of a name meet an entity.
     """
     if "_text" not in facts.columns:
         raise ValueError("the text names the key, so it has to be part of the identity")
-    per_key = _listed(facts, ["tag"], top, cap)
+    rows = _topped(facts.withColumn("row", _row(facts)), ["tag"], top)
     names = (
         entity_names.select("entity", "pos", T.normalize_term("name").alias("tag"))
         .where(F.length("tag") >= 4)
         .groupBy("entity", "tag").agg(F.min("pos").alias("pos"))
     )
-    found = names.join(per_key, "tag")
-    read = found
+    read = names.join(_counted(rows, ["tag"]), "tag")
     if name_stop is not None:
         # The names of one entity: a short window.
         w = W.partitionBy("entity").orderBy("pos", "tag").rowsBetween(W.unboundedPreceding, -1)
-        read = found.withColumn("earlier", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("earlier") < name_stop)
-    ordered = F.array_sort(F.flatten(F.collect_list("firsts")), _compare)
-    return read.groupBy("entity").agg(
-        F.sum("n").alias("n"), F.sum("n_top").alias("n_top"), F.slice(ordered, 1, cap).alias("firsts")
-    )
+        read = read.withColumn("earlier", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("earlier") < name_stop)
+    counts = read.groupBy("entity").agg(F.sum("n").alias("n"), F.sum("n_top").alias("n_top"))
+    asked = names if name_stop is None else read
+    return counts, asked.select("entity", "tag").join(_first_rows(rows, ["tag"], _order(), cap), "tag").drop("tag")
 
 
-def _compare(a: Column, b: Column) -> Column:
-    """List order of two designations: -1, 0 or 1."""
-    day_a, day_b = F.coalesce(a["date"], F.lit("")), F.coalesce(b["date"], F.lit(""))
-    return (
-        F.when(a["top"] != b["top"], F.when(a["top"], -1).otherwise(1))
-        .when(day_a != day_b, F.when(day_a > day_b, -1).otherwise(1))
-        .when(a["generic"] != b["generic"], F.when(a["generic"] < b["generic"], -1).otherwise(1))
-        .when(a["text"] < b["text"], -1)
-        .when(a["text"] > b["text"], 1)
-        .otherwise(0)
-    )
+def _row(facts: DataFrame) -> Column:
+    """The designation of a fact: each field is in its identity or in the rest."""
+    return F.struct(*[
+        (F.coalesce(f"_{f}", f"rest.{f}") if f"_{f}" in facts.columns else F.col(f"rest.{f}")).alias(f) for f in FIELDS
+    ])
 
 
-def _result(found: DataFrame, agency: str, via: str) -> DataFrame:
-    return found.select(
-        "entity", F.lit(agency).alias("agency"), F.lit(via).alias("matched_via"),
-        F.col("n").alias("designations"), F.col("n_top").alias("approved"), F.col("firsts").alias("listed"),
+def _result(found: tuple[DataFrame, DataFrame], agency: str, cap: int) -> DataFrame:
+    counts, rows = found
+    listed = first_n(rows, ["entity"], _order(), cap, ["top", *FIELDS], "listed")
+    return counts.join(listed, "entity", "left").select(
+        "entity", F.lit(agency).alias("agency"), "matched_via", F.col("n").alias("designations"), F.col("n_top").alias("approved"), "listed"
     )
 
 
@@ -136,17 +144,21 @@ def _kind(facts: DataFrame, kind: str) -> DataFrame:
     return facts.where(F.col("kind") == kind).drop("kind")
 
 
-def _fda(entity_ids: DataFrame, entity_names: DataFrame, facts: DataFrame, cap: int, name_stop: int | None) -> DataFrame:
+def _fda(
+    entity_ids: DataFrame, entity_names: DataFrame, facts: DataFrame, cap: int, name_stop: int | None
+) -> tuple[DataFrame, DataFrame]:
     own = _kind(facts, "fda-id")
-    by_id = _by_id(entity_ids, own, is_approved, cap)
+    ids, id_rows = _by_id(entity_ids, own, is_approved, cap)
     known = _entity_ids(entity_ids).join(own.select("tag").distinct(), "tag", "left_semi")
     rest = entity_names.join(known.select("entity"), "entity", "left_anti")
-    by_name = _by_name(rest, _kind(facts, "fda-name"), is_approved, cap, name_stop)
-    return _result(by_id, "fda", "umls").unionByName(_result(by_name, "fda", "name"))
+    names, name_rows = _by_name(rest, _kind(facts, "fda-name"), is_approved, cap, name_stop)
+    counts = ids.withColumn("matched_via", F.lit("umls")).unionByName(names.withColumn("matched_via", F.lit("name")))
+    return counts, id_rows.unionByName(name_rows)
 
 
-def _ema(entity_names: DataFrame, facts: DataFrame, cap: int, name_stop: int | None) -> DataFrame:
-    return _result(_by_name(entity_names, _kind(facts, "ema-name"), is_positive, cap, name_stop), "ema", "name")
+def _ema(entity_names: DataFrame, facts: DataFrame, cap: int, name_stop: int | None) -> tuple[DataFrame, DataFrame]:
+    counts, rows = _by_name(entity_names, _kind(facts, "ema-name"), is_positive, cap, name_stop)
+    return counts.withColumn("matched_via", F.lit("name")), rows
 
 
 def fda_match(
@@ -162,7 +174,7 @@ def fda_match(
     once. Listed: approved first, then newest.
     """
     facts = designation_facts(rows, {"fda-id": ("ids", identity), "fda-name": ("key", identity)})
-    return _fda(entity_ids, entity_names, facts, cap, name_stop)
+    return _result(_fda(entity_ids, entity_names, facts, cap, name_stop), "fda", cap)
 
 
 def ema_match(
@@ -170,7 +182,8 @@ def ema_match(
     identity: tuple[str, ...] = EMA_IDENTITY, cap: int = LIST_CAP, name_stop: int | None = None,
 ) -> DataFrame:
     """As ``fda_match``, by name only; positive first."""
-    return _ema(entity_names, designation_facts(rows, {"ema-name": ("key", identity)}), cap, name_stop)
+    facts = designation_facts(rows, {"ema-name": ("key", identity)})
+    return _result(_ema(entity_names, facts, cap, name_stop), "ema", cap)
 
 
 def all_designations(
@@ -181,7 +194,13 @@ def all_designations(
     facts = designation_facts(
         rows, {"fda-id": ("ids", FDA_IDENTITY), "fda-name": ("key", FDA_IDENTITY), "ema-name": ("key", EMA_IDENTITY)}
     )
-    return merge_designations(_fda(entity_ids, entity_names, facts, cap, name_stop), _ema(entity_names, facts, cap, name_stop), cap)
+    found = {
+        "fda": _fda(entity_ids, entity_names, facts, cap, name_stop), "ema": _ema(entity_names, facts, cap, name_stop),
+    }
+    counts, rows = (
+        reduce(DataFrame.unionByName, [both[i].withColumn("agency", F.lit(agency)) for agency, both in found.items()]) for i in (0, 1)
+    )
+    return _merged(counts.withColumnsRenamed({"n": "designations", "n_top": "approved"}), rows, cap)
 
 
 def merge_designations(fda: DataFrame, ema: DataFrame, cap: int = MERGED_CAP) -> DataFrame:
@@ -191,6 +210,11 @@ def merge_designations(fda: DataFrame, ema: DataFrame, cap: int = MERGED_CAP) ->
     agency's list was made with at least this ``cap``.
     """
     both = fda.unionByName(ema)
+    return _merged(both, both.select("entity", "agency", F.explode("listed").alias("r")).select("entity", "agency", "r.*"), cap)
+
+
+def _merged(both: DataFrame, rows: DataFrame, cap: int) -> DataFrame:
+    """``both`` has an agency's counts of an entity, ``rows`` its first designations."""
     counts = both.groupBy("entity").agg(
         F.sum("designations").alias("designations"),
         F.sum(F.when(F.col("agency") == "fda", F.col("designations")).otherwise(0)).alias("fda_count"),
@@ -202,7 +226,6 @@ def merge_designations(fda: DataFrame, ema: DataFrame, cap: int = MERGED_CAP) ->
         .when(F.col("ema_count") > 0, "ema")
         .otherwise("fda-oopd")
     )
-    rows = both.select("entity", "agency", F.explode("listed").alias("r")).select("entity", "agency", "r.*")
     tier = F.when(F.col("top") & (F.col("agency") == "fda"), 0).when(F.col("top"), 1).otherwise(2)
     order = ["tier", F.coalesce("date", F.lit("")).desc(), "generic", "text"]
     lists = first_n(rows.withColumn("tier", tier), ["entity"], order, cap, ["agency", *FIELDS], "listed")
