@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_llm_exact import odd
@@ -68,6 +69,22 @@ def test_pairs_of_a_large_bucket_that_are_near_no_leader(spark, monkeypatch):
     assert kept == [2 * i for i in range(30)]
 
 
+def test_texts_of_one_template_are_no_candidates(spark):
+    rng, rows, form = np.random.default_rng(9), [], [f"form{i}" for i in range(240)]
+    for i in range(60):
+        words = list(form)
+        for at in range(0, 240, 48):
+            words[at + int(rng.integers(0, 40))] = f"own{i}x{at}"
+        rows += [(i, " ".join(words))] + [(100 + i, " ".join([*words[:-1], "other"]))] * (i % 10 == 0)
+    near = {(b, a) for b, x in rows for a, y in rows if b > a and jaccard(x, y) >= 0.8}
+    assert len(near) == 6
+    texts = spark.createDataFrame(rows, "key long, text string")
+    placed = texts.select("key", F.col("key").alias("cluster"))
+    got = {(r.a, r.b) for r in minhash.prefix_pairs(placed, texts, 0.8).collect()}
+    assert got >= near and len(got) <= 60
+    assert {(r.a, r.b) for r in minhash.similar(spark.createDataFrame(sorted(got), "a long, b long"), texts, 0.8).collect()} == near
+
+
 def bench(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
 
