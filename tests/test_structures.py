@@ -265,3 +265,14 @@ def test_matches_of_study_signals_are_found_once(spark):
 
     got = studies.study_signals(matches).first()
     assert (got["total"], len(got["recruiting"])) == (9, 9) and rows.value == 9
+
+
+def test_rounds_of_a_closure_are_dealt_by_their_rows(spark, monkeypatch):
+    from umbel import runtime
+
+    edges = spark.createDataFrame([(str(k), str(k // d), d) for k in range(2, 600) for d in (2, 3) if k // d], EDGE)
+    whole = walked(graph.ancestors(edges))
+    monkeypatch.setattr(runtime, "TASK_ROWS", 100)
+    found = graph.ancestors(edges)
+    assert walked(found) == whole
+    assert len(found.inputFiles()) > 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
