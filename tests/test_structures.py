@@ -276,3 +276,15 @@ def test_rounds_of_a_closure_are_dealt_by_their_rows(spark, monkeypatch):
     found = graph.ancestors(edges)
     assert walked(found) == whole
     assert len(found.inputFiles()) > 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_identifiers_are_dealt_by_their_rows(spark, monkeypatch):
+    from umbel import runtime
+
+    ids = spark.createDataFrame([(e, p, f"n{(e * 7 + p) % 50}") for e in range(200) for p in range(2)], "entity long, pos int, node string")
+    nodes = spark.createDataFrame([(f"n{i}", [f"MESH:D{i}", f"UMLS:C{i}"]) for i in range(50)], "id string, xrefs array<string>")
+    whole = sorted(identifiers.collect_identifiers(ids, nodes).collect())
+    monkeypatch.setattr(runtime, "TASK_ROWS", 20)
+    dealt = identifiers.collect_identifiers(ids, nodes)
+    assert sorted(dealt.collect()) == whole
+    assert dealt.rdd.getNumPartitions() == 40

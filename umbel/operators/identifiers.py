@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import ids as I
 from ..functions import text as T
+from ..runtime import parts_for
 from .studies import first_n
 
 BUCKETS = ["mesh", "umls", "omim", "ncit"]
 
 
-def identifier_rows(entity_ids: DataFrame, nodes: DataFrame) -> DataFrame:
+def _parts(entity_ids: DataFrame, nodes: DataFrame, listed: str) -> int:
+    """Partitions for the values of ``listed`` over all entities, which are counted by node."""
+    held = entity_ids.groupBy("node").agg(F.count("*").alias("n"))
+    rows = held.join(nodes.select(F.col("id").alias("node"), F.size(listed).alias("k")), "node").where("k > 0")
+    return parts_for(entity_ids.sparkSession, rows.agg(F.sum(F.col("n") * F.col("k"))).first()[0] or 0)
+
+
+def identifier_rows(entity_ids: DataFrame, nodes: DataFrame, parts: int | None = None) -> DataFrame:
     """``(entity, bucket, value, at)``: each cross-reference of an entity's nodes once.
 
     ``entity_ids`` has ``entity, node, pos``; ``nodes`` has ``id, xrefs``; ``at`` is
@@ -27,6 +35,7 @@ def identifier_rows(entity_ids: DataFrame, nodes: DataFrame) -> DataFrame:
             F.struct("pos", "xpos").alias("at"),
         )
         .where(F.col("bucket").isNotNull() & (F.col("value") != ""))
+        .repartition(parts or _parts(entity_ids, nodes, "xrefs"), "entity", "bucket", "value")
         .groupBy("entity", "bucket", "value")
         .agg(F.min("at").alias("at"))
     )
@@ -41,9 +50,11 @@ def _listed(rows: DataFrame, keys: list[str], order: list[str], value: str, cap:
 
 def collect_identifiers(entity_ids: DataFrame, nodes: DataFrame, cap: int | None = None) -> DataFrame:
     """``identifier_rows`` as arrays by bucket, in first-seen order; ``cap`` bounds each."""
-    lists = _listed(identifier_rows(entity_ids, nodes), ["entity", "bucket"], ["at"], "value", cap)
+    parts = _parts(entity_ids, nodes, "xrefs")
+    rows = identifier_rows(entity_ids, nodes, parts).repartition(parts, "entity")
+    lists = _listed(rows, ["entity", "bucket"], ["at"], "value", cap)
     per = lists.groupBy("entity").pivot("bucket", BUCKETS).agg(F.first("v"))
-    own = _listed(entity_ids.select("entity", "pos", "node").distinct(), ["entity"], ["pos"], "node", cap)
+    own = _listed(entity_ids.select("entity", "pos", "node").repartition(parts, "entity").distinct(), ["entity"], ["pos"], "node", cap)
     empty = F.array().cast("array<string>")
     return own.join(per, "entity", "left").select(
         "entity", F.col("v").alias("nodes"), *[F.coalesce(b, empty).alias(b) for b in BUCKETS]
