@@ -298,3 +298,17 @@ def test_attached_clusters_equal_one_run(spark):
     assert {(r["rid"], r["cluster"]) for r in clusters.collect()} == whole and kept.count() == len({k for _, k in keys})
     again, _ = registries.attach(clusters, kept, table([]))
     assert again.count() == len(whole)
+
+
+def test_a_folder_of_the_name_index_has_as_many_files_as_its_rows_ask_for(spark, monkeypatch):
+    entities = spark.createDataFrame([(str(i), f"alpha beta {i}", ["gamma"]) for i in range(400)], "code string, name string, synonyms array<string>")
+    needles = spark.createDataFrame([("alpha",), ("39",), ("ta 7",), ("orpha:1",)], "q string")
+    found = []
+    for rows in (1_000_000, 100):
+        for module in (runtime, name_index):
+            monkeypatch.setattr(module, "TASK_ROWS", rows)
+        path = scratch_path(spark, "names")
+        name_index.build_index(entities, path, buckets=2)
+        found.append(sorted(name_index.search(spark, path, needles, buckets=2).collect()))
+    assert found[0] == found[1] and len(found[0]) > 400
+    assert len(spark.read.parquet(f"{path}/postings").inputFiles()) > 2 * 8

@@ -9,11 +9,13 @@ others, and so are the labels' folders of the candidates.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small, materialize
+from ..runtime import TASK_ROWS, broadcast_if_small, discard, materialize, parts_for
 
 SIZE = 3
 BUCKETS = 64
@@ -32,6 +34,14 @@ def _bucket(column: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
 
+def _write(rows: DataFrame, count: int, path: str, buckets: int, *order: str) -> None:
+    """A folder a bucket, in as many files as ``count`` rows ask for: one task sorts no more of them as they grow."""
+    pieces = -(-4 * count // (buckets * TASK_ROWS)) or 1
+    parts = max(parts_for(rows.sparkSession, count), buckets * pieces)
+    dealt = rows.repartition(parts, "bucket", F.pmod(F.xxhash64(*order), F.lit(pieces)))
+    dealt.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
+
+
 def build_index(entities: DataFrame, path: str, code: str = "code", name: str = "name", synonyms: str = "synonyms", buckets: int = BUCKETS) -> None:
     """Write postings, their frequencies and labels of ``entities`` under ``path``.
 
@@ -44,12 +54,17 @@ def build_index(entities: DataFrame, path: str, code: str = "code", name: str =
         F.transform(F.concat(F.array(name), F.coalesce(synonyms, F.array().cast("array<string>"))), lambda t: F.struct(F.lit("label").alias("field"), F.lower(t).alias("text"))),
     )
     rows = entities.select(F.col(code).alias("code"), F.explode(F.array_distinct(texts)).alias("t")).select("code", "t.field", "t.text").where("text is not null")
-    rows.withColumn("bucket", _bucket("code", buckets)).repartition("bucket").sortWithinPartitions("code").write.partitionBy("bucket").parquet(f"{path}/labels")
-    labels = entities.sparkSession.read.parquet(f"{path}/labels")
+    spark, rows = entities.sparkSession, materialize(rows, "labels")
+    _write(rows.withColumn("bucket", _bucket("code", buckets)), rows.count(), f"{path}/labels", buckets, "code")
+    discard(rows)
+    labels = spark.read.parquet(f"{path}/labels")
+    # Two runs begin at about every character.
+    count = 2 * (labels.agg(F.sum(F.length("text"))).first()[0] or 0)
     single = F.when(F.col("field") == "code", _grams(F.col("text"), 1)).otherwise(F.array().cast("array<string>"))
-    grams = labels.select("code", "field", F.explode(F.concat(_grams(F.col("text"), SIZE), _grams(F.col("text"), 2), single)).alias("gram")).distinct()
-    grams.withColumn("bucket", _bucket("gram", buckets)).repartition("bucket").sortWithinPartitions("gram", "code").write.partitionBy("bucket").parquet(f"{path}/postings")
-    postings = entities.sparkSession.read.parquet(f"{path}/postings")
+    held = labels.select("code", "field", "text").repartition(parts_for(spark, count), "code")
+    grams = held.select("code", "field", F.explode(F.concat(_grams(F.col("text"), SIZE), _grams(F.col("text"), 2), single)).alias("gram")).distinct()
+    _write(grams.withColumn("bucket", _bucket("gram", buckets)), count, f"{path}/postings", buckets, "gram", "code")
+    postings = spark.read.parquet(f"{path}/postings")
     postings.groupBy("field", "gram").agg(F.count("*").alias("n")).write.parquet(f"{path}/frequencies")
 
 
@@ -72,19 +87,22 @@ def search(spark: SparkSession, path: str, needles: DataFrame, q: str = "q", buc
     rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "gram"))), 1, LOOKED_UP)
     chosen = counted.groupBy("q", "field", "needle").agg(rarest.alias("g"))
     wanted = materialize(
-        chosen.select("q", "field", "needle", F.size("g").alias("k"), F.explode("g.gram").alias("gram")).withColumn("bucket", _bucket("gram", buckets)), "needles"
+        chosen.select("q", "field", "needle", F.size("g").alias("k"), F.explode("g").alias("g")).select("q", "field", "needle", "k", "g.gram", "g.n").withColumn("bucket", _bucket("gram", buckets)), "needles"
     )
-    side, _ = broadcast_if_small(wanted)
+    parts = parts_for(spark, wanted.agg(F.sum("n")).first()[0] or 0)
+    side, _ = broadcast_if_small(wanted.drop("n"))
     postings = spark.read.parquet(f"{path}/postings")
-    held = postings.join(side, ["bucket", "gram", "field"]).groupBy("q", "field", "needle", "k", "code").agg(F.count("*").alias("n"))
+    hits = postings.join(side, ["bucket", "gram", "field"]).repartition(parts, "q", "field", "needle", "code")
+    held = hits.groupBy("q", "field", "needle", "k", "code").agg(F.count("*").alias("n"))
     near = materialize(held.where("n = k").select("q", "field", "needle", "code").withColumn("bucket", _bucket("code", buckets)), "candidates")
-    few, _ = broadcast_if_small(near)
+    few, fits = broadcast_if_small(near)
     labels = spark.read.parquet(f"{path}/labels")
-    found = labels.join(few, ["bucket", "code", "field"]).where(F.col("text").contains(F.col("needle"))).select("q", "code").distinct()
+    sides = (labels, few) if fits else (x.repartition(parts, "bucket", "code", "field") for x in (labels, few))
+    found = reduce(lambda a, b: a.join(b, ["bucket", "code", "field"]), sides).where(F.col("text").contains(F.col("needle"))).select("q", "code")
     # A prefix alone leaves nothing to look for, and every code has that.
     prefixes = F.explode(F.array(F.lit("orpha"), F.lit("orpha:"))).alias("typed")
     every = labels.where("field = 'code'").select("code", prefixes).join(F.broadcast(asked.where("bare = ''").select("q", "typed")), "typed")
-    return found.unionByName(every.select("q", "code")).distinct()
+    return found.unionByName(every.select("q", "code")).repartition(parts, "q", "code").distinct()
 
 
 def first_found(found: DataFrame, limit: int = 12) -> DataFrame:
