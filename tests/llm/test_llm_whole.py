@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.test_llm_exact import odd
 from umbel.llm import latent, minhash, raking, simhash
+from umbel.runtime import materialize
 
 
 def five(text):
@@ -69,6 +71,29 @@ def test_pairs_of_a_large_bucket_that_are_near_no_leader(spark, monkeypatch):
     assert kept == [2 * i for i in range(30)]
 
 
+def test_stages_leave_no_shuffle_files(spark, tmp_path):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files = lambda: {p.name for d in folders for p in Path(d.getPath()).glob("*/shuffle_*")}
+    rng, setting = np.random.default_rng(12), spark.conf.get(key)
+    rows = [(i, " ".join(some_words(rng, 60)), "en", "s") for i in range(40)]
+    rows += [(100 + i, x + " more", "en", "s") for i, x, _, _ in rows[:10]]
+    spark.createDataFrame([(i, 1) for i in range(0, 40, 2)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    bench(spark, rows[5][1]).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for name, stage in corpus_pipeline.STAGES:
+        before = files()
+        out = stage(spark, docs, str(tmp_path))
+        for _ in range(50):  # they are removed soon after, not at once
+            if files() <= before:
+                break
+            time.sleep(0.1)
+        assert files() <= before, name
+        assert spark.conf.get(key) == setting
+        docs = out if name == "token_files" else materialize(out, name)
+    assert docs.count() > 0
+
+
 def test_texts_of_one_template_are_no_candidates(spark):
     rng, rows, form = np.random.default_rng(9), [], [f"form{i}" for i in range(240)]
     for i in range(60):
