@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.test_llm_exact import odd
 from umbel.llm import latent, minhash, raking, simhash
-from umbel.runtime import materialize
+from umbel.runtime import materialize, scratch_dir
 
 
 def five(text):
@@ -114,6 +114,17 @@ def bench(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
 
 
+def test_dropped_leaks_leave_no_copies_of_the_items(spark, monkeypatch):
+    sent, send = [], latent.shipping.send
+    monkeypatch.setattr(latent.shipping, "send", lambda *args: sent.append(send(*args)) or sent[-1])
+    tables = lambda: set(Path(scratch_dir(spark)).glob("places-*"))
+    before, words = tables(), some_words(np.random.default_rng(13), 60)
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "nothing of it")], "doc_id long, text string")
+    assert [r.doc_id for r in latent.drop_leaks(docs, bench(spark, " ".join(words))).collect()] == [2]
+    assert tables() == before
+    assert sent and not any(os.path.exists(x._path) for x in sent)
+
+
 def test_an_item_copied_into_a_third_of_the_documents(spark):
     rng = np.random.default_rng(7)
     words = some_words(rng, 30)

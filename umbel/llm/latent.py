@@ -17,6 +17,7 @@ begin, and a place with as many as a copy must have is checked too.
 from __future__ import annotations
 
 import sys
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import discard, materialize
 from . import shipping, textbytes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -296,7 +297,7 @@ def run_codes(terms: np.ndarray, width: int) -> np.ndarray:
 MATCH = "doc_id long, item_id long, cosine double, common double, answer double, kind string, at long"
 
 
-def search(places: DataFrame, items: list[Item], idf: np.ndarray, space: np.ndarray, cosine: float) -> DataFrame:
+def search(places: DataFrame, items: list[Item], idf: np.ndarray, space: np.ndarray, cosine: float, after: ExitStack | None = None) -> DataFrame:
     """``MATCH`` rows for one block of items: checked matches, the best per document and item."""
     latent = space * idf[:, None]
     rows = np.stack([latent[i.terms].sum(axis=0) for i in items]) if items else np.zeros((0, space.shape[1]))
@@ -304,6 +305,8 @@ def search(places: DataFrame, items: list[Item], idf: np.ndarray, space: np.ndar
     shared = shipping.send(
         places.sparkSession, (items, latent.astype(np.float32), np.ascontiguousarray(rows.T, np.float32), Runs(items))
     )
+    if after is not None:
+        after.callback(shared.destroy)
 
     def position(present, wanted):
         """Row of each wanted stride, the last row for those without terms."""
@@ -376,14 +379,15 @@ def search(places: DataFrame, items: list[Item], idf: np.ndarray, space: np.ndar
     return places.mapInArrow(run, MATCH)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE, after: ExitStack | None = None) -> DataFrame:
     """``doc_id, item_id, cosine, common, answer, kind, at``: documents that hold an item, per row and item.
 
     ``common`` and ``answer`` are shares of the item's and its answer's words, ``at``
     the word where the best span begins. ``benchmark`` may have an ``answer`` column;
     else the last sentence is the answer. Items without words match nothing; null and
     empty texts hold nothing; repeated rows and repeated items are reported each.
-    Other columns are ignored.
+    Other columns are ignored. ``after`` gets what removes the tables and copies of the
+    items made here, to be run once the rows were read.
     """
     spark = docs.sparkSession
     columns = ["item_id", "text"] + (["answer"] if "answer" in benchmark.columns else [])
@@ -396,6 +400,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine:
         return spark.createDataFrame([], MATCH)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     places = materialize(term_places(rows, terms), "places")
+    if after is not None:
+        after.callback(discard, places)
     frequency, total = document_frequency(places, len(terms))
     idf = np.log((total + 1.0) / (frequency + 1.0)) + 0.1
     items = []
@@ -415,7 +421,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine:
     sparse = spark.createDataFrame(passages, "terms array<int>, weights array<double>")
     space = randomised_svd(sparse, len(terms), rank)
     found = [
-        search(places, items[a : a + ITEM_BLOCK], idf, space, cosine) for a in range(0, len(items), ITEM_BLOCK)
+        search(places, items[a : a + ITEM_BLOCK], idf, space, cosine, after) for a in range(0, len(items), ITEM_BLOCK)
     ]
     out = found[0]
     for more in found[1:]:
@@ -425,5 +431,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; rows without an id stay."""
-    leaks = find_leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(materialize(leaks, "leaks"), "doc_id", "left_anti")
+    with ExitStack() as after:
+        leaks = materialize(find_leaks(docs, benchmark, after=after).select("doc_id").distinct(), "leaks")
+    return docs.join(leaks, "doc_id", "left_anti")
