@@ -71,6 +71,22 @@ def test_pairs_of_a_large_bucket_that_are_near_no_leader(spark, monkeypatch):
     assert kept == [2 * i for i in range(30)]
 
 
+def test_near_copies_that_meet_in_no_band(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BANDS", 1)
+    monkeypatch.setattr(minhash, "ROWS", 12)
+    rng, rows, pairs, line = np.random.default_rng(15), [], [], some_words(np.random.default_rng(16), 30)
+    for i in range(80):
+        words = line + some_words(rng, int(rng.integers(60, 300)))
+        changed = list(words)
+        for at in rng.integers(30, len(words), max(1, len(words) // 60)):
+            changed[at] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+        pairs.append(jaccard(rows[-2][1], rows[-1][1]))
+    want = {2 * i for i in range(80)} | {2 * i + 1 for i, p in enumerate(pairs) if p < 0.8}
+    assert len(want) < 150
+    assert {r.doc_id for r in minhash.keep_one(odd(spark, rows)).collect()} == want
+
+
 def test_stages_leave_no_shuffle_files(spark, tmp_path):
     folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
