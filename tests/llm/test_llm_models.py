@@ -175,6 +175,37 @@ def test_kneser_ney_matches_brute_force(spark):
     assert got.keys() == brute.keys() and all(got[g] == pytest.approx(brute[g]) for g in got)
 
 
+def test_every_byte_has_its_own_probability(spark):
+    rows = [("In 1999 Zoë paid 17 €; in 1998 Åke", True), ("A 1999 and B 1997 ¿sí?", True), ("X 4711 żółw", False), (None, True), ("", False)]
+    docs = spark.createDataFrame(rows, "text string, trusted boolean")
+    classes, sizes = kneser_ney.symbol_classes(), kneser_ney.class_sizes()
+    want = {}
+    for text, trusted in rows:
+        seq = [255, 255, *(text or "").encode()]
+        for i in range(2, len(seq)):
+            if sizes[seq[i]] > 1:
+                g = tuple(seq[i - 2 : i + 1])
+                want[g] = want.get(g, 0) + trusted
+    counts = kneser_ney.count_bytes(docs)
+    assert {(r.gram >> 16, r.gram >> 8 & 255, r.gram & 255): r.n for r in counts.collect()} == want
+    # Over all bytes of a class the probabilities after any two bytes add up to one.
+    after = {g[:2] for g in want}
+    every = [(a << 16 | b << 8 | c, want.get((a, b, c), 0)) for a, b in after for c in range(256) if sizes[c] > 1]
+    got = {r.gram: np.exp(r.logp) for r in kneser_ney.train_bytes(spark.createDataFrame(every, "gram int, n long")).collect()}
+    sums = {}
+    for gram, p in got.items():
+        key = gram >> 8, classes[gram & 255]
+        sums[key] = sums.get(key, 0) + p
+    assert len(got) == len(every) and all(x == pytest.approx(1) for x in sums.values())
+    seen, other = (ord("9") << 16 | ord("9") << 8 | ord(c) for c in "93")
+    assert got[seen] != got[other]
+    good = "we met in 1998 and in 1999 and again in 1997 as we did in 1996. "
+    texts = [(i, good * 3, "en") for i in range(20)] + [(100, good * 3, "en"), (101, (good * 3).replace("199", "702"), "en")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    p = {r.doc_id: r.perplexity for r in kneser_ney.classify(docs, labels(spark, [(i, 1, 0) for i in range(20)])).collect()}
+    assert p[101] > p[100] * 1.2
+
+
 def test_quality_keeps_clean_documents(spark):
     sf = "/root/testdata/sf0.01"
     known = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
