@@ -2,6 +2,7 @@ import random
 import time
 from pathlib import Path
 
+import duckdb
 from pyspark.sql import functions as F
 
 from umbel.operators import designations, evidence, graph, identifiers, reconcile, registries
@@ -154,6 +155,23 @@ def test_registry_dedupe_fills_blanks(spark):
     assert {r["other_id"] for r in ids} == {"DRKS9", "drks9"}
 
 
+def test_dedupe_by_ids_in_texts_unites_them(spark, tmp_path):
+    from tests.compare import difference
+    from umbel.plans.registry import ORACLES, QUERIES
+
+    texts = ["see NCT00000001 and drks00000009", "about DRKS00000009 too", "another one", None, "nct00000001, ISRCTN12345678, ISRCTN12345678"]
+    rows = [(i, t, "en", f"s{i}", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["registry_dedupe"](spark, str(tmp_path))
+    data = [tuple(r) for r in got.collect()]
+    ids = {r[0]: (r[1], r[3], r[-1]) for r in data}
+    assert ids[0] == (3, "NCT00000001", "DRKS00000009|ISRCTN12345678|s0-32|s1-22|s4-43") and ids[2][0] == ids[3][0] == 1
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert difference(got.columns, data, con, ORACLES["registry_dedupe"]) is None
+
+
 def test_routes_keep_everything_beyond_the_cap(spark):
     df = spark.createDataFrame([("e", i, "relevant") for i in range(45)], "entity string, k int, verdict string")
     got = registries.route_counts(registries.route_by_verdict(df, "entity", ["k"]), "entity").first()

@@ -106,6 +106,8 @@ def test_ids(spark):
         "NCT01234567", "ISRCTN12345678", "2020-123456-12-00", "2020-123456-12", "CTRI/2020/01/123456",
         "JRCTS031180001", "CHICTR-IPR-15007", "ACTRN12345678901234",
     ]
+    beside = "编号ChiCTR-IPR-15007登记NCT01234567号, éDRKS12345678, xNCT11111111"
+    assert one(spark, I.secondary_ids("t"), t=beside) == ["NCT01234567", "DRKS12345678", "CHICTR-IPR-15007"]
     assert one(spark, I.first_nct("t"), t="no id") is None
     assert one(spark, I.normalize_curie("t"), t="http://x/MONDO_12") == "MONDO:0000012"
     assert [one(spark, I.infer_registry("t"), t=i) for i in ("nct1", "DRKS1", "2020-123456-12", "zz")] == ["ctgov", "drks", "euctr", "other"]
